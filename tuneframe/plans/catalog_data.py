@@ -8,7 +8,7 @@ from tuneframe.constants import TASK_LABELS
 from tuneframe.functions import labels as L
 from tuneframe.functions import prompts as P
 from tuneframe.functions.text import non_empty_lines
-from tuneframe.operators import batches, ordering, scoring, subset
+from tuneframe.operators import batches, scoring, subset
 from tuneframe.plans import datasets
 from tuneframe.plans import derived as D
 from tuneframe.plans.derived import with_tables
@@ -65,24 +65,25 @@ def read_task_splits(t: Tables):
     return whole
 
 
-# Every labelled document is listed under its language, ordered by document id.
+# Every labelled document is listed under its language and thousand of ids, in id order.
 MANIFEST_SQL = (
-    "manifest AS (SELECT d.lang AS task, row_number() OVER (PARTITION BY d.lang ORDER BY l.doc_id) - 1 AS pos, "
-    "l.doc_id AS row_idx FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+    "manifest AS (SELECT d.lang || '_' || (l.doc_id // 1000) AS task, row_number() OVER (PARTITION BY d.lang, l.doc_id // 1000 "
+    "ORDER BY l.doc_id) - 1 AS pos, l.doc_id AS row_idx FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
 )
 
 
 def manifest(t: Tables):
-    """The index lists as a manifest file would hold them, one entry per language."""
+    """The index lists a manifest holds; no list is longer than a thousand entries."""
     listed = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
-    return listed.select(F.col("lang").alias("task"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("row_idx"))
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    return listed.select(F.concat("lang", F.lit("_"), thousand).alias("task"), F.col("doc_id").alias("row_idx"))
 
 
 @query("read_fewshot_manifest", f"WITH {MANIFEST_SQL} SELECT task, pos, row_idx FROM manifest")
 def read_fewshot_manifest(t: Tables):
-    """Write each language's list as a manifest object of its own, read all of them back."""
+    """Write the lists as manifest objects, one JSON object per line, and read them back."""
     path = run_folder(t.spark, "manifest")
-    lists = (
+    (
         manifest(t)
         .groupBy("task")
         .agg(F.sort_array(F.collect_list("row_idx")).alias("train_indices"))
@@ -91,9 +92,9 @@ def read_fewshot_manifest(t: Tables):
             F.lit("labelled documents").alias("description"),
             F.create_map("task", F.struct("train_indices", F.lit("labelled").alias("rationale"))).alias("tasks"),
         )
+        .write.json(path)
     )
-    lists.repartition(F.map_keys("tasks")).write.option("maxRecordsPerFile", 1).json(path)
-    return readers.read_fewshot_manifest(t.spark, path).select("task", "pos", "row_idx")
+    return readers.read_fewshot_manifest(t.spark, path, multi_line=False).select("task", "pos", "row_idx")
 
 
 # ------------------------------------------------------------------ sinks
@@ -399,13 +400,6 @@ def normalize_images(t: Tables):
 # ------------------------------------------------------------------ subsets
 
 
-def _numbered_manifest(t: Tables):
-    """Manifest with positions counted per language, as the reader returns it."""
-    from pyspark.sql import Window
-
-    return manifest(t).withColumn("pos", F.row_number().over(Window.partitionBy("task").orderBy("row_idx")) - 1)
-
-
 @query(
     "fewshot_subset",
     "SELECT l.doc_id AS row_idx, l.doc_id * 2 AS pos, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id",
@@ -418,11 +412,14 @@ def fewshot_subset(t: Tables):
 
 @query(
     "join_manifest",
-    "SELECT d.lang AS task, l.doc_id AS row_idx, l.doc_id AS pos, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id",
+    f"WITH {MANIFEST_SQL} SELECT task, row_idx, row_idx AS pos, n_chars FROM manifest JOIN documents ON doc_id = row_idx",
 )
 def join_manifest(t: Tables):
-    rows = t.documents.select(F.col("lang").alias("task"), F.col("doc_id").alias("row_idx"), "n_chars")
-    return subset.join_manifest(rows, manifest(t))
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    rows = t.documents.select(
+        F.concat("lang", F.lit("_"), thousand).alias("task"), F.col("doc_id").alias("row_idx"), "n_chars"
+    )
+    return subset.join_manifest(rows, manifest(t).withColumn("pos", F.col("row_idx")))
 
 
 # Lists with faults on purpose: order keys of line items per line number repeat and pass the
@@ -455,10 +452,12 @@ def validate_indices(t: Tables):
 
 @query(
     "check_fewshot_count",
-    "SELECT d.lang AS task, count(*) = 46 AS ok, count(*) AS detail FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1",
+    f"WITH {MANIFEST_SQL} SELECT task, count(*) = 46 AS ok, count(*) AS detail FROM manifest GROUP BY 1",
 )
 def check_fewshot_count(t: Tables):
-    report = subset.check_indices(manifest(t), t.documents.select(F.col("lang").alias("task")), ["task"], expected=46)
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    rows = t.documents.select(F.concat("lang", F.lit("_"), thousand).alias("task"))
+    report = subset.check_indices(manifest(t), rows, ["task"], expected=46)
     return report.where(F.col("check") == "expected_count").select("task", "ok", "detail")
 
 

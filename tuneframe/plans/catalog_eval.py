@@ -31,18 +31,16 @@ def _aligned_cls(t: Tables):
 
 @query(
     "align_predictions",
-    "SELECT coalesce(l.l_orderkey, o.o_orderkey) AS example_id, l.l_linenumber AS prediction, o.o_orderstatus AS reference, "
-    "CASE WHEN o.o_orderkey IS NULL THEN 'missing_reference' WHEN l.l_orderkey IS NULL THEN 'missing_prediction' ELSE 'ok' END "
-    "AS status FROM (SELECT * FROM lineitem WHERE l_returnflag <> 'N') l FULL OUTER JOIN "
-    "(SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l.l_orderkey = o.o_orderkey",
+    "SELECT coalesce(l.l_orderkey, o.example_id) AS example_id, l.l_linenumber AS prediction, o.reference, "
+    "CASE WHEN o.example_id IS NULL THEN 'missing_reference' WHEN l.l_orderkey IS NULL THEN 'missing_prediction' ELSE 'ok' END "
+    "AS status FROM lineitem l FULL OUTER JOIN (SELECT o_orderkey + 50 AS example_id, o_orderstatus AS reference FROM orders) o "
+    "ON l.l_orderkey = o.example_id",
 )
 def align_predictions(t: Tables):
-    """Line items of one kind against orders of another: both sides have unmatched rows."""
-    predictions = t.lineitem.where(F.col("l_returnflag") != "N").select(
-        F.col("l_orderkey").alias("example_id"), F.col("l_linenumber").alias("prediction")
-    )
-    references = t.orders.where(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("example_id"), F.col("o_orderstatus").alias("reference")
+    """Line items against orders whose keys are shifted, so both sides have unmatched rows."""
+    predictions = t.lineitem.select(F.col("l_orderkey").alias("example_id"), F.col("l_linenumber").alias("prediction"))
+    references = t.orders.select(
+        (F.col("o_orderkey") + 50).alias("example_id"), F.col("o_orderstatus").alias("reference")
     )
     return scoring.align_predictions(predictions, references)
 

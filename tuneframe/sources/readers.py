@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tuneframe import schemas
@@ -23,13 +23,15 @@ def read_task_splits(spark: SparkSession, path: str, task: str, split: str | Non
     return rows if split is None else rows.where(F.col("split") == split)
 
 
-def read_fewshot_manifest(spark: SparkSession, path: str, task: str | None = None) -> DataFrame:
-    """``task, pos, row_idx`` of a curated index file.
+def read_fewshot_manifest(
+    spark: SparkSession, path: str, task: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """``task, pos, row_idx`` of a curated index file, or of many as JSON lines.
 
     ``row_idx`` is NULL for an entry that is not an integer (1.0, "1" and true are not).
     Asking for a task the file does not describe is an error.
     """
-    raw = spark.read.schema(schemas.FEWSHOT_MANIFEST).json(path, multiLine=True)
+    raw = spark.read.schema(schemas.FEWSHOT_MANIFEST).json(path, multiLine=multi_line)
     tasks = raw.select(F.explode("tasks").alias("task", "entry"))
     if task is not None:
         tasks = tasks.where(F.col("task") == task)
@@ -83,8 +85,6 @@ def with_row_idx(df: DataFrame, path_order: str = "_metadata.file_name") -> Data
     """
     placed = df.select("*", F.col(path_order).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.lit(0).alias("_all"))
-    from pyspark.sql import Window  # only needed here
-
     before = Window.partitionBy("_all").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
