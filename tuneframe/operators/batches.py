@@ -62,16 +62,19 @@ def batch_plan(
     return BatchPlan(generation_batch_size, steps_per_generation, num_generations, num_iterations)
 
 
-def repeat_sampler(rows: DataFrame, plan: BatchPlan, pos: str = "pos", drop_incomplete: bool = True) -> DataFrame:
+def repeat_sampler(
+    rows: DataFrame, plan: BatchPlan, pos: str = "pos", drop_incomplete: bool = True, counted: DataFrame | None = None
+) -> DataFrame:
     """One row per (row, repetition, generation) with its ``ordinal`` in the sampling order.
 
     ``pos`` is a dense 0-based position. Ordinals follow by arithmetic, so the plan is a
     narrow expansion: no sort and no shuffle. Rows of an incomplete last chunk are dropped
-    on request; :func:`sampler_summary` reports how many.
+    on request; :func:`sampler_summary` reports how many. Their number follows from the row
+    count; pass the table before it was numbered as ``counted`` to count that instead.
     """
     chunk, slot = F.floor(F.col(pos) / plan.chunk).cast("bigint"), F.col(pos) % plan.chunk
     if drop_incomplete:
-        size = rows.agg(F.count(F.lit(1))).scalar()
+        size = (rows if counted is None else counted).agg(F.count(F.lit(1))).scalar()
         rows = rows.where(F.col(pos) < size - size % plan.chunk)
     return (
         rows.withColumn("chunk", chunk)

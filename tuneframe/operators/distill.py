@@ -80,7 +80,8 @@ def exact_quantile(
 
     A histogram finds the one or two cells that hold the wanted ranks; only their rows are
     looked at again, equal values collapsed first. No task sorts a whole group. Groups
-    without a value yield no row.
+    without a value yield no row. ``rows`` is read twice: hand in a written table of scalars
+    (``session.written``) when it is expensive to compute.
     """
     groups = list(groups)
     cell = F.floor(F.col(value) * cells_per_unit).cast("bigint")

@@ -81,12 +81,17 @@ def _line_keys(text: Column) -> Column:
     return F.transform(non_empty_lines(text), F.md5)
 
 
+def _block_key(line_keys: Column) -> Column:
+    """16 bytes that stand for a block of lines."""
+    return F.unhex(F.md5(F.array_join(line_keys, "")))
+
+
 def passage_blocks(passages: DataFrame, passage_id: str, text: str = "text") -> DataFrame:
     """``passage_id, n_lines, block`` of every passage with at least one line; ``block`` is
     the hash of all its lines."""
     keys = passages.select(passage_id, _line_keys(F.col(text)).alias("_keys"))
     return keys.where(F.size("_keys") > 0).select(
-        passage_id, F.size("_keys").alias("n_lines"), F.md5(F.array_join("_keys", "")).alias("block")
+        passage_id, F.size("_keys").alias("n_lines"), _block_key(F.col("_keys")).alias("block")
     )
 
 
@@ -104,7 +109,7 @@ def block_hits(documents: DataFrame, blocks: DataFrame, doc_id: str, text: str =
 
     def runs_of(length: Column) -> Column:
         starts = F.when(length <= n, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.md5(F.array_join(F.slice("_keys", i, length), "")))
+        return F.transform(starts, lambda i: _block_key(F.slice("_keys", i, length)))
 
     runs = (
         documents.select(doc_id, _line_keys(F.col(text)).alias("_keys"))

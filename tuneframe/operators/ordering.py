@@ -22,45 +22,45 @@ def shuffle_key(seed: int | str, row_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
 
 
-def _offsets(counts: DataFrame, groups: Sequence[str], bucket: str) -> DataFrame:
-    """Rows before each bucket. ``counts`` holds one row per bucket, not per table row.
+def _before(counts: DataFrame, n: str, name: str, groups: Sequence[str], order: str) -> DataFrame:
+    """Add the sum of ``n`` over the preceding rows of a group."""
+    preceding = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(name, F.coalesce(F.sum(n).over(preceding), F.lit(0)))
 
-    Two levels: buckets are added up inside blocks of 2**20 neighbours, then the blocks.
-    """
-    block = F.shiftright(F.col(bucket), ID_BITS)
-    inside = (
-        Window.partitionBy(*groups, "_block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    counts = counts.withColumn("_block", block).withColumn(
-        "_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
-    across = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        counts.groupBy(*groups, "_block")
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_across", F.coalesce(F.sum("_m").over(across), F.lit(0)))
-        .drop("_m")
-    )
-    return counts.join(blocks, [*groups, "_block"]).select(
-        *groups, bucket, (F.col("_inside") + F.col("_across")).alias("_offset")
-    )
 
+def _offsets(counts: DataFrame, sparse: bool) -> DataFrame:
+    """``_bucket, _offset`` from one row per bucket.
 
-def _positions(df: DataFrame, bucket: Column, order: Sequence[str | Column], name: str) -> DataFrame:
-    df = df.withColumn("_bucket", bucket).withColumn("_table", F.lit(0))
-    counts = df.groupBy("_table", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    Hash buckets are at most ``16 ** HASH_DIGITS`` rows and are added up directly. Buckets of
+    ids may be many when ids have gaps, so they are added up inside blocks of 2**20
+    neighbours first and then across blocks.
+    """
+    if sparse:
+        counts = counts.withColumn("_block", F.shiftright("_bucket", ID_BITS))
+        blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_m")).withColumn("_all", F.lit(0))
+        blocks = _before(blocks, "_m", "_across", ["_all"], "_block")
+        counts = _before(counts, "_n", "_inside", ["_block"], "_bucket").join(blocks, "_block")
+        offset = F.col("_inside") + F.col("_across")
+    else:
+        counts = _before(counts.withColumn("_all", F.lit(0)), "_n", "_across", ["_all"], "_bucket")
+        offset = F.col("_across")
+    return counts.select("_bucket", offset.alias("_offset"))
+
+
+def _positions(df: DataFrame, bucket: Column, order: Sequence[str], name: str, sparse: bool) -> DataFrame:
+    df = df.withColumn("_bucket", bucket)
+    counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    offsets = _offsets(counts, ["_table"], "_bucket").drop("_table")
     return (
-        numbered.join(offsets, "_bucket")
+        numbered.join(_offsets(counts, sparse), "_bucket")
         .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_bucket", "_table", "_rn", "_offset")
+        .drop("_bucket", "_rn", "_offset")
     )
 
 
 def position_by_id(df: DataFrame, row_id: str = "row_idx", name: str = "pos") -> DataFrame:
     """Dense 0-based position in the order of a unique, non-negative integer id."""
-    return _positions(df, F.shiftright(F.col(row_id), ID_BITS), [row_id], name)
+    return _positions(df, F.shiftright(F.col(row_id), ID_BITS), [row_id], name, sparse=True)
 
 
 def seeded_shuffle(df: DataFrame, seed: int | str, row_id: str = "row_idx", name: str = "pos") -> DataFrame:
@@ -70,7 +70,7 @@ def seeded_shuffle(df: DataFrame, seed: int | str, row_id: str = "row_idx", name
     """
     df = df.withColumn("_key", shuffle_key(seed, F.col(row_id)))
     bucket = F.conv(F.substring("_key", 1, HASH_DIGITS), 16, 10).cast("bigint")
-    return _positions(df, bucket, ["_key", row_id], name).drop("_key")
+    return _positions(df, bucket, ["_key", row_id], name, sparse=False).drop("_key")
 
 
 def in_order(df: DataFrame, name: str = "pos") -> DataFrame:
@@ -129,5 +129,5 @@ def dedup_expand(df: DataFrame, key: Column, work) -> DataFrame:
     per key is the small one, and AQE splits a hot key of the other side.
     """
     keyed = df.withColumn("key_id", F.md5(key.cast("string")))
-    distinct = keyed.groupBy("key_id").agg(F.first(key).alias("key"))
+    distinct = keyed.select("key_id", key.alias("key")).distinct()
     return keyed.join(work(distinct).drop("key"), "key_id", "left").drop("key_id")

@@ -15,17 +15,25 @@ CLS_METRICS = ["accuracy", "parse_success"]
 TOOL_METRICS = ["strict_match", "parse_success", "action_name_match"]
 
 
+def pair_predictions(
+    predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("example_id",)
+) -> DataFrame:
+    """Every prediction with its reference, by key. A prediction without one keeps NULLs, on
+    which strict scoring fails. AQE splits a hot key of the prediction side."""
+    return predictions.join(references, list(keys), "left")
+
+
 def align_predictions(
     predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("example_id",)
 ) -> DataFrame:
-    """Pair predictions with references by key. ``status`` is ``ok``, ``missing_reference``
-    or ``missing_prediction``; no row of either side is lost.
+    """:func:`pair_predictions` plus the references nobody predicted. ``status`` is ``ok``,
+    ``missing_reference`` or ``missing_prediction``; no row of either side is lost.
 
-    A left join plus an anti join instead of one full outer join: AQE can split a hot key
-    of the prediction side in a left join but not in a full outer one.
+    A left join and an anti join instead of one full outer join, because a hot key of a full
+    outer join cannot be split.
     """
     keys = list(keys)
-    paired = predictions.join(references.withColumn("_found", F.lit(True)), keys, "left").withColumn(
+    paired = pair_predictions(predictions, references.withColumn("_found", F.lit(True)), keys).withColumn(
         "status", F.when(F.col("_found"), "ok").otherwise("missing_reference")
     )
     unused = references.join(predictions.select(*keys).distinct(), keys, "left_anti")

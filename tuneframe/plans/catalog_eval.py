@@ -21,12 +21,12 @@ ALL_SCORED = (
 )
 
 
-def _aligned_cls(t: Tables):
+def _paired_cls(t: Tables):
     """Predictions and references as two tables, paired by key."""
     whole = D.all_cls_predictions(t)
     predictions = whole.select("task", "example_id", "prediction")
     references = whole.select("task", "example_id", "reference")
-    return scoring.align_predictions(predictions, references, ["task", "example_id"])
+    return scoring.pair_predictions(predictions, references, ["task", "example_id"])
 
 
 @query(
@@ -63,7 +63,7 @@ def parse_final_label(t: Tables):
 
 @query("score_cls", ALL_SCORED + "SELECT task, example_id, accuracy, parse_success FROM scored")
 def score_cls(t: Tables):
-    return scoring.score_cls(_aligned_cls(t)).select("task", "example_id", "accuracy", "parse_success")
+    return scoring.score_cls(_paired_cls(t)).select("task", "example_id", "accuracy", "parse_success")
 
 
 @query(
@@ -73,7 +73,7 @@ def score_cls(t: Tables):
     f"{r6_sql('avg(parse_success)')} AS eval_small_data_parse_success, count(*) AS n FROM scored GROUP BY ROLLUP (task)",
 )
 def eval_cls(t: Tables):
-    means = scoring.eval_cls(scoring.score_cls(_aligned_cls(t)))
+    means = scoring.eval_cls(scoring.score_cls(_paired_cls(t)))
     return means.select(
         "task",
         r6("eval_small_data_accuracy").alias("eval_small_data_accuracy"),
@@ -99,7 +99,7 @@ def parse_tool_calls(t: Tables):
 
 def _scored_tool(t: Tables):
     references = scoring.parse_gold(D.tool_gold(t)).drop("golden_answer")
-    return scoring.score_tool(scoring.align_predictions(D.tool_predictions(t), references))
+    return scoring.score_tool(scoring.pair_predictions(D.tool_predictions(t), references))
 
 
 @query(

@@ -20,10 +20,11 @@ METRICS = with_tables("run_metrics")
     "metric_rollup",
     METRICS
     + "SELECT run_id, mode, prefix, step, CASE WHEN mode = 'eval' THEN prefix || '_' || name ELSE name END AS name, "
-    f"{r6_sql('avg(value)')} AS value, count(value) AS n_batches FROM run_metrics GROUP BY ALL",
+    f"{r6_sql('avg(value)', 9)} AS value, count(value) AS n_batches FROM run_metrics GROUP BY ALL",
 )
 def metric_rollup(t: Tables):
-    return runs.metric_rollup(D.run_metrics(t)).withColumn("value", r6("value"))
+    # Means of two-decimal values: at nine places no group size here meets a rounding tie.
+    return runs.metric_rollup(D.run_metrics(t)).withColumn("value", r6("value", 9))
 
 
 @query(
@@ -184,7 +185,8 @@ def write_logs(t: Tables, path: str) -> None:
     name = F.concat("tag", F.lit("_"), "event_type")
     line = F.concat(F.lit("["), "tag", F.lit("] "), F.to_json(F.create_map(name, "value")))
     noise = F.concat(F.lit("step done, [loss] for "), "event_type", F.lit(" {not json}"))
-    means.select("run", F.explode(F.array(line, noise)).alias("value")).write.partitionBy("run").text(path)
+    lines = means.select("run", F.explode(F.array(line, noise)).alias("value"))
+    lines.hint("rebalance", "run").write.partitionBy("run").text(path)
 
 
 LOG_PATH = r"/run=([^/]+)/"

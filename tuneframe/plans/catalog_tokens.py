@@ -9,6 +9,7 @@ from tuneframe.operators import distill
 from tuneframe.plans import derived as D
 from tuneframe.plans.derived import r6, r6_sql, with_tables
 from tuneframe.plans.registry import Tables, query
+from tuneframe.session import written
 
 KEY = "run_id, seq_id, pos"
 VALUES = with_tables("token_values")
@@ -23,6 +24,12 @@ def _metrics(t: Tables, alpha: float = 0.0, engine: str = "arrow"):
     return distill.token_metrics(_pairs(t), alpha, engine=engine)
 
 
+def _written_metrics(t: Tables):
+    """Scalars of every token, written once: the vectors are joined and reduced a single time
+    however often the scalars are read."""
+    return written(_metrics(t), "token-metrics")
+
+
 @query(
     "pair_student_teacher",
     with_tables("tokens")
@@ -127,7 +134,7 @@ THRESHOLD_SQL = (
     VALUES + THRESHOLD_SQL + f"SELECT run_id, batch_id, {r6_sql('threshold')} AS threshold FROM th",
 )
 def entropy_quantile(t: Tables):
-    out = distill.entropy_quantile(_metrics(t), 0.8, ["run_id", "batch_id"])
+    out = distill.entropy_quantile(_written_metrics(t), 0.8, ["run_id", "batch_id"])
     return out.withColumn("threshold", r6("threshold"))
 
 
@@ -140,7 +147,7 @@ def entropy_quantile(t: Tables):
     "LEFT JOIN th USING (run_id, batch_id)",
 )
 def high_entropy_mask(t: Tables):
-    tokens = _metrics(t).withColumn("entropy", F.round("entropy", 9))
+    tokens = _written_metrics(t).withColumn("entropy", F.round("entropy", 9))
     return distill.high_entropy_mask(tokens, 0.8, ["run_id", "batch_id"]).select(*distill.KEY, "entropy_mask")
 
 

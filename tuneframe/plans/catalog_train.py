@@ -46,7 +46,8 @@ def eval_sampler(t: Tables):
 
 
 def _sampled(t: Tables):
-    return batches.repeat_sampler(ordering.seeded_shuffle(_part(t), SEED), PLAN)
+    rows = _part(t)
+    return batches.repeat_sampler(ordering.seeded_shuffle(rows, SEED), PLAN, counted=rows)
 
 
 @query("repeat_sampler", f"WITH {PLAN_SQL} SELECT row_idx, chunk, repeat, generation, ordinal FROM sampled")

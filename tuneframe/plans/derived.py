@@ -36,14 +36,14 @@ def fill_sql(template: str, **values: str) -> str:
     return " || ".join(parts)
 
 
-def r6(column: Column | str) -> Column:
+def r6(column: Column | str, places: int = 6) -> Column:
     """Rounded to six places, never negative zero."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, 6) + F.lit(0.0)
+    return F.round(column, places) + F.lit(0.0)
 
 
-def r6_sql(expression: str) -> str:
-    return f"(round({expression}, 6) + 0.0)"
+def r6_sql(expression: str, places: int = 6) -> str:
+    return f"(round({expression}, {places}) + 0.0)"
 
 
 # ------------------------------------------------------------------ label tasks

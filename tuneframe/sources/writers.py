@@ -13,8 +13,11 @@ from tuneframe.operators.ordering import drop_duplicate_prompts
 
 
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Write under ``partitions``. The rebalance hint brings a partition's rows together, so
+    it is not scattered over one small file per task, and AQE splits a hot one again."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *partitions)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
         .parquet(path)
