@@ -93,6 +93,9 @@ PY_SPACE_CLASS = r"[\s\x1c-\x1f]"
 # Line boundaries of Python's str.splitlines().
 LINE_BREAK_REGEX = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
+# The same boundaries without the line feed.
+OTHER_LINE_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
 # Marker of the final answer; the answer is the rest of the line.
 FINAL_LABEL_REGEX = rf"(?iU)final{PY_SPACE_CLASS}*label{PY_SPACE_CLASS}*:{PY_SPACE_CLASS}*([^\n\r]+)"
 # A line that names a tool (no "Input" word) or carries its argument (python re, ignore case).

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tuneframe.functions.text import let
 from tuneframe.schemas import TOKEN_STATS
 
 # ---------------------------------------------------------------- JVM forms
@@ -22,22 +23,17 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x.cast("double") / F.lit(float(temperature)))
 
     def shifted(values):
         top = F.array_max(values)
-        return _let(
+        return let(
             top + F.log(_sum(F.transform(values, lambda x: F.exp(x - top)))),
             lambda norm: F.transform(values, lambda x: x - norm),
         )
 
-    return _let(scaled, shifted)
+    return let(scaled, shifted)
 
 
 def selected(values: Column, token_id: Column) -> Column:
@@ -69,7 +65,7 @@ def divergence(student: Column, teacher: Column, alpha: float = 0.0) -> Column:
         top = F.greatest(s, t)
         return top + F.log((1 - alpha) * F.exp(s - top) + alpha * F.exp(t - top))
 
-    return _let(
+    return let(
         F.zip_with(student, teacher, mix),
         lambda m: alpha * _kl(teacher, m) + (1 - alpha) * _kl(student, m),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneframe.constants import LEAK_MARKERS, LEAK_REPORT_IDS
-from tuneframe.functions.text import contains_line_block, non_empty_lines, strip
+from tuneframe.functions.text import contains_line_block, let, non_empty_lines, strip
 from tuneframe.operators.ordering import smallest_ids
 
 DETECTORS = ["completion_block", "teacher_equal", "marker"]
@@ -77,21 +77,19 @@ def assert_no_leaks(rows: DataFrame, row_id: str) -> None:
 # ------------------------------------------------------------------ across tables
 
 
-def _line_keys(text: Column) -> Column:
-    return F.transform(non_empty_lines(text), F.md5)
-
-
-def _block_key(line_keys: Column) -> Column:
-    """16 bytes that stand for a block of lines."""
-    return F.unhex(F.md5(F.array_join(line_keys, "")))
+def _block_key(lines: Column) -> Column:
+    """Hash that stands for a block of lines."""
+    return F.md5(F.array_join(lines, "\n"))
 
 
 def passage_blocks(passages: DataFrame, passage_id: str, text: str = "text") -> DataFrame:
-    """``passage_id, n_lines, block`` of every passage with at least one line; ``block`` is
-    the hash of all its lines."""
-    keys = passages.select(passage_id, _line_keys(F.col(text)).alias("_keys"))
-    return keys.where(F.size("_keys") > 0).select(
-        passage_id, F.size("_keys").alias("n_lines"), _block_key(F.col("_keys")).alias("block")
+    """``passage_id, n_lines, block`` of every passage with at least one line."""
+    lines = non_empty_lines(F.col(text))
+    sized = let(lines, lambda found: F.struct(F.size(found).alias("n_lines"), _block_key(found).alias("key")))
+    return (
+        passages.select(passage_id, sized.alias("_sized"))
+        .where(F.col("_sized.n_lines") > 0)
+        .select(passage_id, F.col("_sized.n_lines").alias("n_lines"), F.unhex("_sized.key").alias("block"))
     )
 
 
@@ -101,21 +99,24 @@ def block_hits(documents: DataFrame, blocks: DataFrame, doc_id: str, text: str =
     Every run of lines as long as some passage is hashed inside the document's own row and
     matched on the whole block, so a boilerplate line shared by many passages or documents
     cannot multiply candidates: a match is a result. Repeats inside a document collapse
-    before the join, and passages with equal lines count as one block. The side of distinct
-    blocks is broadcast by Spark only while its measured size allows.
+    before the join, and passages with equal lines count as one block. Spark broadcasts the
+    distinct blocks only while their measured size allows; beyond that the 16-byte keys are
+    shuffled, never the texts.
     """
-    lengths = blocks.agg(F.sort_array(F.collect_set("n_lines")).alias("lengths"))
-    n = F.size("_keys")
+    lengths = blocks.agg(F.sort_array(F.collect_set("n_lines"))).scalar()
+
+    def runs_in(lines: Column) -> Column:
+        def runs_of(length: Column) -> Column:
+            last = F.size(lines) - length + 1
+            starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: _block_key(F.slice(lines, i, length)))
 
-    def runs_of(length: Column) -> Column:
-        starts = F.when(length <= n, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: _block_key(F.slice("_keys", i, length)))
+        return F.array_distinct(F.flatten(F.transform("_lengths", runs_of)))
 
     runs = (
-        documents.select(doc_id, _line_keys(F.col(text)).alias("_keys"))
-        .where(n > 0)
-        .withColumn("_lengths", lengths.scalar())
-        .select(doc_id, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", runs_of)))).alias("block"))
+        documents.withColumn("_lengths", lengths)
+        .select(doc_id, F.explode(let(non_empty_lines(F.col(text)), runs_in)).alias("block"))
+        .withColumn("block", F.unhex("block"))
     )
     return runs.join(blocks.select("block").distinct(), "block", "left_semi")
 
