@@ -1,0 +1,39 @@
+"""Readers and writers."""
+
+from tuneframe.sources.readers import (
+    parse_metric_lines,
+    read_fewshot_manifest,
+    read_run_log,
+    read_task_splits,
+    read_tooluse,
+    run_of_path,
+    with_row_idx,
+)
+from tuneframe.sources.writers import (
+    completion_table,
+    example_table,
+    example_table_tooluse,
+    land_tooluse,
+    save_token_table,
+    write_completions,
+    write_examples,
+    write_examples_tooluse,
+)
+
+__all__ = [
+    "completion_table",
+    "example_table",
+    "example_table_tooluse",
+    "land_tooluse",
+    "parse_metric_lines",
+    "read_fewshot_manifest",
+    "read_run_log",
+    "read_task_splits",
+    "read_tooluse",
+    "run_of_path",
+    "save_token_table",
+    "with_row_idx",
+    "write_completions",
+    "write_examples",
+    "write_examples_tooluse",
+]
