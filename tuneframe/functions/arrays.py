@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tuneframe.functions.text import let
+
 
 def cut_after_eos(ids: Column, eos: int) -> Column:
     """Ids up to and including the first end token; all of them when it is absent."""
-    first = F.array_position(ids, F.lit(eos)).cast("int")
-    return F.when(first > 0, F.slice(ids, F.lit(1), first)).otherwise(ids)
+
+    def cut(known: Column) -> Column:
+        first = F.array_position(known, F.lit(eos)).cast("int")
+        return F.slice(known, F.lit(1), F.when(first > 0, first).otherwise(F.size(known)))
+
+    return let(ids, cut)
 
 
 def truncate(ids: Column, limit: int, side: str = "left") -> Column:
     """At most ``limit`` ids; ``side`` is the end that gives way."""
     if side == "right":
         return F.slice(ids, 1, limit)
-    return F.when(F.size(ids) > limit, F.slice(ids, -limit, limit)).otherwise(ids)
+    return let(ids, lambda known: F.slice(known, F.greatest(F.size(known) - limit, F.lit(0)) + 1, F.lit(limit)))
 
 
 def _fill(ids: Column, width: Column, value: Column) -> Column:

@@ -50,9 +50,14 @@ def flag_leaks(rows: DataFrame) -> DataFrame:
 
 
 def leak_hits(rows: DataFrame, row_id: str) -> DataFrame:
-    """One row per (detector, row) that fires."""
+    """One row per (detector, row) that fires.
+
+    Misses are dropped after the explode: a filter on the array would look through every
+    text a second time.
+    """
     names = F.array(*[F.when(F.col(name), F.lit(name)) for name in DETECTORS])
-    return flag_leaks(rows).select(row_id, F.explode(F.array_compact(names)).alias("detector"))
+    hits = flag_leaks(rows).select(row_id, F.explode(names).alias("detector"))
+    return hits.where(F.col("detector").isNotNull())
 
 
 def leak_report(rows: DataFrame, row_id: str, first: int = LEAK_REPORT_IDS) -> DataFrame:
@@ -77,31 +82,36 @@ def assert_no_leaks(rows: DataFrame, row_id: str) -> None:
 # ------------------------------------------------------------------ across tables
 
 
+BLOCK = ["block_a", "block_b"]
+
+
 def _block_key(lines: Column) -> Column:
-    """Hash that stands for a block of lines."""
-    return F.md5(F.array_join(lines, "\n"))
+    """96 bits that stand for a block of lines."""
+    return F.struct(F.xxhash64(lines).alias(BLOCK[0]), F.hash(lines).alias(BLOCK[1]))
 
 
 def passage_blocks(passages: DataFrame, passage_id: str, text: str = "text") -> DataFrame:
-    """``passage_id, n_lines, block`` of every passage with at least one line."""
-    lines = non_empty_lines(F.col(text))
-    sized = let(lines, lambda found: F.struct(F.size(found).alias("n_lines"), _block_key(found).alias("key")))
+    """``passage_id, n_lines, block_a, block_b`` of every passage with at least one line."""
+    sized = let(
+        non_empty_lines(F.col(text)),
+        lambda lines: F.struct(F.size(lines).alias("n_lines"), _block_key(lines).alias("key")),
+    )
     return (
         passages.select(passage_id, sized.alias("_sized"))
         .where(F.col("_sized.n_lines") > 0)
-        .select(passage_id, F.col("_sized.n_lines").alias("n_lines"), F.unhex("_sized.key").alias("block"))
+        .select(passage_id, "_sized.n_lines", "_sized.key.*")
     )
 
 
 def block_hits(documents: DataFrame, blocks: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
-    """``doc_id, block`` for every distinct passage block that stands in a document.
+    """``doc_id, block_a, block_b`` for every distinct passage block that stands in a document.
 
     Every run of lines as long as some passage is hashed inside the document's own row and
     matched on the whole block, so a boilerplate line shared by many passages or documents
-    cannot multiply candidates: a match is a result. Repeats inside a document collapse
-    before the join, and passages with equal lines count as one block. Spark broadcasts the
-    distinct blocks only while their measured size allows; beyond that the 16-byte keys are
-    shuffled, never the texts.
+    cannot multiply candidates: a match is a result. Passages with equal lines count as one
+    block, and repeats inside a document collapse after the semi join, when only matches are
+    left. Spark broadcasts the distinct blocks only while their measured size allows; beyond
+    that the 12-byte keys are shuffled, never the texts.
     """
     lengths = blocks.agg(F.sort_array(F.collect_set("n_lines"))).scalar()
 
@@ -111,14 +121,16 @@ def block_hits(documents: DataFrame, blocks: DataFrame, doc_id: str, text: str =
             starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
             return F.transform(starts, lambda i: _block_key(F.slice(lines, i, length)))
 
-        return F.array_distinct(F.flatten(F.transform("_lengths", runs_of)))
+        return F.flatten(F.transform("_lengths", runs_of))
 
     runs = (
         documents.withColumn("_lengths", lengths)
-        .select(doc_id, F.explode(let(non_empty_lines(F.col(text)), runs_in)).alias("block"))
-        .withColumn("block", F.unhex("block"))
+        # Outer, so that the optimizer does not hash every run twice to skip empty lists.
+        .select(doc_id, F.explode_outer(let(non_empty_lines(F.col(text)), runs_in)).alias("_run"))
+        .where(F.col("_run").isNotNull())
+        .select(doc_id, "_run.*")
     )
-    return runs.join(blocks.select("block").distinct(), "block", "left_semi")
+    return runs.join(blocks.select(*BLOCK).distinct(), BLOCK, "left_semi").distinct()
 
 
 def leak_cross(
@@ -131,13 +143,15 @@ def leak_cross(
     """Per leaked passage: the number of documents that hold it as a block of lines, and the
     first document ids. Pairs are never listed, so copies on either side stay linear."""
     blocks = passage_blocks(passages, passage_id)
-    per_block = smallest_ids(block_hits(documents, blocks, doc_id), ["block"], doc_id, first)
-    return blocks.join(per_block, "block").select(
+    per_block = smallest_ids(block_hits(documents, blocks, doc_id), BLOCK, doc_id, first)
+    return blocks.join(per_block, BLOCK).select(
         passage_id, "n_lines", F.col("n").alias("n_docs"), F.col("first_ids").alias("first_docs")
     )
 
 
-def leak_cross_documents(documents: DataFrame, passages: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def leak_cross_documents(
+    documents: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "item_id"
+) -> DataFrame:
     """Per leaking document: the number of distinct passage blocks in it."""
-    hits = block_hits(documents, passage_blocks(passages, "item_id"), doc_id)
+    hits = block_hits(documents, passage_blocks(passages, passage_id), doc_id)
     return hits.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n_blocks"))

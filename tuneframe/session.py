@@ -18,6 +18,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Column expressions here are long; do not record a Python stack for each part of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

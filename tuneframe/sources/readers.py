@@ -61,7 +61,10 @@ def parse_metric_lines(lines: DataFrame, run: Column) -> DataFrame:
     metrics = F.from_json(F.regexp_extract("value", METRIC_LINE_REGEX, 2), "map<string,string>")
     return (
         lines.where(F.regexp_like("value", F.lit(METRIC_LINE_REGEX)))
-        .select(run.alias("run_name"), F.regexp_extract("value", METRIC_LINE_REGEX, 1).alias("tag"), F.explode(metrics))
+        .select(
+            run.alias("run_name"), F.regexp_extract("value", METRIC_LINE_REGEX, 1).alias("tag"), F.explode_outer(metrics)
+        )
+        .where(F.col("key").isNotNull())
         .select("run_name", "tag", F.col("key").alias("name"), F.expr("try_cast(value as double)").alias("value"))
     )
 
