@@ -111,6 +111,8 @@ def test_exact_quantile_with_hot_values(rows):
         "one": [3.25],
         "two": [1.0, 2.0],
         "close": [1.0 + i * 1e-7 for i in range(101)],
+        "tiny": [rng.uniform(-1e-16, 1e-16) for _ in range(300)] + [0.0] * 50,
+        "signs": [rng.uniform(-5, 5) for _ in range(333)],
     }
     df = rows("g string, v double", [(g, v) for g, values in groups.items() for v in values])
     for q in (0.0, 0.2, 0.5, 0.8, 0.999, 1.0):

@@ -74,17 +74,20 @@ def skip_first_tokens(n: int = SKIP_FIRST_TOKENS, pos: str = "pos", mask: str =
 
 
 def exact_quantile(
-    rows: DataFrame, value: str, q: float, groups: Sequence[str], name: str = "threshold", cells_per_unit: int = 1024
+    rows: DataFrame, value: str, q: float, groups: Sequence[str], name: str = "threshold", cells_per_octave: int = 4096
 ) -> DataFrame:
     """Exact linearly interpolated quantile of ``value`` per group, for groups of any size.
 
     A histogram finds the one or two cells that hold the wanted ranks; only their rows are
-    looked at again, equal values collapsed first. No task sorts a whole group. Groups
-    without a value yield no row. ``rows`` is read twice: hand in a written table of scalars
+    looked at again, equal values collapsed first. Cells are logarithmic, since token
+    entropies crowd near zero: each spans a factor of ``2 ** (1 / cells_per_octave)``. No task
+    sorts a whole group. Groups without a value yield no row. ``rows`` is read twice: hand in a written table of scalars
     (``session.written``) when it is expensive to compute.
     """
     groups = list(groups)
-    cell = F.floor(F.col(value) * cells_per_unit).cast("bigint")
+    # Rises with the value over all doubles: log2 of their size lies within +-1100.
+    height = F.signum(value) * (F.log2(F.abs(value)) + 1100) * cells_per_octave
+    cell = F.when(F.col(value) == 0, 0).otherwise(F.floor(height)).cast("bigint")
     rows = rows.where(F.col(value).isNotNull()).select(*groups, value, cell.alias("_cell"))
     by_group = Window.partitionBy(*groups)
     before = by_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -155,15 +155,15 @@ def write_examples_tooluse(t: Tables):
 
 @query(
     "write_completions",
-    "SELECT 'eval' AS mode, CAST(doc_id // 40 AS VARCHAR) AS step, text AS prompt, 'answer ' || source AS completion, "
-    f"{D.r6_sql('n_chars / 1000.0')} AS main, CAST(0.0 AS DOUBLE) AS advantage FROM documents "
-    "WHERE doc_id % 5 = 0 AND doc_id IN (SELECT min(doc_id) FROM documents WHERE doc_id % 5 = 0 GROUP BY text)",
+    "SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'eval' END AS mode, CAST(doc_id // 40 AS VARCHAR) AS step, text AS prompt, "
+    f"'answer ' || source AS completion, {D.r6_sql('n_chars / 1000.0')} AS main, CAST(0.0 AS DOUBLE) AS advantage FROM documents "
+    "WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)",
 )
 def write_completions(t: Tables):
-    """Evaluation rows only (the gate), the first row of each prompt."""
+    """The first row of each prompt, training and evaluation alike."""
     path = run_folder(t.spark, "completions")
     rows = t.documents.select(
-        F.when(F.col("doc_id") % 5 == 0, "eval").otherwise("train").alias("mode"),
+        F.when(F.col("lang") == "en", "train").otherwise("eval").alias("mode"),
         F.floor(F.col("doc_id") / 40).cast("bigint").alias("step"),
         F.col("doc_id").alias("ordinal"),
         F.col("text").alias("prompt"),
@@ -171,7 +171,7 @@ def write_completions(t: Tables):
         D.r6(F.col("n_chars") / 1000.0).alias("main"),
         F.lit(0.0).alias("advantage"),
     )
-    writers.write_completions(rows, path, rewards=["main"], unique_prompts=True)
+    writers.write_completions(rows, path, rewards=["main"], eval_only=False, unique_prompts=True)
     return t.spark.read.parquet(path).select(
         "mode", F.col("step").cast("string").alias("step"), "prompt", "completion", "main", "advantage"
     )
