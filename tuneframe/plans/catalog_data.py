@@ -155,7 +155,7 @@ def write_examples_tooluse(t: Tables):
 
 @query(
     "write_completions",
-    "SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'eval' END AS mode, CAST(doc_id // 40 AS VARCHAR) AS step, text AS prompt, "
+    "SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'eval' END AS mode, CAST((doc_id // 40) % 50 AS VARCHAR) AS step, text AS prompt, "
     f"'answer ' || source AS completion, {D.r6_sql('n_chars / 1000.0')} AS main, CAST(0.0 AS DOUBLE) AS advantage FROM documents "
     "WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)",
 )
@@ -164,7 +164,7 @@ def write_completions(t: Tables):
     path = run_folder(t.spark, "completions")
     rows = t.documents.select(
         F.when(F.col("lang") == "en", "train").otherwise("eval").alias("mode"),
-        F.floor(F.col("doc_id") / 40).cast("bigint").alias("step"),
+        (F.floor(F.col("doc_id") / 40) % 50).cast("bigint").alias("step"),
         F.col("doc_id").alias("ordinal"),
         F.col("text").alias("prompt"),
         F.concat(F.lit("answer "), "source").alias("completion"),
