@@ -73,3 +73,20 @@ def test_cross_against_brute_force(rows):
     assert per_doc == {
         d: n for d, t in docs if (n := sum(inside("\n".join(block), t) for block in distinct))
     }
+
+
+def test_evaluate_audits_first(rows):
+    from tuneframe import evaluate
+
+    table = rows(
+        "example_id bigint, prompt string, completion string, eval_label string, eval_task string",
+        [(1, "q", "Final Label: True", "True", "wsc"), (2, "q", "Final Label: False", "False", "wsc")],
+    )
+    predictions = rows("example_id bigint, run_id string, prediction string", [(1, "r", "Final Label: true"), (2, "r", "?")])
+    got = {r["task"]: r["eval_init_small_data_accuracy"] for r in evaluate(table, predictions, ["run_id"], "eval_init").collect()}
+    assert got == {"wsc": 0.5, "all": 0.5}
+    leaky = table.withColumn("prompt", table["completion"])
+    with pytest.raises(ValueError, match="leakage"):
+        evaluate(leaky, predictions, ["run_id"])
+    with pytest.raises(ValueError, match="needs eval_label"):
+        evaluate(table.drop("eval_task"), predictions)

@@ -124,3 +124,13 @@ def test_writers(spark, rows, tmp_path):
     assert table.columns == ["mode", "step", "prompt", "student_input", "teacher_input", "completion", "main", "advantage"]
     assert [r["completion"] for r in table.collect()] == ["first"]
     assert sources.completion_table(rows_, eval_only=False).count() == 3
+
+
+def test_written_run_log_reads_back(spark, rows, tmp_path):
+    path = str(tmp_path / "logs")
+    metrics = rows("run_name string, tag string, name string, value double", [("r1", "eval_init", "b", 0.5), ("r1", "eval_init", "a", 1.0), ("r2", "eval_final", "a", 2.0)])
+    lines = {r["run_name"]: r["value"] for r in sources.metric_lines(metrics, ["run_name"]).collect()}
+    assert lines["r1"] == '[eval_init] {"a":1.0,"b":0.5}'
+    sources.write_run_log(metrics, path)
+    got = sorted(tuple(r) for r in sources.read_run_log(spark, path, r"/run_name=([^/]+)/").collect())
+    assert got == [("r1", "eval_init", "a", 1.0), ("r1", "eval_init", "b", 0.5), ("r2", "eval_final", "a", 2.0)]

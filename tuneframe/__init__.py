@@ -17,6 +17,7 @@ from tuneframe.operators.scoring import (
 )
 from tuneframe.operators.subset import one_per_name
 from tuneframe.plans.datasets import build_distil_cls, build_distil_tool, build_sft_cls, build_sft_tool
+from tuneframe.plans.evaluation import evaluate
 from tuneframe.session import build_session
 
 __all__ = [
@@ -29,6 +30,7 @@ __all__ = [
     "build_sft_tool",
     "eval_cls",
     "eval_tool",
+    "evaluate",
     "leak_cross",
     "leak_report",
     "mixed_tasks",

@@ -148,7 +148,7 @@ def write_examples_tooluse(t: Tables):
         F.col("step").cast("string").alias("step"),
         "student_input",
         "teacher_input",
-        F.length(F.get_json_object(F.col("gold_tool_calls"), "$[0].Action_Input")).alias("props_length"),
+        F.length(F.get_json_object(F.col("gold_tool_calls"), "$[0].Action_Input")).cast("bigint").alias("props_length"),
         "gold_tool_calls",
     )
 

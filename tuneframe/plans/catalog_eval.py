@@ -9,6 +9,7 @@ from tuneframe.functions import labels as L
 from tuneframe.functions import toolcalls
 from tuneframe.functions.text import contains_line_block
 from tuneframe.operators import leakage, scoring
+from tuneframe.plans import datasets, evaluation
 from tuneframe.plans import derived as D
 from tuneframe.plans.derived import r6, r6_sql, with_tables
 from tuneframe.plans.registry import Tables, query
@@ -123,6 +124,42 @@ def eval_tool(t: Tables):
     return means.select("run_id", "step", *[r6(name).alias(name) for name in names], "n")
 
 
+@query(
+    "evaluate_cls",
+    with_tables("pred_wsc")
+    + ", s AS (SELECT example_id % 3 AS run_id, CASE WHEN parsed = reference THEN 1.0 ELSE 0.0 END AS a, "
+    "CASE WHEN parsed IS NOT NULL THEN 1.0 ELSE 0.0 END AS p FROM pred_wsc), "
+    f"m AS (SELECT run_id, {r6_sql('avg(a)')} AS eval_init_small_data_accuracy, {r6_sql('avg(p)')} "
+    "AS eval_init_small_data_parse_success, count(*) AS n FROM s GROUP BY 1) "
+    "SELECT *, 'wsc' AS task FROM m UNION ALL SELECT *, 'all' FROM m",
+)
+def evaluate_cls(t: Tables):
+    """Builder, leakage audit, scoring and means in one go."""
+    examples = D.cls_wsc(t)
+    _, table = datasets.build_sft_cls("wsc", examples, examples)
+    predictions = D.cls_predictions(examples, "wsc").select(
+        "example_id", "prediction", (F.col("example_id") % 3).alias("run_id")
+    )
+    table = table.withColumnRenamed("row_idx", "example_id")
+    means = evaluation.evaluate(table, predictions, ["run_id"], prefix="eval_init")
+    names = [f"eval_init_small_data_{m}" for m in scoring.CLS_METRICS]
+    return means.select("run_id", "task", *[r6(name).alias(name) for name in names], "n")
+
+
+@query(
+    "evaluate_tool",
+    with_tables("tool_scores")
+    + "SELECT step, "
+    + ", ".join(f"{r6_sql(f'avg({m})')} AS eval_final_tooluse_{m}" for m in scoring.TOOL_METRICS)
+    + ", count(*) AS n FROM tool_scores GROUP BY step",
+)
+def evaluate_tool(t: Tables):
+    table = D.tool_gold(t).withColumn("prompt", F.concat(F.lit("Question "), F.col("example_id").cast("string")))
+    means = evaluation.evaluate(table, D.tool_predictions(t), ["step"], prefix="eval_final")
+    names = [f"eval_final_tooluse_{m}" for m in scoring.TOOL_METRICS]
+    return means.select("step", *[r6(name).alias(name) for name in names], "n")
+
+
 # ------------------------------------------------------------------ leakage
 
 MARKER_SQL = (

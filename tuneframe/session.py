@@ -23,6 +23,17 @@ CLUSTER_CONF = {
 }
 
 
+def shuffle_conf(input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle settings for jobs over ``input_bytes``: enough partitions that one fits in a
+    task's memory; AQE merges those that turn out small."""
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, app_name: str = "tuneframe", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -14,10 +14,12 @@ from tuneframe.sources.writers import (
     example_table,
     example_table_tooluse,
     land_tooluse,
+    metric_lines,
     save_token_table,
     write_completions,
     write_examples,
     write_examples_tooluse,
+    write_run_log,
 )
 
 __all__ = [
@@ -25,6 +27,7 @@ __all__ = [
     "example_table",
     "example_table_tooluse",
     "land_tooluse",
+    "metric_lines",
     "parse_metric_lines",
     "read_fewshot_manifest",
     "read_run_log",
@@ -36,4 +39,5 @@ __all__ = [
     "write_completions",
     "write_examples",
     "write_examples_tooluse",
+    "write_run_log",
 ]

@@ -96,6 +96,22 @@ def write_completions(rows: DataFrame, path: str, **options) -> None:
     write_partitions(completion_table(rows, **options), path, ["mode", "step"])
 
 
+def metric_lines(metrics: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Log lines ``[tag] {json}``, one per group and tag, with the metric names in order.
+    A group is one evaluation, so it holds a handful of names."""
+    entries = F.sort_array(F.collect_list(F.struct("name", "value")))
+    return (
+        metrics.groupBy(*groups, "tag")
+        .agg(F.to_json(F.map_from_entries(entries)).alias("_json"))
+        .select(*groups, F.concat(F.lit("["), "tag", F.lit("] "), "_json").alias("value"))
+    )
+
+
+def write_run_log(metrics: DataFrame, path: str, run: str = "run_name") -> None:
+    """Append the metric lines of each run to a folder of its own."""
+    metric_lines(metrics, [run]).hint("rebalance", run).write.mode("append").partitionBy(run).text(path)
+
+
 def land_tooluse(df: DataFrame, path: str) -> None:
     """Tool-use rows as parquet, the splittable form of a JSON array file."""
     df.write.mode("overwrite").parquet(path)
