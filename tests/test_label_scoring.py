@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from tuneframe.constants import TASK_LABELS
 from tuneframe.functions import labels as L
 from tuneframe.operators import scoring
@@ -111,3 +112,35 @@ def test_label_ids(rows):
     for bad in (-1, 2):
         with pytest.raises(PySparkException, match="invalid label id"):
             rows("label int", [(bad,)]).select(L.label_name(F.lit("wsc"), F.col("label"))).collect()
+
+
+def test_hot_example_is_split(spark, tmp_path):
+    """A third of all predictions belong to one example: AQE splits it in the pairing join."""
+    path = str(tmp_path / "predictions")
+    spark.range(300000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("example_id"),
+        F.concat(F.lit("Final Label: "), F.when(F.col("id") % 2 == 0, "True").otherwise("False")).alias("prediction"),
+        F.md5(F.col("id").cast("string")).alias("run_id"),
+    ).write.parquet(path)
+    references = spark.range(300000).select(
+        F.col("id").alias("example_id"), F.lit("wsc").alias("task"), F.lit("True").alias("reference")
+    )
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "300kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        predictions = scoring.with_answers(spark.read.parquet(path))
+        scored = scoring.score_cls(scoring.pair_predictions(predictions, references))
+        total = scored.groupBy("run_id").agg(F.sum("accuracy").alias("hits")).agg(F.sum("hits"))
+        assert total.collect()[0][0] == 150000.0
+        assert "skew=true" in plan_of(total)
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

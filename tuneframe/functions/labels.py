@@ -61,8 +61,17 @@ def normalize_label(text: Column, task: Column) -> Column:
     return _by_task(task, match)
 
 
-def parse_final_label(prediction: Column, task: Column) -> Column:
-    """The last marked answer that is a label of the task; no fallback to free mentions."""
-    answers = F.regexp_extract_all(prediction, F.lit(FINAL_LABEL_REGEX), F.lit(1))
+def final_answers(prediction: Column) -> Column:
+    """Texts behind the answer markers of a prediction, in order."""
+    return F.regexp_extract_all(prediction, F.lit(FINAL_LABEL_REGEX), F.lit(1))
+
+
+def pick_label(answers: Column, task: Column) -> Column:
+    """The last answer that is a label of the task."""
     labels = F.filter(F.transform(answers, lambda a: normalize_label(a, task)), lambda label: label.isNotNull())
     return F.try_element_at(labels, F.lit(-1))
+
+
+def parse_final_label(prediction: Column, task: Column) -> Column:
+    """The last marked answer that is a label of the task; no fallback to free mentions."""
+    return pick_label(final_answers(prediction), task)

@@ -63,8 +63,20 @@ def _score(flag: Column) -> Column:
     return F.when(flag, 1.0).otherwise(0.0)
 
 
+def with_answers(predictions: DataFrame) -> DataFrame:
+    """Replace ``prediction`` by its marked ``answers``. Done before the join with the
+    references, so that whole texts are not shuffled."""
+    return predictions.withColumn("answers", L.final_answers(F.col("prediction"))).drop("prediction")
+
+
+def with_calls(predictions: DataFrame) -> DataFrame:
+    """Replace ``prediction`` by its parsed ``calls``, before the join for the same reason."""
+    return predictions.withColumn("calls", toolcalls.parse_tool_calls(F.col("prediction"))).drop("prediction")
+
+
 def score_cls(aligned: DataFrame, strict: bool = True) -> DataFrame:
-    """Add ``predicted_label, accuracy, parse_success`` to ``prediction, reference, task``.
+    """Add ``predicted_label, accuracy, parse_success`` to ``reference, task`` and either the
+    ``prediction`` or its ``answers`` (:func:`with_answers`).
 
     Unknown tasks and unreadable references are errors; with ``strict=False`` such rows
     are kept with NULL scores, and the averages skip them.
@@ -75,10 +87,11 @@ def score_cls(aligned: DataFrame, strict: bool = True) -> DataFrame:
         F.concat(F.lit("invalid reference label: "), as_text(F.col("reference"))),
         strict,
     )
+    answers = F.col("answers") if "answers" in aligned.columns else L.final_answers(F.col("prediction"))
     scored = (
         aligned.withColumn("_task", task)
         .withColumn("_gold", gold)
-        .withColumn("predicted_label", L.parse_final_label(F.col("prediction"), F.col("_task")))
+        .withColumn("predicted_label", L.pick_label(answers, F.col("_task")))
     )
     valid = F.col("_gold").isNotNull()
     return scored.withColumns(
@@ -86,7 +99,7 @@ def score_cls(aligned: DataFrame, strict: bool = True) -> DataFrame:
             "accuracy": F.when(valid, _score(F.col("predicted_label") == F.col("_gold"))),
             "parse_success": F.when(valid, _score(F.col("predicted_label").isNotNull())),
         }
-    ).drop("_task", "_gold")
+    ).drop("_task", "_gold", "answers")
 
 
 def parse_gold(references: DataFrame, golden_answer: str = "golden_answer") -> DataFrame:
@@ -102,25 +115,24 @@ def parse_gold(references: DataFrame, golden_answer: str = "golden_answer") -> D
 
 
 def score_tool(aligned: DataFrame) -> DataFrame:
-    """Add ``strict_match, parse_success, action_name_match`` to ``prediction`` and gold.
+    """Add ``strict_match, parse_success, action_name_match``.
 
-    Takes gold either parsed (:func:`parse_gold`) or as raw ``golden_answer`` steps.
+    Takes the prediction as text or as ``calls`` (:func:`with_calls`) and gold as raw
+    ``golden_answer`` steps or parsed (:func:`parse_gold`).
     """
     if "gold_names" not in aligned.columns:
         aligned = parse_gold(aligned)
-    names = F.transform("_parsed.calls", lambda call: call["action"]) == F.col("gold_names")
-    inputs = F.transform("_parsed.calls", lambda call: call["input"]) == F.col("gold_inputs")
-    return (
-        aligned.withColumn("_parsed", toolcalls.parse_tool_calls(F.col("prediction")))
-        .withColumns(
-            {
-                "strict_match": _score(names & inputs),
-                "parse_success": _score(F.col("_parsed.ok")),
-                "action_name_match": _score(names),
-            }
-        )
-        .drop("_parsed", "gold_names", "gold_inputs")
-    )
+    if "calls" not in aligned.columns:
+        aligned = aligned.withColumn("calls", toolcalls.parse_tool_calls(F.col("prediction")))
+    names = F.transform("calls.calls", lambda call: call["action"]) == F.col("gold_names")
+    inputs = F.transform("calls.calls", lambda call: call["input"]) == F.col("gold_inputs")
+    return aligned.withColumns(
+        {
+            "strict_match": _score(names & inputs),
+            "parse_success": _score(F.col("calls.ok")),
+            "action_name_match": _score(names),
+        }
+    ).drop("calls", "gold_names", "gold_inputs")
 
 
 def roll_up(scored: DataFrame, metrics: Sequence[str], groups: Sequence[str], total_over: str | None = None) -> DataFrame:

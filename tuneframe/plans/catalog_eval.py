@@ -27,7 +27,7 @@ def _paired_cls(t: Tables):
     whole = D.all_cls_predictions(t)
     predictions = whole.select("task", "example_id", "prediction")
     references = whole.select("task", "example_id", "reference")
-    return scoring.pair_predictions(predictions, references, ["task", "example_id"])
+    return scoring.pair_predictions(scoring.with_answers(predictions), references, ["task", "example_id"])
 
 
 @query(
@@ -100,7 +100,7 @@ def parse_tool_calls(t: Tables):
 
 def _scored_tool(t: Tables):
     references = scoring.parse_gold(D.tool_gold(t)).drop("golden_answer")
-    return scoring.score_tool(scoring.pair_predictions(D.tool_predictions(t), references))
+    return scoring.score_tool(scoring.pair_predictions(scoring.with_calls(D.tool_predictions(t)), references))
 
 
 @query(

@@ -31,15 +31,16 @@ def evaluate(
     """Metrics per group of ``predictions`` (``key, prediction`` and the groups).
 
     The audit raises before anything is scored when a prompt gives its answer away. Each
-    example counts once per prediction row; only the gold columns take part in the join.
+    example counts once per prediction row. Predictions are parsed and gold columns picked
+    before the join, so neither prompts nor answer texts are shuffled.
     """
     kind = task_kind(eval_table)
     if audit:
         leakage.assert_no_leaks(eval_table, key)
     if kind == "labels":
         gold = eval_table.select(key, F.col("eval_label").alias("reference"), F.col("eval_task").alias("task"))
-        scored = scoring.score_cls(scoring.pair_predictions(predictions, gold, [key]))
+        scored = scoring.score_cls(scoring.pair_predictions(scoring.with_answers(predictions), gold, [key]))
         return scoring.eval_cls(scored, groups, prefix)
     gold = scoring.parse_gold(eval_table.select(key, "golden_answer")).drop("golden_answer")
-    scored = scoring.score_tool(scoring.pair_predictions(predictions, gold, [key]))
+    scored = scoring.score_tool(scoring.pair_predictions(scoring.with_calls(predictions), gold, [key]))
     return scoring.eval_tool(scored, groups, prefix)

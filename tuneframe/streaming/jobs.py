@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from tuneframe.operators.scoring import score_cls
+from tuneframe.operators.scoring import score_cls, with_answers
 from tuneframe.sources.readers import parse_metric_lines, run_of_path
 
 
@@ -69,7 +69,7 @@ def scored_stream(
     """Score predictions as they land. Repeats of a key within the watermark are dropped;
     the state that remembers keys is bounded by the watermark."""
     once = predictions.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-    return score_cls(once.join(references, "example_id"), strict=False)
+    return score_cls(with_answers(once).join(references, "example_id"), strict=False)
 
 
 def stream_score(scored: DataFrame, sink: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
