@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tuneframe.llm import exact, mixing
+from tuneframe.llm import exact, langid, mixing
 from tuneframe.session import ship_package, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+# A text whose recognised share of n-grams is below this is no language that was learned.
+MIN_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents; texts of no learned language go."""
+    model = langid.fit(docs.select("text", "lang"))
+    judged = langid.identify(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return judged.select(*COLUMNS)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact.dedup(docs).select(*COLUMNS)
@@ -21,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(mixed, COLUMNS).select(*COLUMNS)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mix sources", mix_sources)]
+STAGES = [("language id", language_id), ("exact dedup", exact_dedup), ("mix sources", mix_sources)]
 
 # Learned models, hashes and greedy packing have no SQL form.
 ORACLE_SQL = None
