@@ -136,19 +136,44 @@ def hypergeometric(total, marked, drawn, uniform):
     mode = F.least(high, F.greatest(low, F.floor((drawn + 1.0) * (marked + 1.0) / (n + 2.0))))
     spread = F.sqrt(drawn * (marked / n) * (1 - marked / n) * ((n - drawn) / F.greatest(n - 1, F.lit(1.0))))
     reach = (F.ceil(spread * 12) + 3).cast("long")
-    first, end = F.greatest(low, mode - reach), F.least(high, mode + reach)
-
     def ratio(k):  # p(k + 1) / p(k)
         return (marked - k) * (drawn - k) / ((k + 1.0) * (n - marked - drawn + k + 1.0))
 
-    start = F.array(F.lit(1.0))
-    up = F.when(end > mode, F.aggregate(F.sequence(mode, end - 1), start, lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * ratio(k))))).otherwise(start)
-    down = F.when(first < mode, F.aggregate(F.sequence(mode - 1, first, F.lit(-1)), start, lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) / ratio(k))))).otherwise(start)
-    odds = F.concat(F.reverse(down), F.slice(up, 2, F.greatest(F.size(up) - 1, F.lit(0))))
-    bar = uniform * F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    passed = F.aggregate(odds, state, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.when(a["sum"] + x < bar, a["n"] + 1).otherwise(a["n"]).alias("n")))
-    return F.least(end, first + passed["n"])
+    def walk(first, last, step, factor, start, bar=None):
+        """Sum of the weights over a walk, or with a bar the number of them whose running sum stays below it."""
+        state = F.struct(F.lit(1.0).alias("p"), F.lit(start).alias("sum"), (F.lit(0) if bar is None else (F.lit(start) < bar).cast("int")).alias("n"))
+
+        def move(a, k):
+            p = a["p"] * factor(k)
+            below = F.lit(0) if bar is None else (a["sum"] + p < bar).cast("int")
+            return F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), (a["n"] + below).alias("n"))
+
+        steps = F.when((last - first) * step >= 0, F.sequence(first, last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(steps, state, move)
+
+    def choose(m):
+        def up(bar=None):
+            return walk(m["mode"], m["end"] - 1, 1, ratio, 1.0, bar)
+
+        def down(bar=None):
+            return walk(m["mode"] - 1, m["first"], -1, lambda k: 1 / ratio(k), 0.0, bar)
+
+        # Outcomes in the order mode, mode + 1, ..., end, mode - 1, ..., first.
+        def pick(w):
+            bar = uniform * (w["up"] + w["down"])
+            lower = F.greatest(m["first"], m["mode"] - down(bar - w["up"])["n"])
+            return F.when(bar <= w["up"], F.least(m["end"], m["mode"] + up(bar)["n"])).otherwise(lower)
+
+        return _let(F.struct(up()["sum"].alias("up"), down()["sum"].alias("down")), pick)
+
+    bounds = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), mode.cast("long").alias("mode"), reach.alias("reach"))
+    return _let(bounds, lambda b: _let(F.struct(
+        F.greatest(b["low"], b["mode"] - b["reach"]).alias("first"), F.least(b["high"], b["mode"] + b["reach"]).alias("end"), b["mode"].alias("mode")), choose))
+
+
+def _let(value, use):
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def shard_quotas(mix: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
@@ -170,16 +195,18 @@ def shard_quotas(mix: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
         def draw(acc, count):
             chance = _uniform(F.lit(seed), F.col("width"), F.col("first"), F.size(acc["left"]))
             got = hypergeometric(acc["total"], count, acc["need"], chance).cast("long")
-            return F.struct((acc["total"] - count).alias("total"), (acc["need"] - got).alias("need"), F.concat(acc["left"], F.array(got)).alias("left"))
-
-        left = F.aggregate("quotas", zero, draw)["left"]
-        node = node.withColumn("left", F.when(F.col("width") > 1, left).otherwise(F.col("quotas")))
-        right = F.zip_with("quotas", "left", lambda a, b: a - b)
-        children = F.array(
-            F.struct(F.col("first").alias("first"), F.least(F.col("half"), F.col("width")).alias("width"), F.col("left").alias("quotas")),
-            F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("width") - F.col("half")).alias("width"), right.alias("quotas")),
-        )
-        node = node.select(F.explode(children).alias("c")).select("c.*").filter("width > 0")
+            return _let(got, lambda g: F.struct((acc["total"] - count).alias("total"), (acc["need"] - g).alias("need"), F.concat(acc["left"], F.array(g)).alias("left")))
+
+        left = F.when(F.col("width") > 1, F.aggregate("quotas", zero, draw)["left"]).otherwise(F.col("quotas"))
+
+        def children(own):
+            right = F.zip_with("quotas", own, lambda a, b: a - b)
+            return F.array(
+                F.struct(F.col("first").alias("first"), F.least(F.col("half"), F.col("width")).alias("width"), own.alias("quotas")),
+                F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("width") - F.col("half")).alias("width"), right.alias("quotas")),
+            )
+
+        node = node.select(F.explode(_let(left, children)).alias("c")).select("c.*").filter("width > 0")
     return node.select(F.col("first").alias("shard"), "quotas")
 
 
