@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneframe.llm import exact, langid, mixing
+from tuneframe.llm import exact, jaccard, langid, mixing, packing
 from tuneframe.session import ship_package, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,13 +27,31 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.dedup(docs).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their five-word shingles, directly or over others, the smallest id stays."""
+    groups = jaccard.near_duplicates(docs, k=5, num=80, den=100)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents drawn to the source targets; a document drawn twice is two rows."""
     mixed = mixing.mix(docs, whole_documents=True)
     return mixing.mixed_rows(mixed, COLUMNS).select(*COLUMNS)
 
 
-STAGES = [("language id", language_id), ("exact dedup", exact_dedup), ("mix sources", mix_sources)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows, with their ids."""
+    return packing.pack(docs, keep=["doc_id", "source"])
+
+
+STAGES = [
+    ("language id", language_id),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mix sources", mix_sources),
+    ("packing", pack_windows),
+]
 
 # Learned models, hashes and greedy packing have no SQL form.
 ORACLE_SQL = None
