@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.registry import query, table
 from tuneframe.llm.text import byte_rows, mix
+from tuneframe.session import written
 
 GRAM = 4
 HASHES = 3
@@ -142,20 +143,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = _cut(counts)
+    counts = written(counts, "language-grams")
     whole = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     members = counts.join(whole, "lang").filter(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "gram")
-    found = members.toPandas()  # at most 1 / MIN_SHARE n-grams a language
-    by_lang = {lang: part["gram"].to_numpy().astype(np.uint32) for lang, part in found.groupby("lang")} if len(found) else {}
+    found = members.toArrow()  # at most 1 / MIN_SHARE n-grams a language
+    names, gram = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().astype(np.uint32)
+    by_lang = {lang: gram[names == lang] for lang in set(names)}
     return LanguageFilter.build(sorted(by_lang, key=lambda s: s.encode()), by_lang)
 
 
-def _cut(counts: DataFrame) -> DataFrame:
-    from tuneframe.session import written
-
-    return written(counts, "language-grams")
-
-
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """Input columns, lang_pred and score. Only the text is looked at."""
     languages, slots = model.languages, model.slots

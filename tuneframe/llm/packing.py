@@ -149,11 +149,11 @@ class Statistics:
             keys, values = np.concatenate((at, [-1, -2])), np.concatenate((df[at], [words, n]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], ["term", "n"])
 
-        sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-        known = sums["term"].to_numpy() >= 0
+        sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        term, total = sums.column("term").to_numpy(), sums.column("n").to_numpy()
         df = np.zeros(1 << TERM_BITS, np.float64)
-        df[sums["term"][known].to_numpy()] = sums["n"][known].to_numpy()
-        words, n = (int(sums["n"][sums["term"] == k].sum()) for k in (-1, -2))
+        df[term[term >= 0]] = total[term >= 0]
+        words, n = (int(total[term == k].sum()) for k in (-1, -2))
         return cls(np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))).astype(np.float32), max(1.0, words / max(1, n)))
 
 
