@@ -19,7 +19,8 @@ and tokens, so a task's memory does not grow with its input.
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ VOCABULARY = "word_bpe_49k.json"
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 4 << 20
-CACHE_WORDS = 300_000
-_split_mark = re.compile(rb"(?<=[a-z])[.,](?=[ \t-\r]|$)")
-_plain = re.compile(rb"[a-z]+")
+CACHE_WORDS = 800_000
+_MARKS = b".,;:!?"
+# Byte-level vocabularies name printable Latin-1 bytes by themselves and the others, in order, from U+0100 on.
+_own_names = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_byte_names = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - _own_names))}
 
 
 def default_vocabulary() -> str:
@@ -48,71 +51,65 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class _Words(dict):
+    """Place of each known word in a store of ids; an unknown word is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+        self.flat, self.first, self.size = array("I"), array("q"), array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        core = word[:-1]
+        if core and word[-1] in _MARKS and core.decode("utf-8", "replace").isalpha():
+            ids = self.ids(core) + self.ids(word[-1:])  # a mark after letters is a pre-token of its own
+        else:
+            ids = self.encode(word.decode("utf-8", "replace"))
+        place = self[word] = len(self.first)
+        self.first.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        return place
+
+    def ids(self, word: bytes) -> list[int]:
+        at = self[word]
+        return self.flat[self.first[at] : self.first[at] + self.size[at]].tolist()
+
+
 class WordTokens:
     """Ids of texts for a tokenizer whose pre-tokens never cross white space: each word is encoded once.
 
-    Lower case A-Z and a mark after a letter at a word's end may be split off first, because this
-    tokenizer lower-cases and cuts there itself. Texts that hold ``<|``, the start of its special
-    tokens, are encoded as they are. The cache is bounded by ``CACHE_WORDS``.
+    A-Z may be lowered first, because the tokenizer does so itself; texts that hold ``<|``, the start of its
+    special tokens, are left as they are. A word of lower-case letters is one pre-token and goes to the
+    byte-pair model directly. Known words are forgotten once there are ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self):
-        self.at: dict[bytes, int] = {}
-        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _add(self, word: bytes, ids: np.ndarray) -> None:
-        n = len(self.at)
-        if n == len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.first[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.at[word] = n
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.clear()
-        plain = [w for w in words if _plain.fullmatch(w) and len(w) < 1000]
-        for i in range(0, len(plain), 64):
-            part = plain[i : i + 64]
-            ids = self._encode(b" ".join(part).decode())
-            # A word of letters is one pre-token; only its last id carries the word end.
-            for word, own in zip(part, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)):
-                self._add(word, own)
-        for word in words:
-            if word not in self.at:
-                self._add(word, self._encode(word.decode("utf-8", "replace")))
+        self.model = self.tokenizer.model
+        self.words = _Words(self._encode)
+
+    def _encode(self, word: str) -> list[int]:
+        if word.isalpha() and word == word.lower() and len(word) < 1000 and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_byte_names))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def ids(self, data: bytes) -> np.ndarray:
         if b"<|" not in data:
-            data = _split_mark.sub(rb" \g<0>", data.lower())
-        words = data.split()
-        new = [w for w in set(words) if w not in self.at]
-        if new:
-            before = self.at
-            self._learn(new)
-            if self.at is not before:  # the cache was emptied
-                self._learn([w for w in set(words) if w not in self.at])
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
+            data = data.lower()
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Words(self._encode)
+        words, known = data.split(), self.words
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        size = np.frombuffer(known.size, np.int64)[at] if len(at) else at
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(total)]
+        if not total:
+            return np.zeros(0, np.uint32)
+        first = np.frombuffer(known.first, np.int64)[at]
+        return np.frombuffer(known.flat, np.uint32)[np.repeat(first - ends + size, size) + np.arange(total)]
 
 
 _tokens: dict[str, WordTokens] = {}
