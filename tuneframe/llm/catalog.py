@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from tuneframe.llm import exact, jaccard, katz, langid, mixing, mtree, packing, tokens, urls  # noqa: F401
+from tuneframe.llm import exact, jaccard, katz, langid, mixing, mtree, packing, repeats, tokens, urls  # noqa: F401
 from tuneframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
