@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from tuneframe.llm.registry import query, table
 from tuneframe.session import written
 
-SHARD = 8192
-QUERY_BLOCK = 1024
-PAGE = 64
+SHARD = 1 << 14
+QUERY_BLOCK = 512
+PAGE = 512
 PAGES = (
     "dim int, shard long, node int, parent int, leaf boolean, radius double, to_parent double, pivot binary, "
     "ids binary, members binary, distances binary"
@@ -72,6 +72,8 @@ def bulk_load(ids: np.ndarray, vectors: np.ndarray, seed: int = 1) -> list[tuple
         number, radius = len(pages), float(away.max())
         to_parent = float(np.sqrt(((pivot - above) ** 2).sum())) if above is not None else 0.0
         if len(own) <= PAGE:
+            rising = np.argsort(away, kind="stable")
+            own, away = own[rising], away[rising]
             pages.append((number, parent, True, radius, to_parent, pivot, ids[own], vectors[own], away))
             continue
         pages.append((number, parent, False, radius, to_parent, pivot, ids[:0], vectors[:0], away[:0]))
@@ -103,7 +105,7 @@ class MTree:
             node.leaf, node.radius, node.to_parent = row.leaf, row.radius, row.to_parent
             node.pivot = np.frombuffer(row.pivot, np.float64)
             node.ids, node.distances = np.frombuffer(row.ids, np.int64), np.frombuffer(row.distances, np.float64)
-            node.members = np.frombuffer(row.members, np.int64).reshape(-1, dim).astype(np.float64)
+            node.members = np.frombuffer(row.members, np.int32).reshape(-1, dim).astype(np.float64)
             self.nodes[row.node] = node
             children.setdefault(row.parent, []).append(row.node)
             self.norm2 = max(self.norm2, float((node.pivot**2).sum()))
@@ -130,19 +132,21 @@ class MTree:
             node = self.nodes[number]
             bound = limit + _SLACK * (1 + limit) if len(best) == k else np.inf
             if node.leaf:
-                near = np.abs(to_pivot - node.distances) <= bound
-                if own_id in node.ids:
-                    near &= node.ids != own_id
-                self.skipped += len(near) - int(near.sum())
-                at = np.flatnonzero(near)
-                self.computed += len(at)
-                if not len(at):
+                # Members stand by distance to the routing object: those in reach are one run.
+                low = int(np.searchsorted(node.distances, to_pivot - bound, "left"))
+                high = int(np.searchsorted(node.distances, to_pivot + bound, "right"))
+                self.skipped += len(node.distances) - (high - low)
+                self.computed += high - low
+                if low >= high:
                     continue
-                products = node.members[at] @ vector
+                ids, products = node.ids[low:high], node.members[low:high] @ vector
+                keep = ids != own_id
                 if len(best) == k:
-                    keep = products >= best[0][0]
-                    at, products = at[keep], products[keep]
-                for entry in zip(products.astype(np.int64).tolist(), (-node.ids[at]).tolist()):
+                    keep &= products >= best[0][0]
+                elif len(ids) > 4 * k:  # at first only those that can be among the k best of the page
+                    keep &= products >= np.partition(np.where(keep, products, -np.inf), len(ids) - k)[len(ids) - k]
+                at = np.flatnonzero(keep)
+                for entry in zip(products[at].astype(np.int64).tolist(), (-ids[at]).tolist()):
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
@@ -179,7 +183,7 @@ def build_pages(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         dim = key[0].as_py()
         values = part.column("values").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.int64)
         out = [
-            (dim, key[1].as_py(), n, parent, leaf, radius, up, pivot.tobytes(), own.astype(np.int64).tobytes(), members.tobytes(), away.tobytes())
+            (dim, key[1].as_py(), n, parent, leaf, radius, up, pivot.tobytes(), own.astype(np.int64).tobytes(), members.astype(np.int32).tobytes(), away.tobytes())
             for n, parent, leaf, radius, up, pivot, own, members, away in bulk_load(ids, values)
         ]
         names = [f.split()[0] for f in PAGES.split(", ")]
