@@ -61,12 +61,12 @@ def test_sizes_that_do_not_fit(options):
 def test_slices_and_schedule(spark):
     plan = batches.batch_plan(4, 2, num_generations=2)
     sampled = batches.repeat_sampler(positions(spark, 16), plan)
-    batched = batches.generation_batches(sampled, 4, 2)
-    sliced = batches.microbatch_slices(batched, plan, 42, F.col("ordinal"))
+    count = sampled.agg(F.count(F.lit(1))).scalar()
+    sliced = batches.microbatch_slices(count, plan, 42, spark)
     sizes = sliced.groupBy("batch_id", "slice").count().collect()
     assert {r["count"] for r in sizes} == {4} and len(sizes) == 16
-    again = batches.microbatch_slices(batched, plan, 42, F.col("ordinal"))
-    other = batches.microbatch_slices(batched, plan, 43, F.col("ordinal"))
+    again = batches.microbatch_slices(count, plan, 42, spark)
+    other = batches.microbatch_slices(count, plan, 43, spark)
     pick = lambda df: {r["ordinal"]: r["slice"] for r in df.collect()}
     assert pick(sliced) == pick(again) != pick(other)
     steps = batches.step_schedule(spark.range(4).withColumnRenamed("id", "step"), plan).orderBy("step").collect()
@@ -75,6 +75,20 @@ def test_slices_and_schedule(spark):
     ]
 
 
+def test_slices_of_two_processes(spark):
+    plan = batches.batch_plan(4, 2, num_generations=2, num_processes=2)
+    sliced = batches.microbatch_slices(F.lit(40), plan, 1, spark).collect()
+    assert sorted(r["ordinal"] for r in sliced) == list(range(40))
+    assert {(r["process"], r["slice"]) for r in sliced} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert batches.microbatch_slices(F.lit(0), plan, 1, spark).count() == 0
+
+
+def test_last_chunk_has_dense_ordinals(spark):
+    plan = batches.batch_plan(4, 2, num_generations=2)
+    sampled = batches.repeat_sampler(positions(spark, 6), plan, drop_incomplete=False)
+    assert sorted(r["ordinal"] for r in sampled.collect()) == list(range(6 * 2 * 2))
+
+
 def test_padding(rows):
     df = rows(
         "batch_id int, p array<int>, c array<int>", [(0, [5, 6], [7, 3]), (0, [5], [7, 8, 9]), (1, [4], [2])]

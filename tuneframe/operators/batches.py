@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneframe.functions import arrays
 from tuneframe.operators.ordering import shuffle_key
 
 
+# Batches whose plan one row stands for until it is expanded.
+BATCH_RUN = 4096
+
+
 @dataclass(frozen=True)
 class BatchPlan:
     """Sizes of a batch plan. Use :func:`batch_plan` to derive and check them."""
@@ -19,6 +23,12 @@ class BatchPlan:
     steps_per_generation: int
     num_generations: int = 1
     num_iterations: int = 1
+    num_processes: int = 1
+
+    @property
+    def per_device_batch(self) -> int:
+        """Rows that one process takes at once."""
+        return self.generation_batch_size // (self.steps_per_generation * self.num_processes)
 
     @property
     def chunk(self) -> int:
@@ -59,7 +69,7 @@ def batch_plan(
         steps_per_generation = generation_batch_size // global_batch
     if generation_batch_size % num_generations:
         raise ValueError(f"generation_batch_size must be divisible by num_generations ({num_generations})")
-    return BatchPlan(generation_batch_size, steps_per_generation, num_generations, num_iterations)
+    return BatchPlan(generation_batch_size, steps_per_generation, num_generations, num_iterations, num_processes)
 
 
 def repeat_sampler(
@@ -73,9 +83,12 @@ def repeat_sampler(
     count; pass the table before it was numbered as ``counted`` to count that instead.
     """
     chunk, slot = F.floor(F.col(pos) / plan.chunk).cast("bigint"), F.col(pos) % plan.chunk
+    size = (rows if counted is None else counted).agg(F.count(F.lit(1))).scalar()
+    width = F.lit(plan.chunk)
     if drop_incomplete:
-        size = (rows if counted is None else counted).agg(F.count(F.lit(1))).scalar()
         rows = rows.where(F.col(pos) < size - size % plan.chunk)
+    else:  # the last chunk may be smaller; its ordinals are dense too
+        width = F.least(width, size - F.col("chunk") * plan.chunk)
     return (
         rows.withColumn("chunk", chunk)
         .withColumn("slot", slot)
@@ -84,7 +97,7 @@ def repeat_sampler(
         .withColumn(
             "ordinal",
             F.col("chunk") * plan.rows_per_chunk
-            + F.col("repeat") * (plan.chunk * plan.num_generations)
+            + F.col("repeat") * width * plan.num_generations
             + F.col("slot") * plan.num_generations
             + F.col("generation"),
         )
@@ -114,21 +127,33 @@ def generation_batches(
     return sampled.withColumn("batch_id", F.floor(F.col(ordinal) / size).cast("bigint"))
 
 
-def microbatch_slices(
-    batched: DataFrame, plan: BatchPlan, seed: int | str, row_id: Column, batch: str = "batch_id"
-) -> DataFrame:
-    """Shuffle each generation batch and cut it into equal slices.
+def microbatch_slices(n_rows: Column, plan: BatchPlan, seed: int | str, spark) -> DataFrame:
+    """Shuffle each batch that a process's loader hands out and cut it into equal slices.
 
-    ``slice`` is the slice of the row. A batch holds at most ``generation_batch_size``
-    rows by construction, which bounds the window.
+    (ordinal, batch_id, process, slice) of all ordinals below ``n_rows``, a one-row number such as
+    ``sampled.agg(count).scalar()``. A batch is ``per_device_batch * steps_per_generation``
+    ordinals, so its rows follow from its number: each is made, shuffled and cut on its own, and
+    plan rows are never exchanged.
     """
-    window = Window.partitionBy(batch).orderBy("_key", "_id")
-    width = plan.generation_batch_size // plan.steps_per_generation
-    return (
-        batched.withColumn("_id", row_id)
-        .withColumn("_key", shuffle_key(seed, F.concat_ws(":", F.col(batch), row_id)))
-        .withColumn("slice", F.floor((F.row_number().over(window) - 1) / width).cast("bigint"))
-        .drop("_key", "_id")
+    size = plan.per_device_batch * plan.steps_per_generation
+    one = spark.range(1).select(F.ceil(n_rows / size).cast("bigint").alias("n"), n_rows.cast("bigint").alias("_rows"))
+    # Batches in runs, so that tasks of a few runs share the work.
+    runs = one.select("_rows", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BATCH_RUN))).alias("_run")).where("n > 0")
+    runs = runs.repartitionByRange("_run")
+    last = F.least((F.col("_run") + 1) * BATCH_RUN, F.col("n")) - 1
+    batches = runs.select("_rows", F.explode(F.sequence(F.col("_run") * BATCH_RUN, last)).alias("batch_id"))
+    start = F.col("batch_id") * size
+    ordinals = F.sequence(start, F.least(start + size, F.col("_rows")) - 1)
+
+    def keyed(ordinal):
+        return F.struct(shuffle_key(seed, F.concat_ws(":", F.col("batch_id"), ordinal)).alias("k"), ordinal.alias("o"))
+
+    placed = batches.select("batch_id", F.posexplode(F.array_sort(F.transform(ordinals, keyed))).alias("at", "row"))
+    return placed.select(
+        F.col("row.o").alias("ordinal"),
+        "batch_id",
+        (F.col("batch_id") % plan.num_processes).alias("process"),
+        F.floor(F.col("at") / plan.per_device_batch).cast("bigint").alias("slice"),
     )
 
 

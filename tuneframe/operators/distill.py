@@ -30,7 +30,8 @@ def token_metrics(
     pairs: DataFrame, alpha: float = 0.0, temperature: float = 1.0, engine: str = "arrow"
 ) -> DataFrame:
     """Replace ``student_logits, teacher_logits`` by ``student_logp, teacher_logp, entropy,
-    divergence``. ``engine="sql"`` keeps the math in the JVM, for short vectors."""
+    divergence``. ``engine="sql"`` keeps the math in the JVM, for short vectors. Both give NULL for
+    a token whose vectors or id cannot be used (:func:`tokens.usable`)."""
     if engine == "arrow":
         stats = K.token_stats(
             F.col("student_logits"), F.col("teacher_logits"), F.col("token_id"), alpha, temperature
@@ -39,10 +40,11 @@ def token_metrics(
             *[c for c in pairs.columns if c not in ("student_logits", "teacher_logits")], "_s.*"
         )
     rest = [c for c in pairs.columns if c not in ("student_logits", "teacher_logits")]
+    good = K.usable(F.col("student_logits"), F.col("teacher_logits"), F.col("token_id"))
     logps = pairs.select(
         *rest,
-        K.log_softmax(F.col("student_logits"), temperature).alias("_s"),
-        K.log_softmax(F.col("teacher_logits"), temperature).alias("_t"),
+        K.log_softmax(F.when(good, F.col("student_logits")), temperature).alias("_s"),
+        K.log_softmax(F.when(good, F.col("teacher_logits")), temperature).alias("_t"),
     )
     return logps.select(
         *rest,

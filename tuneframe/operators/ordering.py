@@ -84,16 +84,20 @@ def latest_n(df: DataFrame, n: int, order: str, groups: Sequence[str]) -> DataFr
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The earliest row of each key; hot keys are reduced to one row before the shuffle."""
-    rows = df.groupBy(F.md5(key.cast("string")).alias("_key")).agg(
+def first_per_key(df: DataFrame, key: Column, order: str, groups: Sequence[str] = ()) -> DataFrame:
+    """The earliest row of each key within each of ``groups``; hot keys are reduced to one row before the shuffle."""
+    # JSON keeps different lists and structs apart, which their plain text form does not.
+    rows = df.groupBy(*groups, F.md5(F.to_json(F.struct(key.alias("k")))).alias("_key")).agg(
         F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")
     )
     return rows.select("_row.*")
 
 
-def drop_duplicate_prompts(df: DataFrame, order: str, prompt: str = "prompt") -> DataFrame:
-    return first_per_key(df, F.col(prompt), order)
+def drop_duplicate_prompts(
+    df: DataFrame, order: str, prompt: str = "prompt", groups: Sequence[str] = ("run_id", "mode", "step")
+) -> DataFrame:
+    """The first row of each prompt per log event. ``groups`` name the event; those that the table lacks do not count."""
+    return first_per_key(df, F.col(prompt), order, [g for g in groups if g in df.columns])
 
 
 def smallest_ids(df: DataFrame, groups: Sequence[str], row_id: str, k: int, name: str = "first_ids") -> DataFrame:

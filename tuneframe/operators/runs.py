@@ -55,10 +55,15 @@ def best_metric_name(task: Column) -> Column:
 
 
 def best_checkpoint(metrics: DataFrame, groups: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Step with the greatest value; the earliest step wins a tie. ``metrics`` holds the
-    deciding metric only: ``groups, step, value``."""
+    """Step with the greatest value; the earliest step wins a tie and NaN never does.
+
+    ``metrics`` holds ``groups, step, value`` of the deciding metric, or with ``task`` and ``name``
+    columns all metrics, of which each task's own metric decides (:func:`best_metric_name`, by the end of its name).
+    """
+    if {"task", "name"} <= set(metrics.columns):
+        metrics = metrics.where(F.endswith(F.col("name"), best_metric_name(F.col("task"))))
     order = F.struct(F.col("value"), -F.col("step"))
-    return metrics.where(F.col("value").isNotNull()).groupBy(*groups).agg(
+    return metrics.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*groups).agg(
         F.max_by("step", order).alias("best_step"), F.max("value").alias("best_value")
     )
 
@@ -67,28 +72,30 @@ def init_vs_final(
     metrics: DataFrame, groups: Sequence[str] = ("run_id",), initial: str = "eval_init", final: str = "eval_final"
 ) -> DataFrame:
     """First and last evaluation of a metric side by side. Names are ``<prefix>_<metric>``."""
-    stem = F.regexp_extract("name", f"^(?:{initial}|{final})_(.+)$", 1)
-    tables = metrics.where(stem != "").withColumn("metric", stem)
-
-    def value_of(prefix: str) -> Column:
-        return F.max(F.when(F.startswith(F.col("name"), F.lit(prefix + "_")), F.col("value")))
-
+    # One prefix may start with the other, so the longer one is looked for first.
+    phase, stem = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for prefix, name in sorted(((initial, "initial"), (final, "final")), key=lambda pair: len(pair[0])):
+        has = F.startswith(F.col("name"), F.lit(prefix + "_"))
+        phase = F.when(has, name).otherwise(phase)
+        stem = F.when(has, F.substring("name", len(prefix) + 2, 2**31 - 1)).otherwise(stem)
+    tables = metrics.withColumns({"_phase": phase, "metric": stem}).where(F.col("metric") != "")
     compared = tables.groupBy(*groups, "metric").agg(
-        value_of(initial).alias("initial"), value_of(final).alias("final")
+        *[F.max(F.when(F.col("_phase") == name, F.col("value"))).alias(name) for name in ("initial", "final")]
     )
     return compared.withColumn("change", F.col("final") - F.col("initial"))
 
 
 def parse_run_name(run_name: Column) -> Column:
     """struct<task, method, scenario, num_generations> of a run name; NULL if it has another form."""
-    parts = [F.regexp_extract(run_name, RUN_NAME_REGEX, i) for i in range(1, 5)]
+    whole = f"^(?:{RUN_NAME_REGEX})$"
+    parts = [F.regexp_extract(run_name, whole, i) for i in range(1, 5)]
     return F.when(
-        F.regexp_like(run_name, F.lit(RUN_NAME_REGEX)),
+        F.regexp_like(run_name, F.lit(whole)),
         F.struct(
             parts[0].alias("task"),
             parts[1].alias("method"),
             parts[2].alias("scenario"),
-            F.try_to_number(parts[3], F.lit("999999999")).cast("int").alias("num_generations"),
+            parts[3].try_cast("bigint").alias("num_generations"),
         ),
     )
 

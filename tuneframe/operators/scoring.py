@@ -47,7 +47,37 @@ def require_aligned(aligned: DataFrame) -> None:
     bad = aligned.where(F.col("status") != "ok").groupBy("status").count().collect()
     if bad:
         counts = ", ".join(f"{row['status']}: {row['count']}" for row in bad)
-        raise ValueError(f"predictions, references and tasks must have the same length ({counts})")
+        raise ValueError(f"every prediction needs one reference: both sides must be of the same length ({counts})")
+
+
+def evaluation_gaps(
+    predictions: DataFrame, references: DataFrame, groups: Sequence[str] = ("run_id", "step"), key: str = "example_id"
+) -> DataFrame:
+    """Per group of predictions: ``n_missing`` references without a prediction, ``n_repeated`` predictions of an
+    example beyond the first, ``n_unknown`` predicted examples without a reference.
+
+    Only keys are read. A group that predicted nothing at all has no row.
+    """
+    known = references.select(key).distinct()
+    per_key = predictions.groupBy(*groups, key).agg(F.count(F.lit(1)).alias("_n"))
+    found = per_key.join(known.withColumn("_found", F.lit(True)), key, "left")
+    hit = F.sum(F.when(F.col("_found"), 1).otherwise(0))
+    return found.groupBy(*groups).agg(
+        (known.agg(F.count(F.lit(1))).scalar() - hit).alias("n_missing"),
+        F.sum(F.col("_n") - 1).alias("n_repeated"),
+        (F.count(F.lit(1)) - hit).alias("n_unknown"),
+    )
+
+
+def require_complete(gaps: DataFrame) -> None:
+    """Raise unless every group predicted every example exactly once."""
+    bad = gaps.where("n_missing > 0 OR n_repeated > 0 OR n_unknown > 0")
+    counts = bad.agg(
+        F.count(F.lit(1)).alias("groups"), *[F.sum(c).alias(c) for c in ("n_missing", "n_repeated", "n_unknown")]
+    ).first()
+    if counts["groups"]:
+        shown = ", ".join(f"{name}: {value}" for name, value in counts.asDict().items())
+        raise ValueError(f"each group must give predictions of the same length as the references ({shown})")
 
 
 def mixed_tasks(tables: dict[str, DataFrame]) -> DataFrame:
@@ -114,8 +144,9 @@ def parse_gold(references: DataFrame, golden_answer: str = "golden_answer") -> D
     )
 
 
-def score_tool(aligned: DataFrame) -> DataFrame:
-    """Add ``strict_match, parse_success, action_name_match``.
+def score_tool(aligned: DataFrame, strict: bool = True) -> DataFrame:
+    """Add ``strict_match, parse_success, action_name_match``. A prediction without a reference raises, or has
+    NULL scores with ``strict=False``.
 
     Takes the prediction as text or as ``calls`` (:func:`with_calls`) and gold as raw
     ``golden_answer`` steps or parsed (:func:`parse_gold`).
@@ -124,13 +155,16 @@ def score_tool(aligned: DataFrame) -> DataFrame:
         aligned = parse_gold(aligned)
     if "calls" not in aligned.columns:
         aligned = aligned.withColumn("calls", toolcalls.parse_tool_calls(F.col("prediction")))
+    has_gold = F.col("gold_names").isNotNull()
+    if strict:
+        has_gold = has_gold | F.raise_error(F.lit("a prediction has no reference")).cast("boolean")
     names = F.transform("calls.calls", lambda call: call["action"]) == F.col("gold_names")
     inputs = F.transform("calls.calls", lambda call: call["input"]) == F.col("gold_inputs")
     return aligned.withColumns(
         {
-            "strict_match": _score(names & inputs),
-            "parse_success": _score(F.col("calls.ok")),
-            "action_name_match": _score(names),
+            "strict_match": F.when(has_gold, _score(names & inputs)),
+            "parse_success": F.when(has_gold, _score(F.col("calls.ok"))),
+            "action_name_match": F.when(has_gold, _score(names)),
         }
     ).drop("calls", "gold_names", "gold_inputs")
 

@@ -59,19 +59,27 @@ def check_indices(
 
 
 INDEX_ERRORS = {
-    "non_empty": "train indices must be non-empty when provided",
-    "integers": "train indices must contain only integers",
-    "no_duplicates": "train indices must not contain duplicates",
-    "in_range": "train indices must be within [0, {detail}]",
-    "expected_count": "selected {detail} examples, which is not the expected number",
+    "non_empty": "the manifest is there but names no row; it has to be non-empty",
+    "integers": "{detail} entries of the manifest are no integers",
+    "no_duplicates": "the manifest holds duplicates: {detail} entries repeat another",
+    "in_range": "every manifest entry has to lie within [0, {detail}]",
+    "expected_count": "the manifest names {detail} rows, not the expected number",
 }
 
 
 def require_indices(report: DataFrame) -> None:
-    """Raise on the first failed check of a :func:`check_indices` report."""
-    failed = report.where(~F.col("ok")).limit(1).collect()
-    if failed:
-        raise ValueError(INDEX_ERRORS[failed[0]["check"]].format(detail=failed[0]["detail"]))
+    """Raise on the first failed check of a :func:`check_indices` report, in the order of the checks."""
+    failed = report.where(~F.col("ok")).groupBy("check").agg(F.max("detail").alias("detail")).collect()
+    details = {row["check"]: row["detail"] for row in failed}
+    for check, message in INDEX_ERRORS.items():
+        if check in details:
+            raise ValueError(message.format(detail=details[check]))
+
+
+def require_manifest(rows: DataFrame, manifest: DataFrame, row_id: str = "row_idx") -> None:
+    """Raise unless the manifest ``(row_idx, pos)`` names distinct existing rows, one at least."""
+    whole = F.lit(0).alias("_all")
+    require_indices(check_indices(manifest.select(whole, row_id), rows.select(whole), ["_all"], row_id=row_id))
 
 
 def one_per_name(rows: DataFrame, name: str = "name", row_id: str = "row_idx") -> DataFrame:

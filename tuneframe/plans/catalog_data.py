@@ -157,10 +157,10 @@ def write_examples_tooluse(t: Tables):
     "write_completions",
     "SELECT CASE WHEN lang = 'en' THEN 'train' ELSE 'eval' END AS mode, CAST((doc_id // 40) % 50 AS VARCHAR) AS step, text AS prompt, "
     f"'answer ' || source AS completion, {D.r6_sql('n_chars / 1000.0')} AS main, CAST(0.0 AS DOUBLE) AS advantage FROM documents "
-    "WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)",
+    "QUALIFY row_number() OVER (PARTITION BY lang = 'en', (doc_id // 40) % 50, text ORDER BY doc_id) = 1",
 )
 def write_completions(t: Tables):
-    """The first row of each prompt, training and evaluation alike."""
+    """The first row of each prompt per log event; a prompt that comes back at a later step stays there."""
     path = run_folder(t.spark, "completions")
     rows = t.documents.select(
         F.when(F.col("lang") == "en", "train").otherwise("eval").alias("mode"),

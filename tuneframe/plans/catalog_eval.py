@@ -127,8 +127,8 @@ def eval_tool(t: Tables):
 @query(
     "evaluate_cls",
     with_tables("pred_wsc")
-    + ", s AS (SELECT example_id % 3 AS run_id, CASE WHEN parsed = reference THEN 1.0 ELSE 0.0 END AS a, "
-    "CASE WHEN parsed IS NOT NULL THEN 1.0 ELSE 0.0 END AS p FROM pred_wsc), "
+    + ", s AS (SELECT r AS run_id, CASE WHEN parsed = reference AND (example_id + r) % 5 <> 0 THEN 1.0 ELSE 0.0 END AS a, "
+    "CASE WHEN parsed IS NOT NULL AND (example_id + r) % 5 <> 0 THEN 1.0 ELSE 0.0 END AS p FROM pred_wsc, range(3) x(r)), "
     f"m AS (SELECT run_id, {r6_sql('avg(a)')} AS eval_init_small_data_accuracy, {r6_sql('avg(p)')} "
     "AS eval_init_small_data_parse_success, count(*) AS n FROM s GROUP BY 1) "
     "SELECT *, 'wsc' AS task FROM m UNION ALL SELECT *, 'all' FROM m",
@@ -137,9 +137,10 @@ def evaluate_cls(t: Tables):
     """Builder, leakage audit, scoring and means in one go."""
     examples = D.cls_wsc(t)
     _, table = datasets.build_sft_cls("wsc", examples, examples)
-    predictions = D.cls_predictions(examples, "wsc").select(
-        "example_id", "prediction", (F.col("example_id") % 3).alias("run_id")
-    )
+    every_run = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("run_id")
+    predictions = D.cls_predictions(examples, "wsc").select("example_id", "prediction", every_run)
+    silent = (F.col("example_id") + F.col("run_id")) % 5 == 0
+    predictions = predictions.withColumn("prediction", F.when(silent, "no answer").otherwise(F.col("prediction")))
     table = table.withColumnRenamed("row_idx", "example_id")
     means = evaluation.evaluate(table, predictions, ["run_id"], prefix="eval_init")
     names = [f"eval_init_small_data_{m}" for m in scoring.CLS_METRICS]
@@ -155,11 +156,24 @@ def evaluate_cls(t: Tables):
 )
 def evaluate_tool(t: Tables):
     table = D.tool_gold(t).withColumn("prompt", F.concat(F.lit("Question "), F.col("example_id").cast("string")))
-    means = evaluation.evaluate(table, D.tool_predictions(t), ["step"], prefix="eval_final")
+    means = evaluation.evaluate(table, D.tool_predictions(t), ["step"], prefix="eval_final", complete=False)
     names = [f"eval_final_tooluse_{m}" for m in scoring.TOOL_METRICS]
     return means.select("step", *[r6(name).alias(name) for name in names], "n")
 
 
+@query(
+    "evaluation_gaps",
+    "WITH p AS (SELECT user_id % 12 AS run_id, event_id % 40 AS example_id, count(*) AS n FROM events GROUP BY 1, 2) "
+    "SELECT run_id, 37 - count(*) FILTER (example_id < 37) AS n_missing, CAST(sum(n - 1) AS BIGINT) AS n_repeated, "
+    "count(*) FILTER (example_id >= 37) AS n_unknown FROM p GROUP BY 1",
+)
+def evaluation_gaps(t: Tables):
+    """Events as predictions of forty examples; references of the last three are missing."""
+    predictions = t.events.select((F.col("user_id") % 12).alias("run_id"), (F.col("event_id") % 40).alias("example_id"))
+    references = t.events.select((F.col("event_id") % 37).alias("example_id"))
+    return scoring.evaluation_gaps(predictions, references, ["run_id"])
+
+
 # ------------------------------------------------------------------ leakage
 
 MARKER_SQL = (

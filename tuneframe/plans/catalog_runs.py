@@ -96,9 +96,10 @@ def best_checkpoint(t: Tables):
     "FROM (SELECT * FROM m WHERE phase = 'initial') i FULL JOIN (SELECT * FROM m WHERE phase = 'final') f USING (run_id, metric)",
 )
 def init_vs_final(t: Tables):
-    """The first half of the events is the initial evaluation, the second half the final one."""
+    """The first half of the events is the initial evaluation, the second half a plain one, whose
+    prefix is the start of the other's."""
     half = t.events.agg(F.max("event_id") / 2).scalar()
-    prefix = F.when(F.col("event_id") < half, "eval_init_").otherwise("eval_final_")
+    prefix = F.when(F.col("event_id") < half, "eval_init_").otherwise("eval_")
     metrics = (
         t.events.select(
             F.concat(F.lit("run_"), (F.col("user_id") % 12).cast("string")).alias("run_id"),
@@ -108,7 +109,7 @@ def init_vs_final(t: Tables):
         .groupBy("run_id", "name")
         .agg(F.avg("value").alias("value"))
     )
-    compared = runs.init_vs_final(metrics)
+    compared = runs.init_vs_final(metrics, final="eval")
     return compared.select("run_id", "metric", *[r6(c).alias(c) for c in ("initial", "final", "change")])
 
 
@@ -116,7 +117,7 @@ def init_vs_final(t: Tables):
     "method_comparison",
     f"WITH {EVALS_SQL}, best AS (SELECT run_name, max(value) AS value FROM evals GROUP BY 1), "
     "named AS (SELECT string_split(run_name, '_') AS p, value FROM best) "
-    "SELECT p[1] AS task, p[3] AS scenario, CAST(p[4][3:] AS INT) AS num_generations, "
+    "SELECT p[1] AS task, p[3] AS scenario, CAST(p[4][3:] AS BIGINT) AS num_generations, "
     f"{r6_sql(chr(39).join(['avg(value) FILTER (p[2] = ', 'sft', ')']))} AS sft, "
     f"{r6_sql(chr(39).join(['avg(value) FILTER (p[2] = ', 'distil', ')']))} AS distil FROM named GROUP BY 1, 2, 3",
 )
@@ -215,12 +216,15 @@ def stream_run_log(t: Tables):
 
 @query(
     "stream_score",
-    "SELECT 'run_' || (user_id % 12) AS run_id, event_id % 50 AS step, "
-    f"{r6_sql('avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy, "
-    f"{r6_sql('avg(CASE WHEN event_id % 3 = 2 THEN 0.0 ELSE 1.0 END)')} AS parse_success, count(*) AS n FROM events GROUP BY 1, 2",
+    "SELECT 'run_' || (user_id % 12) || '_' || r AS run_id, event_id % 50 AS step, CASE WHEN event_id % 10 = 9 THEN 'missing_reference' "
+    "ELSE 'ok' END AS status, "
+    f"{r6_sql('avg(CASE WHEN event_id % 10 = 9 THEN NULL WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy, "
+    f"{r6_sql('avg(CASE WHEN event_id % 10 = 9 THEN NULL WHEN event_id % 3 = 2 THEN 0.0 ELSE 1.0 END)')} AS parse_success, count(*) AS n "
+    "FROM events, range(2) x(r) GROUP BY 1, 2, 3",
 )
 def stream_score(t: Tables):
-    """Events stream in as predictions, twice each; repeats are dropped by the watermark state."""
+    """Events stream in as predictions of two runs, twice each; repeats are dropped by the watermark state,
+    and every tenth example has no reference."""
     sink, state = (run_folder(t.spark, f"score-{part}") for part in ("sink", "state"))
     source = (
         t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
@@ -236,16 +240,17 @@ def stream_score(t: Tables):
         F.concat(F.lit("run_"), (F.col("user_id") % 12).cast("string")).alias("run_id"),
         (F.col("event_id") % 50).alias("step"),
         answer.alias("prediction"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"),
-    ).drop("copy")
-    references = t.events.select(
+        F.explode(F.array(F.lit("_0"), F.lit("_1"), F.lit("_0"), F.lit("_1"))).alias("copy"),
+    )
+    predictions = predictions.withColumn("run_id", F.concat("run_id", "copy")).drop("copy")
+    references = t.events.where(F.col("event_id") % 10 != 9).select(
         F.col("event_id").alias("example_id"), F.lit("wsc").alias("task"), F.lit("True").alias("reference")
     )
     scored = jobs.scored_stream(predictions, references)
     jobs.stream_score(scored, sink, state).awaitTermination()
     means = (
         t.spark.read.parquet(sink)
-        .groupBy("run_id", "step")
+        .groupBy("run_id", "step", "status")
         .agg(
             r6(F.avg("accuracy")).alias("accuracy"),
             r6(F.avg("parse_success")).alias("parse_success"),

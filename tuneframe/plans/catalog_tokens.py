@@ -287,3 +287,24 @@ def blend_history(t: Tables):
     start = t.embeddings.select("label").distinct().withColumn("value", F.array_repeat(F.lit(1.0), D.VOCAB))
     followed = distill.blend_history(steps, start, 0.5, 2, key="label")
     return followed.select("label", F.posexplode("value").alias("i", "value")).withColumn("value", r6("value"))
+
+
+@query(
+    "token_guard",
+    "SELECT vec_id, vec_id % 7 BETWEEN 1 AND 6 AS arrow_null, vec_id % 7 BETWEEN 1 AND 6 AS sql_null FROM embeddings",
+)
+def token_guard(t: Tables):
+    """Token ids outside, vectors of two widths, empty, missing or with a hole: no numbers, and none for the neighbours to lose."""
+    vector, kind = F.col("embedding"), F.col("vec_id") % 7
+    rows = t.embeddings.select(
+        "vec_id",
+        F.when(kind == 1, F.size(vector)).when(kind == 5, -1).otherwise(0).alias("token_id"),
+        F.when(kind == 3, F.slice(vector, 1, 0)).otherwise(vector).alias("student_logits"),
+        F.when(kind == 2, F.slice(vector, 1, 3)).when(kind == 6, F.transform(vector, lambda x, i: F.when(i != 1, x)))
+        .when(kind != 4, vector).alias("teacher_logits"),
+    )
+    both = [
+        distill.token_metrics(rows, engine=engine).select("vec_id", F.col("student_logp").isNull().alias(f"{engine}_null"))
+        for engine in ("arrow", "sql")
+    ]
+    return both[0].join(both[1], "vec_id")

@@ -81,13 +81,15 @@ def generation_batches(t: Tables):
 
 @query(
     "microbatch_slices",
-    f"WITH {PLAN_SQL} SELECT ordinal, batch_id, (row_number() OVER (PARTITION BY batch_id ORDER BY "
-    "md5('42:' || batch_id || ':' || ordinal), ordinal) - 1) // 4 AS slice FROM (SELECT *, ordinal // 8 AS batch_id FROM sampled)",
+    "WITH o AS (SELECT unnest(range((count(*) - count(*) % 8) * 12)) AS ordinal FROM part), b AS (SELECT *, ordinal // 8 AS batch_id FROM o) "
+    "SELECT ordinal, batch_id, batch_id % 2 AS process, (row_number() OVER (PARTITION BY batch_id ORDER BY "
+    "md5('42:' || batch_id || ':' || ordinal), ordinal) - 1) // 4 AS slice FROM b",
 )
 def microbatch_slices(t: Tables):
-    batched = batches.generation_batches(_sampled(t), 4, PLAN.steps_per_generation)
-    sliced = batches.microbatch_slices(batched.select("ordinal", "batch_id"), PLAN, SEED, F.col("ordinal"))
-    return sliced.select("ordinal", "batch_id", "slice")
+    """Two processes: generation batches of sixteen, of which each process takes eight in slices of four."""
+    plan = batches.batch_plan(per_device_batch=4, accumulation_steps=2, num_generations=2, num_iterations=3, num_processes=2)
+    n_rows = batches.sampler_summary(t.part, plan).select("n_plan_rows").scalar()
+    return batches.microbatch_slices(n_rows, plan, SEED, t.spark)
 
 
 @query(
@@ -126,11 +128,14 @@ def latest_n_examples(t: Tables):
 
 @query(
     "drop_duplicate_prompts",
-    "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, text FROM documents GROUP BY text",
+    "SELECT turn % 2 AS run_id, conv_id % 3 AS step, min(conv_id * 1000 + turn) AS ordinal, role AS prompt FROM conversations GROUP BY 1, 2, 4",
 )
 def drop_duplicate_prompts(t: Tables):
-    rows = t.documents.select("doc_id", "source", "text")
-    return ordering.drop_duplicate_prompts(rows, "doc_id", "text")
+    """Roles as prompts: each comes back in every run and step, and stays once in each."""
+    rows = t.conversations.select(
+        (F.col("turn") % 2).alias("run_id"), (F.col("conv_id") % 3).alias("step"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.col("role").alias("prompt")
+    )
+    return ordering.drop_duplicate_prompts(rows, "ordinal")
 
 
 # ------------------------------------------------------------------ completions

@@ -1,7 +1,7 @@
 """Training and evaluation tables.
 
 Each builder is one narrow job: raw rows in, finished rows out, no shuffle except the join
-with a few-shot manifest. The order of a training split is the column ``shuffle_key`` (with
+with a few-shot manifest, which is checked first. The order of a training split is the column ``shuffle_key`` (with
 ``row_idx`` as tie-breaker); sort or number by it only where an order is really consumed.
 """
 
@@ -15,7 +15,7 @@ from tuneframe.functions import labels as L
 from tuneframe.functions import prompts as P
 from tuneframe.functions.text import as_text
 from tuneframe.operators.ordering import shuffle_key
-from tuneframe.operators.subset import fewshot_subset
+from tuneframe.operators.subset import fewshot_subset, require_manifest
 
 DEFAULT_SEED = 42
 
@@ -44,7 +44,10 @@ def _select(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def _split_pair(train: DataFrame, evaluation: DataFrame, manifest: DataFrame | None):
-    return (train if manifest is None else fewshot_subset(train, manifest).drop("pos")), evaluation
+    if manifest is None:
+        return train, evaluation
+    require_manifest(train, manifest)
+    return fewshot_subset(train, manifest).drop("pos"), evaluation
 
 
 def _label_columns(task: str, messages: bool) -> tuple[dict[str, Column], dict[str, Column]]:

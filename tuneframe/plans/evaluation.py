@@ -27,16 +27,21 @@ def evaluate(
     prefix: str = "eval",
     key: str = "example_id",
     audit: bool = True,
+    complete: bool = True,
 ) -> DataFrame:
     """Metrics per group of ``predictions`` (``key, prediction`` and the groups).
 
-    The audit raises before anything is scored when a prompt gives its answer away. Each
-    example counts once per prediction row. Predictions are parsed and gold columns picked
+    The audit raises before anything is scored when a prompt gives its answer away. With
+    ``complete`` every group must predict every example exactly once, else this raises;
+    :func:`scoring.evaluation_gaps` shows what is amiss. Without it each example counts once per
+    prediction row. Predictions are parsed and gold columns picked
     before the join, so neither prompts nor answer texts are shuffled.
     """
     kind = task_kind(eval_table)
     if audit:
         leakage.assert_no_leaks(eval_table, key)
+    if complete:
+        scoring.require_complete(scoring.evaluation_gaps(predictions, eval_table, groups, key))
     if kind == "labels":
         gold = eval_table.select(key, F.col("eval_label").alias("reference"), F.col("eval_task").alias("task"))
         scored = scoring.score_cls(scoring.pair_predictions(scoring.with_answers(predictions), gold, [key]))

@@ -80,11 +80,12 @@ def read_run_log(spark: SparkSession, path: str, pattern: str | None = None) ->
     return parse_metric_lines(lines, run)
 
 
-def with_row_idx(df: DataFrame, path_order: str = "_metadata.file_name") -> DataFrame:
+def with_row_idx(df: DataFrame, path_order: str = "_metadata.file_path") -> DataFrame:
     """Stored order of a parquet table as a dense ``row_idx``, over any number of files.
 
-    The file's own row index is the position inside it; the files' sizes, added up in name
-    order, are the offsets.
+    The file's own row index is the position inside it; the files' sizes, added up in path
+    order, are the offsets. Whole paths, because the files of one job have the same name in every
+    partition folder. The sizes, one row per file, meet in one task.
     """
     placed = df.select("*", F.col(path_order).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.lit(0).alias("_all"))

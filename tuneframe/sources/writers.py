@@ -108,8 +108,10 @@ def metric_lines(metrics: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def write_run_log(metrics: DataFrame, path: str, run: str = "run_name") -> None:
-    """Append the metric lines of each run to a folder of its own."""
-    metric_lines(metrics, [run]).hint("rebalance", run).write.mode("append").partitionBy(run).text(path)
+    """Write the metric lines of each run to a folder of its own, in place of what the run had there: a
+    repeated write leaves the same lines. Other runs' folders stay."""
+    lines = metric_lines(metrics, [run]).hint("rebalance", run)
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).text(path)
 
 
 def land_tooluse(df: DataFrame, path: str) -> None:

@@ -23,9 +23,9 @@ def _trigger(writer: DataStreamWriter, interval: str | None) -> DataStreamWriter
 # ------------------------------------------------------------------ run logs
 
 
-def run_log_stream(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Metrics of the complete log files that appear under ``path``."""
-    lines = spark.readStream.option("recursiveFileLookup", "true").text(path)
+def run_log_stream(spark: SparkSession, path: str, pattern: str | None = None, max_files: int = 1000) -> DataFrame:
+    """Metrics of the complete log files that appear under ``path``, at most ``max_files`` in a micro-batch."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).text(path)
     run = run_of_path(F.col("_metadata.file_path"), *([pattern] if pattern else []))
     return parse_metric_lines(lines, run)
 
@@ -50,13 +50,16 @@ def stream_run_log(
 
 
 def latest_from_sink(spark: SparkSession, sink: str) -> DataFrame:
-    """Latest value per (run, metric) of ``step``-carrying metrics in a sink."""
+    """Latest value per (run, metric) in a sink: by the step in the tag, then by micro-batch.
+
+    A restarted run may log a tag twice in one batch; then the larger value counts, NaN least.
+    """
     rows = spark.read.schema("run_name string, tag string, name string, value double, batch int").parquet(sink)
     step = F.coalesce(F.regexp_extract("tag", r"_(\d+)$", 1).try_cast("bigint"), F.lit(0))
     return (
         rows.withColumn("step", step)
         .groupBy("run_name", "name")
-        .agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
+        .agg(F.max("step").alias("step"), F.max_by("value", F.struct("step", "batch", F.nanvl("value", F.lit(None).cast("double")))).alias("value"))
     )
 
 
@@ -64,12 +67,19 @@ def latest_from_sink(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def scored_stream(
-    predictions: DataFrame, references: DataFrame, time: str = "ts", delay: str = "1 hour", keys=("example_id", "step")
+    predictions: DataFrame, references: DataFrame, time: str = "ts", delay: str = "1 hour", keys=("run_id", "example_id", "step")
 ) -> DataFrame:
     """Score predictions as they land. Repeats of a key within the watermark are dropped;
-    the state that remembers keys is bounded by the watermark."""
+    the state that remembers keys is bounded by the watermark.
+
+    A prediction without a reference is kept with ``status`` ``missing_reference`` and NULL scores. Rows
+    later than the watermark are dropped by Spark; ``numRowsDroppedByWatermark`` of the query's
+    progress counts them, and a longer ``delay`` lets them in.
+    """
     once = predictions.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-    return score_cls(with_answers(once).join(references, "example_id"), strict=False)
+    found = with_answers(once).join(references.withColumn("_found", F.lit(True)), "example_id", "left")
+    status = F.when(F.col("_found"), "ok").otherwise("missing_reference")
+    return score_cls(found.withColumn("status", status).drop("_found"), strict=False)
 
 
 def stream_score(scored: DataFrame, sink: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
