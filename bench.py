@@ -49,6 +49,9 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # Start the session, its Python workers and the file cache before the first timed query.
+    for name in ("eval_cls", "score_tool"):
+        seconds(spark, name, folder)
     timings = {}
     for name in names:
         seconds(spark, name, folder)

@@ -12,9 +12,9 @@ from tuneframe.operators.ordering import smallest_ids
 
 DETECTORS = ["completion_block", "teacher_equal", "marker"]
 DETECTOR_TEXT = {
-    "completion_block": "completion line block found in prompt at indices",
-    "teacher_equal": "prompt equals teacher_prompt at indices",
-    "marker": "teacher/reference leakage markers found in prompt at indices",
+    "completion_block": "the prompt contains its own completion in rows",
+    "teacher_equal": "the teacher prompt was used as prompt in rows",
+    "marker": "a teacher marker stands in the prompt of rows",
 }
 
 
