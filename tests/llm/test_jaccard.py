@@ -73,7 +73,7 @@ def test_keys_of_similar_sets_meet():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
             assert len(np.intersect1d(jaccard.sketch_keys(a, rule), jaccard.sketch_keys(b, rule)))
-            x, y = (np.frombuffer(jaccard.parity_bits(s), np.uint8) for s in (a, b))
+            x, y = (jaccard.parity_bits(s).view(np.uint64) for s in (a, b))
             assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
 
 

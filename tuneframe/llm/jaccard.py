@@ -10,8 +10,8 @@ of parity bits, whose Hamming distance is a lower bound too, discards candidates
 sets are compared.
 
 A group of copies or near copies is never expanded into pairs. Every key first links its classes
-to its smallest one; what these links connect needs no further candidates, and only classes that
-share a key across components are paired after that, all of them.
+to the one that shares most; what these links connect needs no further candidates, and only classes that
+share a key across components are paired after that, all that sizes and parity bits allow.
 
 * Fewer words than ``k``: the whole sequence is the one shingle. No words or null: an empty set,
   linked with nothing; its component is its own id. An empty table gives no rows.
@@ -94,14 +94,14 @@ def sketch_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_bits(shingles: np.ndarray) -> bytes:
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
     odd = np.bincount((shingles & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def sketches(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, class, bits, keys) per document; keys and bits once per class and task's batch."""
-    schema = "n_shingles long, class long, bits binary, keys array<long>"
+    schema = "n_shingles long, class long, bits array<long>, keys array<long>"
     num, den = rule.num, rule.den
 
     def run(batches):
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
                 offsets.append(offsets[-1] + (len(keys[-1]) if bits[-1] is not None else 0))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()),
+                [batch.column(1), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)],
                 ["doc_id", "n_shingles", "class", "bits", "keys"],
             )
@@ -131,26 +131,25 @@ def sketches(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
+def _side(info: DataFrame, name: str) -> DataFrame:
+    """Class ``name`` with its size and the words of its parity bits as plain columns, for use in a join's condition."""
+    bits = [F.get("bits", F.lit(i)).alias(f"{name}_b{i}") for i in range(PARITY_BITS // 64)]
+    return info.select(F.col("class").alias(name), F.col("n").alias(f"{name}_n"), *bits)
+
+
+def _may_link(rule: Rule, a: str, b: str):
+    """Sizes fit, and the parity bits differ in no more places than two similar sets may."""
+    x, y = F.col(f"{a}_n"), F.col(f"{b}_n")
+    distance = sum((F.bit_count(F.col(f"{a}_b{i}").bitwiseXOR(F.col(f"{b}_b{i}"))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    fits = F.least(x, y) * rule.den >= F.greatest(x, y) * rule.num
+    return fits & (distance * (rule.den + rule.num) <= (x + y) * (rule.den - rule.num))
+
+
 def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, k: int, rule: Rule) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar: sizes, then parity bits, then the sets."""
-    a = info.select(F.col("class").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("b_u"))
-    b = info.select(F.col("class").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("b_v"))
-    fits = (F.least("n_u", "n_v") * rule.den >= F.greatest("n_u", "n_v") * rule.num)
-    sized = pairs.join(a, "u").join(b, "v").filter(fits)
     num, den = rule.num, rule.den
-
-    def near(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), U64).reshape(batch.num_rows, -1) for i in (3, 5)]
-            distance = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
-            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            keep = pa.array(distance <= total * (den - num) // (den + num))
-            yield batch.select([0, 1]).filter(keep)
-
-    likely = sized.select("u", "v", "n_u", "b_u", "n_v", "b_v").mapInArrow(near, "u long, v long")
-    likely = written(likely, "jaccard-candidates")
+    sized = pairs.join(_side(info, "u"), "u").join(_side(info, "v"), "v").filter(_may_link(rule, "u", "v"))
+    likely = written(sized.select("u", "v"), "jaccard-candidates")
     wanted = likely.select(F.col("u").alias("class")).union(likely.select("v")).distinct()
     # One document stands for a class; only texts of classes with a candidate are turned into sets again.
     chosen = info.join(wanted, "class").select("class", "doc_id")
@@ -195,21 +194,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     info = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     info = written(info, "jaccard-classes")
     keys = full.select(F.explode("keys").alias("key"), "class")
-    shared = keys.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("last")).filter("hub < last")
-    shared = written(keys.join(shared.select("key", "hub"), "key"), "jaccard-shared")
-    stars = shared.filter("class <> hub").select(F.col("hub").alias("u"), F.col("class").alias("v")).distinct()
-    links = _verified(written(stars, "jaccard-stars"), info, docs, k, rule)
+    shared = keys.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
+    shared = written(keys.join(shared.select("key", "size"), "key").distinct(), "jaccard-shared")
+    # A key's hub is its class that shares most: of near copies that differ from each other, the one in the middle.
+    score = shared.groupBy("class").agg(F.sum("size").alias("score"))
+    hubs = shared.join(score, "class").groupBy("key").agg(F.max(F.struct("score", "class"))["class"].alias("hub"))
+    stars = shared.join(hubs, "key").filter("class <> hub")
+    stars = written(stars.select(F.least("hub", "class").alias("u"), F.greatest("hub", "class").alias("v")).distinct(), "jaccard-stars")
+    links = _verified(stars, info, docs, k, rule)
     known = components(links)
     # Keys that still hold classes of several components: every pair across components, once.
-    placed = shared.select("key", "class").distinct().join(known, F.col("class") == F.col("node"), "left")
+    placed = shared.select("key", "class").join(known, F.col("class") == F.col("node"), "left")
     placed = placed.select("key", "class", F.coalesce("component", "class").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
     placed = written(placed.join(mixed, "key", "left_semi"), "jaccard-open")
     # The largest component of a key needs no pairs within, so the others meet all of the key.
     largest = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", "n").alias("main"))
+    # Sizes and parity bits are looked at inside the join, so pairs that cannot link are never made.
     minor = placed.join(largest, "key").filter("part <> main").select("key", F.col("class").alias("a"), F.col("part").alias("p"), "main")
-    others = placed.select("key", F.col("class").alias("b"), F.col("part").alias("q"))
-    meets = minor.join(others, "key").filter("p <> q AND (q = main OR a < b)")
+    minor = minor.join(_side(info, "a"), "a")
+    others = placed.select("key", F.col("class").alias("b"), F.col("part").alias("q")).join(_side(info, "b"), "b")
+    apart = F.expr("p <> q AND (q = main OR a < b)")
+    meets = minor.withColumnRenamed("key", "k").join(others, (F.col("k") == F.col("key")) & apart & _may_link(rule, "a", "b"))
     pairs = meets.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     pairs = pairs.join(stars, ["u", "v"], "left_anti")
     more = _verified(written(pairs, "jaccard-pairs"), info, docs, k, rule)
