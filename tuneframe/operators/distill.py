@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,13 +253,62 @@ def blend_vectors(model: DataFrame, reference: DataFrame, alpha: float, key: str
     )
 
 
-def blend_history(steps: DataFrame, reference: DataFrame, alpha: float, every: int, key: str = "key") -> DataFrame:
+def vector_blocks(vectors: DataFrame, size: int, value: str = "value") -> DataFrame:
+    """Cut long vectors: a row per ``block`` of at most ``size`` values. Joins and sums work per block."""
+    last = F.floor((F.size(value) - 1) / size).cast("int")
+    pieces = F.when(F.size(value) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(value, i * size + 1, size)))
+    others = [c for c in vectors.columns if c != value]
+    return vectors.select(*others, F.posexplode(pieces).alias("block", value))
+
+
+def _weighted_sums(parts: DataFrame, key: str) -> DataFrame:
+    """Sum of ``weight * value`` per (key, block). Blocks are added up per batch before the shuffle, so what
+    meets in one task is a block per batch, however many steps a key has."""
+    schema = f"`{key}` {parts.schema[key].dataType.simpleString()}, block int, value array<double>"
+
+    def add(keys, blocks, weights, values) -> pa.Table:
+        sums: dict = {}
+        for name, block, weight, value in zip(keys, blocks, weights, values):
+            own = np.asarray(value, np.float64) * weight
+            have = sums.get((name, block))
+            if have is None:
+                sums[name, block] = own
+            elif len(have) == len(own):
+                have += own
+            else:
+                raise ValueError(f"vectors of {name!r} differ in length")
+        return list(sums), list(sums.values())
+
+    def rows(kind, names, sums):
+        columns = [pa.array([n for n, _ in names], kind), pa.array([b for _, b in names], pa.int32()), pa.array(sums, pa.list_(pa.float64()))]
+        return columns, [key, "block", "value"]
+
+    def of(table):
+        values = [x.values.to_numpy(zero_copy_only=False) for x in table.column(3)]
+        return add(*(table.column(i).to_pylist() for i in range(3)), values)
+
+    def per_batch(batches):
+        for batch in batches:
+            columns, names = rows(batch.column(0).type, *of(batch))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def per_block(part):
+        columns, names = rows(part.column(0).type, *of(pa.table([part.column(0), part.column(1), pa.array([1.0] * part.num_rows), part.column(2)], ["k", "b", "w", "v"])))
+        return pa.table(columns, names)
+
+    partial = parts.select(key, "block", "weight", "value").mapInArrow(per_batch, schema)
+    return partial.groupBy(key, "block").applyInArrow(per_block, schema)
+
+
+def blend_history(
+    steps: DataFrame, reference: DataFrame, alpha: float, every: int, key: str = "key", block_size: int = 4096
+) -> DataFrame:
     """Reference vector after following ``(key, step, value)`` at every step divisible by
-    ``every``, starting from ``(key, value)``.
+    ``every``, starting from ``(key, value)``. Returns (key, block, value), blocks of ``block_size``.
 
     The recurrence unrolls to a weighted sum, ``alpha (1-alpha)^(k-i)`` for the i-th of k
-    synchronised steps, so it is a partial aggregation per vector component; the steps of
-    a key are never collected. Ranks are computed on step numbers without the vectors.
+    synchronised steps, so it is a sum per block of values. Neither single values nor whole vectors
+    become rows, and ranks are computed on step numbers without the vectors.
     """
     synced = steps.where(F.col("step") % every == 0)
     order = synced.select(key, "step").withColumn(
@@ -265,20 +316,6 @@ def blend_history(steps: DataFrame, reference: DataFrame, alpha: float, every: i
     )
     counts = order.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
     keep = F.lit(1.0 - alpha)
-    weight = F.lit(float(alpha)) * F.pow(keep, F.col("_later"))
-    parts = synced.join(order, [key, "step"]).select(
-        key, F.posexplode("value").alias("_i", "_v"), weight.alias("_w")
-    )
-    start = reference.join(counts, key, "left").select(
-        key,
-        F.posexplode("value").alias("_i", "_v"),
-        F.pow(keep, F.coalesce("_k", F.lit(0))).alias("_w"),
-    )
-    return (
-        parts.unionByName(start)
-        .groupBy(key, "_i")
-        .agg(F.sum(F.col("_w") * F.col("_v").cast("double")).alias("_v"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_all"))
-        .select(key, F.transform("_all", lambda p: p["_v"]).alias("value"))
-    )
+    parts = synced.join(order, [key, "step"]).select(key, F.col("value").cast("array<double>").alias("value"), (F.lit(float(alpha)) * F.pow(keep, F.col("_later"))).alias("weight"))
+    start = reference.join(counts, key, "left").select(key, F.col("value").cast("array<double>").alias("value"), F.pow(keep, F.coalesce("_k", F.lit(0))).alias("weight"))
+    return _weighted_sums(vector_blocks(parts.unionByName(start), block_size), key)

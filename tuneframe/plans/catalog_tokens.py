@@ -285,8 +285,9 @@ def blend_vectors(t: Tables):
 def blend_history(t: Tables):
     steps = t.embeddings.select("label", F.col("vec_id").alias("step"), F.col("embedding").alias("value"))
     start = t.embeddings.select("label").distinct().withColumn("value", F.array_repeat(F.lit(1.0), D.VOCAB))
-    followed = distill.blend_history(steps, start, 0.5, 2, key="label")
-    return followed.select("label", F.posexplode("value").alias("i", "value")).withColumn("value", r6("value"))
+    followed = distill.blend_history(steps, start, 0.5, 2, key="label", block_size=24)
+    values = followed.select("label", "block", F.posexplode("value").alias("i", "value"))
+    return values.select("label", (F.col("block") * 24 + F.col("i")).alias("i"), r6("value").alias("value"))
 
 
 @query(
