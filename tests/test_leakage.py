@@ -39,7 +39,7 @@ def test_report_and_error(rows):
     df = rows(ROWS, [(i, "the correct label is: x", "c", "t") for i in range(25)] + [(100, "p", "p", "p")])
     report = {r["detector"]: (r["n"], r["first_ids"]) for r in leakage.leak_report(df, "id").collect()}
     assert report == {"marker": (25, list(range(10))), "completion_block": (1, [100]), "teacher_equal": (1, [100])}
-    with pytest.raises(ValueError, match=r"leakage detected: completion line block.*\[100\]; prompt equals.*; teacher/reference.*\[0, 1, 2"):
+    with pytest.raises(ValueError, match=r"leakage detected: .*own completion.*\[100\]; .*used as prompt.*; .*marker.*\[0, 1, 2"):
         leakage.assert_no_leaks(df, "id")
     leakage.assert_no_leaks(rows(ROWS, [(1, "p", "c", "t")]), "id")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tuneframe.constants import LEAK_MARKERS, LEAK_REPORT_IDS
 from tuneframe.functions.text import contains_line_block, let, non_empty_lines, strip
 from tuneframe.operators.ordering import smallest_ids
+from tuneframe.session import written
 
 DETECTORS = ["completion_block", "teacher_equal", "marker"]
 DETECTOR_TEXT = {
@@ -83,6 +84,7 @@ def assert_no_leaks(rows: DataFrame, row_id: str) -> None:
 
 
 BLOCK = ["block_a", "block_b"]
+LINE = ["line_a", "line_b"]
 
 
 def _block_key(lines: Column) -> Column:
@@ -90,47 +92,47 @@ def _block_key(lines: Column) -> Column:
     return F.struct(F.xxhash64(lines).alias(BLOCK[0]), F.hash(lines).alias(BLOCK[1]))
 
 
+def _line_keys(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias(LINE[0]), F.hash(line).alias(LINE[1])))
+
+
 def passage_blocks(passages: DataFrame, passage_id: str, text: str = "text") -> DataFrame:
-    """``passage_id, n_lines, block_a, block_b`` of every passage with at least one line."""
+    """``passage_id, n_lines, line_keys, block_a, block_b`` of every passage with at least one line."""
     sized = let(
         non_empty_lines(F.col(text)),
-        lambda lines: F.struct(F.size(lines).alias("n_lines"), _block_key(lines).alias("key")),
+        lambda lines: F.struct(F.size(lines).alias("n_lines"), _line_keys(lines).alias("line_keys"), _block_key(lines).alias("key")),
     )
     return (
         passages.select(passage_id, sized.alias("_sized"))
         .where(F.col("_sized.n_lines") > 0)
-        .select(passage_id, "_sized.n_lines", "_sized.key.*")
+        .select(passage_id, "_sized.n_lines", "_sized.line_keys", "_sized.key.*")
     )
 
 
 def block_hits(documents: DataFrame, blocks: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     """``doc_id, block_a, block_b`` for every distinct passage block that stands in a document.
 
-    Every run of lines as long as some passage is hashed inside the document's own row and
-    matched on the whole block, so a boilerplate line shared by many passages or documents
-    cannot multiply candidates: a match is a result. Passages with equal lines count as one
-    block, and repeats inside a document collapse after the semi join, when only matches are
-    left. Spark broadcasts the distinct blocks only while their measured size allows; beyond
-    that the 12-byte keys are shuffled, never the texts.
+    Each line is hashed once, and only lines that some passage has go on. A block is looked for
+    where its rarest line stands, by the lines' counts over all documents, and then every line
+    of it is compared at its place. So the work follows the lines and the matches, not the number of
+    different passage lengths, and a boilerplate line that many passages or documents share multiplies nothing
+    unless a passage consists of such lines only. Passages with equal lines count as one block.
     """
-    lengths = blocks.agg(F.sort_array(F.collect_set("n_lines"))).scalar()
-
-    def runs_in(lines: Column) -> Column:
-        def runs_of(length: Column) -> Column:
-            last = F.size(lines) - length + 1
-            starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: _block_key(F.slice(lines, i, length)))
-
-        return F.flatten(F.transform("_lengths", runs_of))
-
-    runs = (
-        documents.withColumn("_lengths", lengths)
-        # Outer, so that the optimizer does not hash every run twice to skip empty lists.
-        .select(doc_id, F.explode_outer(let(non_empty_lines(F.col(text)), runs_in)).alias("_run"))
-        .where(F.col("_run").isNotNull())
-        .select(doc_id, "_run.*")
-    )
-    return runs.join(blocks.select(*BLOCK).distinct(), BLOCK, "left_semi").distinct()
+    distinct = blocks.select(*BLOCK, "n_lines", "line_keys").dropDuplicates(BLOCK)
+    members = written(distinct.select(*BLOCK, "n_lines", F.posexplode("line_keys").alias("_off", "_k")).select(*BLOCK, "n_lines", "_off", "_k.*"), "passage-lines")
+    lines = documents.select(doc_id, F.posexplode(_line_keys(non_empty_lines(F.col(text)))).alias("_pos", "_k")).select(doc_id, "_pos", "_k.*")
+    found = written(lines.join(members.select(*LINE).distinct(), LINE, "left_semi"), "found-lines")
+    counts = found.groupBy(*LINE).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.min_by(F.struct("_off", *LINE), F.struct("_n", "_off")).alias("_at")
+    anchors = members.join(counts, LINE).groupBy(*BLOCK, "n_lines").agg(place, F.count(F.lit(1)).alias("_known"))
+    anchors = anchors.where("_known = n_lines").select(*BLOCK, "n_lines", "_at.*")
+    starts = found.join(anchors, LINE).select(doc_id, (F.col("_pos") - F.col("_off")).alias("_start"), *BLOCK).where("_start >= 0")
+    # A document with equal rows, or with a null id, is one document here.
+    starts = starts.distinct()
+    expected = starts.join(members, BLOCK).select(doc_id, "_start", *BLOCK, "n_lines", (F.col("_start") + F.col("_off")).alias("_pos"), *LINE)
+    there = expected.join(found.distinct(), [doc_id, "_pos", *LINE])
+    whole = there.groupBy(doc_id, "_start", *BLOCK, "n_lines").agg(F.count(F.lit(1)).alias("_hit")).where("_hit = n_lines")
+    return whole.select(doc_id, *BLOCK).distinct()
 
 
 def leak_cross(
@@ -142,7 +144,7 @@ def leak_cross(
 ) -> DataFrame:
     """Per leaked passage: the number of documents that hold it as a block of lines, and the
     first document ids. Pairs are never listed, so copies on either side stay linear."""
-    blocks = passage_blocks(passages, passage_id)
+    blocks = written(passage_blocks(passages, passage_id), "passage-blocks")
     per_block = smallest_ids(block_hits(documents, blocks, doc_id), BLOCK, doc_id, first)
     return blocks.join(per_block, BLOCK).select(
         passage_id, "n_lines", F.col("n").alias("n_docs"), F.col("first_ids").alias("first_docs")
