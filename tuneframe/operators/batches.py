@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.functions import arrays
@@ -172,16 +172,16 @@ def padded_batches(
     rows: DataFrame, batch: str, prompt_ids: str, completion_ids: str, pad: int, eos: int, mask_truncated: bool = False
 ) -> DataFrame:
     """Fixed-width export of a batch: left-padded prompts, right-padded completions, masks
-    and their concatenation, padded to the longest sequence of the batch."""
-    widths = rows.groupBy(batch).agg(
-        F.max(F.size(prompt_ids)).alias("_p"), F.max(F.size(completion_ids)).alias("_c")
-    )
+    and their concatenation, padded to the longest sequence of the batch. A batch is small, so its rows
+    meet once, in a window over the batch: one scan and one exchange."""
+    own = Window.partitionBy(batch)
+    widths = {"_p": F.max(F.size(prompt_ids)).over(own), "_c": F.max(F.size(completion_ids)).over(own)}
     p, c = F.col(prompt_ids), F.col(completion_ids)
     completion_mask = arrays.ones(c)
     if mask_truncated:
         completion_mask = arrays.truncated_mask(completion_mask, c, eos, pad)
     return (
-        rows.join(widths, batch)
+        rows.withColumns(widths)
         .withColumn("prompt_mask", arrays.pad_left(arrays.ones(p), F.col("_p"), 0))
         .withColumn("completion_mask", arrays.pad_right(completion_mask, F.col("_c"), 0))
         .withColumn(prompt_ids, arrays.pad_left(p, F.col("_p"), pad))

@@ -63,13 +63,16 @@ def position_by_id(df: DataFrame, row_id: str = "row_idx", name: str = "pos") ->
     return _positions(df, F.shiftright(F.col(row_id), ID_BITS), [row_id], name, sparse=True)
 
 
-def seeded_shuffle(df: DataFrame, seed: int | str, row_id: str = "row_idx", name: str = "pos") -> DataFrame:
+def seeded_shuffle(
+    df: DataFrame, seed: int | str, row_id: str = "row_idx", name: str = "pos", digits: int = HASH_DIGITS
+) -> DataFrame:
     """Dense 0-based position in a permutation drawn from ``seed``.
 
-    The hash spreads unique ids evenly, so its leading digits are balanced buckets.
+    The hash spreads unique ids evenly, so its leading digits are ``16 ** digits`` balanced buckets. Their number is
+    fixed and they grow with the table: five digits suit 10^11 rows, six 10^12.
     """
     df = df.withColumn("_key", shuffle_key(seed, F.col(row_id)))
-    bucket = F.conv(F.substring("_key", 1, HASH_DIGITS), 16, 10).cast("bigint")
+    bucket = F.conv(F.substring("_key", 1, digits), 16, 10).cast("bigint")
     return _positions(df, bucket, ["_key", row_id], name, sparse=False).drop("_key")
 
 
@@ -125,13 +128,16 @@ def smallest_ids(df: DataFrame, groups: Sequence[str], row_id: str, k: int, name
     return merge(merge(parts, [*groups, "_part"]), groups)
 
 
-def dedup_expand(df: DataFrame, key: Column, work) -> DataFrame:
+def dedup_expand(df: DataFrame, key: Column, work, keep: Sequence[str] | None = None) -> DataFrame:
     """Run ``work`` once per distinct key and spread its columns back to every row.
+    ``keep`` names the columns of ``df`` that the result carries, all by default: leave long texts out, and
+    the way back moves only key ids and those columns.
 
     ``work`` maps a DataFrame with columns ``key_id`` and ``key`` to one that keeps
     ``key_id``. Copies collapse before the shuffle; on the way back the side with one row
     per key is the small one, and AQE splits a hot key of the other side.
     """
-    keyed = df.withColumn("key_id", F.md5(key.cast("string")))
-    distinct = keyed.select("key_id", key.alias("key")).distinct()
-    return keyed.join(work(distinct).drop("key"), "key_id", "left").drop("key_id")
+    key_id = F.md5(key.cast("string")).alias("key_id")
+    distinct = df.select(key_id, key.alias("key")).groupBy("key_id").agg(F.any_value("key").alias("key"))
+    rows = df.select(*(df.columns if keep is None else keep), key_id)
+    return rows.join(work(distinct).drop("key"), "key_id", "left").drop("key_id")

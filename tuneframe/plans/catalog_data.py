@@ -484,3 +484,18 @@ def count_prototypes(t: Tables):
 def non_empty_lines_query(t: Tables):
     lines = t.documents.select("doc_id", non_empty_lines(F.col("text")).alias("lines"))
     return lines.select("doc_id", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("joined"))
+
+
+@query(
+    "row_idx_partitioned",
+    "SELECT lang, count(*) AS n, count(*) AS n_distinct FROM documents GROUP BY lang UNION ALL "
+    "SELECT 'all', count(*), count(*) FROM documents",
+)
+def row_idx_partitioned(t: Tables):
+    """Stored order over a table partitioned by language, whose folders hold files of one name: dense, no number twice."""
+    path = run_folder(t.spark, "by-language")
+    t.documents.select("doc_id", "lang").coalesce(1).write.partitionBy("lang").parquet(path)
+    numbered = readers.with_row_idx(t.spark.read.parquet(path))
+    dense = numbered.where(F.col("row_idx").between(0, t.documents.agg(F.count(F.lit(1)) - 1).scalar()))
+    group = F.explode(F.array(F.col("lang"), F.lit("all"))).alias("lang")
+    return dense.select("row_idx", group).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_idx").alias("n_distinct"))

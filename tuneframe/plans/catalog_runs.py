@@ -258,3 +258,21 @@ def stream_score(t: Tables):
         )
     )
     return means
+
+
+@query(
+    "windowed_scores",
+    "SELECT 'run_' || (user_id % 12) AS run_id, event_id % 5 AS step, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS window_start, "
+    f"{r6_sql('avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n FROM events GROUP BY 1, 2, 3",
+)
+def windowed_scores(t: Tables):
+    """Means per ten minutes of event time."""
+    scored = t.events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("run_"), (F.col("user_id") % 12).cast("string")).alias("run_id"),
+        (F.col("event_id") % 5).alias("step"),
+        F.when(F.col("event_id") % 3 == 0, 1.0).otherwise(0.0).alias("accuracy"),
+        F.lit(1.0).alias("parse_success"),
+    )
+    means = jobs.windowed_scores(scored)
+    return means.select("run_id", "step", F.col("window.start").cast("long").alias("window_start"), r6("accuracy").alias("accuracy"), "n")

@@ -113,7 +113,7 @@ def dedup_expand(t: Tables):
             F.md5(F.concat("key", F.lit("#"))).alias("digest"),
         )
 
-    return ordering.dedup_expand(t.documents.select("doc_id", "text"), F.col("text"), work).drop("text")
+    return ordering.dedup_expand(t.documents.select("doc_id", "text"), F.col("text"), work, keep=["doc_id"])
 
 
 @query(
