@@ -48,33 +48,58 @@ def shard_bwt(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, before[order]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge transforms by refining their interleave ``depth`` times.
+def _stepped(transforms: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all transforms, shard by shard: the one or two symbols before each suffix as one
+    number; the row of the suffix that starts with them; and which codes hold an end."""
+    value, row, base = [], [], 0
+    for transform in transforms:
+        back = np.empty(len(transform), np.int64)
+        back[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+        at, own = np.arange(len(transform)), np.zeros(len(transform), np.uint64)
+        for i in range(steps):
+            own |= transform[at].astype(np.uint64) << np.uint64(8 * i)
+            at = back[at]
+        value.append(own)
+        row.append(at + base)
+        base += len(transform)
+    code = np.concatenate(value).astype(np.uint8 if steps == 1 else np.uint16)
+    ended = np.zeros(1 << (8 * steps), bool)
+    for i in range(steps):
+        ended |= ((np.arange(len(ended)) >> (8 * i)) & 255) == END
+    return code, np.concatenate(row).astype(np.int32), ended
 
-    ``source`` tells which shard the next suffix in merged order comes from; at first shards stand one
-    after the other. A round deals the interleave out by preceding symbol, which sorts the suffixes by one
-    symbol more than before. Suffixes that agree on all symbols so far form a block; where a block
-    splits in round h, the common prefix of the neighbours is h - 1 long.
 
-    Returns the source of each merged suffix, its block after the last round, and the common prefix with the
-    suffix before it, at most ``depth``.
+def merge(transforms: list[np.ndarray], depth: int, steps: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge transforms by refining their interleave until it is sorted by ``depth`` symbols, a multiple of ``steps`` (1 or 2).
+
+    The interleave names a row of some shard for every merged position; at first shards stand one after the
+    other. A round deals it out by the ``steps`` preceding symbols and moves each row to the suffix that
+    starts with them, which sorts by that many symbols more than before; the suffixes themselves are never
+    compared. Suffixes that agree on all symbols so far form a block; where a block splits in round h, the
+    neighbours' common prefix is at least ``(h - 1) * steps`` and less than ``h * steps`` long.
+
+    Returns the row of each merged suffix, its block after the last round, and that lower bound of the common
+    prefix with the suffix before it, ``depth`` within a block.
     """
+    if depth % steps:
+        raise ValueError("the depth must be a multiple of the steps")
     total = sum(map(len, transforms))
-    kind = np.uint16 if len(transforms) < 1 << 16 else np.int64
-    source = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
-    block = np.zeros(total, np.int32)
+    row, block = np.arange(total, dtype=np.int32), np.zeros(total, np.int32)
     common = np.full(total, depth, np.uint8)
-    flat = np.concatenate([*transforms, np.zeros(0, np.uint8)])
-    for h in range(1, depth + 1):
-        symbol = np.empty(total, np.uint8)
-        symbol[np.argsort(source, kind="stable")] = flat  # every shard's symbols in its own order
+    if not total:
+        return row, block, common
+    code, back, ended = _stepped(transforms, steps)
+    new = np.ones(total, bool)
+    for h in range(steps, depth + 1, steps):
+        symbol = code[row]
         order = np.argsort(symbol, kind="stable")
-        source, past, symbol = source[order], block[order], symbol[order]
-        new = np.ones(total, bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (past[1:] != past[:-1]) | (symbol[1:] == END)
-        common[new & (common == depth)] = h - 1
+        row, past, symbol = back[row[order]], block[order], symbol[order]
+        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
+        new[1:] |= past[1:] != past[:-1]
+        new |= ended[symbol]
+        common[new & (common == depth)] = h - steps
         block = np.cumsum(new, dtype=np.int32)
-    return source, block, common
+    return row, block, common
 
 
 def repeated_intervals(strings: np.ndarray, ends: np.ndarray, depth: int, shard_bytes: int = 1 << 18) -> np.ndarray:
@@ -99,10 +124,9 @@ def repeated_intervals(strings: np.ndarray, ends: np.ndarray, depth: int, shard_
         order, transform = shard_bwt(closed[base : shut[b - 1]], shut[a:b] - base)
         arrays.append(order + base)
         transforms.append(transform)
-    source, block, _ = merge(transforms, depth)
-    where = np.empty(len(closed), np.int64)  # merged order, shard by shard
-    by_shard = np.argsort(source, kind="stable")
-    where[np.concatenate([*arrays, np.zeros(0, np.int64)])] = block[by_shard] if len(closed) else 0
+    row, block, _ = merge(transforms, depth, 2 if depth % 2 == 0 else 1)
+    where = np.empty(len(closed), np.int64)
+    where[np.concatenate([*arrays, np.zeros(0, np.int64)])[row]] = block
     out = where[place]
     out[np.arange(len(strings)) + depth > np.repeat(ends, size)] = -1
     return out

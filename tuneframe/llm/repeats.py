@@ -11,7 +11,7 @@ Transforms are only needed where texts can repeat. Every window of ``length`` by
 2. Around the others the chunk cuts regions, the bytes of all windows with that anchor. Equal regions of a chunk
    are one, with the smallest id that holds it, and go to the partition of the anchor.
 3. A partition cuts its regions into shards, transforms each and merges the transforms by iterative
-   interleave refinement. Blocks that are left after ``length`` rounds are the repeated intervals: the
+   interleave refinement. Blocks that are left after ``length`` symbols are the repeated intervals: the
    windows there are equal, their common prefix is ``length`` or more. Each learns its smallest id.
 4. The answers return to the chunks, which strike out what a smaller id holds.
 
@@ -43,7 +43,7 @@ GRAM = 24
 CHUNK_DOCS = 1 << 14
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 4 << 20
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
