@@ -47,3 +47,15 @@ def test_dedup_expand_runs_once_per_key(rows):
     got = {r["id"]: r["n"] for r in ordering.dedup_expand(df, F.col("text"), work).collect()}
     assert len(got) == 30 and got[1] == 4 and got[12] == 3
     assert seen[0].count() == 11
+
+
+def test_scratch_goes_with_its_block(spark):
+    import glob
+
+    from tuneframe.session import scratch, shared_folder, written
+
+    with scratch(spark):
+        kept = written(spark.range(3).toDF("x"), "scratch-test")
+        assert kept.count() == 3
+        assert glob.glob(f"{shared_folder(spark).removeprefix('file://')}/tuneframe/scratch-test-*")
+    assert not glob.glob(f"{shared_folder(spark).removeprefix('file://')}/tuneframe/scratch-test-*")

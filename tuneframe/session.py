@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -54,13 +56,37 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tuneframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_folders: list[str] = []
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one; concurrent runs never meet."""
-    return f"{shared_folder(spark)}/tuneframe/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tuneframe/{name}-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove the run folders that are made inside, when it ends. Results have to be written or read before.
+
+    A local session's own temporary folder goes with the process; a cluster's shared folder keeps what
+    was made outside of this.
+    """
+    start = len(_folders)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _folders[start:]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        del _folders[start:]
 
 
 def written(df, name: str):
