@@ -137,10 +137,13 @@ class Statistics:
     def of(cls, docs: DataFrame) -> Statistics:
         def count(batches):
             df, words, n = np.zeros(1 << TERM_BITS, np.int64), 0, 0
+            last = np.zeros(1 << TERM_BITS, np.int64)
             for batch in batches:
                 for data in byte_rows(batch.column(0)):
                     own = terms(data)
-                    df[np.unique(own)] += 1
+                    at = np.arange(len(own))
+                    last[own] = at
+                    df[own[last[own] == at]] += 1  # each term once: where it stands last
                     words, n = words + len(own), n + 1
             at = np.flatnonzero(df)
             keys, values = np.concatenate((at, [-1, -2])), np.concatenate((df[at], [words, n]))
