@@ -46,3 +46,18 @@ def test_plan_has_no_pairwise_join(spark, name):
     if name not in SMALL:
         outside = [line for line in plan.splitlines() if "SinglePartition" in line and ":" not in line.split("Exchange")[0]]
         assert len(outside) <= 2, outside
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_named_exchanges_without_broadcast(spark, no_broadcast):
+    padded = plan_of(catalog.QUERIES["padded_batches"](spark, SF))
+    assert padded.count("Exchange") == padded.count("Exchange hashpartitioning(batch_id") == 1 and padded.count("FileScan") == 1
+    sliced = plan_of(catalog.QUERIES["microbatch_slices"](spark, SF))
+    assert "hashpartitioning" not in sliced and "Exchange rangepartitioning(_run" in sliced  # whole runs of batches, never plan rows
