@@ -58,5 +58,15 @@ def test_odd_rows(odd, empty, clashing):
 def test_cache_is_emptied(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)
     tokens = packing.WordTokens(packing.default_vocabulary())
-    one = tokens.ids(b"alpha beta gamma, delta epsilon! zeta")
-    assert tokens.ids(b"eta theta").tolist() and tokens.ids(b"alpha beta gamma, delta epsilon! zeta").tolist() == one.tolist()
+    one = tokens.ids(b"alpha beta gamma, delta epsilon! zeta")[0]
+    assert tokens.ids(b"eta theta")[0].tolist() and tokens.ids(b"alpha beta gamma, delta epsilon! zeta")[0].tolist() == one.tolist()
+
+
+def test_terms_of_cached_words():
+    import numpy as np
+
+    tokens = packing.WordTokens(packing.default_vocabulary())
+    text = ("Été, naïve <|x ALL Caps. " + "y" * 100 + " end!").encode()
+    assert tokens.ids(text)[1].tolist() == packing.terms(np.frombuffer(text, np.uint8)).tolist()
+    plain = text.replace(b"<|", b"<")
+    assert tokens.ids(plain)[1].tolist() == packing.terms(np.frombuffer(plain, np.uint8)).tolist()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import byte_rows, lowered, word_hashes
+from tuneframe.llm.text import byte_rows, lowered, word_hash, word_hashes
 
 WINDOW = 4096
 END_ID = 2
@@ -38,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 4 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 _MARKS = b".,;:!?"
 # Byte-level vocabularies name printable Latin-1 bytes by themselves and the others, in order, from U+0100 on.
 _own_names = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -57,7 +57,7 @@ class _Words(dict):
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.flat, self.first, self.size = array("I"), array("q"), array("q")
+        self.flat, self.first, self.size, self.term = array("I"), array("q"), array("q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
         core = word[:-1]
@@ -69,6 +69,7 @@ class _Words(dict):
         self.first.append(len(self.flat))
         self.size.append(len(ids))
         self.flat.extend(ids)
+        self.term.append(word_hash(word.lower()) & ((1 << TERM_BITS) - 1))
         return place
 
     def ids(self, word: bytes) -> list[int]:
@@ -96,7 +97,8 @@ class WordTokens:
             return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_byte_names))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def ids(self, data: bytes) -> np.ndarray:
+    def ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and the hashed terms of its words: the same that :func:`terms` finds."""
         if b"<|" not in data:
             data = data.lower()
         if len(self.words) > CACHE_WORDS:
@@ -107,9 +109,10 @@ class WordTokens:
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         if not total:
-            return np.zeros(0, np.uint32)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         first = np.frombuffer(known.first, np.int64)[at]
-        return np.frombuffer(known.flat, np.uint32)[np.repeat(first - ends + size, size) + np.arange(total)]
+        own_terms = np.frombuffer(known.term, np.int64)[at]
+        return np.frombuffer(known.flat, np.uint32)[np.repeat(first - ends + size, size) + np.arange(total)], own_terms
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -310,8 +313,9 @@ def pack(docs: DataFrame, keep: list[str] = ("doc_id",), vocabulary: str | None
         for number, batch in enumerate(batches):
             carried[number] = batch.select(range(1, 1 + len(keep)))
             for row, data in enumerate(byte_rows(batch.column(0))):
-                ids = np.append(tokens.ids(data.tobytes()), np.uint32(end_id))
-                packer.add((number, row, len(ids)), ids, terms(data))
+                ids, own_terms = tokens.ids(data.tobytes())
+                ids = np.append(ids, np.uint32(end_id))
+                packer.add((number, row, len(ids)), ids, own_terms)
                 if len(packer.out) >= 2048:
                     yield from emit()
             yield from emit()

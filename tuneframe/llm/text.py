@@ -6,6 +6,8 @@ A-Z only. Both rules are byte rules, so they hold for UTF-8 without decoding.
 
 from __future__ import annotations
 
+from operator import mul
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -96,6 +98,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+_ALL = 2**64 - 1
+_codes = _byte_code.tolist()
+_first_powers = [pow(_BASE, i, 2**64) for i in range(64)]
+
+
+def word_hash(word: bytes) -> int:
+    """The hash of one word, as :func:`word_hashes` gives it."""
+    if len(word) > len(_first_powers):
+        return int(span_hashes(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]))[0])
+    h = sum(map(mul, map(_codes.__getitem__, word), _first_powers)) & _ALL
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _ALL
+    return h ^ (h >> 31)
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of a byte array, in order."""
     return span_hashes(data, *word_spans(data))
