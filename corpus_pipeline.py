@@ -35,9 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn to the source targets; a document drawn twice is two rows."""
+    """Whole documents drawn to the source targets; a document drawn twice is two rows. Rows leave in the order of the mix."""
     mixed = mixing.mix(docs, whole_documents=True)
-    return mixing.mixed_rows(mixed, COLUMNS).select(*COLUMNS)
+    return mixing.shuffled_rows(mixed, COLUMNS).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

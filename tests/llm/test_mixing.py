@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.conftest import DOCS
 from tuneframe.llm import mixing
 
@@ -57,6 +58,22 @@ def test_whole_documents_are_not_cut(rows):
         assert all(d["words"] == r["size"] for d in r["draws"])
 
 
+def test_rows_leave_in_the_order_of_the_mix(rows, spark, tmp_path):
+    docs = make(rows, 2000).coalesce(2)
+    mixed = mixing.mix(docs, shards=3, whole_documents=True)
+    mixing.write_shards(mixed, ["doc_id"], str(tmp_path / "mix"))
+    parts = sorted((tmp_path / "mix").glob("shard=*/*.parquet"))
+    assert [p.parent.name for p in parts] == ["shard=0", "shard=1", "shard=2"]
+    want = {}
+    for r in mixing.mixed_rows(mixed, ["doc_id"]).collect():
+        want.setdefault(r["shard"], []).append((r["shuffle_key"], r["doc_id"]))
+    for shard, part in enumerate(parts):
+        assert [(r["shuffle_key"], r["doc_id"]) for r in spark.read.parquet(str(part)).collect()] == sorted(want[shard])
+    ids = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert len(ids) - len(set(ids)) > 300
+    assert sum(a == b for a, b in zip(ids, ids[1:])) < 10
+
+
 def test_hypergeometric_draws(spark):
     chances = spark.range(4000).select(((F.col("id") * 2654435761 % 4000 + 0.5) / 4000).alias("u"))
     draws = chances.select(mixing.hypergeometric(F.lit(60).cast("long"), F.lit(20).cast("long"), F.lit(30).cast("long"), F.col("u")).alias("x"))

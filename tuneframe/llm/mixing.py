@@ -268,10 +268,14 @@ def mixed_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return mixed.select(*columns, F.explode("draws").alias("_m_draw")).select(*columns, "_m_draw.*")
 
 
+def shuffled_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of :func:`mixed_rows` in the order of the mix: shard after shard, each shuffled on its own."""
+    return mixed_rows(mixed, columns).repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+
+
 def write_shards(mixed: DataFrame, columns: list[str], path: str) -> None:
-    """Write the mix, a folder per shard, each shuffled on its own. A shard is at most a fixed share of the words."""
-    rows = mixed_rows(mixed, columns)
-    ordered = rows.repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+    """Write the mix, a folder per shard. A shard is at most a fixed share of the words."""
+    ordered = shuffled_rows(mixed, columns)
     ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
