@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tuneframe.llm import bwt, repeats
+from tuneframe.llm.text import span_hashes
 
 
 def plain(docs, length=50):
@@ -40,6 +42,33 @@ def test_against_a_table_of_all_strings(rows):
     assert got == want
 
 
+def test_a_hot_anchor_is_dealt_by_content(rows, monkeypatch):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    as_bytes = lambda t: np.frombuffer(t.encode(), np.uint8)
+    # 24 bytes whose hash is below those of the other text at both sides, so that they are the anchor.
+    piece = min((letters(24) for _ in range(4000)), key=lambda t: span_hashes(as_bytes(t), np.array([0]), np.array([24]))[0])
+    ends = [letters(20) for _ in range(9)]
+    data = [(i, letters(40) + rng.choice(ends) + piece + rng.choice(ends) + letters(rng.choice([3, 40]))) for i in range(400)]
+    data += [(None, data[7][1]), (400, data[9][1])]
+    want = plain([(d, t.encode()) for d, t in data])
+
+    def bounded(text, *rest):
+        assert len(text) <= 1 << 14  # all regions around the piece are 30,000 bytes
+        return bwt.repeated_intervals(text, *rest)
+
+    monkeypatch.setattr(repeats, "repeated_intervals", bounded)
+    monkeypatch.setattr(repeats, "MERGE_BYTES", 1 << 12)
+    df = rows("doc_id long, text string", data).repartition(4)
+    for hot in (100, 1):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect()}
+        assert got == want
+    monkeypatch.setattr(repeats, "HOT", 1 << 40)
+    with pytest.raises(Exception, match="AssertionError"):
+        repeats.remove_repeats(df).collect()
+
+
 def test_odd_rows(odd, empty):
     got = repeats.remove_repeats(odd).collect()
     assert len(got) == 10 and {r["doc_id"]: len(r["kept"]) for r in got}[4] == 0

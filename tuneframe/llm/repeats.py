@@ -15,12 +15,14 @@ Transforms are only needed where texts can repeat. Every window of ``length`` by
    windows there are equal, their common prefix is ``length`` or more. Each learns its smallest id.
 4. The answers return to the chunks, which strike out what a smaller id holds.
 
-A hot passage is one region per chunk, not one per document. Chunks, shards and merges are bounded in bytes;
-a partition with more regions merges them by parts, equal anchors together.
+A hot passage is one region per chunk, not one per document. Chunks and shards are bounded in bytes;
+a partition with more regions merges them by parts, equal anchors together. An anchor that stands at ``HOT``
+places or more, whose regions may all differ, is dealt by content instead: each window around it goes by the hash
+of all its bytes to a partition of windows, where only equal windows share a group, one row a chunk.
 
 * Null text is empty. A null id counts as larger than all others. Rows with the same id do not strike each other.
 * Texts shorter than ``length`` keep all bytes. Empty tables give no rows. Other columns are not looked at.
-* Anchors and regions are told apart by hashes (regions by 64 bits); a clash of anchors costs work only.
+* Anchors, regions and dealt windows are told apart by hashes (the latter two by 64 bits); a clash of anchors costs work only.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ CHUNK_DOCS = 1 << 14
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 4 << 20
 MERGE_BYTES = 1 << 19
+HOT = 1 << 12
 LAST = np.iinfo(np.int64).max
 
 
@@ -71,6 +74,12 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return at, h[at]
 
 
+def _more(n: np.ndarray) -> np.ndarray:
+    """The places that hold more than one, and how many."""
+    at = np.flatnonzero(n > 1)
+    return np.stack((at, np.minimum(n[at], LAST >> 32))).astype(np.uint32)
+
+
 def _pack(x: np.ndarray) -> bytes:
     return np.int64(x.nbytes).tobytes() + pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -95,7 +104,7 @@ def _chunk_rows(batches):
 
 def _chunk_anchors(texts, length, gram, parts):
     """Anchors of a chunk: (document, position, hash), and its distinct hashes ordered by partition with
-    whether two documents hold it."""
+    whether two documents hold it and at how many places it stands."""
     found = [anchors(t, length, gram) for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(p) for p, _ in found])
     position = np.concatenate([p for p, _ in found])
@@ -110,7 +119,7 @@ def _chunk_anchors(texts, length, gram, parts):
     names = sorted_h[first]
     part = (names % U64(parts)).astype(np.int64)
     by_part = np.argsort(part, kind="stable")
-    return doc, position, h, names, part, by_part, several
+    return doc, position, h, names, part, by_part, several, last - first + 1
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -121,15 +130,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     def name(batches):
         for chunk, _, texts in _chunk_rows(batches):
-            *_, names, part, by_part, several = _chunk_anchors(texts, length, gram, parts)
+            *_, names, part, by_part, several, places = _chunk_anchors(texts, length, gram, parts)
             short = (mix(names[by_part]) >> U64(32)).astype(np.uint32)
-            flags = several[by_part]
+            flags, places = several[by_part], places[by_part]
             own, at = np.unique(part[by_part], return_index=True)
             cuts = [slice(a, b) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int64()), pa.array([chunk] * len(own), pa.int64()),
                  pa.array([short[c].tobytes() for c in cuts], pa.binary()),
-                 pa.array([np.packbits(flags[c]).tobytes() for c in cuts], pa.binary())], ["part", "chunk", "names", "several"])
+                 pa.array([np.packbits(flags[c]).tobytes() for c in cuts], pa.binary()),
+                 pa.array([_more(places[c]).tobytes() for c in cuts], pa.binary())], ["part", "chunk", "names", "several", "more"])
 
     def repeated(key, own):
         chunk = own.column("chunk").to_pylist()
@@ -138,11 +148,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(own.column("several").to_pylist(), sizes)])
         _, at = np.unique(np.concatenate(names), return_inverse=True)
         good = (np.bincount(at) > 1) | (np.bincount(at, several) > 0)
-        bits = np.split(good[at], np.cumsum(sizes)[:-1])
-        return pa.table([pa.array([key[0].as_py()] * len(chunk), pa.int64()), pa.array(chunk, pa.int64()), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], ["part", "chunk", "bits"])
+        places = np.ones(len(at), np.int64)
+        for base, x in zip((np.cumsum(sizes) - sizes).tolist(), own.column("more").to_pylist()):
+            place, n = np.frombuffer(x, np.uint32).reshape(2, -1).astype(np.int64)
+            places[base + place] = n
+        hot = good & (np.bincount(at, places) >= HOT)
+        split = [[np.packbits(b).tobytes() for b in np.split(x[at], np.cumsum(sizes)[:-1])] for x in (good, hot)]
+        return pa.table([pa.array([key[0].as_py()] * len(chunk), pa.int64()), pa.array(chunk, pa.int64()), *(pa.array(x, pa.binary()) for x in split)], ["part", "chunk", "bits", "hot"])
 
-    named = docs.mapInArrow(name, "part long, chunk long, names binary, several binary")
-    answers = named.groupBy("part").applyInArrow(repeated, "part long, chunk long, bits binary")
+    named = docs.mapInArrow(name, "part long, chunk long, names binary, several binary, more binary")
+    answers = named.groupBy("part").applyInArrow(repeated, "part long, chunk long, bits binary, hot binary")
 
     def bundle(batches):
         for chunk, batch, texts in _chunk_rows(batches):
@@ -152,7 +167,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     bundles = docs.mapInArrow(bundle, "chunk long, ids binary, sizes binary, texts binary")
 
-    # kind 0: the chunk's texts where something may go; 1: its regions by partition; 2: documents that stay whole
+    # kind 0: the chunk's texts where something may go; 1: its regions by partition, from ``parts`` on its dealt windows;
+    # 2: documents that stay whole
     cut_rows = "kind int, chunk long, part long, a binary, b binary, c binary, d binary, e binary"
     names_ = [f.split()[0] for f in cut_rows.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
@@ -162,14 +178,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         ids, sizes, flat = _unpack(own.column("ids")[0].as_py(), np.int64), _unpack(own.column("sizes")[0].as_py(), np.int64), _unpack(own.column("texts")[0].as_py(), np.uint8)
         base = np.cumsum(sizes) - sizes
         texts = [flat[b : b + n] for b, n in zip(base.tolist(), sizes.tolist())]
-        doc, position, h, names, part, by_part, _ = _chunk_anchors(texts, length, gram, parts)
-        good = np.zeros(len(names), bool)
-        bits = dict(zip(told.column("part").to_pylist(), told.column("bits").to_pylist()))
-        for i, b in bits.items():
+        doc, position, h, names, part, by_part, *_ = _chunk_anchors(texts, length, gram, parts)
+        good, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        for i, b, dealt in zip(*(told.column(c).to_pylist() for c in ("part", "bits", "hot"))):
             at = by_part[slice(*np.searchsorted(part[by_part], (i, i + 1)))]
             good[at] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(at)).astype(bool)
-        keep = good[np.searchsorted(names, h)] if len(h) else np.zeros(0, bool)
-        doc, position, h = doc[keep], position[keep], h[keep]
+            hot[at] = np.unpackbits(np.frombuffer(dealt, np.uint8), count=len(at)).astype(bool)
+        name_of = np.searchsorted(names, h)
+        keep = good[name_of] if len(h) else np.zeros(0, bool)
+        doc, position, h, hot = doc[keep], position[keep], h[keep], hot[name_of[keep]]
         rows = []
         touched = np.zeros(len(texts), bool)
         touched[doc] = True
@@ -182,6 +199,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         low = np.maximum(position - (length - gram), 0)
         high = np.minimum(position + length, sizes[doc])
         first, last = base[doc] + low, base[doc] + high
+        # All windows around hot anchors, each place once.
+        n = (last - first - length + 1)[hot]
+        start, at = np.unique(np.repeat(first[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum())), return_index=True)
+        owner = np.repeat(doc[hot], n)[at]
+        windows = mix(_region_hashes(flat, start, start + length))
+        dealt_to = (windows % U64(parts)).astype(np.int64)
+        by_to = np.lexsort((windows, dealt_to))
+        for i in np.split(by_to, np.flatnonzero(np.diff(dealt_to[by_to])) + 1) if len(by_to) else []:
+            own, at, back = np.unique(windows[i], return_index=True, return_inverse=True)
+            smallest = np.full(len(own), LAST)
+            np.minimum.at(smallest, back, ids[owner[i]])
+            rows.append((1, chunk, parts + int(dealt_to[i[0]]), _pack(own), _pack(np.stack((np.full(len(own), length), smallest))), None,
+                         None, _pack(np.stack((back, renamed[owner[i]], start[i] - base[owner[i]])).astype(np.int32))))
+        doc, h, low, first, last = (x[~hot] for x in (doc, h, low, first, last))
         order = np.argsort(first, kind="stable")
         same = np.empty(len(h), U64)
         same[order] = _region_hashes(flat, first[order], last[order])
@@ -200,8 +231,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     pieces = written(bundles.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, cut_rows), "repeat-regions")
 
+    def least_ids(own):
+        """For each dealt window of each chunk its smallest id."""
+        windows = [_unpack(x, U64) for x in own.column("a").to_pylist()]
+        _, back = np.unique(np.concatenate(windows), return_inverse=True)
+        least = np.full(int(back.max()) + 1, LAST)
+        np.minimum.at(least, back, np.concatenate([_unpack(x, np.int64).reshape(2, -1)[1] for x in own.column("b").to_pylist()]))
+        answers = [_pack(x) for x in np.split(least[back], np.cumsum([len(x) for x in windows])[:-1])]
+        return pa.table([own.column("part"), own.column("chunk"), pa.array(answers, pa.binary())], ["part", "chunk", "smallest"])
+
     def smallest_ids(key, own):
         """For each region of each chunk the smallest id of its windows, one after the other."""
+        if key[0].as_py() >= parts:
+            return least_ids(own)
         texts = [_unpack(x, np.uint8) for x in own.column("a").to_pylist()]
         facts = [_unpack(x, np.int64).reshape(2, -1) for x in own.column("b").to_pylist()]
         groups = np.concatenate([np.frombuffer(x, np.uint8) for x in own.column("c").to_pylist()])
