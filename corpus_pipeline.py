@@ -29,9 +29,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their five-word shingles, directly or over others, the smallest id stays."""
-    groups = jaccard.near_duplicates(docs, k=5, num=80, den=100)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Rows are told apart by id and text, as ids may repeat; a null id comes after all others.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"))
+    groups = jaccard.near_duplicates(docs.select(row.alias("doc_id"), "text"), k=5, num=80, den=100)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("row"))
+    return docs.select(*COLUMNS, row.alias("row")).join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

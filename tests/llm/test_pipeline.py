@@ -59,3 +59,11 @@ def test_near_copies_leave_one(rows, spark):
     copies = [(i, " ".join([*words[:99], f"z{i}"]), "en", "s", 0) for i in range(5)]
     left = corpus_pipeline.near_dedup(spark, rows(DOCS, [*copies, (9, "something else altogether", "en", "s", 0)]), SF)
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 9]
+
+
+def test_near_copies_are_told_apart_by_id_and_text(rows, spark):
+    words = [f"w{i}" for i in range(100)]
+    copy = lambda mark: " ".join([*words[:99], mark])
+    data = [(1, copy("a")), (2, copy("b")), (2, "a clean text that shares its id"), (None, copy("c")), *((None, " ".join([*(f"v{i}" for i in range(99)), x])) for x in "de")]
+    left = corpus_pipeline.near_dedup(spark, rows(DOCS, [(i, t, "en", "s", 0) for i, t in data]), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:7]) for r in left) == [(0, "v0 v1 v"), (1, "w0 w1 w"), (2, "a clean")]
