@@ -1,8 +1,8 @@
 """Phrase collocation mining with counting quotient filters.
 
-Texts are read once and become chunks of local word numbers, each with its own dictionary. Words that are frequent in their
-language get dense ids; a chunk learns the ids of its own words by a join, so no dictionary is ever sent to all tasks. A chunk's
-pairs of frequent words are packed, permuted and counted in a quotient filter (:mod:`.quotient`), which is cut by
+Texts become chunks of local word numbers. A chunk's words go, each with its count, to the shards of their hashes, a row a shard; a shard adds up
+what all chunks sent, numbers the words that are frequent in their language and answers each chunk with the numbers of its words, so no
+dictionary is ever sent to all tasks. A chunk's pairs of frequent words are packed, permuted and counted in a quotient filter (:mod:`.quotient`), which is cut by
 leading bits of the quotient; all cuts of a shard are merged. A shard answers each chunk which of its pairs are frequent, and only
 runs in which every pair is frequent are counted as longer phrases, by a second round of filters. Every count of
 a frequent phrase is exact: a phrase is at most as frequent as its parts.
@@ -19,6 +19,7 @@ evenly.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,24 +32,24 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.quotient import Codec, Filter
 from tuneframe.llm.registry import query, table
-from tuneframe.operators.ordering import seeded_shuffle
 from tuneframe.session import written
 
 LEAST = 100
 LONGEST = 5
 BEST = 2000
 CHUNK_WORDS = 1 << 21
-# Words a shard, on average; a shard's entries are fewer.
-SHARD_WORDS = 1 << 20
+# Text a shard, on average: about a million words. A shard's entries are fewer.
+SHARD_BYTES = 6 << 20
 BLOCK = 1 << 20
 UNKNOWN = "und"
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _PLAIN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256)).lower()
 _CUT = re.compile(rb"[ \t\xff]")
-CHUNKS = "chunk long, lang string, size long, numbers binary, word binary, number int, times long"
-_CHUNK_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-_CHUNK_NAMES = [f.split()[0] for f in CHUNKS.split(", ")]
+CHUNKS = "chunk long, lang string, n long, size long, numbers binary, shards binary, shard long, words binary, times binary"
+_CHUNK_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+WORDS = "shard long, chunk long, ids binary, lang string, word binary, f long, number int"
+_WORD_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary(), pa.int64(), pa.int32()]
 
 
 def words(text: bytes | None) -> Iterator[list[bytes]]:
@@ -86,22 +87,34 @@ class _Chunk:
         self.parts.append(np.zeros(1, np.int32))
         return size + 1
 
-    def rows(self, chunk: int, lang: str) -> Iterator[pa.RecordBatch]:
+    def rows(self, chunk: int, lang: str, shard_bits: int) -> pa.RecordBatch:
+        """The chunk's word numbers, and its words with their counts, cut by shard; words are numbered in that order."""
         numbers = np.concatenate(self.parts)
         # Breaks that follow each other are one.
         numbers = numbers[np.append(True, (numbers[1:] > 0) | (numbers[:-1] > 0))]
-        times = np.bincount(numbers, minlength=len(self.vocabulary))[1:]
         own = [w for w in self.vocabulary if w != _BREAK]
-        n = len(own)
-        columns = [
-            [chunk] * (n + 1), [lang] * (n + 1), [len(numbers)] + [None] * n, [_packed(numbers)] + [None] * n,
-            [None, *own], [None, *range(1, n + 1)], [None, *times.tolist()],
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _CHUNK_KINDS)], _CHUNK_NAMES)
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """One row of word numbers for each chunk, and one row for each of its words."""
+        shard = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) >> (32 - shard_bits)
+        order = np.argsort(shard, kind="stable")
+        renamed = np.zeros(len(own) + 1, np.int32)
+        renamed[order + 1] = np.arange(1, len(own) + 1)
+        numbers = renamed[numbers]
+        times = np.bincount(numbers, minlength=len(own) + 1)[1:]
+        shards, starts = np.unique(shard[order], return_index=True)
+        place = np.stack((shards, starts))
+        rows = [(chunk, lang, int(times.sum()), len(numbers), _packed(numbers), place.astype("<i8").tobytes(), None, None, None)]
+        for name, a, b in zip(shards.tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)]):
+            held = times[a:b]
+            small = np.minimum(held, 255).astype(np.uint8)
+            counts = small.tobytes() + held[small == 255].astype("<i8").tobytes()
+            rows.append((chunk, lang, None, None, None, None, name, b"\n".join(own[i] for i in order[a:b].tolist()), counts))
+        return _table(rows, CHUNKS, _CHUNK_KINDS).combine_chunks().to_batches()[0]
+
+
+def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """One row of word numbers for each chunk, and one row for each shard of its words; written. And the bits of a shard's name."""
+    rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard_bits = min(32, max(3, (size // SHARD_BYTES).bit_length()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, serial = TaskContext.get().partitionId() << 32, count()
@@ -112,14 +125,42 @@ def chunked(docs: DataFrame) -> DataFrame:
                 size += chunks[lang].add(text.as_py())
                 if size >= CHUNK_WORDS:
                     for own, chunk in chunks.items():
-                        yield from chunk.rows(first + next(serial), own)
+                        yield chunk.rows(first + next(serial), own, shard_bits)
                     chunks.clear()
                     size = 0
         for own, chunk in chunks.items():
-            yield from chunk.rows(first + next(serial), own)
+            yield chunk.rows(first + next(serial), own, shard_bits)
 
-    rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return written(rows.mapInArrow(split, CHUNKS), "phrase-chunks")
+    return written(rows.mapInArrow(split, CHUNKS), "phrase-chunks"), shard_bits
+
+
+def _frequent(least: int):
+    """Words of a shard in all chunks -> those that are frequent in their language, numbered, and for each chunk the numbers of its words, 0 for the others."""
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        held = []
+        totals: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        for chunk, lang, text, times in zip(*(part.column(c).to_pylist() for c in ("chunk", "lang", "words", "times"))):
+            own = text.split(b"\n")
+            counts = np.frombuffer(times, np.uint8, len(own)).astype(np.int64)
+            large = counts == 255
+            counts[large] = np.frombuffer(times, "<i8", int(large.sum()), len(own))
+            total = totals[lang]
+            for word, n in zip(own, counts.tolist()):
+                total[word] += n
+            held.append((chunk, lang, own))
+        shard, rows, numbers, serial = key[0].as_py(), [], {}, count(1)
+        for lang in sorted(totals):
+            numbers[lang] = {word: next(serial) for word in sorted(w for w, n in totals[lang].items() if n >= least)}
+            rows += [(shard, None, None, lang, word, totals[lang][word], number) for word, number in numbers[lang].items()]
+        for chunk, lang, own in held:
+            known = numbers[lang]
+            ids = np.fromiter((known.get(word, 0) for word in own), np.int32, len(own))
+            if ids.any():
+                rows.append((shard, chunk, ids.tobytes(), None, None, None, None))
+        return _table(rows, WORDS, _WORD_KINDS)
+
+    return run
 
 
 PARTS = "chunk long, shard long, part binary, size long, numbers binary"
@@ -145,7 +186,12 @@ def _pairs(codec: Codec, shard_bits: int):
         if chunk.num_rows and known.num_rows:
             numbers = _numbers(chunk.column("size")[0].as_py(), chunk.column("numbers")[0].as_py())
             ids = np.zeros(int(numbers.max()) + 1, np.int32)
-            ids[known.column("number").to_numpy()] = known.column("id").to_numpy()
+            shards, starts = np.frombuffer(chunk.column("shards")[0].as_py(), "<i8").reshape(2, -1)
+            place = dict(zip(shards.tolist(), starts.tolist()))
+            for shard, data, offset in zip(*(known.column(c).to_pylist() for c in ("shard", "ids", "offset"))):
+                own = np.frombuffer(data, np.int32)
+                at = place[shard] + 1
+                ids[at : at + len(own)] = np.where(own > 0, own + offset, 0)
             ids = ids[numbers]
             ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
             both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -216,21 +262,23 @@ class Phrases:
     """Written counts: ``sizes`` (lang, n), ``vocabulary`` (lang, word, f, id) and ``phrases`` (phrase: ids, a)."""
 
     def __init__(self, docs: DataFrame, least: int = LEAST, longest: int = LONGEST):
-        chunks = chunked(docs)
-        entries = chunks.filter(F.col("word").isNotNull()).select("chunk", "lang", "word", "number", "times")
-        counted = written(entries.groupBy("lang", "word").agg(F.sum("times").alias("f")), "phrase-words")
-        self.sizes = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-        # A word has no space, so language and word can be told apart.
-        frequent = counted.filter(F.col("f") >= least).withColumn("_name", F.concat_ws(" ", F.col("lang"), F.col("word").cast("string")))
-        placed = seeded_shuffle(frequent, "words", row_id="_name", name="id")
-        self.vocabulary = written(placed.select("lang", "word", "f", (F.col("id") + 1).cast("int").alias("id")), "phrase-vocabulary")
-        total = self.sizes.agg(F.sum("n")).first()[0] or 0
+        chunks, shard_bits = chunked(docs)
+        self.sizes = written(chunks.filter(F.col("n").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0"), "phrase-sizes")
+        entries = chunks.filter(F.col("shard").isNotNull()).select("shard", "chunk", "lang", "words", "times")
+        words_ = written(entries.groupBy("shard").applyInArrow(_frequent(least), WORDS), "phrase-words")
+        frequent = words_.filter(F.col("word").isNotNull())
+        # Numbers of a shard's words follow those of the shards before it: one row per shard.
+        per_shard = frequent.groupBy("shard").agg(F.count(F.lit(1)).alias("m"))
+        before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = written(per_shard.select("shard", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset")), "phrase-offsets")
+        placed = frequent.join(offsets, "shard").select("lang", "word", "f", (F.col("offset") + F.col("number")).cast("int").alias("id"))
+        self.vocabulary = written(placed, "phrase-vocabulary")
         bits = max(1, self.vocabulary.count().bit_length())
         pairs, longer = Codec(bits, 2), Codec(bits, longest)
-        shard_bits = min(pairs.width, max(3, (total // SHARD_WORDS).bit_length()))
+        shard_bits = min(pairs.width, shard_bits)
 
-        known = entries.join(self.vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("home"), "number", "id")
-        texts = chunks.filter(F.col("numbers").isNotNull()).select("chunk", "size", "numbers")
+        known = words_.filter(F.col("ids").isNotNull()).join(offsets, "shard").select(F.col("chunk").alias("home"), "shard", "ids", "offset")
+        texts = chunks.filter(F.col("numbers").isNotNull()).select("chunk", "size", "numbers", "shards")
         parts = written(texts.groupBy("chunk").cogroup(known.groupBy("home")).applyInArrow(_pairs(pairs, shard_bits), PARTS), "phrase-pairs")
         cuts = parts.filter(F.col("shard").isNotNull()).select("shard", "chunk", "part")
         found = written(cuts.groupBy("shard").applyInArrow(_merged(pairs, least, True), FOUND), "phrase-found")
