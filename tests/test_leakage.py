@@ -1,5 +1,8 @@
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tuneframe.operators import leakage
@@ -39,7 +42,7 @@ def test_report_and_error(rows):
     df = rows(ROWS, [(i, "the correct label is: x", "c", "t") for i in range(25)] + [(100, "p", "p", "p")])
     report = {r["detector"]: (r["n"], r["first_ids"]) for r in leakage.leak_report(df, "id").collect()}
     assert report == {"marker": (25, list(range(10))), "completion_block": (1, [100]), "teacher_equal": (1, [100])}
-    with pytest.raises(ValueError, match=r"leakage detected: .*own completion.*\[100\]; .*used as prompt.*; .*marker.*\[0, 1, 2"):
+    with pytest.raises(ValueError, match=r"leakage in evaluation rows: .*own completion.*\[100\]; .*used as prompt.*; .*marker.*\[0, 1, 2"):
         leakage.assert_no_leaks(df, "id")
     leakage.assert_no_leaks(rows(ROWS, [(1, "p", "c", "t")]), "id")
 
@@ -75,6 +78,41 @@ def test_cross_against_brute_force(rows):
     }
 
 
+@pytest.mark.parametrize("sizes", [(1 << 18, 1 << 19), (300, 20_000)])
+def test_boilerplate_only_passages(rows, monkeypatch, sizes):
+    """Documents and passages that consist of the same three lines, also over many parts and groups."""
+    monkeypatch.setattr(leakage, "PART_LINES", sizes[0])
+    monkeypatch.setattr(leakage, "GROUP_LINES", sizes[1])
+    rng = random.Random(2)
+    lines = lambda n: "\n".join(rng.choices("abc", k=n))
+    docs = [(i if i % 9 else None, lines(rng.randrange(1, 400))) for i in range(60)] + [(5, lines(3)), (70, None)]
+    items = [(i, lines(rng.randrange(1, 14))) for i in range(80)] + [(90, lines(300))]
+    hits = {(d, t) for d, doc in docs for _, t in items if doc and f"\n{t}\n" in f"\n{doc}\n"}
+    documents, passages = rows("doc_id bigint, text string", docs), rows("item_id bigint, text string", items)
+    got = {r["doc_id"]: r["n_blocks"] for r in leakage.leak_cross_documents(documents, passages).collect()}
+    assert got == {d: sum(x == d for x, _ in hits) for d, _ in hits}
+    report = {r["item_id"]: r["n_docs"] for r in leakage.leak_cross(documents, passages).collect()}
+    assert report == {i: n for i, t in items if (n := sum(x == t for _, x in hits))}
+
+
+def test_work_on_boilerplate_grows_with_the_lines():
+    """Four times the lines take far less than sixteen times as long."""
+
+    def seconds(n):
+        lines = pa.table({"_row": np.zeros(n, np.int64), "doc_id": np.zeros(n, np.int64), "_pos": np.arange(n, dtype=np.int32), "line_a": np.arange(n) % 2, "line_b": np.zeros(n, np.int32)})
+        size = 12
+        members = pa.table({
+            "block_a": np.repeat(np.arange(200), size), "block_b": np.zeros(200 * size, np.int32), "_off": np.tile(np.arange(size, dtype=np.int32), 200),
+            "line_a": (np.arange(200 * size) * 7 // 5) % 2, "line_b": np.zeros(200 * size, np.int32),
+        })
+        start = time.perf_counter()
+        leakage._hits("doc_id")(None, lines, members)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 10 * max(seconds(100_000), 0.01)
+
+
 def test_evaluate_audits_first(rows):
     from tuneframe import evaluate
 

@@ -33,8 +33,8 @@ def test_entry(spark):
 
 
 # Written or streamed while the query is built; their result plans are plain scans.
-EAGER = {"read_tooluse", "read_task_splits", "read_fewshot_manifest", "write_examples", "write_examples_tooluse",
-         "write_completions", "read_run_log", "stream_run_log", "stream_score"}
+EAGER = {"read_tooluse", "read_tooluse_array", "read_manifest_array", "read_task_splits", "read_fewshot_manifest", "write_examples", "write_examples_tooluse",
+         "write_completions", "read_run_log", "stream_run_log", "stream_growing_log", "stream_arrivals", "stream_score"}
 # A single partition is fine for one row per bucket, block or statistic.
 SMALL = {"sampler_summary", "seeded_shuffle", "eval_sampler"}
 
@@ -56,6 +56,11 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_bucketed_tables_join_in_place(spark, no_broadcast):
+    plan = plan_of(catalog.QUERIES["pair_student_teacher_bucketed"](spark, SF))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_named_exchanges_without_broadcast(spark, no_broadcast):
     padded = plan_of(catalog.QUERIES["padded_batches"](spark, SF))
     assert padded.count("Exchange") == padded.count("Exchange hashpartitioning(batch_id") == 1 and padded.count("FileScan") == 1

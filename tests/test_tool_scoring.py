@@ -1,9 +1,11 @@
 import json
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tuneframe.functions import toolcalls
 from tuneframe.operators import scoring
@@ -90,6 +92,61 @@ def test_json_and_literal_forms_have_one_key(value):
     assert toolcalls._argument(json.dumps(value)) == toolcalls._argument(repr(value)) == (toolcalls._key(value), True)
 
 
+PLAIN = st.recursive(
+    st.none() | st.booleans() | st.integers(-(2**63), 2**63 - 1) | st.sampled_from([0, -1, 15, 255]) | st.text(st.characters(codec="utf-8"), max_size=4),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text('ab"\\\\ü', max_size=2), inner, max_size=3),
+    max_leaves=8,
+)
+ARGUMENTS = [
+    "", " ", "5", "-0", "1.0", "1e0", "1.5", "true", "null", "nan", "NaN", '"x"', '"\\u0041"', '"\\ud83d\\ude00"', '"\\ud800"', "{}", "[]", "[[]]", "[1,]", "[1 2]",
+    '{"a":1} x', '{"a":1}]', '{"a":1},5', "1],[2", "1,2", '{"a":1}{"b":2}', '{"a":1,"a":2}', "{'a':1}", '{"b":1,"a":[true,null,{"c":"d"}]}', "[[[[1]]]]", "[[[1]]]",
+    "9223372036854775807", "9223372036854775808", "-9223372036854775808", "123456789012345678901234567890", "01", "+1", "tab\there", '"a\nb"', '"é"', " {\"a\" : 1 } ", "{1: 2}", "]", "[", '"', '\\"',
+    '{"":""}', '{"a":{"b":{"c":{"d":1}}}}', "0x10", "1_000", "[0]", "0],0", '"a",0],["b"',
+]
+
+
+def test_plain_keys_agree_with_the_other_form(rows):
+    fuzz = []
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(PLAIN, st.booleans())
+    def collect(value, ascii_only):
+        fuzz.append(json.dumps(value, ensure_ascii=ascii_only))
+
+    collect()
+    texts = ARGUMENTS + fuzz
+    df = rows("i int, t string", list(enumerate(texts))).select("i", toolcalls.plain_key(F.btrim("t")).alias("k"))
+    plain = 0
+    for r in df.collect():
+        key, readable = toolcalls._argument(texts[r["i"]])
+        assert r["k"] is None or (r["k"] == key and readable), (texts[r["i"]], r["k"], key)
+        plain += r["k"] is not None
+    assert plain > 150  # the usual kinds do not need Python
+
+
+PARTS = ["Action: f", "action :  g  h ", "Action Input: {\"k\": 1}", "ACTION INPUT:[1, {\"a\": \"}\"}]", "Action Input: {\"k\": \"{\"}", "Action Input: hello", "Action Input: ",
+         "Action:", "Action:  ", "text", "}", "", "  Action: t\tx", "Action Input: 1.5", "Action Input: {'k': 1}", "```", "Action Input: ```json", "Actions: no", "Action\tInput: 2", "ActionInput : 3", "\r", "é"]
+
+
+def test_plain_predictions_agree_with_the_other_form(rows):
+    rng = random.Random(3)
+    texts = [p for _, p, _, _ in VECTORS] + ["\n".join(rng.choices(PARTS, k=rng.randrange(0, 7))) for _ in range(1500)]
+    df = toolcalls.with_parsed_calls(rows("i int, prediction string", list(enumerate(texts))))
+    df = df.withColumn("plain", toolcalls.plain_calls(F.col("prediction")))
+    n = 0
+    for r in df.collect():
+        want = toolcalls.parse_calls(texts[r["i"]])
+        assert r["calls"].asDict(True) == want, texts[r["i"]]
+        n += r["plain"] is not None
+    assert n > 200
+
+
+def test_routes(rows):
+    data = [("a", "Action: f\nAction Input: {}"), ("a", "Action: f\nAction Input: 1.5"), ("b", None), ("b", "Action: f\nAction Input: {\n}")]
+    got = {r["run"]: (r["n"], r["n_python"]) for r in scoring.argument_routes(rows("run string, prediction string", data), ["run"]).collect()}
+    assert got == {"a": (2, 1), "b": (2, 1)}
+
+
 def test_special_numbers():
     assert toolcalls._key(math.inf) != toolcalls._key(-math.inf) != toolcalls._key(math.nan)
     assert toolcalls._key(2 + 0j) == toolcalls._key(2) != toolcalls._key(2 + 1j)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tuneframe.functions.text import let
 from tuneframe.schemas import TOKEN_STATS
@@ -85,7 +86,9 @@ def k3(log_p: Column, log_q: Column) -> Column:
 
 
 def capped_ratio(new_logp: Column, old_logp: Column, cap: float) -> Column:
-    return F.least(F.exp(new_logp - old_logp), F.lit(float(cap)))
+    """At most ``cap``; NaN stays NaN (``least`` takes it for the largest number)."""
+    ratio = F.exp(new_logp - old_logp)
+    return F.when(F.isnan(ratio), ratio).otherwise(F.least(ratio, F.lit(float(cap))))
 
 
 # ---------------------------------------------------------------- Arrow form
@@ -160,3 +163,98 @@ def token_stats(
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], TOKEN_STATS.names)
 
     return stats(student_logits, teacher_logits, token_id)
+
+
+# ---------------------------------------------------------------- blocks of a vocabulary
+
+# Of one block, relative to its largest scaled logit (``top``): the sum of exp, the same weighted by the logit, and weighted by the
+# difference to the other side. ``width`` is null where the block cannot be used.
+_SIDES = ["s_top", "s_sum", "s_own", "s_gap", "t_top", "t_sum", "t_gap"]
+BLOCK_STATE = T.StructType([T.StructField("width", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in _SIDES)])
+
+
+def _good_blocks(student: pa.Array, teacher: pa.Array) -> np.ndarray:
+    return _usable(student, teacher, pa.array(np.zeros(len(student), np.int64)))
+
+
+def block_state(student: Column, teacher: Column, temperature: float = 1.0) -> Column:
+    """What one block of both vectors adds to a token's sums; :func:`merged` puts blocks together."""
+
+    @F.arrow_udf(BLOCK_STATE)
+    def state(student: pa.Array, teacher: pa.Array) -> pa.Array:
+        good = _good_blocks(student, teacher)
+        kept = pa.array(np.flatnonzero(good))
+        columns = [np.zeros(len(good)) for _ in _SIDES]
+        widths = np.zeros(len(good), np.int32)
+        if len(kept):
+            s, starts, own = _flat(student.take(kept))
+            t, _, _ = _flat(teacher.take(kept))
+            s, t = s / temperature, t / temperature
+
+            def side(x, y):
+                top = np.maximum.reduceat(x, starts)
+                # A block of -inf only has no weight, whatever it is measured against.
+                weight = np.exp(x - np.repeat(np.where(np.isneginf(top), 0.0, top), own))
+                return top, *(np.add.reduceat(v, starts) for v in (weight, weight * x, weight * (x - y)))
+
+            (s_top, s_sum, s_own, s_gap), (t_top, t_sum, _, t_gap) = side(s, t), side(t, s)
+            for column, values in zip(columns, (s_top, s_sum, s_own, s_gap, t_top, t_sum, t_gap)):
+                column[good] = values
+            widths[good] = own
+        parts = [pa.array(widths, mask=~good), *(pa.array(c, mask=~good) for c in columns)]
+        return pa.StructArray.from_arrays(parts, ["width", *_SIDES])
+
+    return state(student, teacher)
+
+
+def merged(states: Column) -> Column:
+    """struct<s_norm, t_norm, entropy, forward_kl, reverse_kl> from the array of a token's block states.
+
+    Sums are rescaled to the largest logit of all blocks. The norms are the logarithms of the softmax denominators.
+    """
+
+    def total(name: str, top: str) -> Column:
+        return let(
+            F.array_max(F.transform(states, lambda x: x[top])),
+            lambda best: F.aggregate(states, F.lit(0.0), lambda acc, x: acc + F.when(x[top] == float("-inf"), 0.0).otherwise(x[name] * F.exp(x[top] - best))),
+        )
+
+    def best(top: str) -> Column:
+        return F.array_max(F.transform(states, lambda x: x[top]))
+
+    sums = F.struct(
+        best("s_top").alias("s_best"), best("t_top").alias("t_best"), total("s_sum", "s_top").alias("s_sum"), total("s_own", "s_top").alias("s_own"),
+        total("s_gap", "s_top").alias("s_gap"), total("t_sum", "t_top").alias("t_sum"), total("t_gap", "t_top").alias("t_gap"),
+    )
+
+    def finish(x: Column) -> Column:
+        s_norm, t_norm = x["s_best"] + F.log(x["s_sum"]), x["t_best"] + F.log(x["t_sum"])
+        return F.struct(
+            s_norm.alias("s_norm"),
+            t_norm.alias("t_norm"),
+            (s_norm - x["s_own"] / x["s_sum"]).alias("entropy"),
+            (x["t_gap"] / x["t_sum"] - t_norm + s_norm).alias("forward_kl"),
+            (x["s_gap"] / x["s_sum"] - s_norm + t_norm).alias("reverse_kl"),
+        )
+
+    return let(sums, finish)
+
+
+def block_jsd(student: Column, teacher: Column, s_norm: Column, t_norm: Column, alpha: float, temperature: float = 1.0) -> Column:
+    """What one block adds to the generalised Jensen-Shannon divergence, once both norms are known."""
+
+    @F.arrow_udf("double")
+    def term(student: pa.Array, teacher: pa.Array, s_norm: pa.Array, t_norm: pa.Array) -> pa.Array:
+        good = _good_blocks(student, teacher) & s_norm.is_valid().to_numpy(zero_copy_only=False) & t_norm.is_valid().to_numpy(zero_copy_only=False)
+        kept = pa.array(np.flatnonzero(good))
+        out = np.zeros(len(good))
+        if len(kept):
+            s, starts, own = _flat(student.take(kept))
+            t, _, _ = _flat(teacher.take(kept))
+            s = s / temperature - np.repeat(s_norm.take(kept).to_numpy(), own)
+            t = t / temperature - np.repeat(t_norm.take(kept).to_numpy(), own)
+            mix = np.logaddexp(s + np.log(1 - alpha), t + np.log(alpha))
+            out[good] = np.add.reduceat(alpha * np.exp(t) * (t - mix) + (1 - alpha) * np.exp(s) * (s - mix), starts)
+        return pa.array(out, mask=~good)
+
+    return term(student, teacher, s_norm, t_norm)

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tuneframe.constants import IMPORTANCE_CAP, SKIP_FIRST_TOKENS
 from tuneframe.functions import tokens as K
+from tuneframe.session import written
 
 KEY = ["run_id", "seq_id", "pos"]
+SKETCH_K = 400
 
 
 def pair_student_teacher(student: DataFrame, teacher: DataFrame, keys: Sequence[str] = tuple(KEY)) -> DataFrame:
@@ -57,6 +59,65 @@ def token_metrics(
     )
 
 
+def token_metrics_blocks(
+    student: DataFrame,
+    teacher: DataFrame,
+    size: int,
+    keys: Sequence[str] = tuple(KEY),
+    alpha: float = 0.0,
+    temperature: float = 1.0,
+    block: str = "block",
+) -> DataFrame:
+    """:func:`token_metrics` for vectors that are cut into blocks of ``size`` (:func:`vector_blocks`), one row per token.
+
+    ``student`` holds the keys, ``block``, ``student_logits``, ``token_id`` and what else is to be kept of a token; ``teacher`` holds the keys, ``block``
+    and ``teacher_logits``. Equal blocks of both sides meet; a block becomes eight numbers, and only those meet by token, so no task and
+    no row ever holds a whole vector. The Jensen-Shannon form (0 < alpha < 1) reads the blocks a second time, when the norms are known.
+
+    NULL metrics where blocks of the two sides differ in number or width, hold NULL, or the token lies outside. A token without any block
+    on one side has no row.
+    """
+    keys = list(keys)
+    carried = [c for c in student.columns if c not in (*keys, block, "student_logits")]
+    pairs = student.join(teacher.select(*keys, block, "teacher_logits"), [*keys, block], "full_outer")
+    inside = F.floor(F.col("token_id") / size) == F.col(block)
+
+    def chosen(column: str) -> Column:
+        return F.max(F.when(inside & (F.col("token_id") >= 0), F.try_element_at(column, (F.col("token_id") % size + 1).cast("int")).cast("double")))
+
+    state = K.block_state(F.col("student_logits"), F.col("teacher_logits"), temperature)
+    tokens = (
+        pairs.withColumn("_state", state)
+        .groupBy(*keys)
+        .agg(
+            *[F.any_value(c, True).alias(c) for c in carried],
+            F.collect_list("_state").alias("_states"),
+            F.count(F.when(F.col("_state.width").isNull(), 1)).alias("_bad"),
+            F.count("student_logits").alias("_s_blocks"),
+            F.count("teacher_logits").alias("_t_blocks"),
+            chosen("student_logits").alias("_s"),
+            chosen("teacher_logits").alias("_t"),
+        )
+        .where((F.col("_s_blocks") > 0) & (F.col("_t_blocks") > 0))
+    )
+    good = (F.col("_bad") == 0) & F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    tokens = tokens.withColumn("_m", F.when(good, K.merged(F.col("_states"))))
+    scale = F.lit(float(temperature))
+    logps = [
+        (F.col("_s") / scale - F.col("_m.s_norm")).alias("student_logp"),
+        (F.col("_t") / scale - F.col("_m.t_norm")).alias("teacher_logp"),
+        F.col("_m.entropy").alias("entropy"),
+    ]
+    if alpha in (0, 1):
+        return tokens.select(*keys, *carried, *logps, F.col("_m.reverse_kl" if alpha else "_m.forward_kl").alias("divergence"))
+    tokens = tokens.select(*keys, *carried, *logps, F.col("_m.s_norm").alias("_sn"), F.col("_m.t_norm").alias("_tn"))
+    tokens = written(tokens, "token-norms")
+    terms = pairs.select(*keys, "student_logits", "teacher_logits").join(tokens.select(*keys, "_sn", "_tn"), keys)
+    term = K.block_jsd(F.col("student_logits"), F.col("teacher_logits"), F.col("_sn"), F.col("_tn"), alpha, temperature)
+    sums = terms.select(*keys, term.alias("_term")).groupBy(*keys).agg(F.sum("_term").alias("divergence"))
+    return tokens.drop("_sn", "_tn").join(sums, keys)
+
+
 def shift_and_keep(tokens: DataFrame, lengths: DataFrame, sequence: Sequence[str], keep: str = "n_completion") -> DataFrame:
     """Drop the last position of each sequence and keep the ``keep`` positions before it;
     ``pos`` restarts at 0. ``lengths`` has one row per sequence: ``n_positions`` and ``keep``."""
@@ -142,6 +203,33 @@ def high_entropy_mask(
     )
 
 
+def entropy_sketches(tokens: DataFrame, groups: Sequence[str], mask: str = "mask", k: int = SKETCH_K, value: str = "entropy") -> DataFrame:
+    """``groups, sketch, n``: a small mergeable summary of the unmasked entropies of each group, the opt-in approximation of
+    :func:`entropy_quantile`. NULL and NaN are left out; a group without values has no row.
+
+    A KLL sketch of size ``k`` takes a few times ``k`` numbers however many tokens there are, is built before the shuffle, and
+    can be stored: sketches of steps merge into sketches of runs (:func:`merge_sketches`) without a look at the tokens. A quantile's rank is off by
+    at most :func:`sketch_rank_error` in 99 of 100 cases. Up to ``k`` values it is exact (but not interpolated).
+    """
+    rows = tokens.where((F.col(mask) == 1) & F.col(value).isNotNull() & ~F.isnan(value))
+    return rows.groupBy(*groups).agg(F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Sketches of coarser groups from stored ones."""
+    return sketches.groupBy(*groups).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantile(sketches: DataFrame, q: float, name: str = "threshold") -> DataFrame:
+    """Replace ``sketch`` by its quantile ``q``: one of the values, at a rank near ``q * n``."""
+    return sketches.withColumn(name, F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))).drop("sketch")
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Share of the values by which a quantile's rank may be off, at 99 % confidence: 2.296 / k^0.9021."""
+    return 2.296 / k**0.9021
+
+
 # ------------------------------------------------------------------ loss
 
 
@@ -207,38 +295,67 @@ def kl_to_base(tokens: DataFrame, name: str = "kl_to_base") -> DataFrame:
     return tokens.withColumn(name, K.k3(F.col("student_logp"), F.col("ref_logp")))
 
 
+def _nan_aware(value: Column) -> Column:
+    """Mergeable state of a column: how many values, how many of them NaN, and sum and extremes of the others."""
+    number = F.when(~F.isnan(value), value)
+    return F.struct(
+        F.count(value).alias("n"), F.count(F.when(F.isnan(value), 1)).alias("nans"), F.sum(number).alias("total"),
+        F.min(number).alias("low"), F.max(number).alias("high"),
+    )
+
+
+def skip_nan_mean(batches: DataFrame, values: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """Mean of per-batch metrics over the batches that have a number: NULL and NaN are skipped. NULL if none has one."""
+    return batches.groupBy(*groups).agg(*[F.avg(F.nanvl(v, F.lit(None).cast("double"))).alias(v) for v in values])
+
+
 def kl_approx_mean(tokens: DataFrame, batch: Sequence[str], groups: Sequence[str], mask: str = "mask") -> DataFrame:
     """Token mean per batch with an unclamped denominator (NULL for an all-masked batch),
-    then the mean over the batches that have one."""
+    then the mean over the batches that have one. A batch with a NaN token, masked or not, has none."""
     total = F.sum(mask)
     per_batch = tokens.groupBy(*batch).agg(
-        F.try_divide(F.sum(F.col("kl_approx") * F.col(mask)), total).alias("_mean")
+        F.try_divide(F.sum(F.col("kl_approx") * F.col(mask)), total).alias("kl_approx")
     )
-    return per_batch.groupBy(*groups).agg(F.avg("_mean").alias("kl_approx"))
+    return skip_nan_mean(per_batch, ["kl_approx"], groups)
 
 
 def importance_stats(tokens: DataFrame, batch: Sequence[str], groups: Sequence[str], mask: str = "mask") -> DataFrame:
     """Ratio and log-prob difference on unmasked tokens, per batch and then over batches.
-    A batch without unmasked tokens counts with 0, as a producer would log it."""
-    ratio = F.when(F.col(mask) == 1, F.col("ratio"))
-    gap = F.when(F.col(mask) == 1, F.abs(F.col("old_logp") - F.col("sampling_logp")))
-
-    def or_zero(value: Column) -> Column:
-        return F.coalesce(value, F.lit(0.0))
+    A batch without unmasked tokens counts with 0, as a producer would log it.
 
+    A NaN on an unmasked token makes its batch's numbers NaN. Over batches the ratio's skip NaN, and are NULL if all are; the
+    difference's do not, so one such batch shows.
+    """
+    kept = F.col(mask) == 1
     per_batch = tokens.groupBy(*batch).agg(
-        or_zero(F.min(ratio)).alias("_rmin"),
-        or_zero(F.avg(ratio)).alias("_rmean"),
-        or_zero(F.max(ratio)).alias("_rmax"),
-        or_zero(F.avg(gap)).alias("_gmean"),
-        or_zero(F.max(gap)).alias("_gmax"),
+        _nan_aware(F.when(kept, F.col("ratio"))).alias("_r"),
+        _nan_aware(F.when(kept, F.abs(F.col("old_logp") - F.col("sampling_logp")))).alias("_g"),
     )
+
+    def of(state: str, value: Column) -> Column:
+        return F.when(F.col(f"{state}.nans") > 0, F.lit(float("nan"))).when(F.col(f"{state}.n") == 0, 0.0).otherwise(value)
+
+    def mean(state: str) -> Column:
+        return F.try_divide(f"{state}.total", f"{state}.n")
+
+    per_batch = per_batch.select(
+        *batch,
+        of("_r", F.col("_r.low")).alias("ratio_min"),
+        of("_r", mean("_r")).alias("ratio_mean"),
+        of("_r", F.col("_r.high")).alias("ratio_max"),
+        of("_g", mean("_g")).alias("logp_difference_mean"),
+        of("_g", F.col("_g.high")).alias("logp_difference_max"),
+    )
+
+    def number(name: str) -> Column:
+        return F.nanvl(name, F.lit(None).cast("double"))
+
     return per_batch.groupBy(*groups).agg(
-        F.min("_rmin").alias("ratio_min"),
-        F.avg("_rmean").alias("ratio_mean"),
-        F.max("_rmax").alias("ratio_max"),
-        F.avg("_gmean").alias("logp_difference_mean"),
-        F.max("_gmax").alias("logp_difference_max"),
+        F.min(number("ratio_min")).alias("ratio_min"),
+        F.avg(number("ratio_mean")).alias("ratio_mean"),
+        F.max(number("ratio_max")).alias("ratio_max"),
+        F.avg("logp_difference_mean").alias("logp_difference_mean"),
+        F.max("logp_difference_max").alias("logp_difference_max"),
     )
 
 

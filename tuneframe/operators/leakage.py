@@ -3,6 +3,8 @@ passages of an evaluation set?"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def assert_no_leaks(rows: DataFrame, row_id: str) -> None:
     found = {row["detector"]: row["first_ids"] for row in leak_report(rows, row_id).collect()}
     if found:
         details = [f"{DETECTOR_TEXT[name]} {found[name]}" for name in DETECTORS if name in found]
-        raise ValueError("Potential evaluation leakage detected: " + "; ".join(details))
+        raise ValueError("leakage in evaluation rows: " + "; ".join(details))
 
 
 # ------------------------------------------------------------------ across tables
@@ -85,6 +87,9 @@ def assert_no_leaks(rows: DataFrame, row_id: str) -> None:
 
 BLOCK = ["block_a", "block_b"]
 LINE = ["line_a", "line_b"]
+# Lines of passages that a task holds, and lines of documents that it tries them on.
+PART_LINES = 1 << 18
+GROUP_LINES = 1 << 19
 
 
 def _block_key(lines: Column) -> Column:
@@ -112,27 +117,91 @@ def passage_blocks(passages: DataFrame, passage_id: str, text: str = "text") ->
 def block_hits(documents: DataFrame, blocks: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     """``doc_id, block_a, block_b`` for every distinct passage block that stands in a document.
 
-    Each line is hashed once, and only lines that some passage has go on. A block is looked for
-    where its rarest line stands, by the lines' counts over all documents, and then every line
-    of it is compared at its place. So the work follows the lines and the matches, not the number of
-    different passage lengths, and a boilerplate line that many passages or documents share multiplies nothing
-    unless a passage consists of such lines only. Passages with equal lines count as one block.
+    Each line is hashed once, and only lines that some passage has go on, to the tasks that hold passages with that line. There a
+    document is the set of positions of each of its lines, as one number with a bit per position. A passage stands in it where the
+    numbers of its lines, each shifted by its place in the passage, have a bit in common. Passages are tried at a document that has all
+    their lines only. So the work follows the lines and the hits, also when passages and documents consist of the same
+    boilerplate lines over and over; neither pairs nor starts are ever listed.
+
+    Passages are dealt over parts of :data:`PART_LINES` lines and a part's documents over groups of :data:`GROUP_LINES`; passages with
+    equal lines count as one block. Rows with equal ids are documents of their own and give an id once.
     """
     distinct = blocks.select(*BLOCK, "n_lines", "line_keys").dropDuplicates(BLOCK)
-    members = written(distinct.select(*BLOCK, "n_lines", F.posexplode("line_keys").alias("_off", "_k")).select(*BLOCK, "n_lines", "_off", "_k.*"), "passage-lines")
-    lines = documents.select(doc_id, F.posexplode(_line_keys(non_empty_lines(F.col(text)))).alias("_pos", "_k")).select(doc_id, "_pos", "_k.*")
-    found = written(lines.join(members.select(*LINE).distinct(), LINE, "left_semi"), "found-lines")
-    counts = found.groupBy(*LINE).agg(F.count(F.lit(1)).alias("_n"))
-    place = F.min_by(F.struct("_off", *LINE), F.struct("_n", "_off")).alias("_at")
-    anchors = members.join(counts, LINE).groupBy(*BLOCK, "n_lines").agg(place, F.count(F.lit(1)).alias("_known"))
-    anchors = anchors.where("_known = n_lines").select(*BLOCK, "n_lines", "_at.*")
-    starts = found.join(anchors, LINE).select(doc_id, (F.col("_pos") - F.col("_off")).alias("_start"), *BLOCK).where("_start >= 0")
-    # A document with equal rows, or with a null id, is one document here.
-    starts = starts.distinct()
-    expected = starts.join(members, BLOCK).select(doc_id, "_start", *BLOCK, "n_lines", (F.col("_start") + F.col("_off")).alias("_pos"), *LINE)
-    there = expected.join(found.distinct(), [doc_id, "_pos", *LINE])
-    whole = there.groupBy(doc_id, "_start", *BLOCK, "n_lines").agg(F.count(F.lit(1)).alias("_hit")).where("_hit = n_lines")
-    return whole.select(doc_id, *BLOCK).distinct()
+    n_lines = distinct.agg(F.sum("n_lines")).first()[0] or 0
+    part = F.pmod(F.col(BLOCK[0]), F.lit(max(1, -(-n_lines // PART_LINES))).cast("bigint")).alias("_part")
+    members = written(distinct.select(part, *BLOCK, F.posexplode("line_keys").alias("_off", "_k")).select("_part", *BLOCK, "_off", "_k.*"), "passage-lines")
+    rows = documents.select(F.monotonically_increasing_id().alias("_row"), doc_id, text)
+    rows = rows.select("_row", doc_id, F.posexplode(_line_keys(non_empty_lines(F.col(text)))).alias("_pos", "_k"))
+    wanted = members.select("_part", *LINE).distinct()
+    found = written(rows.select("_row", doc_id, "_pos", "_k.*").join(wanted, LINE), "found-lines")
+    groups = max(1, -(-found.count() // GROUP_LINES))
+    own = found.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups).cast("bigint")))
+    every = members.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+    kind = documents.schema[doc_id].dataType.simpleString()
+    hits = own.groupBy("_part", "_group").cogroup(every.groupBy("_part", "_group")).applyInArrow(_hits(doc_id), f"`{doc_id}` {kind}, {BLOCK[0]} bigint, {BLOCK[1]} int")
+    return hits.distinct()
+
+
+def _hits(doc_id: str):
+    def codes(*tables: pa.Table) -> np.ndarray:
+        """Small numbers for the line keys of all tables, one after the other."""
+        high, low = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in LINE)
+        first = np.unique(high, return_inverse=True)[1].astype(np.int64)
+        return np.unique((first << 32) | (low.astype(np.int64) & 0xFFFFFFFF), return_inverse=True)[1]
+
+    def cuts(*columns: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the runs of equal rows."""
+        n = len(columns[0])
+        if not n:
+            return []
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
+        starts = np.flatnonzero(new).tolist()
+        return list(zip(starts, [*starts[1:], n]))
+
+    def run(key, lines: pa.Table, members: pa.Table) -> pa.Table:
+        lines = lines.sort_by([("_row", "ascending"), ("_pos", "ascending")])
+        members = members.sort_by([*((c, "ascending") for c in BLOCK), ("_off", "ascending")])
+        out: list[tuple[int, int, int]] = []
+        if lines.num_rows and members.num_rows:
+            code = codes(lines, members)
+            own, theirs = code[: lines.num_rows], code[lines.num_rows :]
+            frequency = np.bincount(own, minlength=int(code.max()) + 1)
+            names = [members.column(c).to_numpy() for c in BLOCK]
+            # A passage is looked up under its rarest line.
+            passages: dict[int, list] = {}
+            for start, end in cuts(*names):
+                parts = theirs[start:end]
+                rarest = int(parts[np.argmin(frequency[parts])])
+                if frequency[rarest]:
+                    passages.setdefault(rarest, []).append((parts.tolist(), set(parts.tolist()), int(names[0][start]), int(names[1][start])))
+            position = lines.column("_pos").to_numpy()
+            for start, end in cuts(lines.column("_row").to_numpy()):
+                here, at = own[start:end], position[start:end]
+                known = set(here.tolist())
+                bits: dict[int, int] = {}
+                for rarest in known & passages.keys():
+                    for parts, needed, block_a, block_b in passages[rarest]:
+                        if needed <= known and _stands(parts, here, at, bits):
+                            out.append((start, block_a, block_b))
+        starts, block_a, block_b = zip(*out) if out else ((), (), ())
+        ids = lines.column(doc_id).take(pa.array(starts, pa.int64()))
+        return pa.table([ids, pa.array(block_a, pa.int64()), pa.array(block_b, pa.int32())], [doc_id, *BLOCK])
+
+    return run
+
+
+def _stands(parts: list[int], lines: np.ndarray, at: np.ndarray, bits: dict[int, int]) -> bool:
+    """Whether the lines ``parts`` follow each other somewhere; ``bits`` keeps the positions of each line of the document."""
+    found = -1
+    for i, line in enumerate(parts):
+        if line not in bits:
+            places = np.zeros(int(at[-1]) + 1, np.uint8)
+            places[at[lines == line]] = 1
+            bits[line] = int.from_bytes(np.packbits(places, bitorder="little").tobytes(), "little")
+        found &= bits[line] >> i
+        if not found:
+            return False
+    return True
 
 
 def leak_cross(

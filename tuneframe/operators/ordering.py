@@ -7,14 +7,21 @@ so both passes agree after a task is retried, and no bucket grows with the table
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Keys per bucket (2**20) of id order, and hex digits of a bucket of hash order.
 ID_BITS = 20
 HASH_DIGITS = 4
+# Rows that a task of latest_n gathers before it drops what cannot be among the last.
+HEAP_ROWS = 1 << 17
 
 
 def shuffle_key(seed: int | str, row_id: Column) -> Column:
@@ -81,10 +88,68 @@ def in_order(df: DataFrame, name: str = "pos") -> DataFrame:
     return df.orderBy(name)
 
 
+def _highest(rows: DataFrame, n: int, order: str, groups: Sequence[str]) -> DataFrame:
+    """At most the ``n`` highest values of each group that a task reads; ``rows`` holds groups and ``order`` only.
+
+    Each task keeps, as a heap would, what may still be among the ``n`` highest of a group and drops the rest whenever it has doubled.
+    """
+    groups = list(groups)
+
+    def best(table: pa.Table) -> pa.Table:
+        # Falling order with NaN first, as Spark has it.
+        values = table.column(order)
+        keys = {"v": values, "nan": pc.is_nan(values) if pa.types.is_floating(values.type) else pa.array(np.zeros(len(values), bool))}
+        table = table.take(pc.sort_indices(pa.table(keys), [("nan", "descending"), ("v", "descending")]))
+        code = np.zeros(table.num_rows, np.int64)
+        for name in groups:
+            column = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        by = np.argsort(code, kind="stable")
+        first = np.append(True, code[by][1:] != code[by][:-1])
+        starts = np.flatnonzero(first)
+        rank = np.arange(len(by)) - starts[np.cumsum(first) - 1]
+        return table.take(pa.array(by[rank < n]))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, HEAP_ROWS
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= limit:
+                held = best(pa.Table.from_batches(held)).to_batches()
+                size = sum(b.num_rows for b in held)
+                limit = max(HEAP_ROWS, 2 * size)
+        if held:
+            yield from best(pa.Table.from_batches(held)).to_batches()
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def latest_n(df: DataFrame, n: int, order: str, groups: Sequence[str]) -> DataFrame:
-    """The last ``n`` rows of each group; each map task sends at most ``n`` rows per group."""
-    window = Window.partitionBy(*groups).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+    """The last ``n`` rows of each group by ``order``, a column of numbers, times or texts; NULL comes before all values. Of equal values any.
+
+    Works the same for any ``n``: the ``n``-th highest value of each large group is found from the order column
+    alone, in tasks, then per group and input partition, then per group. Only rows from there on are moved, and they are
+    cut to ``n`` per group and input partition before they meet, so that many equal values do no harm.
+    """
+    groups = list(groups)
+    if not groups:
+        return df.orderBy(F.desc_nulls_last(order)).limit(n)
+    salt = F.spark_partition_id()
+    # NULL is below every value, so a group whose n-th value is NULL, or that has fewer than n, has no threshold.
+    thin = _highest(df.where(F.col(order).isNotNull()).select(*groups, order), n, order, groups).withColumn("_salt", salt)
+
+    def ranked(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(order))))
+
+    few = ranked(thin, *groups, "_salt").where(F.col("_rn") <= n).drop("_rn", "_salt")
+    least = ranked(few, *groups).where(F.col("_rn") == n).select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col(order).alias("_least"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    near = df.join(least, reduce(and_, same), "left")
+    rows = near.where(F.col("_least").isNull() | (F.col(order) >= F.col("_least"))).select(*df.columns, salt.alias("_salt"))
+    rows = ranked(rows, *groups, "_salt").where(F.col("_rn") <= n).drop("_rn", "_salt")
+    return ranked(rows, *groups).where(F.col("_rn") <= n).drop("_rn")
 
 
 def first_per_key(df: DataFrame, key: Column, order: str, groups: Sequence[str] = ()) -> DataFrame:

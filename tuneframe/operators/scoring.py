@@ -101,7 +101,7 @@ def with_answers(predictions: DataFrame) -> DataFrame:
 
 def with_calls(predictions: DataFrame) -> DataFrame:
     """Replace ``prediction`` by its parsed ``calls``, before the join for the same reason."""
-    return predictions.withColumn("calls", toolcalls.parse_tool_calls(F.col("prediction"))).drop("prediction")
+    return toolcalls.with_parsed_calls(predictions).drop("prediction")
 
 
 def score_cls(aligned: DataFrame, strict: bool = True) -> DataFrame:
@@ -136,12 +136,14 @@ def parse_gold(references: DataFrame, golden_answer: str = "golden_answer") -> D
     """Add the gold names and comparable arguments. Done on the reference table, so each
     gold answer is parsed once however many predictions refer to it."""
     steps = F.col(golden_answer)
-    return references.withColumns(
-        {
-            "gold_names": F.coalesce(toolcalls.expected_names(steps), F.array().cast("array<string>")),
-            "gold_inputs": toolcalls.expected_inputs(steps),
-        }
-    )
+    named = references.withColumn("gold_names", F.coalesce(toolcalls.expected_names(steps), F.array().cast("array<string>")))
+    return toolcalls.with_expected_inputs(named, golden_answer)
+
+
+def argument_routes(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """``groups, n, n_python``: predictions, and those of them that built-in expressions cannot read."""
+    plain = toolcalls.plain_calls(F.coalesce("prediction", F.lit("")))
+    return predictions.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(plain.isNull(), 1)).alias("n_python"))
 
 
 def score_tool(aligned: DataFrame, strict: bool = True) -> DataFrame:
@@ -154,7 +156,7 @@ def score_tool(aligned: DataFrame, strict: bool = True) -> DataFrame:
     if "gold_names" not in aligned.columns:
         aligned = parse_gold(aligned)
     if "calls" not in aligned.columns:
-        aligned = aligned.withColumn("calls", toolcalls.parse_tool_calls(F.col("prediction")))
+        aligned = toolcalls.with_parsed_calls(aligned)
     has_gold = F.col("gold_names").isNotNull()
     if strict:
         has_gold = has_gold | F.raise_error(F.lit("a prediction has no reference")).cast("boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tuneframe import schemas
 from tuneframe.constants import TASK_LABELS
 from tuneframe.functions import labels as L
 from tuneframe.functions import prompts as P
@@ -15,6 +16,7 @@ from tuneframe.plans.derived import with_tables
 from tuneframe.plans.registry import Tables, query
 from tuneframe.session import run_folder
 from tuneframe.sources import readers, writers
+from tuneframe.sources.json_rows import read_json_rows
 
 # ------------------------------------------------------------------ sources
 
@@ -42,6 +44,33 @@ def read_tooluse(t: Tables):
     )
 
 
+# Texts full of what a lexer could trip over.
+ODD_TEXT_SQL = "'\"User\" ' || user_id || ' \\ reports: [{' || event_type || '}, \\\" ]' || chr(10) || '},{'"
+
+
+@query(
+    "read_tooluse_array",
+    with_tables("tool_rows")
+    + f"SELECT {ODD_TEXT_SQL} AS prompt, name, n_steps, tool_call, row_number() OVER (ORDER BY tool_rows.row_idx) - 1 AS row_idx FROM tool_rows",
+)
+def read_tooluse_array(t: Tables):
+    """All rows as JSON arrays, cut into rows by ranges of 64 KB; the position in the arrays is the order of the rows."""
+    path = run_folder(t.spark, "tooluse-array")
+    user = F.element_at(F.split("prompt", " "), 2)
+    event = F.element_at(F.split("prompt", " "), 4)
+    odd = F.concat(F.lit('"User" '), user, F.lit(" \\ reports: [{"), event, F.lit('}, \\" ]\n},{'))
+    rows = D.tool_rows(t).withColumn("prompt", odd).repartitionByRange("row_idx").sortWithinPartitions("row_idx")
+    writers.write_json_arrays(rows.drop("row_idx", "split"), path)
+    read = read_json_rows(t.spark, path, schemas.TOOLUSE_RAW, row_idx="row_idx", range_bytes=1 << 16)
+    return read.select(
+        "prompt",
+        F.trim("name").alias("name"),
+        F.size("golden_answer").alias("n_steps"),
+        P.render_tool_call(F.col("golden_answer"), F.col("golden_response")).alias("tool_call"),
+        "row_idx",
+    )
+
+
 @query(
     "read_task_splits",
     with_tables("cls_copa", "cls_cb", "cls_wsc")
@@ -100,6 +129,17 @@ def read_fewshot_manifest(t: Tables):
 # ------------------------------------------------------------------ sinks
 
 
+@query("read_manifest_array", f"WITH {MANIFEST_SQL} SELECT task, pos, row_idx FROM manifest")
+def read_manifest_array(t: Tables):
+    """The lists as array files of manifest objects, read in ranges."""
+    path = run_folder(t.spark, "manifest-array")
+    lists = manifest(t).groupBy("task").agg(F.sort_array(F.collect_list("row_idx")).alias("train_indices"))
+    entry = F.struct("train_indices", F.lit('labelled "twice" {so]').alias("rationale"))
+    rows = lists.select(F.lit(1).alias("version"), F.lit("lists").alias("description"), F.create_map("task", entry).alias("tasks"))
+    writers.write_json_arrays(rows, path)
+    return readers.read_fewshot_manifest(t.spark, path, large=True).select("task", "pos", "row_idx")
+
+
 @query(
     "write_examples",
     with_tables("pred_copa", "pred_wsc")
@@ -492,9 +532,10 @@ def non_empty_lines_query(t: Tables):
     "SELECT 'all', count(*), count(*) FROM documents",
 )
 def row_idx_partitioned(t: Tables):
-    """Stored order over a table partitioned by language, whose folders hold files of one name: dense, no number twice."""
+    """Stored order over a table partitioned by language: a task writes to all folders, so each holds several files, and files
+    of different folders share their names. Dense, no number twice."""
     path = run_folder(t.spark, "by-language")
-    t.documents.select("doc_id", "lang").coalesce(1).write.partitionBy("lang").parquet(path)
+    t.documents.select("doc_id", "lang", "text").repartition(5, "doc_id").write.partitionBy("lang").parquet(path)
     numbered = readers.with_row_idx(t.spark.read.parquet(path))
     dense = numbered.where(F.col("row_idx").between(0, t.documents.agg(F.count(F.lit(1)) - 1).scalar()))
     group = F.explode(F.array(F.col("lang"), F.lit("all"))).alias("lang")

@@ -89,7 +89,7 @@ def eval_cls(t: Tables):
     "CASE event_id % 8 WHEN 4 THEN 'other' WHEN 7 THEN NULL ELSE event_type END AS first_action FROM events",
 )
 def parse_tool_calls(t: Tables):
-    parsed = D.tool_predictions(t).select("example_id", toolcalls.parse_tool_calls(F.col("prediction")).alias("p"))
+    parsed = toolcalls.with_parsed_calls(D.tool_predictions(t), name="p")
     return parsed.select(
         "example_id",
         F.size("p.calls").alias("n_calls"),
@@ -98,6 +98,28 @@ def parse_tool_calls(t: Tables):
     )
 
 
+@query(
+    "argument_routes",
+    "SELECT run_id, count(*) AS n, count(*) FILTER (event_id % 8 IN (3, 5)) AS n_python FROM (SELECT *, 'run_' || (user_id % 12) AS run_id FROM events) GROUP BY run_id",
+)
+def argument_routes(t: Tables):
+    """Fenced and broken arguments go to Python, the other six kinds of answers do not."""
+    return scoring.argument_routes(D.tool_predictions(t), ["run_id"])
+
+
+@query(
+    "parse_tool_calls_both",
+    "SELECT event_id AS example_id, CASE WHEN event_id % 8 = 7 THEN 0 ELSE 1 END AS n_calls, true AS same FROM events",
+)
+def parse_tool_calls_both(t: Tables):
+    """The built-in form and the Arrow form of every prediction and every gold argument."""
+    rows = D.tool_predictions(t).join(D.tool_gold(t), "example_id")
+    rows = rows.withColumn("arrow", toolcalls.parse_tool_calls(F.col("prediction"))).withColumn("arrow_gold", toolcalls.expected_inputs(F.col("golden_answer")))
+    rows = toolcalls.with_expected_inputs(toolcalls.with_parsed_calls(rows, name="p"))
+    same = F.col("p").eqNullSafe(F.col("arrow")) & F.col("gold_inputs").eqNullSafe(F.col("arrow_gold"))
+    return rows.select("example_id", F.size("p.calls").alias("n_calls"), same.alias("same"))
+
+
 def _scored_tool(t: Tables):
     references = scoring.parse_gold(D.tool_gold(t)).drop("golden_answer")
     return scoring.score_tool(scoring.pair_predictions(scoring.with_calls(D.tool_predictions(t)), references))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tuneframe.operators import rewards, runs
@@ -63,17 +65,15 @@ def latest_metric(t: Tables):
     return runs.latest_metric(D.run_metrics(t).withColumn("step", F.col("batch_id")))
 
 
-# One evaluation per (run, step): the mean purchase value.
+# One evaluation per (run, step): the mean value of all its events.
 EVALS_SQL = (
-    f"evals AS (SELECT {D.RUN_NAME_SQL} AS run_name, event_id % 50 AS step, round(avg(value), 1) AS value FROM events "
-    "WHERE event_type = 'purchase' GROUP BY 1, 2)"
+    f"evals AS (SELECT {D.RUN_NAME_SQL} AS run_name, event_id % 50 AS step, round(avg(value), 1) AS value FROM events GROUP BY 1, 2)"
 )
 
 
 def evaluations(t: Tables):
-    rows = t.events.where(F.col("event_type") == "purchase")
     return (
-        rows.select(D.run_names().alias("run_name"), (F.col("event_id") % 50).alias("step"), "value")
+        t.events.select(D.run_names().alias("run_name"), (F.col("event_id") % 50).alias("step"), "value")
         .groupBy("run_name", "step")
         .agg(F.round(F.avg("value"), 1).alias("value"))
     )
@@ -214,6 +214,77 @@ def stream_run_log(t: Tables):
     return jobs.latest_from_sink(t.spark, sink).select("run_name", "name", r6("value").alias("value"))
 
 
+def grow_logs(t: Tables, folder: str, share: float) -> None:
+    """The log of each run as far as it had come: its first bytes up to ``share``, which may end inside a line.
+
+    A run writes its own log, so each is one task's file. Writing it again only makes it longer.
+    """
+    tag = F.when(F.col("event_id") % 2 == 0, "eval_init").otherwise("eval_final")
+    means = t.events.select(D.run_names().alias("run"), tag.alias("tag"), "event_type", "value").groupBy("run", "tag", "event_type").agg(F.avg("value").alias("value"))
+    body = F.to_json(F.create_map(F.concat("tag", F.lit("_"), "event_type"), "value"))
+    lines = means.select("run", F.concat(F.lit("["), "tag", F.lit("] "), body, F.lit("\n[loss] step done\n")).alias("line"))
+
+    def write(part: pa.Table) -> pa.Table:
+        data = "".join(sorted(part.column("line").to_pylist())).encode()
+        store, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        run = part.column("run")[0].as_py()
+        store.create_dir(f"{root}/run={run}", recursive=True)
+        with store.open_output_stream(f"{root}/run={run}/train.log") as out:
+            out.write(data[: int(len(data) * share)])
+        return pa.table([[len(data)]], ["size"])
+
+    lines.groupBy("run").applyInArrow(write, "size long").agg(F.sum("size")).collect()
+
+
+@query(
+    "stream_growing_log",
+    LOG_SQL + f"SELECT run_name, tag || '_' || event_type AS name, {r6_sql('value')} AS value, 1::BIGINT AS n_read FROM m",
+)
+def stream_growing_log(t: Tables):
+    """Logs that grow while they are read: three stages, the stream stopped and started again between them, cut inside lines."""
+    path, sink, state = (run_folder(t.spark, f"growing-{part}") for part in ("source", "sink", "state"))
+    for share in (0.37, 0.71, 1.0):
+        grow_logs(t, path, share)
+        jobs.stream_run_log(t.spark, path, sink, state, LOG_PATH, growing=True).awaitTermination()
+    times = t.spark.read.parquet(sink).groupBy("run_name", "name").agg(F.count(F.lit(1)).alias("n_read"))
+    latest = jobs.latest_from_sink(t.spark, sink).select("run_name", "name", r6("value").alias("value"))
+    return latest.join(times, ["run_name", "name"])
+
+
+@query(
+    "stream_arrivals",
+    "WITH p AS (SELECT *, event_id % 50 AS step, (event_id * 7919) % 100 >= 90 AS held FROM events), "
+    "w AS (SELECT max(ts) FILTER (NOT held) - INTERVAL 1 HOUR AS mark FROM p), "
+    "a AS (SELECT 'run_' || (user_id % 12) AS run_id, step, event_id, CASE WHEN held AND ts < mark THEN 'late' ELSE 'on_time' END AS arrival FROM p, w "
+    "UNION ALL SELECT 'run_' || (user_id % 12), step, event_id, CASE WHEN held AND ts < mark THEN 'late' ELSE 'repeated' END FROM p, w) "
+    "SELECT run_id, step, arrival, count(*) AS n, "
+    f"{r6_sql('avg(CASE WHEN event_id % 10 = 9 THEN NULL WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM a GROUP BY 1, 2, 3",
+)
+def stream_arrivals(t: Tables):
+    """Every prediction comes twice. A tenth is held back and comes after a restart: what the watermark has passed by then is late.
+    On time, repeated and late rows together are all that came."""
+    path, sink, state = (run_folder(t.spark, f"arrivals-{part}") for part in ("source", "sink", "state"))
+    answer = F.when(F.col("event_id") % 3 == 0, "Final Label: True").otherwise("Final Label: false.")
+    rows = t.events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("example_id"),
+        F.concat(F.lit("run_"), (F.col("user_id") % 12).cast("string")).alias("run_id"),
+        (F.col("event_id") % 50).alias("step"),
+        answer.alias("prediction"),
+        ((F.col("event_id") * 7919) % 100 >= 90).alias("held"),
+    )
+    references = t.events.where(F.col("event_id") % 10 != 9).select(
+        F.col("event_id").alias("example_id"), F.lit("wsc").alias("task"), F.lit("True").alias("reference")
+    )
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    for held in (False, True):
+        twice.where(F.col("held") == held).drop("held", "copy").write.mode("append").parquet(path)
+        source = t.spark.readStream.schema(rows.drop("held").schema).parquet(path)
+        jobs.stream_arrivals(jobs.scored_arrivals(jobs.arrivals(source), references), sink, state).awaitTermination()
+    scored = t.spark.read.parquet(sink)
+    return scored.groupBy("run_id", "step", "arrival").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("accuracy")).alias("accuracy"))
+
+
 @query(
     "stream_score",
     "SELECT 'run_' || (user_id % 12) || '_' || r AS run_id, event_id % 50 AS step, CASE WHEN event_id % 10 = 9 THEN 'missing_reference' "

@@ -9,7 +9,8 @@ from tuneframe.operators import distill
 from tuneframe.plans import derived as D
 from tuneframe.plans.derived import r6, r6_sql, with_tables
 from tuneframe.plans.registry import Tables, query
-from tuneframe.session import written
+from tuneframe.session import run_folder, written
+from tuneframe.sources import writers
 
 KEY = "run_id, seq_id, pos"
 VALUES = with_tables("token_values")
@@ -43,6 +44,24 @@ def pair_student_teacher(t: Tables):
     )
 
 
+@query(
+    "pair_student_teacher_bucketed",
+    with_tables("tokens")
+    + f"SELECT {KEY}, token_id, mask, {r6_sql('list_sum(sl)')} AS student_sum, {r6_sql('tl[1] - sl[1]')} AS first_gap FROM tokens",
+)
+def pair_student_teacher_bucketed(t: Tables):
+    """Both token tables saved in buckets of the key: the join reads bucket by bucket, without an exchange or a sort."""
+    saved = []
+    for name, tokens in (("student", D.student_tokens(t)), ("teacher", D.teacher_tokens(t))):
+        path = run_folder(t.spark, f"{name}-tokens")
+        table = f"{name}_tokens_{path[-32:]}"
+        writers.save_token_table(tokens.repartition(8, *distill.KEY), table, 8, path=path)
+        saved.append(t.spark.table(table))
+    total = F.aggregate("student_logits", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    gap = F.col("teacher_logits")[0].cast("double") - F.col("student_logits")[0].cast("double")
+    return distill.pair_student_teacher(*saved).select(*distill.KEY, "token_id", "mask", r6(total).alias("student_sum"), r6(gap).alias("first_gap"))
+
+
 @query(
     "log_softmax",
     with_tables("tokens")
@@ -102,16 +121,50 @@ _divergence_query("reverse_kl", 1.0, "reverse_kl", "arrow")
 _divergence_query("forward_kl_sql", 0.0, "forward_kl", "sql")
 
 
-@query(
-    "generalized_jsd",
-    with_tables("tokens")
-    + f"SELECT {KEY}, {r6_sql('list_sum(list_transform(list_zip(s, t), lambda z: 0.25 * exp(z[2]) * (z[2] - ln(0.75 * exp(z[1]) + 0.25 * exp(z[2]))) + 0.75 * exp(z[1]) * (z[1] - ln(0.75 * exp(z[1]) + 0.25 * exp(z[2])))))')} "
-    "AS divergence FROM tokens",
+JSD_SQL = r6_sql(
+    "list_sum(list_transform(list_zip(s, t), lambda z: 0.25 * exp(z[2]) * (z[2] - ln(0.75 * exp(z[1]) + 0.25 * exp(z[2]))) "
+    "+ 0.75 * exp(z[1]) * (z[1] - ln(0.75 * exp(z[1]) + 0.25 * exp(z[2])))))"
 )
+
+
+@query("generalized_jsd", with_tables("tokens") + f"SELECT {KEY}, {JSD_SQL} AS divergence FROM tokens")
 def generalized_jsd(t: Tables):
     return _metrics(t, 0.25).select(*distill.KEY, r6("divergence").alias("divergence"))
 
 
+# ------------------------------------------------------------------ vocabularies in blocks
+
+BLOCK = 10
+
+
+def _blocks(t: Tables):
+    student = distill.vector_blocks(D.student_tokens(t), BLOCK, "student_logits")
+    return student, distill.vector_blocks(D.teacher_tokens(t), BLOCK, "teacher_logits")
+
+
+@query(
+    "block_token_metrics",
+    VALUES
+    + f"SELECT {KEY}, token_id, label, {r6_sql('student_logp')} AS student_logp, {r6_sql('teacher_logp')} AS teacher_logp, "
+    f"{r6_sql('entropy')} AS entropy, {r6_sql('forward_kl')} AS divergence FROM token_values",
+)
+def block_token_metrics(t: Tables):
+    """Log-probs, entropy and divergence without a row that holds a whole vector."""
+    metrics = distill.token_metrics_blocks(*_blocks(t), BLOCK)
+    numbers = [r6(c).alias(c) for c in ("student_logp", "teacher_logp", "entropy", "divergence")]
+    return metrics.select(*distill.KEY, "token_id", "label", *numbers)
+
+
+@query("block_reverse_kl", VALUES + f"SELECT {KEY}, {r6_sql('reverse_kl')} AS divergence FROM token_values")
+def block_reverse_kl(t: Tables):
+    return distill.token_metrics_blocks(*_blocks(t), BLOCK, alpha=1.0).select(*distill.KEY, r6("divergence").alias("divergence"))
+
+
+@query("block_jsd", with_tables("tokens") + f"SELECT {KEY}, {JSD_SQL} AS divergence FROM tokens")
+def block_jsd(t: Tables):
+    return distill.token_metrics_blocks(*_blocks(t), BLOCK, alpha=0.25).select(*distill.KEY, r6("divergence").alias("divergence"))
+
+
 @query(
     "skip_first_tokens",
     "SELECT vec_id // 8 AS seq_id, vec_id % 8 AS pos, CASE WHEN vec_id % 8 >= 3 AND vec_id % 8 <= (vec_id // 8) % 8 "
@@ -138,6 +191,24 @@ def entropy_quantile(t: Tables):
     return out.withColumn("threshold", r6("threshold"))
 
 
+@query(
+    "entropy_sketch",
+    VALUES + "SELECT run_id, count(*) AS n, count(DISTINCT batch_id) AS n_sketches, true AS near FROM token_values WHERE mask = 1 GROUP BY run_id",
+)
+def entropy_sketch(t: Tables):
+    """Quantiles of whole runs from the stored sketches of their steps; ``near`` says that the rank is within the stated error."""
+    tokens, k, q = _written_metrics(t), 64, 0.8
+    sketches = written(distill.entropy_sketches(tokens, ["run_id", "batch_id"], k=k), "entropy-sketches")
+    found = distill.sketch_quantile(distill.merge_sketches(sketches, ["run_id"]), q)
+    steps = sketches.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_sketches"))
+    ranked = tokens.where("mask = 1").join(found, "run_id").groupBy("run_id", "n").agg(
+        F.count(F.when(F.col("entropy") < F.col("threshold"), 1)).alias("below"), F.count(F.when(F.col("entropy") <= F.col("threshold"), 1)).alias("upto")
+    )
+    slack = F.lit(2 * distill.sketch_rank_error(k)) * F.col("n") + 1
+    near = (F.col("below") - slack <= q * F.col("n")) & (F.col("upto") + slack >= q * F.col("n"))
+    return ranked.join(steps, "run_id").select("run_id", "n", "n_sketches", near.alias("near"))
+
+
 # Thresholds are compared at nine decimals so that both engines break ties alike.
 @query(
     "high_entropy_mask",
@@ -257,6 +328,69 @@ def importance_stats(t: Tables):
     return stats.select("run_id", *[r6(c).alias(c) for c in stats.columns if c != "run_id"])
 
 
+# ------------------------------------------------------------------ batches with NaN
+
+# Every 37th token has no usable student log-prob, which spoils the batches of some runs' steps but not all of them.
+NAN_VALUES = (
+    VALUES + ", bad AS (SELECT * REPLACE (CASE WHEN (seq_id * 8 + pos) % 37 = 5 THEN 'nan'::DOUBLE ELSE student_logp END AS student_logp) FROM token_values), "
+    "step AS (SELECT *, seq_id // 4 AS step_id, abs(student_logp - teacher_logp) AS gap, CASE WHEN isnan(student_logp) THEN student_logp "
+    f"ELSE {RATIO_SQL} END AS ratio FROM bad) "
+)
+
+
+def _with_nan(t: Tables):
+    bad = (F.col("seq_id") * 8 + F.col("pos")) % 37 == 5
+    return _metrics(t).withColumns({
+        "student_logp": F.when(bad, F.lit(float("nan"))).otherwise(F.col("student_logp")),
+        "step_id": F.floor(F.col("seq_id") / 4).cast("bigint"),
+    })
+
+
+def _number(column):
+    return F.nanvl(column, F.lit(None).cast("double"))
+
+
+@query(
+    "importance_ratio_nan",
+    NAN_VALUES + f"SELECT {KEY}, isnan(ratio) AS is_nan, CASE WHEN NOT isnan(ratio) THEN {r6_sql('ratio')} END AS ratio FROM step",
+)
+def importance_ratio_nan(t: Tables):
+    tokens = _with_nan(t).withColumns({"old_logp": F.col("student_logp"), "sampling_logp": F.col("teacher_logp")})
+    tokens = distill.importance_ratio(tokens, cap=1.1)
+    return tokens.select(*distill.KEY, F.isnan("ratio").alias("is_nan"), r6(_number("ratio")).alias("ratio"))
+
+
+@query(
+    "kl_approx_mean_nan",
+    NAN_VALUES + ", b AS (SELECT run_id, step_id, bool_or(isnan(student_logp)) AS spoilt, sum(((student_logp - teacher_logp) + exp(teacher_logp - student_logp) - 1) * mask) / "
+    f"nullif(sum(mask), 0) AS v FROM step GROUP BY ALL) SELECT run_id, {r6_sql('avg(v) FILTER (NOT spoilt)')} AS kl_approx FROM b GROUP BY run_id",
+)
+def kl_approx_mean_nan(t: Tables):
+    """Steps with a NaN token, masked or not, are skipped."""
+    means = distill.kl_approx_mean(distill.kl_approx(_with_nan(t)), ["run_id", "step_id"], ["run_id"])
+    return means.withColumn("kl_approx", r6("kl_approx"))
+
+
+@query(
+    "importance_stats_nan",
+    NAN_VALUES + ", b AS (SELECT run_id, step_id, coalesce(bool_or(isnan(ratio)) FILTER (mask = 1), false) AS spoilt, "
+    "coalesce(min(ratio) FILTER (mask = 1), 0) AS rmin, coalesce(avg(ratio) FILTER (mask = 1), 0) AS rmean, coalesce(max(ratio) FILTER (mask = 1), 0) AS rmax, "
+    "coalesce(max(gap) FILTER (mask = 1), 0) AS gmax FROM step GROUP BY ALL) "
+    f"SELECT run_id, {r6_sql('min(rmin) FILTER (NOT spoilt)')} AS ratio_min, {r6_sql('avg(rmean) FILTER (NOT spoilt)')} AS ratio_mean, "
+    f"{r6_sql('max(rmax) FILTER (NOT spoilt)')} AS ratio_max, bool_or(spoilt) AS difference_is_nan, "
+    f"CASE WHEN NOT bool_or(spoilt) THEN {r6_sql('max(gmax)')} END AS logp_difference_max FROM b GROUP BY run_id",
+)
+def importance_stats_nan(t: Tables):
+    """The ratio's numbers skip steps with NaN, the difference's show them."""
+    tokens = _with_nan(t).withColumns({"old_logp": F.col("student_logp"), "sampling_logp": F.col("teacher_logp")})
+    stats = distill.importance_stats(distill.importance_ratio(tokens, cap=1.1), ["run_id", "step_id"], ["run_id"])
+    shown = F.isnan("logp_difference_mean") & F.isnan("logp_difference_max")
+    return stats.select(
+        "run_id", *[r6(c).alias(c) for c in ("ratio_min", "ratio_mean", "ratio_max")], shown.alias("difference_is_nan"),
+        r6(_number("logp_difference_max")).alias("logp_difference_max"),
+    )
+
+
 # ------------------------------------------------------------------ vectors
 
 

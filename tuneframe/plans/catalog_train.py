@@ -126,16 +126,26 @@ def latest_n_examples(t: Tables):
     return ordering.latest_n(rows, 32, "event_id", ["run_id"])
 
 
+@query(
+    "latest_n_large",
+    "SELECT l_returnflag AS run_id, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER "
+    "(PARTITION BY l_returnflag ORDER BY l_orderkey * 8 + l_linenumber DESC) <= 5000",
+)
+def latest_n_large(t: Tables):
+    """Far more rows of a group than Spark itself would limit before a shuffle."""
+    rows = t.lineitem.select(F.col("l_returnflag").alias("run_id"), "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    return ordering.latest_n(rows, 5000, "at", ["run_id"]).drop("at")
+
+
 @query(
     "drop_duplicate_prompts",
-    "SELECT turn % 2 AS run_id, conv_id % 3 AS step, min(conv_id * 1000 + turn) AS ordinal, role AS prompt FROM conversations GROUP BY 1, 2, 4",
+    "SELECT lang AS run_id, doc_id % 3 AS step, min(doc_id) AS ordinal, md5(text) AS prompt_digest, length(text)::INT AS n_chars FROM documents GROUP BY lang, doc_id % 3, text",
 )
 def drop_duplicate_prompts(t: Tables):
-    """Roles as prompts: each comes back in every run and step, and stays once in each."""
-    rows = t.conversations.select(
-        (F.col("turn") % 2).alias("run_id"), (F.col("conv_id") % 3).alias("step"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.col("role").alias("prompt")
-    )
-    return ordering.drop_duplicate_prompts(rows, "ordinal")
+    """Whole texts as prompts, exact copies among them: each stays once in each run and step."""
+    rows = t.documents.select(F.col("lang").alias("run_id"), (F.col("doc_id") % 3).alias("step"), F.col("doc_id").alias("ordinal"), F.col("text").alias("prompt"))
+    kept = ordering.drop_duplicate_prompts(rows, "ordinal")
+    return kept.select("run_id", "step", "ordinal", F.md5("prompt").alias("prompt_digest"), F.length("prompt").alias("n_chars"))
 
 
 # ------------------------------------------------------------------ completions

@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from tuneframe.sources.json_rows import json_elements, read_json_rows
 from tuneframe.sources.readers import (
     parse_metric_lines,
     read_fewshot_manifest,
@@ -19,6 +20,7 @@ from tuneframe.sources.writers import (
     write_completions,
     write_examples,
     write_examples_tooluse,
+    write_json_arrays,
     write_run_log,
 )
 
@@ -26,10 +28,12 @@ __all__ = [
     "completion_table",
     "example_table",
     "example_table_tooluse",
+    "json_elements",
     "land_tooluse",
     "metric_lines",
     "parse_metric_lines",
     "read_fewshot_manifest",
+    "read_json_rows",
     "read_run_log",
     "read_task_splits",
     "read_tooluse",
@@ -39,5 +43,6 @@ __all__ = [
     "write_completions",
     "write_examples",
     "write_examples_tooluse",
+    "write_json_arrays",
     "write_run_log",
 ]

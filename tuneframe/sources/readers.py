@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tuneframe import schemas
 from tuneframe.constants import METRIC_LINE_REGEX
+from tuneframe.sources.json_rows import read_json_rows
 
 
-def read_tooluse(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Tool-use rows. JSON lines are split across tasks; a file holding one JSON array
-    (``multi_line``) is read by one task, so convert large ones once with
-    ``sources.land_tooluse``."""
-    return spark.read.schema(schemas.TOOLUSE_RAW).json(path, multiLine=multi_line)
+def read_tooluse(spark: SparkSession, path: str, multi_line: bool = False, row_idx: str | None = None) -> DataFrame:
+    """Tool-use rows, from JSON lines or (``multi_line``) from files that hold one JSON array each. Both are read by many
+    tasks a file; see :mod:`.json_rows` for how an array is cut. ``row_idx`` adds the position of a row in its array."""
+    if multi_line:
+        return read_json_rows(spark, path, schemas.TOOLUSE_RAW, row_idx)
+    if row_idx is not None:
+        raise ValueError("lines have no position; write them as parquet and use with_row_idx")
+    return spark.read.schema(schemas.TOOLUSE_RAW).json(path)
 
 
 def read_task_splits(spark: SparkSession, path: str, task: str, split: str | None = None) -> DataFrame:
@@ -24,14 +28,18 @@ def read_task_splits(spark: SparkSession, path: str, task: str, split: str | Non
 
 
 def read_fewshot_manifest(
-    spark: SparkSession, path: str, task: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, task: str | None = None, multi_line: bool = True, large: bool = False
 ) -> DataFrame:
-    """``task, pos, row_idx`` of a curated index file, or of many as JSON lines.
+    """``task, pos, row_idx`` of a curated index file, or of many as JSON lines. ``large`` files, each an array of such
+    entries or entries one after the other, are read by many tasks.
 
     ``row_idx`` is NULL for an entry that is not an integer (1.0, "1" and true are not).
     Asking for a task the file does not describe is an error.
     """
-    raw = spark.read.schema(schemas.FEWSHOT_MANIFEST).json(path, multiLine=multi_line)
+    if large:
+        raw = read_json_rows(spark, path, schemas.FEWSHOT_MANIFEST)
+    else:
+        raw = spark.read.schema(schemas.FEWSHOT_MANIFEST).json(path, multiLine=multi_line)
     tasks = raw.select(F.explode("tasks").alias("task", "entry"))
     if task is not None:
         tasks = tasks.where(F.col("task") == task)

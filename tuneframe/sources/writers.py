@@ -3,8 +3,9 @@ its own output and nothing else."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,12 +115,34 @@ def write_run_log(metrics: DataFrame, path: str, run: str = "run_name") -> None:
     lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).text(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Rows as JSON arrays, one array file per task that has rows; the rows of a partition keep their order."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row is held back until it is known whether a comma or the closing bracket follows.
+        held = None
+        for batch in batches:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append("[" if held is None else f"{held},")
+                held = value
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held, "]"], pa.string())], ["value"])
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(framed, "value string").write.text(path)
+
+
 def land_tooluse(df: DataFrame, path: str) -> None:
     """Tool-use rows as parquet, the splittable form of a JSON array file."""
     df.write.mode("overwrite").parquet(path)
 
 
-def save_token_table(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("run_id", "seq_id", "pos")) -> None:
+def save_token_table(
+    df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("run_id", "seq_id", "pos"), path: str | None = None
+) -> None:
     """Bucketed table of token rows: two tables saved with the same keys and bucket count
-    join without shuffling their vectors."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    join without shuffling their vectors. Rows that are already partitioned by the keys into ``buckets`` give one sorted file a bucket,
+    and then the join does not sort either. ``path`` puts the files elsewhere than the warehouse."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -1,18 +1,24 @@
 """Streaming forms of the run-log reader and of scoring.
 
-Both sinks are replayable: a micro-batch overwrites its own partition or is committed by
+The sinks are replayable: a micro-batch overwrites its own partition or is committed by
 the file sink's log, so a lost executor or a restarted query never doubles rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tuneframe.operators.scoring import score_cls, with_answers
 from tuneframe.sources.readers import parse_metric_lines, run_of_path
+from tuneframe.streaming.growing import GrowingLines
 
 
 def _trigger(writer: DataStreamWriter, interval: str | None) -> DataStreamWriter:
@@ -23,30 +29,43 @@ def _trigger(writer: DataStreamWriter, interval: str | None) -> DataStreamWriter
 # ------------------------------------------------------------------ run logs
 
 
-def run_log_stream(spark: SparkSession, path: str, pattern: str | None = None, max_files: int = 1000) -> DataFrame:
-    """Metrics of the complete log files that appear under ``path``, at most ``max_files`` in a micro-batch."""
+def run_log_stream(
+    spark: SparkSession, path: str, pattern: str | None = None, max_files: int = 1000, growing: bool = False
+) -> DataFrame:
+    """Metrics of the log files that appear under ``path``: of complete files, at most ``max_files`` in a micro-batch,
+    or (``growing``) of the lines that have been appended to any of them since the last one, see :mod:`.growing`."""
+    if growing:
+        spark.dataSource.register(GrowingLines)
+        lines = spark.readStream.format("growing_lines").option("path", path).load()
+        return parse_metric_lines(lines, run_of_path(F.col("path"), *([pattern] if pattern else [])))
     lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).text(path)
     run = run_of_path(F.col("_metadata.file_path"), *([pattern] if pattern else []))
     return parse_metric_lines(lines, run)
 
 
 def stream_run_log(
-    spark: SparkSession, path: str, sink: str, checkpoint: str, pattern: str | None = None, interval: str | None = None
-) -> StreamingQuery:
+    spark: SparkSession, path: str, sink: str, checkpoint: str, pattern: str | None = None, interval: str | None = None,
+    growing: bool = False,
+) -> StreamingQuery:
     """Append parsed metrics under ``sink``, one partition per micro-batch; a replayed batch
     overwrites its partition. Read the state with :func:`latest_from_sink`."""
+    writer = run_log_stream(spark, path, pattern, growing=growing).writeStream.foreachBatch(_store(sink))
+    return _trigger(writer.option("checkpointLocation", checkpoint), interval).start()
+
+
+def _store(sink: str, *partitions: str):
+    """Writer of one micro-batch that overwrites only its own partitions."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         (
             batch.withColumn("batch", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
+            .partitionBy(*partitions, "batch")
             .parquet(sink)
         )
 
-    writer = run_log_stream(spark, path, pattern).writeStream.foreachBatch(store)
-    return _trigger(writer.option("checkpointLocation", checkpoint), interval).start()
+    return store
 
 
 def latest_from_sink(spark: SparkSession, sink: str) -> DataFrame:
@@ -66,6 +85,101 @@ def latest_from_sink(spark: SparkSession, sink: str) -> DataFrame:
 # ------------------------------------------------------------------ scoring
 
 
+# What a prediction was when it arrived.
+ARRIVALS = ["on_time", "repeated", "late"]
+_CLOCK, _TICK = "_clock", "_tick"
+
+
+class _Arrivals(StatefulProcessor):
+    """Names each row of a key ``on_time``, ``repeated`` or ``late``; remembers a key until its timer."""
+
+    def __init__(self, columns: Sequence[str], time: str, delay_ms: int):
+        self.columns, self.time, self.delay_ms = list(columns), time, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", T.StructType([T.StructField("until", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = self.first.exists()
+        for part in rows:
+            part.columns = [*self.columns, _CLOCK, _TICK]  # names with an underscore in front arrive as numbers
+            part = part[~part[_TICK]].drop(columns=[_TICK, _CLOCK])
+            if not len(part):
+                continue
+            at = part[self.time]
+            early = (at.isna() | (at.astype("datetime64[ns]").astype("int64") // 10**6 < watermark)).to_numpy()
+            arrival = ["late" if x else "repeated" for x in early]
+            fresh = [i for i, x in enumerate(early) if not x]
+            if fresh and not known:
+                first = min(fresh, key=lambda i: at.iloc[i])
+                arrival[first] = "on_time"
+                until = int(at.iloc[first].value // 10**6) + self.delay_ms
+                self.first.update((until,))
+                self.handle.registerTimer(until)
+                known = True
+            yield part.assign(arrival=arrival)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(predictions: DataFrame, time: str = "ts", delay: str = "1 hour", keys: Sequence[str] = ("run_id", "example_id", "step")) -> DataFrame:
+    """Add ``arrival`` to every row of a stream: the first of a key is ``on_time``, another one within ``delay`` of it ``repeated``,
+    and one that is older than the watermark, or has no time, ``late``. No row is dropped.
+
+    Spark drops rows behind the watermark before a stateful operator sees them. So each row goes in twice: the row itself without a
+    clock, which is never dropped, and a narrow tick with nothing but the key and the time, which moves the watermark. A key is remembered by its own timer, so
+    the state holds the keys of about one ``delay``. Needs the state store of :func:`rocksdb_state`.
+    """
+    clock = F.col(time).cast("timestamp")
+    data = F.struct(*predictions.columns, F.lit(None).cast("timestamp").alias(_CLOCK), F.lit(False).alias(_TICK))
+    empty = [F.col(c) if c in keys else F.lit(None).cast(predictions.schema[c].dataType).alias(c) for c in predictions.columns]
+    tick = F.struct(*empty, clock.alias(_CLOCK), F.lit(True).alias(_TICK))
+    both = predictions.select(F.explode(F.array(data, tick)).alias("_r")).select("_r.*").withWatermark(_CLOCK, delay)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in predictions.schema]).add("arrival", "string")
+    delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+    return both.groupBy(*keys).transformWithStateInPandas(
+        _Arrivals(predictions.columns, time, delay_ms), outputStructType=schema, outputMode="append", timeMode="EventTime"
+    )
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams that are started inside keep their state in RocksDB, which timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def scored_arrivals(arrived: DataFrame, references: DataFrame) -> DataFrame:
+    """Scores of every row of :func:`arrivals`, on time or not; ``status`` as in :func:`scored_stream`."""
+    return _scored(arrived, references)
+
+
+def stream_arrivals(scored: DataFrame, sink: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Write under ``sink``, a folder per arrival and micro-batch: ``arrival=on_time`` is the table of results, ``arrival=late`` and
+    ``arrival=repeated`` are the side tables. A replayed batch overwrites what it wrote."""
+    with rocksdb_state(scored.sparkSession):
+        writer = scored.writeStream.foreachBatch(_store(sink, "arrival")).outputMode("append")
+        return _trigger(writer.option("checkpointLocation", checkpoint), interval).start()
+
+
+def _scored(predictions: DataFrame, references: DataFrame) -> DataFrame:
+    found = with_answers(predictions).join(references.withColumn("_found", F.lit(True)), "example_id", "left")
+    status = F.when(F.col("_found"), "ok").otherwise("missing_reference")
+    return score_cls(found.withColumn("status", status).drop("_found"), strict=False)
+
+
 def scored_stream(
     predictions: DataFrame, references: DataFrame, time: str = "ts", delay: str = "1 hour", keys=("run_id", "example_id", "step")
 ) -> DataFrame:
@@ -73,13 +187,9 @@ def scored_stream(
     the state that remembers keys is bounded by the watermark.
 
     A prediction without a reference is kept with ``status`` ``missing_reference`` and NULL scores. Rows
-    later than the watermark are dropped by Spark; ``numRowsDroppedByWatermark`` of the query's
-    progress counts them, and a longer ``delay`` lets them in.
+    later than the watermark are dropped by Spark; :func:`arrivals` and :func:`scored_arrivals` keep them, and the repeats.
     """
-    once = predictions.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
-    found = with_answers(once).join(references.withColumn("_found", F.lit(True)), "example_id", "left")
-    status = F.when(F.col("_found"), "ok").otherwise("missing_reference")
-    return score_cls(found.withColumn("status", status).drop("_found"), strict=False)
+    return _scored(predictions.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys)), references)
 
 
 def stream_score(scored: DataFrame, sink: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
