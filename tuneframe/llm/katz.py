@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import U64, byte_rows, lowered, mix, word_hashes
+from tuneframe.llm.text import U64, WordHashes, byte_rows, mix
 from tuneframe.session import written
 
 CUT = 5
@@ -46,10 +46,14 @@ OFTEN = 32
 START, END = np.int64(-1), np.int64(-2)
 
 
+# Hashes as negative numbers that are neither the end nor the start.
+_names = WordHashes(1 << 18, lambda h: min(h | 1 << 63, 2**64 - 3) - 2**64)
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """Hashes of the words, and the end token, as negative numbers."""
-    h = np.minimum(word_hashes(lowered(data)) | U64(1 << 63), U64(2**64 - 3))
-    return np.append(h.view(np.int64), END)
+    words = data.tobytes().lower().split()
+    return np.append(np.fromiter(map(_names.__getitem__, words), np.int64, len(words)), END)
 
 
 def _chunks(batches):
@@ -325,8 +329,11 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
         for c in np.unique(chunk[entry < 0]).tolist():
             own = np.flatnonzero((chunk == c) & (entry < 0))
             docs_, at = np.unique(tag[own], return_inverse=True)
-            sums = [np.bincount(at, x[own]) for x in (part, base, known)]
-            rows.append((1, c, None, docs_.astype(np.uint16).tobytes(), np.stack(sums).tobytes(), None, None))
+            rare = own[lone[own]]  # the chunk knows the counts of all other words itself
+            far_docs, far_at = np.unique(tag[rare], return_inverse=True)
+            far_sums = np.stack([np.bincount(far_at, x[rare]) for x in (base, known)]) if len(rare) else None
+            rows.append((1, c, None, docs_.astype(np.uint16).tobytes(), np.bincount(at, part[own]).tobytes(),
+                         far_docs.astype(np.uint16).tobytes() if len(rare) else None, far_sums.tobytes() if len(rare) else None))
         hot_token = hot[group][bigram]
         if hot_token.any():
             at = np.flatnonzero(hot_token & (entry < 0))
@@ -369,8 +376,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
                     out.append((np.frombuffer(b, np.float64) + np.where(np.frombuffer(c, bool), unseen, seen)).tobytes())
                     continue
                 n = np.frombuffer(b, np.float64).reshape(2, -1)
-                part = n[0] * seen + n[1] * unseen
-                out.append(np.stack((part, np.zeros_like(part), np.zeros_like(part))).tobytes())
+                out.append((n[0] * seen + n[1] * unseen).tobytes())
             kinds = [4 if k == 4 else 1 for k in batch.column(0).to_pylist()]
             none = pa.nulls(len(out), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), batch.column(1), batch.column(2), pa.array(out, pa.binary()), none, none], ["kind", "chunk", "a", "b", "c", "d"])
@@ -392,8 +398,9 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
         value = np.zeros(int(entry.max()) + 1 if len(entry) else 0)
         for i, kind in enumerate(kinds):
             if kind == 1:
-                at = np.frombuffer(a[i], np.uint16).astype(np.int64)
-                total[:, at] += np.frombuffer(b[i], np.float64).reshape(3, -1)
+                total[0, np.frombuffer(a[i], np.uint16)] += np.frombuffer(b[i], np.float64)
+                if c[i] is not None:
+                    total[1:, np.frombuffer(c[i], np.uint16)] += np.frombuffer(d[i], np.float64).reshape(2, -1)
             elif kind == 4:
                 value[np.frombuffer(a[i], np.uint32)] = np.frombuffer(b[i], np.float64)
         total[0] += np.bincount(doc, value[entry] * times, len(tokens))

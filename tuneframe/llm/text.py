@@ -113,6 +113,20 @@ def word_hash(word: bytes) -> int:
     return h ^ (h >> 31)
 
 
+class WordHashes(dict):
+    """Hash of each word that is asked for; the first ``limit`` words are remembered."""
+
+    def __init__(self, limit: int, change=lambda h: h):
+        super().__init__()
+        self.limit, self.change = limit, change
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.change(word_hash(word))
+        if len(self) < self.limit:
+            self[word] = h
+        return h
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of a byte array, in order."""
     return span_hashes(data, *word_spans(data))
