@@ -70,3 +70,74 @@ def test_terms_of_cached_words():
     assert tokens.ids(text)[1].tolist() == packing.terms(np.frombuffer(text, np.uint8)).tolist()
     plain = text.replace(b"<|", b"<")
     assert tokens.ids(plain)[1].tolist() == packing.terms(np.frombuffer(plain, np.uint8)).tolist()
+
+
+ALPHABET = ["a", "B", "İ", "ı", "ß", "ẞ", "É", "e\u0301", "E\u0301", "Y\u030a", "\u0345", "Σ", "ς", "ﬁ", "Å", "\u212b", "K", "\u00a0", "\u2028", "9", "٣", "½", "'", "'s", "'LL", "!", "…", "<", "|",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "\x00", "\x1c", "\x1f", "\x7f", "\x85", "\u200b", "\u0338", "=", "日", "本", "👍", " ", "\t", "\n", "\r\n", "\x0b", "\x0c", "zz", "The"]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    """Random strings of what normalisation, case and pre-tokens could trip over."""
+    import random
+
+    tokens = packing.WordTokens(packing.default_vocabulary())
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(ALPHABET, k=rng.randrange(1, 9))) for _ in range(60_000)]
+    want = tokens.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, encoding in zip(texts, want):
+        assert tokens.ids(text.encode())[0].tolist() == encoding.ids, text.encode()
+
+
+def plain_packing(lists, terms, stats):
+    """One shard in plain Python: BM25 by dictionaries, a greedy fill by falling score."""
+    import math
+
+    def score(seed, other):
+        total = 0.0
+        for t in set(terms[seed]):
+            tf = terms[other].count(t)
+            if tf:
+                total += stats.idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(terms[other]) / stats.mean))
+        return total
+
+    free, windows, window, room, seed = list(range(len(lists))), [], [], packing.WINDOW, None
+
+    def put(i):
+        nonlocal room, window
+        left = len(lists[i])
+        while left:
+            part = min(left, room)
+            window.append((i, part))
+            room, left = room - part, left - part
+            if not room:
+                windows.append(window)
+                window, room = [], packing.WINDOW
+
+    while free:
+        i = free[0] if seed is None else min(free, key=lambda j: (-round(score(seed, j), 3), j))
+        free.remove(i)
+        before = len(windows)
+        put(i)
+        if seed is None or len(windows) != before:
+            seed = i if window else None
+    assert math.isclose(sum(n for w in windows for _, n in w) + sum(n for _, n in window), sum(map(len, lists)))
+    return windows
+
+
+def test_whole_packing_against_a_plain_one():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    stats = packing.Statistics(np.array([1 + (i * 37 % 101) / 7 for i in range(1 << packing.TERM_BITS)], np.float32), 300.0)
+    terms = [[rng.choice([rng.randrange(60), rng.randrange(4000)]) for _ in range(rng.randrange(1, 900))] for _ in range(70)]
+    lists = [np.arange(len(t) * 2, dtype=np.uint32) for t in terms]
+    packer = packing._Packer(stats, 0)
+    for i, (ids, own) in enumerate(zip(lists, terms)):
+        packer.add((0, i, len(ids)), ids, np.array(own))
+    packer.pack()
+    got = {}
+    for doc, _, ids, sequence, _ in packer.take():
+        got.setdefault(sequence, []).append((doc[1], len(ids)))
+    assert [got[s] for s in sorted(got)] == plain_packing(lists, terms, stats)

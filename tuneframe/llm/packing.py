@@ -19,7 +19,7 @@ and tokens, so a task's memory does not grow with its input.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from array import array
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import byte_rows, lowered, word_hash, word_hashes
+from tuneframe.llm.text import WordHashes, byte_rows, word_hash
 
 WINDOW = 4096
 END_ID = 2
@@ -39,7 +39,9 @@ TERM_BITS = 18
 K1, B = 1.2, 0.75
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 4 << 20
 CACHE_WORDS = 1_000_000
-_MARKS = b".,;:!?"
+# Fixed values of the tokenizer: how it cuts ASCII text into pre-tokens, and how its special tokens begin.
+_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_SPECIAL = b"<|"
 # Byte-level vocabularies name printable Latin-1 bytes by themselves and the others, in order, from U+0100 on.
 _own_names = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _byte_names = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - _own_names))}
@@ -51,20 +53,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class _Pieces(dict):
+    """Ids of each pre-token of lower-case ASCII; short ones are remembered."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: bytes) -> tuple[int, ...]:
+        ids = tuple(t.id for t in self.model.tokenize(piece.decode("ascii").translate(_byte_names)))
+        if len(piece) <= 24 and len(self) < CACHE_WORDS // 4:
+            self[piece] = ids
+        return ids
+
+
 class _Words(dict):
     """Place of each known word in a store of ids; an unknown word is encoded when it is first asked for."""
 
-    def __init__(self, encode):
+    def __init__(self, tokenizer, pieces: _Pieces):
         super().__init__()
-        self.encode = encode
+        self.tokenizer, self.pieces = tokenizer, pieces
         self.flat, self.first, self.size, self.term = array("I"), array("q"), array("q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
-        core = word[:-1]
-        if core and word[-1] in _MARKS and core.decode("utf-8", "replace").isalpha():
-            ids = self.ids(core) + self.ids(word[-1:])  # a mark after letters is a pre-token of its own
+        if _plain(word):
+            ids = [i for piece in _PRE_TOKENS.findall(word.lower()) for i in self.pieces[piece]]
         else:
-            ids = self.encode(word.decode("utf-8", "replace"))
+            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         place = self[word] = len(self.first)
         self.first.append(len(self.flat))
         self.size.append(len(ids))
@@ -72,38 +87,34 @@ class _Words(dict):
         self.term.append(word_hash(word.lower()) & ((1 << TERM_BITS) - 1))
         return place
 
-    def ids(self, word: bytes) -> list[int]:
-        at = self[word]
-        return self.flat[self.first[at] : self.first[at] + self.size[at]].tolist()
+
+def _plain(word: bytes) -> bool:
+    """Whether a word is the same before and behind the tokenizer's normalisation, but for its case, and holds no special token."""
+    return word.isascii() and _SPECIAL not in word
 
 
 class WordTokens:
     """Ids of texts for a tokenizer whose pre-tokens never cross white space: each word is encoded once.
 
-    A-Z may be lowered first, because the tokenizer does so itself; texts that hold ``<|``, the start of its
-    special tokens, are left as they are. A word of lower-case letters is one pre-token and goes to the
-    byte-pair model directly. Known words are forgotten once there are ``CACHE_WORDS``.
+    ASCII words are cut into pre-tokens here, which go to the byte-pair model one by one, each once; their case does not count.
+    Words with other characters, or with ``<|``, the start of the special tokens, go through the whole tokenizer
+    as they stand, since normalisation may change them together with their neighbours. Known words are forgotten once there are ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words = _Words(self._encode)
-
-    def _encode(self, word: str) -> list[int]:
-        if word.isalpha() and word == word.lower() and len(word) < 1000 and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_byte_names))]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
+        self.pieces = _Pieces(self.tokenizer.model)
+        self.words = _Words(self.tokenizer, self.pieces)
 
     def ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the hashed terms of its words: the same that :func:`terms` finds."""
-        if b"<|" not in data:
-            data = data.lower()
         if len(self.words) > CACHE_WORDS:
-            self.words = _Words(self._encode)
-        words, known = data.split(), self.words
+            self.words = _Words(self.tokenizer, self.pieces)
+        words, known = data.lower().split(), self.words
+        if not _plain(data):
+            words = [low if _plain(low) else word for low, word in zip(words, data.split())]
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         size = np.frombuffer(known.size, np.int64)[at] if len(at) else at
         ends = np.cumsum(size)
@@ -125,9 +136,13 @@ def tokens_for(path: str) -> WordTokens:
     return _tokens[path]
 
 
+_term_of = WordHashes(1 << 18, lambda h: h & ((1 << TERM_BITS) - 1))
+
+
 def terms(data: np.ndarray) -> np.ndarray:
     """Hashed terms of the words of a text, in order."""
-    return (word_hashes(lowered(data)) & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64)
+    words = data.tobytes().lower().split()
+    return np.fromiter(map(_term_of.__getitem__, words), np.int64, len(words))
 
 
 class Statistics:
