@@ -32,13 +32,26 @@ def test_tree_skips_far_pages(monkeypatch):
     x = np.rint(np.repeat(rng.normal(0, 400, (20, 8)), 40, 0) + rng.normal(0, 3, (800, 8))).astype(np.int64)
     pages = mtree.bulk_load(np.arange(800), x)
     names = ["node", "parent", "leaf", "radius", "to_parent", "pivot", "ids", "members", "distances"]
-    table = pd.DataFrame([(*p[:5], p[5].tobytes(), p[6].astype(np.int64).tobytes(), p[7].astype(np.int32).tobytes(), p[8].tobytes()) for p in pages], columns=names)
+    table = pd.DataFrame([(*p[:5], p[5].tobytes(), p[6].astype(np.int64).tobytes(), p[7].astype(np.int64).tobytes(), p[8].tobytes()) for p in pages], columns=names)
     tree = mtree.MTree(table, 8)
-    found = tree.search(3, x[3].astype(float), 5)
+    found = tree.search(3, x[3], 5)
     want = sorted(((int(x[3] @ y), -j) for j, y in enumerate(x) if j != 3), reverse=True)[:5]
     assert found == want and tree.computed < 500
 
 
+def test_large_components(rows):
+    """Products beyond doubles and near the end of 64 bits are exact."""
+    big = 2**31 - 1
+    data = [(0, [40_000_000, 1]), (1, [1, 1]), (20, [big, -big]), (2, [40_000_000, 0]), (3, [big, 3]), (4, [big, 2]), (5, [-big, big]), (6, [2**31 + 5, 2**30])]
+    df = rows("id long, values array<long>", data)
+    got = mtree.top_k(mtree.build_pages(df), df.where("id % 20 = 0"), 5).collect()
+    assert sorted(map(tuple, got)) == plain([i for i, _ in data], [np.array(v, object) for _, v in data], 5)
+    tree = [(0, [2**62, 1]), (1, [1, 2**62]), (2, [2, -(2**61)])]
+    df = rows("id long, values array<long>", tree)
+    got = mtree.top_k(mtree.build_pages(df), rows("id long, values array<long>", [(20, [1, 1])]), 5).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 2**62 + 1), (1, 2**62 + 1), (2, 2 - 2**61)]
+
+
 def test_odd_vectors(rows):
     data = [(0, [1.0, 2.0]), (20, [float("nan"), 1.0]), (40, None), (60, []), (80, [None, 1.0]), (100, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (2, [1.0, 2.0, 3.0])]
     vectors = mtree.quantized(rows("vec_id long, embedding array<float>", data))

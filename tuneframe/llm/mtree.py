@@ -14,6 +14,7 @@ which keeps k rows of a query in each task.
 
 * Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of
   another dimension than the query's are no candidates of it.
+* Components are 64-bit integers and products are exact. A product that 64 bits cannot hold, among the k best, is an error.
 * A query's own id is never its answer; repeated rows with that id are left out too. Ties go to the
   smaller id. With fewer than k candidates all are returned. Empty tables give no rows.
 """
@@ -98,14 +99,16 @@ class MTree:
 
     def __init__(self, pages: pd.DataFrame, dim: int):
         self.nodes: dict[int, Node] = {}
-        self.norm2 = 0.0
+        self.norm2, self.largest = 0.0, 0
         children: dict[int, list[int]] = {}
         for row in pages.itertuples():
             node = Node()
             node.leaf, node.radius, node.to_parent = row.leaf, row.radius, row.to_parent
             node.pivot = np.frombuffer(row.pivot, np.float64)
             node.ids, node.distances = np.frombuffer(row.ids, np.int64), np.frombuffer(row.distances, np.float64)
-            node.members = np.frombuffer(row.members, np.int32).reshape(-1, dim).astype(np.float64)
+            node.members = np.frombuffer(row.members, np.int64).reshape(-1, dim)
+            if len(node.members):
+                self.largest = max(self.largest, int(node.members.max()), -int(node.members.min()))
             self.nodes[row.node] = node
             children.setdefault(row.parent, []).append(row.node)
             self.norm2 = max(self.norm2, float((node.pivot**2).sum()))
@@ -115,11 +118,24 @@ class MTree:
             node.radii = np.array([self.nodes[c].radius for c in node.children])
             node.to_pivots = np.array([self.nodes[c].to_parent for c in node.children])
         self.computed = self.skipped = 0
+        self.dim, self.kinds = dim, {}
+
+    def _products(self, node: Node, kind, low: int, high: int, vector: np.ndarray) -> np.ndarray:
+        """Inner products in ``kind``: doubles or 64-bit integers where every sum is exact in them, else Python's integers."""
+        members = self.kinds.get((id(node), kind))
+        if members is None:
+            members = self.kinds[id(node), kind] = node.members if kind is np.int64 else node.members.astype(kind)
+        return members[low:high] @ vector
 
     def search(self, own_id: int, vector: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k highest (product, -id) of one query, best first."""
+        """The k highest (product, -id) of one query, a vector of integers, best first."""
+        most = self.largest * max(map(abs, vector.tolist()), default=0) * self.dim
+        kind = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
+        exact, vector = vector.astype(kind), vector.astype(np.float64)
         q = np.append(vector, 0.0)
         q2 = float((vector * vector).sum())
+        # Rounding of squares leaves distances as inexact as this.
+        slack = 1e-7 * float(np.sqrt(q2 + self.norm2))
         best: list[tuple[int, int]] = []  # heap of (product, -id)
         limit = np.inf  # distance of the k-th best
         root = self.nodes[0]
@@ -127,10 +143,10 @@ class MTree:
         open_pages = [(max(0.0, d0 - root.radius), 0, d0)]
         while open_pages:
             nearest, number, to_pivot = heapq.heappop(open_pages)
-            if nearest > limit + _SLACK * (1 + limit):
+            if nearest > limit + _SLACK * (1 + limit) + slack:
                 break
             node = self.nodes[number]
-            bound = limit + _SLACK * (1 + limit) if len(best) == k else np.inf
+            bound = limit + _SLACK * (1 + limit) + slack if len(best) == k else np.inf
             if node.leaf:
                 # Members stand by distance to the routing object: those in reach are one run.
                 low = int(np.searchsorted(node.distances, to_pivot - bound, "left"))
@@ -139,20 +155,21 @@ class MTree:
                 self.computed += high - low
                 if low >= high:
                     continue
-                ids, products = node.ids[low:high], node.members[low:high] @ vector
+                ids, products = node.ids[low:high], self._products(node, kind, low, high, exact)
                 keep = ids != own_id
                 if len(best) == k:
                     keep &= products >= best[0][0]
                 elif len(ids) > 4 * k:  # at first only those that can be among the k best of the page
-                    keep &= products >= np.partition(np.where(keep, products, -np.inf), len(ids) - k)[len(ids) - k]
+                    lowest = products.min()
+                    keep &= products >= np.partition(np.where(keep, products, lowest), len(ids) - k)[len(ids) - k]
                 at = np.flatnonzero(keep)
-                for entry in zip(products[at].astype(np.int64).tolist(), (-ids[at]).tolist()):
+                for entry in zip(map(int, products[at].tolist()), (-ids[at]).tolist()):
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
                         heapq.heapreplace(best, entry)
                 if len(best) == k:
-                    limit = float(np.sqrt(max(0.0, q2 + self.norm2 - 2 * best[0][0])))
+                    limit = float(np.sqrt(max(0.0, q2 + self.norm2 - 2.0 * best[0][0])))
                 continue
             near = np.flatnonzero(np.abs(to_pivot - node.to_pivots) - node.radii <= bound)
             self.skipped += len(node.children) - len(near)
@@ -183,7 +200,7 @@ def build_pages(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         dim = key[0].as_py()
         values = part.column("values").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.int64)
         out = [
-            (dim, key[1].as_py(), n, parent, leaf, radius, up, pivot.tobytes(), own.astype(np.int64).tobytes(), members.astype(np.int32).tobytes(), away.tobytes())
+            (dim, key[1].as_py(), n, parent, leaf, radius, up, pivot.tobytes(), own.astype(np.int64).tobytes(), members.astype(np.int64).tobytes(), away.tobytes())
             for n, parent, leaf, radius, up, pivot, own, members, away in bulk_load(ids, values)
         ]
         names = [f.split()[0] for f in PAGES.split(", ")]
@@ -209,7 +226,7 @@ def top_k(pages: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK
         if own.num_rows and part.num_rows:
             tree = MTree(own.to_pandas(), key[0].as_py())
             for own_id, values in zip(part.column("id").to_pylist(), part.column("values").to_pylist()):
-                found = tree.search(own_id, np.array(values, np.float64), k)
+                found = tree.search(own_id, np.array(values, np.int64), k)
                 if found:
                     out.append((own_id, [{"score": s, "vec_id": -i} for s, i in found]))
         kind = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
