@@ -21,6 +21,41 @@ def test_held_out_texts(rows, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_few_letters_and_rare_languages(rows):
+    common = [(i, EN + str(i), "en", None, 0) for i in range(400)]
+    model = langid.fit(rows(DOCS, [*common, *[(i, FR, "fr", None, 0) for i in range(2)], (9, None, "xx", None, 0)]), sample=20)
+    assert model.languages == ["en", "fr"]  # a language of two documents is learned from both
+    texts = ["a", "I", "5 x 7", "é", "7", "", None, "!?", "la forêt et le chien"]
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.identify(rows(DOCS, [(i, t, None, None, 0) for i, t in enumerate(texts)]), model).collect()}
+    assert all(got[t] == ("en", 0.0) for t in ("a", "I", "5 x 7"))  # letters, but no n-gram: the first language
+    assert got["é"][0] in ("en", "fr") and all(got[t] == ("und", 0.0) for t in ("7", "", None, "!?"))
+    assert got["la forêt et le chien"][0] == "fr"
+
+
+def test_scores_against_plain_counting(rows):
+    """Hits of n-grams in Python sets, corrected for the filter's chance hits."""
+    data = [(i, (EN if i % 2 else FR) * 2 + f"word{i} ", "en" if i % 2 else "fr", None, 0) for i in range(30)]
+    model = langid.fit(rows(DOCS, data))
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.replace("É", "É"))
+        code = b" " + b" ".join(w.encode().lower() for w in letters.split()) + b" "
+        return [code[i : i + 4] for i in range(len(code) - 3)]
+
+    sets = {}
+    for _, text, lang, *_ in data:
+        sets.setdefault(lang, []).extend(grams(text))
+    members = {lang: {g for g in found if found.count(g) >= langid.MIN_SHARE * len(found)} for lang, found in sets.items()}
+    texts = ["the dog and the hill", "la forêt et le chien", "quite unlike zzz", "word3 word5 le chat"]
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.identify(rows(DOCS, [(i, t, None, None, 0) for i, t in enumerate(texts)]), model).collect()}
+    for text in texts:
+        own = grams(text)
+        shares = [max(0.0, (sum(g in members[lang] for g in own) / len(own) - c) / (1 - c)) for lang, c in zip(model.languages, model.chance)]
+        best = int(np.argmax(shares))
+        assert got[text][1] >= shares[best] - 1e-9 and abs(got[text][1] - shares[best]) < 0.02  # a filter only ever adds hits
+        assert got[text][0] == model.languages[best] or max(shares) - min(shares) < 0.02
+
+
 def test_clashing_columns(clashing):
     model = langid.fit(clashing)
     got = langid.identify(clashing, model)

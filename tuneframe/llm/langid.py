@@ -30,10 +30,9 @@ from tuneframe.session import written
 GRAM = 4
 HASHES = 3
 SLOT_BITS = 18
-COUNT_BITS = 20
 MIN_SHARE = 2e-5
-# Labelled rows that the filters learn from, in expectation: a threshold on a hash of the row.
-SAMPLE = 100_000
+# Labelled rows of each language that the filters learn from, in expectation: a threshold on a hash of the row.
+SAMPLE = 50_000
 UNKNOWN = "und"
 _BLOCK = 1 << 20
 _letter_table = np.zeros(256, np.uint8)
@@ -99,8 +98,10 @@ class LanguageFilter:
                 own = range(8 * byte, min(8 * byte + 8, len(self.languages)))
                 for i in own:
                     hits[i] += by_mask[_with_bit[i % 8]].sum()
-        if not seen:
+        if not self.languages:
             return UNKNOWN, 0.0
+        if not seen:  # letters, but too few for an n-gram
+            return self.languages[0], 0.0
         share = np.clip((hits / seen - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1)
         best = int(np.argmax(share))
         return self.languages[best], float(share[best])
@@ -119,14 +120,15 @@ def _has_letter(data: np.ndarray) -> bool:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     """Learn from (text, lang); rows without a language are skipped.
 
-    Each task counts n-grams by language in fixed arrays and sends their non-zero cells; the sums
-    are bounded by languages x n-grams of ``2 ** COUNT_BITS`` cells, and only members reach the driver.
+    Of a language with more than ``sample`` rows about so many are read, of any other all. Each task counts n-grams by
+    language and sends each with its count once; only the members of the filters, a bounded number for each language, reach the driver.
     """
     rows = labelled.filter(F.col("lang").isNotNull()).select("text", "lang")
-    n = rows.count()
-    if n > sample:
+    large = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("count") > sample).collect()}
+    if large:
         unit = F.shiftrightunsigned(F.xxhash64("text", "lang"), 11) / F.lit(float(2**53))
-        rows = rows.filter(unit < sample / n)
+        share = F.create_map(*[F.lit(x) for lang, n in large.items() for x in (lang, sample / n)])
+        rows = rows.filter(unit < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)))
 
     def count(batches):
         totals: dict[str, dict[int, int]] = {}
