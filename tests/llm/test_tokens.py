@@ -32,5 +32,8 @@ def test_odd_rows(odd, empty, clashing):
     assert len(got) == 10 and all(r["n_tokens"] == len(encoder.encoding.encode_ordinary(r["text"])) == sum(r["leaf_tokens"]) for r in got)
     assert tokens.apply_edits(tokens.count_tokens(tokens.sample_edits(empty))).count() == 0
     assert tokens.count_tokens(clashing).columns.count("n_tokens") == 1
+    edits = "array(cast(null as struct<at:long,remove:long,insert:string>), named_struct('at', cast(null as long), 'remove', 1L, 'insert', 'x'), named_struct('at', 0L, 'remove', cast(null as long), 'insert', 'two'), named_struct('at', 0L, 'remove', 1L, 'insert', cast(null as string)))"
+    some = {r["doc_id"]: r["text"] for r in tokens.apply_edits(tokens.count_tokens(odd).withColumn("edits", F.expr(edits))).collect()}
+    assert some[1] == "wo" and some[9] == "wox y"
     none = tokens.count_tokens(odd).withColumn("edits", F.lit(None).cast("array<struct<at:long,remove:long,insert:string>>"))
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.apply_edits(none).collect()}[1] == 0

@@ -191,7 +191,8 @@ def apply_edits(counted: DataFrame, path: str | None = None, pattern: str | None
     """Apply the column ``edits`` (array of at, remove, insert) to text and tree.
 
     Returns the input columns with the new text, leaves and n_tokens, and encoded_chars: the characters
-    that had to be encoded, all edits together.
+    that had to be encoded, all edits together. A null edit, or one without a place, changes nothing; a null ``remove`` is 0, a
+    null ``insert`` nothing.
     """
 
     @F.pandas_udf(EDITED)
@@ -201,7 +202,9 @@ def apply_edits(counted: DataFrame, path: str | None = None, pattern: str | None
         for text, edits, *leaves in zip(rows["text"], rows["edits"], rows["leaf_chars"], rows["leaf_tokens"], rows["leaf_pretokens"]):
             text, tree, encoded = text or "", TokenTree(*(list(map(int, x)) for x in leaves)), 0
             for e in edits if edits is not None else ():
-                text, tree, n = edit(text, tree, int(e["at"]), int(e["remove"]), e["insert"] or "", encoder)
+                if e is None or e["at"] is None:
+                    continue
+                text, tree, n = edit(text, tree, int(e["at"]), int(e["remove"] or 0), e["insert"] or "", encoder)
                 encoded += n
             out.append((text, *tree.lists(), tree.tokens, encoded))
         return pd.DataFrame(out, columns=["text", "leaf_chars", "leaf_tokens", "leaf_pretokens", "n_tokens", "encoded_chars"])
