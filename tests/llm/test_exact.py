@@ -24,6 +24,17 @@ def test_rows_that_stay(odd, clashing, empty):
     assert exact.dedup(empty).count() == 0
 
 
+def test_index_keeps_its_buckets(spark, rows):
+    """Opened with another number of buckets, no known text comes back as new."""
+    path = run_folder(spark, "test-index")
+    texts = rows("doc_id long, text string", [(i, f"text {i}") for i in range(40)])
+    exact.dedup_report(texts, exact.DigestIndex(spark, path, buckets=4), "first").collect()
+    spark.sql(f"DROP TABLE {exact.DigestIndex(spark, path).name}")  # as in another session
+    again = exact.DigestIndex(spark, path, buckets=8)
+    assert again.buckets == 4 and not [r for r in exact.dedup_report(texts, again, "second").collect() if r["kept"]]
+    assert exact.DigestIndex(spark, run_folder(spark, "test-index"), buckets=8).name != again.name
+
+
 def test_index_over_batches(spark, rows):
     index = exact.DigestIndex(spark, run_folder(spark, "test-index"), buckets=4)
     schema = "doc_id long, text string"

@@ -13,6 +13,8 @@ shuffle) and what is new is appended. Only digests and ids are ever moved, never
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +30,32 @@ def text_digest(text):
 
 
 class DigestIndex:
-    """Digests seen so far, each with the id that keeps it and the batch that brought it."""
+    """Digests seen so far, each with the id that keeps it and the batch that brought it.
+
+    An index that is there already keeps the number of buckets it was made with, whatever ``buckets`` says.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.buckets, self.path = spark, buckets, path
-        self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path)[-90:].lower()
+        self.spark, self.path = spark, path
+        self.buckets = buckets = self._buckets(buckets)
+        self.name = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:32]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _buckets(self, wanted: int) -> int:
+        """Number of buckets that the index was made with, kept beside its files; ``wanted`` for a new one."""
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        marks = store.globStatus(context._jvm.org.apache.hadoop.fs.Path(folder, "_buckets-*"))
+        if marks:
+            return int(marks[0].getPath().getName().rpartition("-")[2])
+        store.mkdirs(folder)
+        store.createNewFile(context._jvm.org.apache.hadoop.fs.Path(folder, f"_buckets-{wanted}"))
+        return wanted
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
