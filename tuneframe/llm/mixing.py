@@ -46,7 +46,7 @@ def place(doc_id, seed: str = SEED):
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(_m_source, _m_null, size, _m_place), narrow, written once: texts are read and counted a single time."""
+    """(_m_source, _m_null, size, _m_place), narrow and written: what the plan is made of."""
     rows = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_m_source"),
         F.col("source").isNull().alias("_m_null"),
@@ -257,9 +257,12 @@ def mix(docs: DataFrame, shards: int | None = None, seed: str = SEED, whole_docu
     full = F.when(F.col("_m_passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m_passes") - 1), lambda c: entry(c, F.col("_m_size"))))
     last = F.array(entry(F.col("_m_passes"), F.col("_m_partial")))
     draws = F.filter(F.concat(F.coalesce(full, F.slice(last, 1, 0)), last), lambda d: d["words"] > 0)
-    return rows.select(
+    drawn = rows.select(*keep, "_m_size", "_m_source_size", "_m_target", draws.alias("_m_draws"))
+    # What the tree has dealt to a shard is taken, and nothing else.
+    taken = F.aggregate("_m_draws", F.lit(0).cast("long"), lambda a, d: a + F.when(d["shard"].isNotNull(), d["words"]).otherwise(0))
+    return drawn.select(
         *keep, F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"),
-        (F.col("_m_passes") * F.col("_m_size") + F.col("_m_partial")).cast("long").alias("taken"), draws.alias("draws"),
+        taken.alias("taken"), F.col("_m_draws").alias("draws"),
     )
 
 
