@@ -134,3 +134,10 @@ def test_written_run_log_reads_back(spark, rows, tmp_path):
     sources.write_run_log(metrics, path)
     got = sorted(tuple(r) for r in sources.read_run_log(spark, path, r"/run_name=([^/]+)/").collect())
     assert got == [("r1", "eval_init", "a", 1.0), ("r1", "eval_init", "b", 0.5), ("r2", "eval_final", "a", 2.0)]
+
+
+def test_latest_metric_of_several_values_at_a_step(rows):
+    nan = float("nan")
+    data = [("a", "m", 1, 9.0), ("a", "m", 2, nan), ("a", "m", 2, 3.0), ("a", "m", 2, 4.0), ("a", "m", 2, None), ("b", "m", 1, nan)]
+    got = {r["run_id"]: (r["step"], r["value"]) for r in runs.latest_metric(rows("run_id string, name string, step int, value double", data)).collect()}
+    assert got["a"] == (2, 4.0) and got["b"][0] == 1

@@ -18,6 +18,14 @@ def put(path, data, mode="ab"):
         out.write(data)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     return str(tmp_path)

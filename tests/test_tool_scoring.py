@@ -58,7 +58,7 @@ def test_vectors(rows, parsed_first):
         "example_id int, prediction string, golden_answer array<struct<Action:string,Action_Input:string>>",
         [(i, p, gold) for i, (_, p, gold, _) in enumerate(VECTORS)],
     )
-    scored = scoring.score_tool(scoring.parse_gold(df) if parsed_first else df)
+    scored = scoring.score_tool(scoring.parse_gold(scoring.with_calls(df, engine="variant"), engine="variant") if parsed_first else df)
     for row in scored.collect():
         name, _, _, want = VECTORS[row["example_id"]]
         got = (row["strict_match"], row["parse_success"], row["action_name_match"])
@@ -131,7 +131,7 @@ PARTS = ["Action: f", "action :  g  h ", "Action Input: {\"k\": 1}", "ACTION INP
 def test_plain_predictions_agree_with_the_other_form(rows):
     rng = random.Random(3)
     texts = [p for _, p, _, _ in VECTORS] + ["\n".join(rng.choices(PARTS, k=rng.randrange(0, 7))) for _ in range(1500)]
-    df = toolcalls.with_parsed_calls(rows("i int, prediction string", list(enumerate(texts))))
+    df = toolcalls.with_parsed_calls(rows("i int, prediction string", list(enumerate(texts))), engine="variant")
     df = df.withColumn("plain", toolcalls.plain_calls(F.col("prediction")))
     n = 0
     for r in df.collect():

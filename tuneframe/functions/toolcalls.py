@@ -1,10 +1,10 @@
 """Tool-call parsing.
 
-Arguments become comparable keys: texts that are equal exactly when Python would call the parsed values equal. Plain cases are read
-with built-in expressions, arguments as VARIANT: JSON of objects, arrays, strings, integers, booleans and nulls up to :data:`DEPTH`
-deep, on one line, in printable ASCII. For these both ways give the same key. The argument of a call may also be a Python
-literal, spread over several lines, fenced, or unreadable; such texts, and only they, go to an Arrow UDF.
-Names, pairing, comparison and aggregation stay in Catalyst.
+Arguments become comparable keys: texts that are equal exactly when Python would call the parsed values equal. The argument of a
+call may be JSON or a Python literal, spread over several lines, fenced, or unreadable, so an Arrow UDF reads it, each distinct text of a
+batch once. Plain cases can be read with built-in expressions instead (``engine="variant"``), arguments as VARIANT: JSON of objects,
+arrays, strings, integers, booleans and nulls up to :data:`DEPTH` deep, on one line, in printable ASCII. Then only the others
+go to Python. Both engines give the same keys. Names, pairing, comparison and aggregation stay in Catalyst.
 """
 
 from __future__ import annotations
@@ -130,7 +130,10 @@ def _text_key(text: Column) -> Column:
 
 def _value_key(value: Column, depth: int) -> Column:
     """Key of a VARIANT value, NULL if it is of no plain kind."""
+    return let(F.schema_of_variant(value), lambda kind: _key_of_kind(value, kind, depth))
 
+
+def _key_of_kind(value: Column, kind: Column, depth: int) -> Column:
     def joined(parts: Column, left: str, right: str) -> Column:
         whole = F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
         return F.when(~F.exists(parts, lambda part: part.isNull()), whole)
@@ -139,7 +142,6 @@ def _value_key(value: Column, depth: int) -> Column:
         digits = F.lower(F.hex(F.abs(number)))
         return F.when(number >= 0, digits).when(number > -(2**63), F.concat(F.lit("-"), digits))
 
-    kind = F.schema_of_variant(value)
     key = (
         F.when(kind == "VOID", "null")
         .when(kind == "STRING", _text_key(F.try_variant_get(value, "$", "string")))
@@ -217,10 +219,12 @@ def _argument_keys(arguments: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), keys)
 
 
-def with_parsed_calls(df: DataFrame, prediction: str = "prediction", name: str = "calls") -> DataFrame:
-    """Add struct<calls array<struct<action, input>>, ok boolean>; inputs are comparable keys. Only predictions that are not plain
-    reach Python."""
+def with_parsed_calls(df: DataFrame, prediction: str = "prediction", name: str = "calls", engine: str = "arrow") -> DataFrame:
+    """Add struct<calls array<struct<action, input>>, ok boolean>; inputs are comparable keys. With the engine ``variant`` only
+    predictions that are not plain reach Python."""
     text = F.coalesce(F.col(prediction), F.lit(""))
+    if engine == "arrow":
+        return df.withColumn(name, _parse_predictions(text))
     return (
         df.withColumn("_plain", plain_calls(text))
         .withColumn(name, F.coalesce("_plain", _parse_predictions(F.when(F.col("_plain").isNull(), text))))
@@ -237,8 +241,10 @@ def expected_names(golden_answer: Column) -> Column:
     return F.transform(golden_answer, lambda step: squeeze(as_text(step["Action"])))
 
 
-def with_expected_inputs(df: DataFrame, golden_answer: str = "golden_answer", name: str = "gold_inputs") -> DataFrame:
+def with_expected_inputs(df: DataFrame, golden_answer: str = "golden_answer", name: str = "gold_inputs", engine: str = "arrow") -> DataFrame:
     """Add the gold arguments as comparable keys; an unreadable one is compared by its text. No steps give no keys."""
+    if engine == "arrow":
+        return df.withColumn(name, expected_inputs(F.col(golden_answer)))
     texts = F.coalesce(F.transform(F.col(golden_answer), lambda step: as_text(step["Action_Input"])), F.array().cast("array<string>"))
     rest = F.zip_with("_texts", "_plain", lambda text, key: F.when(key.isNull(), text))
     keyed = df.withColumn("_texts", texts).withColumn("_plain", F.transform("_texts", lambda text: plain_key(F.btrim(text))))

@@ -43,8 +43,10 @@ def row_weighted_mean(metrics: DataFrame, weight: str, groups: Sequence[str]) ->
 
 
 def latest_metric(metrics: DataFrame, groups: Sequence[str] = ("run_id", "name")) -> DataFrame:
-    """Value at the highest step, for counters that are overwritten instead of averaged."""
-    return metrics.groupBy(*groups).agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
+    """Value at the highest step, for counters that are overwritten instead of averaged. Of several values at that step the largest, NaN
+    and NULL least, as :func:`tuneframe.streaming.jobs.latest_from_sink` has it."""
+    rank = F.struct("step", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")))
+    return metrics.groupBy(*groups).agg(F.max("step").alias("step"), F.max_by("value", rank).alias("value"))
 
 
 def best_metric_name(task: Column) -> Column:

@@ -99,9 +99,9 @@ def with_answers(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("answers", L.final_answers(F.col("prediction"))).drop("prediction")
 
 
-def with_calls(predictions: DataFrame) -> DataFrame:
+def with_calls(predictions: DataFrame, engine: str = "arrow") -> DataFrame:
     """Replace ``prediction`` by its parsed ``calls``, before the join for the same reason."""
-    return toolcalls.with_parsed_calls(predictions).drop("prediction")
+    return toolcalls.with_parsed_calls(predictions, engine=engine).drop("prediction")
 
 
 def score_cls(aligned: DataFrame, strict: bool = True) -> DataFrame:
@@ -132,12 +132,12 @@ def score_cls(aligned: DataFrame, strict: bool = True) -> DataFrame:
     ).drop("_task", "_gold", "answers")
 
 
-def parse_gold(references: DataFrame, golden_answer: str = "golden_answer") -> DataFrame:
+def parse_gold(references: DataFrame, golden_answer: str = "golden_answer", engine: str = "arrow") -> DataFrame:
     """Add the gold names and comparable arguments. Done on the reference table, so each
     gold answer is parsed once however many predictions refer to it."""
     steps = F.col(golden_answer)
     named = references.withColumn("gold_names", F.coalesce(toolcalls.expected_names(steps), F.array().cast("array<string>")))
-    return toolcalls.with_expected_inputs(named, golden_answer)
+    return toolcalls.with_expected_inputs(named, golden_answer, engine=engine)
 
 
 def argument_routes(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

@@ -112,10 +112,10 @@ def argument_routes(t: Tables):
     "SELECT event_id AS example_id, CASE WHEN event_id % 8 = 7 THEN 0 ELSE 1 END AS n_calls, true AS same FROM events",
 )
 def parse_tool_calls_both(t: Tables):
-    """The built-in form and the Arrow form of every prediction and every gold argument."""
+    """Both engines on every prediction and every gold argument."""
     rows = D.tool_predictions(t).join(D.tool_gold(t), "example_id")
     rows = rows.withColumn("arrow", toolcalls.parse_tool_calls(F.col("prediction"))).withColumn("arrow_gold", toolcalls.expected_inputs(F.col("golden_answer")))
-    rows = toolcalls.with_expected_inputs(toolcalls.with_parsed_calls(rows, name="p"))
+    rows = toolcalls.with_expected_inputs(toolcalls.with_parsed_calls(rows, name="p", engine="variant"), engine="variant")
     same = F.col("p").eqNullSafe(F.col("arrow")) & F.col("gold_inputs").eqNullSafe(F.col("arrow_gold"))
     return rows.select("example_id", F.size("p.calls").alias("n_calls"), same.alias("same"))
 
