@@ -64,7 +64,7 @@ def words(text: bytes | None) -> Iterator[list[bytes]]:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return pa.compress(numbers.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=9).compress(numbers.astype(np.int32).tobytes(), asbytes=True)
 
 
 def _numbers(size: int, data: bytes) -> np.ndarray:
@@ -210,7 +210,7 @@ def _longer(pairs: Codec, codec: Codec, shard_bits: int):
         rows: list[tuple] = []
         if chunk.num_rows and hits.num_rows:
             ids = _numbers(chunk.column("size")[0].as_py(), chunk.column("numbers")[0].as_py()).astype(np.int64)
-            good = np.sort(np.frombuffer(b"".join(hits.column("hits").to_pylist()), "<u8").astype(np.uint64))
+            good = Filter.merge(pairs, [Filter.from_bytes(pairs, data[8:], int.from_bytes(data[:8], "little")) for data in hits.column("hits").to_pylist()]).limbs[0]
             own = pairs.permute(pairs.pack([ids[:-1], ids[1:]]))[0]
             at = np.minimum(np.searchsorted(good, own), len(good) - 1)
             linked = (ids[:-1] > 0) & (ids[1:] > 0) & (good[at] == own)
@@ -227,8 +227,8 @@ def _longer(pairs: Codec, codec: Codec, shard_bits: int):
     return run
 
 
-def _merged(codec: Codec, least: int, answer: bool):
-    """Cuts of a shard -> its frequent phrases and, for ``answer``, which of them each chunk holds."""
+def _merged(codec: Codec, least: int, shard_bits: int, answer: bool):
+    """Cuts of a shard -> its frequent phrases and, for ``answer``, which of them each chunk holds, as a filter behind the shard's name."""
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         prefix = key[0].as_py()
@@ -248,11 +248,11 @@ def _merged(codec: Codec, least: int, answer: bool):
         ]
         if answer and len(good):
             for name, data in zip(names, cuts):
-                own = Filter.from_bytes(codec, data, prefix).limbs[0]
-                at = np.minimum(np.searchsorted(good.limbs[0], own), len(good) - 1)
-                hits = own[good.limbs[0][at] == own]
+                own = Filter.from_bytes(codec, data, prefix)
+                at = np.minimum(np.searchsorted(good.limbs[0], own.limbs[0]), len(good) - 1)
+                hits = own.where(good.limbs[0][at] == own.limbs[0])
                 if len(hits):
-                    rows.append((name, hits.astype("<u8").tobytes(), None, None))
+                    rows.append((name, prefix.to_bytes(8, "little") + hits.to_bytes(shard_bits), None, None))
         return _table(rows, FOUND, _FOUND_KINDS)
 
     return run
@@ -281,12 +281,12 @@ class Phrases:
         texts = chunks.filter(F.col("numbers").isNotNull()).select("chunk", "size", "numbers", "shards")
         parts = written(texts.groupBy("chunk").cogroup(known.groupBy("home")).applyInArrow(_pairs(pairs, shard_bits), PARTS), "phrase-pairs")
         cuts = parts.filter(F.col("shard").isNotNull()).select("shard", "chunk", "part")
-        found = written(cuts.groupBy("shard").applyInArrow(_merged(pairs, least, True), FOUND), "phrase-found")
+        found = written(cuts.groupBy("shard").applyInArrow(_merged(pairs, least, shard_bits, True), FOUND), "phrase-found")
 
         texts = parts.filter(F.col("numbers").isNotNull()).select("chunk", "size", "numbers")
         hits = found.filter(F.col("hits").isNotNull()).select("chunk", "hits")
         more = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_longer(pairs, longer, shard_bits), PARTS)
-        rest = more.select("shard", "chunk", "part").groupBy("shard").applyInArrow(_merged(longer, least, False), FOUND)
+        rest = more.select("shard", "chunk", "part").groupBy("shard").applyInArrow(_merged(longer, least, shard_bits, False), FOUND)
         phrases = found.filter(F.col("phrase").isNotNull()).unionAll(rest) if longest > 2 else found.filter(F.col("phrase").isNotNull())
         self.phrases = written(phrases.select("phrase", "a"), "phrase-counts")
 
