@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import U64, WordHashes, byte_rows, mix
+from tuneframe.llm.text import U64, byte_rows, mix, numbered
 from tuneframe.session import written
 
 CUT = 5
@@ -46,14 +46,13 @@ OFTEN = 32
 START, END = np.int64(-1), np.int64(-2)
 
 
-# Hashes as negative numbers that are neither the end nor the start.
-_names = WordHashes(1 << 18, lambda h: min(h | 1 << 63, 2**64 - 3) - 2**64)
-
-
-def _words(data: np.ndarray) -> np.ndarray:
-    """Hashes of the words, and the end token, as negative numbers."""
-    words = data.tobytes().lower().split()
-    return np.append(np.fromiter(map(_names.__getitem__, words), np.int64, len(words)), END)
+def _named(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the numbers of its tokens, the end the last, and the name of each number: a word's hash as a negative
+    number that is neither the end nor the start."""
+    numbers, hashes = numbered(texts)
+    end = np.array([len(hashes)])
+    names = np.minimum(hashes | U64(1 << 63), U64(2**64 - 3)).view(np.int64)
+    return [np.concatenate((own, end)) for own in numbers], np.append(names, END)
 
 
 def _chunks(batches):
@@ -77,9 +76,10 @@ def unigrams(docs: DataFrame) -> DataFrame:
     def count(batches):
         for batch, texts in _chunks(batches):
             held = batch.column(1).to_pylist()
-            words = [_words(t) for t, h in zip(texts, held) if not h]
-            keys, n = np.unique(np.concatenate(words), return_counts=True) if words else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["word", "n"])
+            tokens, names = _named([t for t, h in zip(texts, held) if not h])
+            n = np.bincount(np.concatenate([*tokens, np.zeros(0, np.int64)]), minlength=len(names))
+            seen = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(names[seen]), pa.array(n[seen].astype(np.int64))], ["word", "n"])
 
     rows = docs.select("text", "held_out").mapInArrow(count, "word long, n long")
     return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "katz-unigrams")
@@ -154,14 +154,15 @@ def _dealt(context: np.ndarray, word: np.ndarray, size: np.ndarray, parts: int,
 
 def _tokens_of(texts, held, uni: Unigrams, n_start: int, parts: int, bound: int):
     """Per token of a chunk: document, context, word, word's count (-1: not among the frequent), partition."""
-    lists = [_words(t) for t in texts]
-    words = np.concatenate(lists)
+    lists, names = _named(texts)
+    tokens = np.concatenate(lists)
     sizes = np.array([len(x) for x in lists])
     doc = np.repeat(np.arange(len(lists)), sizes)
-    at = np.minimum(np.searchsorted(uni.words, words), max(0, len(uni.words) - 1))
-    known = uni.words[at] == words if len(uni.words) else np.zeros(len(words), bool)
-    word = np.where(known, at, words)
-    count = np.where(known, uni.counts[at], -1) if len(uni.words) else np.full(len(words), -1)
+    # Words are looked up once each.
+    at = np.minimum(np.searchsorted(uni.words, names), max(0, len(uni.words) - 1))
+    known = uni.words[at] == names if len(uni.words) else np.zeros(len(names), bool)
+    word = np.where(known, at, names)[tokens]
+    count = (np.where(known, uni.counts[at], -1) if len(uni.words) else np.full(len(names), -1))[tokens]
     context = np.concatenate((np.full(1, START), word[:-1]))
     size = np.concatenate((np.zeros(1, np.int64), np.maximum(count[:-1], 1)))
     first = np.cumsum(sizes) - sizes

@@ -6,6 +6,8 @@ A-Z only. Both rules are byte rules, so they hold for UTF-8 without decoding.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
 from operator import mul
 
 import numpy as np
@@ -113,20 +115,6 @@ def word_hash(word: bytes) -> int:
     return h ^ (h >> 31)
 
 
-class WordHashes(dict):
-    """Hash of each word that is asked for; the first ``limit`` words are remembered."""
-
-    def __init__(self, limit: int, change=lambda h: h):
-        super().__init__()
-        self.limit, self.change = limit, change
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.change(word_hash(word))
-        if len(self) < self.limit:
-            self[word] = h
-        return h
-
-
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of a byte array, in order."""
     return span_hashes(data, *word_spans(data))
@@ -142,3 +130,14 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(n):
             out = mix(out * U64(_BASE) + words[i : len(words) - n + 1 + i])
     return np.unique(out)
+
+
+def numbered(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the numbers of its lower-cased words in order, and the hash of each number's word: words are told apart once, and
+    each is hashed once."""
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    out = []
+    for data in texts:
+        words = data.tobytes().lower().split()
+        out.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+    return out, word_hashes(np.frombuffer(b" ".join(numbers), np.uint8))
