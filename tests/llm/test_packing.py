@@ -67,9 +67,9 @@ def test_terms_of_cached_words():
 
     tokens = packing.WordTokens(packing.default_vocabulary())
     text = ("Été, naïve <|x ALL Caps. " + "y" * 100 + " end!").encode()
-    assert tokens.ids(text)[1].tolist() == packing.terms(np.frombuffer(text, np.uint8)).tolist()
+    assert tokens.ids(text)[1].tolist() == packing.terms_of([np.frombuffer(text, np.uint8)])[0].tolist()
     plain = text.replace(b"<|", b"<")
-    assert tokens.ids(plain)[1].tolist() == packing.terms(np.frombuffer(plain, np.uint8)).tolist()
+    assert tokens.ids(plain)[1].tolist() == packing.terms_of([np.frombuffer(plain, np.uint8)])[0].tolist()
 
 
 ALPHABET = ["a", "B", "İ", "ı", "ß", "ẞ", "É", "e\u0301", "E\u0301", "Y\u030a", "\u0345", "Σ", "ς", "ﬁ", "Å", "\u212b", "K", "\u00a0", "\u2028", "9", "٣", "½", "'", "'s", "'LL", "!", "…", "<", "|",

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import WordHashes, byte_rows, word_hash
+from tuneframe.llm.text import byte_rows, numbered, word_hash
 
 WINDOW = 4096
 END_ID = 2
@@ -39,6 +39,8 @@ TERM_BITS = 18
 K1, B = 1.2, 0.75
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 4 << 20
 CACHE_WORDS = 1_000_000
+# Documents whose words are told apart together.
+STATISTICS_DOCUMENTS = 1024
 # Fixed values of the tokenizer: how it cuts ASCII text into pre-tokens, and how its special tokens begin.
 _PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _SPECIAL = b"<|"
@@ -109,7 +111,7 @@ class WordTokens:
         self.words = _Words(self.tokenizer, self.pieces)
 
     def ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text, and the hashed terms of its words: the same that :func:`terms` finds."""
+        """Ids of a text, and the hashed terms of its words: the same that :func:`terms_of` finds."""
         if len(self.words) > CACHE_WORDS:
             self.words = _Words(self.tokenizer, self.pieces)
         words, known = data.lower().split(), self.words
@@ -136,13 +138,11 @@ def tokens_for(path: str) -> WordTokens:
     return _tokens[path]
 
 
-_term_of = WordHashes(1 << 18, lambda h: h & ((1 << TERM_BITS) - 1))
-
-
-def terms(data: np.ndarray) -> np.ndarray:
-    """Hashed terms of the words of a text, in order."""
-    words = data.tobytes().lower().split()
-    return np.fromiter(map(_term_of.__getitem__, words), np.int64, len(words))
+def terms_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashed terms of the words of each text, in order."""
+    numbers, hashes = numbered(texts)
+    own = (hashes & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64)
+    return [own[n] for n in numbers]
 
 
 class Statistics:
@@ -157,8 +157,7 @@ class Statistics:
             df, words, n = np.zeros(1 << TERM_BITS, np.int64), 0, 0
             last = np.zeros(1 << TERM_BITS, np.int64)
             for batch in batches:
-                for data in byte_rows(batch.column(0)):
-                    own = terms(data)
+                for own in (t for i in range(0, batch.num_rows, STATISTICS_DOCUMENTS) for t in terms_of(list(byte_rows(batch.column(0).slice(i, STATISTICS_DOCUMENTS))))):
                     at = np.arange(len(own))
                     last[own] = at
                     df[own[last[own] == at]] += 1  # each term once: where it stands last
