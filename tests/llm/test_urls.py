@@ -23,6 +23,46 @@ def test_hosts_paths_and_rules(rows):
         assert (r["r"]["rule"] if r["r"] else None, r["r"]["verdict"] if r["r"] else None) == (rule, verdict)
 
 
+def plain(url):
+    """Host, path, rule and its verdict, step by step."""
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    ends = [i for i in (rest.find(c) for c in "/?#") if i >= 0]
+    host, rest = (rest[: min(ends)], rest[min(ends) :]) if ends else (rest, "")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    path = rest[: min([i for i in (rest.find(c) for c in "?#") if i >= 0] or [len(rest)])]
+    fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_fuzz_against_plain_python(rows):
+    rng = random.Random(4)
+    parts = ["http", "://", "://", "www.", "Example", "example", ".com", ".COM", ".net", "net", "com", "/", "/en/", "/es/", "/fr/", "/en", "?", "#", "é", "%2F", "@", ":80", " ", "x", ""]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 9))) for _ in range(3000)] + [None]
+    df = rows("i int, url string", list(enumerate(texts)))
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    for r in df.select("i", host.alias("h"), path.alias("p"), urls.rule_of(host, path).alias("r")).collect():
+        got = (r["h"], r["p"], *((r["r"]["rule"], r["r"]["verdict"]) if r["r"] else (None, None)))
+        assert got == plain(texts[r["i"]]), texts[r["i"]]
+
+
+def test_trees_say_more_than_the_rules(rows):
+    """Without the suffixes that rules name, urls that no rule decides get different scores, and the rules still decide theirs."""
+    rng = random.Random(6)
+    data = []
+    for i in range(900):
+        host, path = rng.choice([("example.com", "/en/"), ("shop.net", "/es/"), ("a.org", "/"), ("paper.com", "/"), ("b.net", "/fr/"), ("c.net", "/x/")])
+        noisy = path in ("/en/", "/es/", "/fr/") and rng.random() < 0.8
+        data.append((i, f"http://{host}{path}{rng.randrange(10**9) if noisy else 'page'}{'?q=1&r=22' if noisy else ''}"))
+    pages = rows("page_id int, url string", data)
+    model = urls.UrlFilter.fit(urls.rule_labels(pages), trees=5, leave_out=urls.RULE_SUFFIXES)
+    judged = model.judge(pages).collect()
+    assert all((r["rule"], r["verdict"])[0] is None or (r["rule"], r["verdict"]) == plain(data[r["page_id"]][1])[2:] for r in judged)
+    free = rows("page_id int, url string", [(1, "http://d.org/page"), (2, "http://d.org/123456789?q=1&r=22")])
+    scores = {r["page_id"]: r["block_probability"] for r in model.judge(free).collect()}
+    assert scores[2] > scores[1] + 0.2
+
+
 def test_trees_learn_labels(rows):
     rng = random.Random(2)
     data = []

@@ -1,5 +1,8 @@
 """URL filter: host rules first, gradient-boosted trees on lexical features for the rest.
 
+The trees learn from a table of labelled urls. The registered query has no labels but the verdicts of its rules; there the trees go by
+lexical features and file endings only, not by the suffixes that the rules name.
+
 Everything is DataFrame and SQL functions; the trees are Spark ML's. Only the url column is read.
 
 * Null url, or one without ``://``: host and path are empty, no rule fits, the trees decide on
@@ -94,7 +97,9 @@ def _suffixes(host, path) -> Column:
     return F.array(*(F.concat(F.lit(f"{i}:"), x) for i, x in enumerate((last, domain, F.concat(last, F.lit("/"), segment), F.concat(domain, F.lit("/"), segment), ending))))
 
 
-N_SUFFIXES = 5
+LAST, DOMAIN, LAST_SEGMENT, DOMAIN_SEGMENT, ENDING = SUFFIXES = range(5)
+# What host rules with a path say again: trees that learn from such rules' verdicts would learn the rules and nothing else.
+RULE_SUFFIXES = (LAST, DOMAIN, LAST_SEGMENT, DOMAIN_SEGMENT)
 
 
 def _with_features(pages: DataFrame) -> DataFrame:
@@ -110,18 +115,19 @@ def _odds(blocked, seen) -> Column:
 class UrlFilter:
     """Trees learned from labelled urls: ``fit`` once, then ``judge`` any table with a url column."""
 
-    def __init__(self, spark, model, suffixes: DataFrame | None, base: float):
-        self.spark, self.model, self.suffixes, self.base = spark, model, suffixes, base
+    def __init__(self, spark, model, suffixes: DataFrame | None, kinds: tuple[int, ...]):
+        self.spark, self.model, self.suffixes, self.kinds = spark, model, suffixes, kinds
 
     @classmethod
-    def fit(cls, labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> UrlFilter:
-        """``labelled``: url, label (1 block, 0 allow); null labels are skipped."""
+    def fit(cls, labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, seed: int = 7, leave_out: tuple[int, ...] = ()) -> UrlFilter:
+        """``labelled``: url, label (1 block, 0 allow); null labels are skipped. Suffixes of the kinds in ``leave_out`` are no features."""
+        kinds = tuple(i for i in SUFFIXES if i not in leave_out)
         spark = labelled.sparkSession
         urls = labelled.filter(F.col("label").isNotNull()).groupBy(F.coalesce(F.col("url"), F.lit("")).alias("_u_url"))
         urls = written(urls.agg(F.max("label").cast("int").alias("label")), "url-labels")
         counts = {r["label"]: r["n"] for r in urls.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not (counts.get(0) and counts.get(1)):
-            return cls(spark, None, None, 0.0)
+            return cls(spark, None, None, kinds)
         # Two rows of counts; the threshold keeps about ``sample`` urls of each class at any size.
         chance = F.when(F.col("label") == 1, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
         unit = F.shiftrightunsigned(F.xxhash64("_u_url", F.lit(seed)), 11) / F.lit(float(2**53))
@@ -133,7 +139,7 @@ class UrlFilter:
         total = written(total, "url-suffixes")
         # A url's own fold does not count in its suffix features.
         others = by_fold.join(total, "suffix").select("suffix", "_u_fold", _odds(F.col("blocked") - F.col("b"), F.col("seen") - F.col("n")).alias("odds"))
-        fitted = cls(spark, None, total.select("suffix", _odds(F.col("blocked"), F.col("seen")).alias("odds")), 0.0)
+        fitted = cls(spark, None, total.select("suffix", _odds(F.col("blocked"), F.col("seen")).alias("odds")), kinds)
         rows = fitted._add_suffixes(kept, written(others, "url-folds"), ["suffix", "_u_fold"])
         names = [c for c in rows.columns if c.startswith("f_")]
         vector = VectorAssembler(inputCols=names, outputCol="_u_features", handleInvalid="keep")
@@ -144,7 +150,7 @@ class UrlFilter:
 
     def _add_suffixes(self, rows: DataFrame, odds: DataFrame, keys: list[str]) -> DataFrame:
         """Suffix features by one join per kind; the table has at most 5 * FOLDS rows per sampled url, so it may be broadcast."""
-        for i in range(N_SUFFIXES):
+        for i in self.kinds:
             side = odds.withColumnsRenamed({"suffix": "_u_s", "odds": f"f_suffix_{i}"})
             side = F.broadcast(side.withColumnsRenamed({"_u_fold": "_u_f"}) if "_u_fold" in keys else side)
             on = F.get("_u_suffixes", F.lit(i)) == F.col("_u_s")
@@ -179,4 +185,4 @@ def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
 @query("op2_url_filter")
 def op2(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url")
-    return UrlFilter.fit(rule_labels(pages)).judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+    return UrlFilter.fit(rule_labels(pages), leave_out=RULE_SUFFIXES).judge(pages).select("page_id", "host", "path", "rule", "verdict", "block_probability")
