@@ -18,7 +18,7 @@ def test_oracles(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark):
@@ -46,12 +46,27 @@ def test_stages(spark):
     assert seen["packing"].where("start = 0").count() == mixed.count()
 
 
-def test_odd_rows_go_through(spark, odd, empty):
-    for docs in (odd, empty):
-        kept = docs
-        for _, stage in corpus_pipeline.STAGES:
-            kept = stage(spark, kept, SF)
-        kept.collect()
+def ids(df):
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+
+
+def test_odd_rows_by_stage(spark, odd, empty, clashing):
+    some = lambda *x: [(i is None, i or 0) for i in x]
+    spoken = ids(corpus_pipeline.language_id(spark, odd, SF))
+    assert not {1, 2, 7, 8} & {i for _, i in spoken} and (False, 3) in spoken and (False, 5) in spoken  # no text, no letter
+    assert ids(corpus_pipeline.exact_dedup(spark, odd, SF)) == some(2, 4, 5, 7, 8, 9)
+    assert ids(corpus_pipeline.near_dedup(spark, odd, SF)) == some(1, 2, 3, 5, 5, 7, 8, 9)
+    drawn = [i for _, i in ids(corpus_pipeline.mix_sources(spark, odd, SF))]
+    assert not {1, 2, 7} & set(drawn) and 3 in drawn  # no words, never drawn
+    pieces = corpus_pipeline.pack_windows(spark, odd, SF).collect()
+    assert sorted(r["doc_id"] for r in pieces if r["doc_id"] in (1, 2) and r["length"] == 1) == [1, 2]
+    for stage in (s for _, s in corpus_pipeline.STAGES):
+        assert stage(spark, empty, SF).count() == 0
+    kept = clashing
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, SF)
+        assert name == "packing" or kept.columns == corpus_pipeline.COLUMNS
+    assert {r["doc_id"] for r in kept.collect()} <= set(range(6))
 
 
 def test_near_copies_leave_one(rows, spark):
