@@ -1,4 +1,8 @@
-"""Training-data pipeline over ``documents``: each stage works on what its predecessor kept."""
+"""Training-data pipeline over ``documents``: each stage works on what its predecessor kept.
+
+Every stage takes and, but for the last, returns the columns of ``documents``; columns beyond them are not carried, whatever their
+names. An empty table gives an empty one. What nulls, repeated rows and very long texts become is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -16,19 +20,27 @@ MIN_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents; texts of no learned language go."""
+    """Learn from the labelled documents; texts of no learned language go.
+
+    Null and empty texts, texts without a letter or too short for an n-gram go as well. Rows without a language teach nothing and are
+    judged like all others; repeated rows stay or go together. Texts are read whole.
+    """
     model = langid.fit(docs.select("text", "lang"))
     judged = langid.identify(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
     return judged.select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts, null counting as empty, the row with the largest doc_id stays, a null id counting as the smallest. Rows that
+    repeat that id and text are one row."""
     return exact.dedup(docs).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 % of their five-word shingles, directly or over others, the smallest id stays."""
+    """Of documents that share 80 % of their five-word shingles, directly or over others, the smallest id stays.
+
+    A null id comes after all others. Texts without words are near nothing and stay. Rows that repeat an id and a text stay or go together.
+    """
     # Rows are told apart by id and text, as ids may repeat; a null id comes after all others.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"))
     groups = jaccard.near_duplicates(docs.select(row.alias("doc_id"), "text"), k=5, num=80, den=100)
@@ -37,13 +49,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn to the source targets; a document drawn twice is two rows. Rows leave in the order of the mix."""
+    """Whole documents drawn to the source targets; a document drawn twice is two rows. Rows leave in the order of the mix.
+
+    A null source is one of its own. Null and empty texts have no words and are never drawn.
+    """
     mixed = mixing.mix(docs, whole_documents=True)
     return mixing.shuffled_rows(mixed, COLUMNS).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows, with their ids."""
+    """Pieces of token windows, with their ids. A null or empty text is its end id alone; a long one is cut over several windows."""
     return packing.pack(docs, keep=["doc_id", "source"])
 
 
