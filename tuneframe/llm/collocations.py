@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.quotient import Codec, Filter
 from tuneframe.llm.registry import query, table
-from tuneframe.session import written
+from tuneframe.session import run_folder, scratch, written
 
 LEAST = 100
 LONGEST = 5
@@ -262,24 +262,33 @@ class Phrases:
     """Written counts: ``sizes`` (lang, n), ``vocabulary`` (lang, word, f, id) and ``phrases`` (phrase: ids, a)."""
 
     def __init__(self, docs: DataFrame, least: int = LEAST, longest: int = LONGEST):
-        chunks, shard_bits = chunked(docs)
-        self.sizes = written(chunks.filter(F.col("n").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0"), "phrase-sizes")
-        entries = chunks.filter(F.col("shard").isNotNull()).select("shard", "chunk", "lang", "words", "times")
-        words_ = written(entries.groupBy("shard").applyInArrow(_frequent(least), WORDS), "phrase-words")
-        frequent = words_.filter(F.col("word").isNotNull())
-        # Numbers of a shard's words follow those of the shards before it: one row per shard.
-        per_shard = frequent.groupBy("shard").agg(F.count(F.lit(1)).alias("m"))
-        before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = written(per_shard.select("shard", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset")), "phrase-offsets")
-        placed = frequent.join(offsets, "shard").select("lang", "word", "f", (F.col("offset") + F.col("number")).cast("int").alias("id"))
-        self.vocabulary = written(placed, "phrase-vocabulary")
-        bits = max(1, self.vocabulary.count().bit_length())
-        pairs, longer = Codec(bits, 2), Codec(bits, longest)
-        shard_bits = min(pairs.width, shard_bits)
-
-        known = words_.filter(F.col("ids").isNotNull()).join(offsets, "shard").select(F.col("chunk").alias("home"), "shard", "ids", "offset")
-        texts = chunks.filter(F.col("numbers").isNotNull()).select("chunk", "size", "numbers", "shards")
-        parts = written(texts.groupBy("chunk").cogroup(known.groupBy("home")).applyInArrow(_pairs(pairs, shard_bits), PARTS), "phrase-pairs")
+        # Chunks are removed once they are pairs: what is kept is written to folders from outside of the block.
+        spark = docs.sparkSession
+        folders = {name: run_folder(spark, name) for name in ("phrase-sizes", "phrase-vocabulary", "phrase-pairs")}
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(folders[name])
+            return spark.read.schema(df.schema).parquet(folders[name])
+
+        with scratch(spark):
+            chunks, shard_bits = chunked(docs)
+            self.sizes = kept(chunks.filter(F.col("n").isNotNull()).groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0"), "phrase-sizes")
+            entries = chunks.filter(F.col("shard").isNotNull()).select("shard", "chunk", "lang", "words", "times")
+            words_ = written(entries.groupBy("shard").applyInArrow(_frequent(least), WORDS), "phrase-words")
+            frequent = words_.filter(F.col("word").isNotNull())
+            # Numbers of a shard's words follow those of the shards before it: one row per shard.
+            per_shard = frequent.groupBy("shard").agg(F.count(F.lit(1)).alias("m"))
+            before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+            offsets = written(per_shard.select("shard", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset")), "phrase-offsets")
+            placed = frequent.join(offsets, "shard").select("lang", "word", "f", (F.col("offset") + F.col("number")).cast("int").alias("id"))
+            self.vocabulary = kept(placed, "phrase-vocabulary")
+            bits = max(1, self.vocabulary.count().bit_length())
+            pairs, longer = Codec(bits, 2), Codec(bits, longest)
+            shard_bits = min(pairs.width, shard_bits)
+
+            known = words_.filter(F.col("ids").isNotNull()).join(offsets, "shard").select(F.col("chunk").alias("home"), "shard", "ids", "offset")
+            texts = chunks.filter(F.col("numbers").isNotNull()).select("chunk", "size", "numbers", "shards")
+            parts = kept(texts.groupBy("chunk").cogroup(known.groupBy("home")).applyInArrow(_pairs(pairs, shard_bits), PARTS), "phrase-pairs")
         cuts = parts.filter(F.col("shard").isNotNull()).select("shard", "chunk", "part")
         found = written(cuts.groupBy("shard").applyInArrow(_merged(pairs, least, shard_bits, True), FOUND), "phrase-found")
 
