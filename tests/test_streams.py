@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,52 @@ def test_the_setting_is_put_back(spark):
     with jobs.rocksdb_state(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name) == before
+
+
+class _Handle:
+    """State of one bucket without a stream."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Time:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_keys_of_a_bucket_share_one_call_and_one_state():
+    handle, minute = _Handle(), 60_000
+    arrivals = jobs._Arrivals(["n"], 60 * minute * 1000)
+    arrivals.init(handle)
+
+    def call(watermark, *given):
+        rows = [(i, None, 0, bytes([key]) * 16, m * minute * 1000) for i, (key, m) in enumerate(given)]
+        parts = [pd.DataFrame(rows[i : i + 2]) for i in range(0, len(rows), 2)]
+        out = pd.concat(list(arrivals.handleInputRows((0,), iter(parts), _Time(watermark * minute))))
+        assert out["n"].tolist() == list(range(len(given)))
+        return out["arrival"].tolist()
+
+    # The earliest row of a key is the first one, wherever it stands; a key may be all zero bytes.
+    assert call(100, (0, 110), (1, 105), (0, 101), (2, 99), (1, 105)) == ["repeated", "on_time", "on_time", "late", "repeated"]
+    assert handle.timers == [161 * minute]
+    list(arrivals.handleExpiredTimer((0,), _Time(162 * minute), _Time(161 * minute)))
+    assert handle.timers == [161 * minute, 165 * minute]
+    assert call(162, (0, 163), (1, 164), (3, 170)) == ["on_time", "repeated", "on_time"]
+    list(arrivals.handleExpiredTimer((0,), _Time(500 * minute), _Time(165 * minute)))
+    assert handle.value is None

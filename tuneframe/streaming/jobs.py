@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,65 +88,115 @@ def latest_from_sink(spark: SparkSession, sink: str) -> DataFrame:
 
 # What a prediction was when it arrived.
 ARRIVALS = ["on_time", "repeated", "late"]
-_CLOCK, _TICK = "_clock", "_tick"
+_CLOCK, _BUCKET, _KEY, _AT = "_clock", "_bucket", "_key", "_at"
+# Buckets of keys: one call and one state for the keys of a bucket. Their number is fixed with the state and they grow with the stream.
+BUCKETS = 512
+_KEY_TYPE = np.dtype("V16")
+# Rows of a bucket that wait to be judged together.
+HELD_ROWS = 1 << 16
 
 
 class _Arrivals(StatefulProcessor):
-    """Names each row of a key ``on_time``, ``repeated`` or ``late``; remembers a key until its timer."""
+    """Names each row ``on_time``, ``repeated`` or ``late``; remembers the keys of a bucket, each until its time has passed."""
 
-    def __init__(self, columns: Sequence[str], time: str, delay_ms: int):
-        self.columns, self.time, self.delay_ms = list(columns), time, delay_ms
+    def __init__(self, columns: Sequence[str], delay_us: int):
+        self.columns, self.delay_us = list(columns), delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", T.StructType([T.StructField("until", T.LongType())]))
+        self.keys = handle.getValueState("keys", T.StructType([T.StructField("until", T.BinaryType()), T.StructField("key", T.BinaryType())]))
+
+    def _load(self) -> tuple[np.ndarray, np.ndarray]:
+        """Times in milliseconds up to which keys are remembered, and the keys."""
+        held = self.keys.get()
+        until, key = held if held else (b"", b"")
+        return np.frombuffer(until, np.int64), np.frombuffer(key, _KEY_TYPE)
+
+    def _save(self, until: np.ndarray, key: np.ndarray) -> None:
+        self.keys.update((until.tobytes(), key.tobytes()))
+        self.handle.registerTimer(int(until.min()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        known = self.first.exists()
+        until, keys = self._load()
+        known = set(keys.tolist())
+        fresh: dict[bytes, int] = {}
+
+        def judge(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at = np.concatenate([part[_AT].to_numpy() for part in parts])
+            names = np.frombuffer(b"".join(name for part in parts for name in part[_KEY]), _KEY_TYPE).tolist()
+            early = at // 1000 < watermark
+            arrival = np.where(early, "late", "repeated").astype(object)
+            for i in np.argsort(at, kind="stable").tolist():
+                if not early[i] and names[i] not in known:
+                    known.add(names[i])
+                    fresh[names[i]] = (int(at[i]) + self.delay_us) // 1000
+                    arrival[i] = "on_time"
+            for part in parts:
+                yield part[self.columns].assign(arrival=arrival[: len(part)])
+                arrival = arrival[len(part) :]
+
+        held, size = [], 0
         for part in rows:
-            part.columns = [*self.columns, _CLOCK, _TICK]  # names with an underscore in front arrive as numbers
-            part = part[~part[_TICK]].drop(columns=[_TICK, _CLOCK])
-            if not len(part):
-                continue
-            at = part[self.time]
-            early = (at.isna() | (at.astype("datetime64[ns]").astype("int64") // 10**6 < watermark)).to_numpy()
-            arrival = ["late" if x else "repeated" for x in early]
-            fresh = [i for i, x in enumerate(early) if not x]
-            if fresh and not known:
-                first = min(fresh, key=lambda i: at.iloc[i])
-                arrival[first] = "on_time"
-                until = int(at.iloc[first].value // 10**6) + self.delay_ms
-                self.first.update((until,))
-                self.handle.registerTimer(until)
-                known = True
-            yield part.assign(arrival=arrival)
+            part.columns = [*self.columns, _CLOCK, _BUCKET, _KEY, _AT]  # names with an underscore in front arrive as numbers
+            held.append(part)
+            size += len(part)
+            if size >= HELD_ROWS:
+                yield from judge(held)
+                held, size = [], 0
+        if size:
+            yield from judge(held)
+        if fresh:
+            more = np.fromiter(fresh.values(), np.int64, len(fresh))
+            self._save(np.concatenate((until, more)), np.concatenate((keys, np.frombuffer(b"".join(fresh), _KEY_TYPE))))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
+        until, keys = self._load()
+        kept = until > max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        if kept.any():
+            self._save(until[kept], keys[kept])
+        else:
+            self.keys.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _key_of(predictions: DataFrame, keys: Sequence[str]) -> Column:
+    """The key columns as 16 bytes: a digest of all their values, null told apart from every value."""
+    plain = [(F.col(k) + 0.0).alias(k) if isinstance(predictions.schema[k].dataType, T.FractionalType) else F.col(k) for k in keys]
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.unhex(F.md5(F.to_json(F.struct(*plain), exact)))
+
+
 def arrivals(predictions: DataFrame, time: str = "ts", delay: str = "1 hour", keys: Sequence[str] = ("run_id", "example_id", "step")) -> DataFrame:
     """Add ``arrival`` to every row of a stream: the first of a key is ``on_time``, another one within ``delay`` of it ``repeated``,
     and one that is older than the watermark, or has no time, ``late``. No row is dropped.
 
     Spark drops rows behind the watermark before a stateful operator sees them. So each row goes in twice: the row itself without a
-    clock, which is never dropped, and a narrow tick with nothing but the key and the time, which moves the watermark. A key is remembered by its own timer, so
-    the state holds the keys of about one ``delay``. Needs the state store of :func:`rocksdb_state`.
+    clock, which is never dropped, and an empty tick with the time, which moves the watermark and then goes. A key is remembered by its own
+    time, so the state holds the keys of about one ``delay``, 24 bytes each. Keys are judged by the bucket, not one by one: a call and a state for each key
+    would cost far more than the rows. Needs the state store of :func:`rocksdb_state`.
     """
     clock = F.col(time).cast("timestamp")
-    data = F.struct(*predictions.columns, F.lit(None).cast("timestamp").alias(_CLOCK), F.lit(False).alias(_TICK))
-    empty = [F.col(c) if c in keys else F.lit(None).cast(predictions.schema[c].dataType).alias(c) for c in predictions.columns]
-    tick = F.struct(*empty, clock.alias(_CLOCK), F.lit(True).alias(_TICK))
-    both = predictions.select(F.explode(F.array(data, tick)).alias("_r")).select("_r.*").withWatermark(_CLOCK, delay)
+    key = _key_of(predictions, keys)
+    facts = {
+        _BUCKET: (F.pmod(F.hash(key), F.lit(BUCKETS)), "int"),
+        _KEY: (key, "binary"),
+        _AT: (F.coalesce(F.unix_micros(clock), F.lit(-(2**63))), "long"),
+    }
+    none = F.lit(None)
+    data = F.struct(*predictions.columns, none.cast("timestamp").alias(_CLOCK), *[c.alias(name) for name, (c, _) in facts.items()])
+    empty = [none.cast(f.dataType).alias(f.name) for f in predictions.schema]
+    tick = F.struct(*empty, clock.alias(_CLOCK), *[none.cast(kind).alias(name) for name, (_, kind) in facts.items()])
+    both = predictions.select(F.explode(F.when(clock.isNotNull(), F.array(data, tick)).otherwise(F.array(data))).alias("_r")).select("_r.*").withWatermark(_CLOCK, delay)
+    # Asks for the clock, so that it stays behind the watermark, which has to see the ticks.
+    marked = both.where(F.col(_CLOCK).isNull())
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in predictions.schema]).add("arrival", "string")
-    delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
-    return both.groupBy(*keys).transformWithStateInPandas(
-        _Arrivals(predictions.columns, time, delay_ms), outputStructType=schema, outputMode="append", timeMode="EventTime"
+    delay_us = int(pd.Timedelta(delay).total_seconds() * 1_000_000)
+    return marked.groupBy(_BUCKET).transformWithStateInPandas(
+        _Arrivals(predictions.columns, delay_us), outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
 
