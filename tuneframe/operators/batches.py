@@ -13,6 +13,8 @@ from tuneframe.operators.ordering import shuffle_key
 
 # Batches whose plan one row stands for until it is expanded.
 BATCH_RUN = 4096
+# Rows of whole batches that a task of by_batch takes, about.
+TASK_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,12 @@ def generation_batches(
     return sampled.withColumn("batch_id", F.floor(F.col(ordinal) / size).cast("bigint"))
 
 
+def by_batch(batched: DataFrame, n_rows: int, batch: str = "batch_id") -> DataFrame:
+    """Rows dealt by batch to tasks of about ``TASK_ROWS``, of ``n_rows`` in all. What is grouped by batch afterwards, distinct counts
+    too, takes a task's memory for that many rows, however large the plan is."""
+    return batched.repartition(max(1, -(-n_rows // TASK_ROWS)), batch)
+
+
 def microbatch_slices(n_rows: Column, plan: BatchPlan, seed: int | str, spark) -> DataFrame:
     """Shuffle each batch that a process's loader hands out and cut it into equal slices.
 

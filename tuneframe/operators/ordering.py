@@ -59,7 +59,8 @@ def _positions(df: DataFrame, bucket: Column, order: Sequence[str], name: str, s
     counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     return (
-        numbered.join(_offsets(counts, sparse), "_bucket")
+        # Dealt by bucket first: the offsets end in one partition, and the rows would be sent there to meet them.
+        numbered.join(_offsets(counts, sparse).repartition("_bucket"), "_bucket")
         .withColumn(name, F.col("_offset") + F.col("_rn") - 1)
         .drop("_bucket", "_rn", "_offset")
     )

@@ -72,7 +72,8 @@ def sampler_summary(t: Tables):
 )
 def generation_batches(t: Tables):
     batched = batches.generation_batches(_sampled(t), 4, PLAN.steps_per_generation)
-    return batched.groupBy("batch_id").agg(
+    n_rows = batches.sampler_summary(t.part, PLAN).first()["n_plan_rows"]
+    return batches.by_batch(batched, n_rows).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("row_idx").alias("n_prompts"),
         F.min("ordinal").alias("first_ordinal"),
