@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
-from tuneframe.operators import batches, ordering
+from tuneframe.operators import batches, ordering, scoring
 
 
 def test_rows_of_whole_batches_are_dealt_by_their_number(spark, monkeypatch):
@@ -28,3 +28,14 @@ def test_positions_do_not_send_all_rows_to_one_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_aligning_sorts_neither_side(rows):
+    predictions = rows("example_id long, prediction string", [(1, "a"), (1, "b"), (2, "c"), (None, "d")])
+    references = rows("example_id long, reference string", [(1, "x"), (3, "y"), (None, "z")])
+    aligned = scoring.align_predictions(predictions, references)
+    plan = plan_of(aligned)
+    assert "SortMergeJoin" not in plan and "Sort [" not in plan and plan.count("ShuffledHashJoin") == 2
+    got = sorted(((r["example_id"], r["prediction"], r["reference"], r["status"]) for r in aligned.collect()), key=str)
+    assert got == sorted([(1, "a", "x", "ok"), (1, "b", "x", "ok"), (2, "c", None, "missing_reference"), (None, "d", None, "missing_reference"),
+                          (3, None, "y", "missing_prediction"), (None, None, "z", "missing_prediction")], key=str)

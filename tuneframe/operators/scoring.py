@@ -19,8 +19,9 @@ def pair_predictions(
     predictions: DataFrame, references: DataFrame, keys: Sequence[str] = ("example_id",)
 ) -> DataFrame:
     """Every prediction with its reference, by key. A prediction without one keeps NULLs, on
-    which strict scoring fails. AQE splits a hot key of the prediction side."""
-    return predictions.join(references, list(keys), "left")
+    which strict scoring fails. AQE splits a hot key of the prediction side. A task hashes its references and does not sort
+    its predictions, which are many more."""
+    return predictions.join(references.hint("shuffle_hash"), list(keys), "left")
 
 
 def align_predictions(
@@ -36,7 +37,7 @@ def align_predictions(
     paired = pair_predictions(predictions, references.withColumn("_found", F.lit(True)), keys).withColumn(
         "status", F.when(F.col("_found"), "ok").otherwise("missing_reference")
     )
-    unused = references.join(predictions.select(*keys).distinct(), keys, "left_anti")
+    unused = references.join(predictions.select(*keys).distinct().hint("shuffle_hash"), keys, "left_anti")
     return paired.drop("_found").unionByName(
         unused.withColumn("status", F.lit("missing_prediction")), allowMissingColumns=True
     )
