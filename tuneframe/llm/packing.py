@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import byte_rows, numbered, word_hash
+from tuneframe.llm.text import byte_rows, numbered, word_hashes
 
 WINDOW = 4096
 END_ID = 2
@@ -38,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 4 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, CACHE_PIECES = 250_000, 250_000
 # Documents whose words are told apart together.
 STATISTICS_DOCUMENTS = 1024
 # Fixed values of the tokenizer: how it cuts ASCII text into pre-tokens, and how its special tokens begin.
@@ -64,30 +64,34 @@ class _Pieces(dict):
 
     def __missing__(self, piece: bytes) -> tuple[int, ...]:
         ids = tuple(t.id for t in self.model.tokenize(piece.decode("ascii").translate(_byte_names)))
-        if len(piece) <= 24 and len(self) < CACHE_WORDS // 4:
+        if len(piece) <= 24 and len(self) < CACHE_PIECES:
             self[piece] = ids
         return ids
 
 
 class _Words(dict):
-    """Place of each known word in a store of ids; an unknown word is encoded when it is first asked for."""
+    """Place of each known word in a store of ids, and the hashed term of each."""
 
     def __init__(self, tokenizer, pieces: _Pieces):
         super().__init__()
         self.tokenizer, self.pieces = tokenizer, pieces
         self.flat, self.first, self.size, self.term = array("I"), array("q"), array("q"), array("q")
 
-    def __missing__(self, word: bytes) -> int:
-        if _plain(word):
-            ids = [i for piece in _PRE_TOKENS.findall(word.lower()) for i in self.pieces[piece]]
-        else:
-            ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        place = self[word] = len(self.first)
-        self.first.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        self.term.append(word_hash(word.lower()) & ((1 << TERM_BITS) - 1))
-        return place
+    def learn(self, words: list[bytes], plain: bool):
+        """Encode words that are not known yet; ``plain``: all of them are."""
+        pieces, flat, first, size, encode = self.pieces, self.flat, self.first, self.size, self.tokenizer.encode
+        for word in words:
+            start = len(flat)
+            if plain or _plain(word):
+                for piece in _PRE_TOKENS.findall(word):
+                    flat.extend(pieces[piece])
+            else:
+                flat.extend(encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            self[word] = len(first)
+            first.append(start)
+            size.append(len(flat) - start)
+        hashes = word_hashes(np.frombuffer(b" ".join(words).lower(), np.uint8))
+        self.term.frombytes((hashes & np.uint64((1 << TERM_BITS) - 1)).tobytes())
 
 
 def _plain(word: bytes) -> bool:
@@ -115,8 +119,12 @@ class WordTokens:
         if len(self.words) > CACHE_WORDS:
             self.words = _Words(self.tokenizer, self.pieces)
         words, known = data.lower().split(), self.words
-        if not _plain(data):
+        plain = _plain(data)
+        if not plain:
             words = [low if _plain(low) else word for low, word in zip(words, data.split())]
+        fresh = [word for word in dict.fromkeys(words) if word not in known]
+        if fresh:
+            known.learn(fresh, plain)
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         size = np.frombuffer(known.size, np.int64)[at] if len(at) else at
         ends = np.cumsum(size)
