@@ -141,3 +141,27 @@ def test_whole_packing_against_a_plain_one():
     for doc, _, ids, sequence, _ in packer.take():
         got.setdefault(sequence, []).append((doc[1], len(ids)))
     assert [got[s] for s in sorted(got)] == plain_packing(lists, terms, stats)
+
+
+def test_latin_words_are_encoded_by_their_pre_tokens_once(monkeypatch):
+    """No word of Western European text costs a call of the whole tokenizer; words that normalisation may change still do."""
+    import pyarrow as pa
+
+    texts = ["Été naïve, garçon d'ÉTÉ 42ßä!'s", None, "", " \t", "Straße DON'T où?? l'Âme'll 'S 'ré", "éÿÞ'll'd" * 3, "naïve garçon " * 900]
+    tokens = packing.WordTokens(packing.default_vocabulary())
+    want = [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole = []
+
+    class Whole:
+        def encode(self, word, **kind):
+            whole.append(word)
+            return real.encode(word, **kind)
+
+    real, tokens.tokenizer = tokens.tokenizer, Whole()
+    assert [tokens.ids((t or "").encode())[0].tolist() for t in texts] == want and not whole
+    monkeypatch.setattr(packing, "GROUP_BYTES", 40)
+    monkeypatch.setattr(packing, "CALL_PIECES", 3)
+    assert [ids.tolist() for ids, _ in tokens.groups(pa.array(texts))] == want and not whole
+    odd = "a×b e\u0301 İ Ω <|endoftext|> x÷"
+    assert tokens.ids(odd.encode())[0].tolist() == real.encode(odd, add_special_tokens=False).ids
+    assert sorted(whole) == sorted(odd.split())

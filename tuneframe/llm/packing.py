@@ -19,18 +19,16 @@ and tokens, so a task's memory does not grow with its input.
 
 from __future__ import annotations
 
-import re
-from array import array
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import byte_rows, numbered, word_hashes
+from tuneframe.llm.text import as_strings, distinct_words, laid_out, lowered, word_hashes
 
 WINDOW = 4096
 END_ID = 2
@@ -38,15 +36,22 @@ VOCABULARY = "word_bpe_49k.json"
 TERM_BITS = 18
 K1, B = 1.2, 0.75
 SHARD_DOCUMENTS, SHARD_TOKENS = 1024, 4 << 20
-CACHE_WORDS, CACHE_PIECES = 250_000, 250_000
-# Documents whose words are told apart together.
-STATISTICS_DOCUMENTS = 1024
-# Fixed values of the tokenizer: how it cuts ASCII text into pre-tokens, and how its special tokens begin.
-_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_SPECIAL = b"<|"
+# Bytes of text whose words are told apart together, and distinct words that are held and encoded at a time.
+GROUP_BYTES, CACHE_WORDS = 16 << 20, 250_000
+# Pre-tokens of one call of the tokenizer's model.
+CALL_PIECES = 20_000
+# Fixed values of the tokenizer: pre-tokens are runs of letters, single digits and runs of symbols, its contractions begin
+# with an apostrophe, and its special tokens begin with ``<|``.
+_SEPARATOR, _LETTER, _DIGIT, _SYMBOL = range(4)
+_kinds = np.full(256, _SYMBOL, np.uint8)
+_kinds[ord("a") : ord("z") + 1] = _kinds[0x80:] = _LETTER
+_kinds[ord("0") : ord("9") + 1] = _DIGIT
+_kinds[ord("\n")] = _SEPARATOR
+_SHORT, _LONG = np.frombuffer(b"stmd", np.uint8), np.frombuffer(b"revell", np.uint16)
 # Byte-level vocabularies name printable Latin-1 bytes by themselves and the others, in order, from U+0100 on.
 _own_names = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_byte_names = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - _own_names))}
+_byte_names = np.arange(256, dtype=np.uint32)
+_byte_names[sorted(set(range(256)) - _own_names)] = 0x100 + np.arange(256 - len(_own_names))
 
 
 def default_vocabulary() -> str:
@@ -55,85 +60,118 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class _Pieces(dict):
-    """Ids of each pre-token of lower-case ASCII; short ones are remembered."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = tuple(t.id for t in self.model.tokenize(piece.decode("ascii").translate(_byte_names)))
-        if len(piece) <= 24 and len(self) < CACHE_PIECES:
-            self[piece] = ids
-        return ids
-
-
-class _Words(dict):
-    """Place of each known word in a store of ids, and the hashed term of each."""
-
-    def __init__(self, tokenizer, pieces: _Pieces):
-        super().__init__()
-        self.tokenizer, self.pieces = tokenizer, pieces
-        self.flat, self.first, self.size, self.term = array("I"), array("q"), array("q"), array("q")
-
-    def learn(self, words: list[bytes], plain: bool):
-        """Encode words that are not known yet; ``plain``: all of them are."""
-        pieces, flat, first, size, encode = self.pieces, self.flat, self.first, self.size, self.tokenizer.encode
-        for word in words:
-            start = len(flat)
-            if plain or _plain(word):
-                for piece in _PRE_TOKENS.findall(word):
-                    flat.extend(pieces[piece])
-            else:
-                flat.extend(encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-            self[word] = len(first)
-            first.append(start)
-            size.append(len(flat) - start)
-        hashes = word_hashes(np.frombuffer(b" ".join(words).lower(), np.uint8))
-        self.term.frombytes((hashes & np.uint64((1 << TERM_BITS) - 1)).tobytes())
-
-
-def _plain(word: bytes) -> bool:
-    """Whether a word is the same before and behind the tokenizer's normalisation, but for its case, and holds no special token."""
-    return word.isascii() and _SPECIAL not in word
+def _plain(words: pa.Array) -> np.ndarray:
+    """Which words the tokenizer's normalisation leaves alone but for case: those of ASCII and the letters from U+00C0 to U+00FF, without ``<|``."""
+    data, place = laid_out(words)
+    after = np.append(data[1:], np.uint8(ord("\n")))
+    letter = np.flatnonzero((data == 0xC3) & (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7))
+    odd = (data >= 0x80) | ((data == ord("<")) & (after == ord("|")))
+    odd[letter] = odd[letter + 1] = False
+    plain = np.ones(len(words), bool)
+    plain[np.searchsorted(place, np.flatnonzero(odd), "right") - 1] = False
+    return plain
+
+
+def _pre_tokens(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pre-tokens of plain words, lower case, in order, with a line feed after each word; and the word of each."""
+    data, _ = laid_out(words)
+    data = lowered(data)
+    upper = np.flatnonzero(data == 0xC3) + 1
+    data[upper] += np.where(data[upper] < 0x9F, 0x20, 0).astype(np.uint8)  # the letters from U+00C0 to U+00DE
+    padded = np.append(data, np.full(3, ord("\n"), np.uint8))
+    kind = _kinds[padded]
+    start = np.ones(len(padded), bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT) | (kind[1:] == _SEPARATOR)
+    at = np.flatnonzero(data == ord("'"))
+    at = at[(at == 0) | (kind[at - 1] != _SYMBOL)]
+    short = at[np.isin(padded[at + 1], _SHORT)]
+    long = at[np.isin(padded[at + 1] | (padded[at + 2].astype(np.uint16) << 8), _LONG)]
+    start[short + 1] = start[long + 1] = False
+    start[short + 2] = start[long + 3] = True
+    first = np.flatnonzero(start[: len(data)])
+    offsets = np.append(first, len(data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    ended = data[first] == ord("\n")
+    return pieces, np.cumsum(ended) - ended
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(first - ends + size, size) + np.arange(total)]
 
 
 class WordTokens:
-    """Ids of texts for a tokenizer whose pre-tokens never cross white space: each word is encoded once.
+    """Ids of texts for a tokenizer whose pre-tokens never cross white space: each distinct word of a group of texts is encoded once.
 
-    ASCII words are cut into pre-tokens here, which go to the byte-pair model one by one, each once; their case does not count.
+    Words of ASCII and Latin-1 letters are cut into pre-tokens here, which go to the byte-pair model, each once; their case does not count.
     Words with other characters, or with ``<|``, the start of the special tokens, go through the whole tokenizer
-    as they stand, since normalisation may change them together with their neighbours. Known words are forgotten once there are ``CACHE_WORDS``.
+    as they stand, since normalisation may change them together with their neighbours. Nothing is kept from group to group.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(self.tokenizer.model)
-        self.words = _Words(self.tokenizer, self.pieces)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)  # the ids that end a pre-token
+        self.last[[i for name, i in names.items() if name.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, end to end, and how many each has."""
+        out = [np.zeros(0, np.uint32)]
+        for i in range(0, len(pieces), CALL_PIECES):
+            data, place = laid_out(pieces.slice(i, CALL_PIECES))
+            named = _byte_names[data]
+            named[np.append(place[1:], len(data)) - 1] = ord(" ")
+            ids = self.model.encode_batch_fast([named.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids
+            out.append(np.array(ids, np.uint32))
+        ids = np.concatenate(out)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the vocabulary does not mark the ends of pre-tokens")
+        return ids, np.diff(ends, prepend=0)
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, end to end, and how many each has."""
+        plain = _plain(words)
+        size = np.zeros(len(words), np.int64)
+        pieces, word = _pre_tokens(words.filter(pa.array(plain)))
+        coded = pieces.dictionary_encode()
+        code = coded.indices.to_numpy()
+        flat, piece_size = self._piece_ids(coded.dictionary)
+        first = np.cumsum(piece_size) - piece_size
+        piece_size[pc.equal(coded.dictionary, b"\n").to_numpy(zero_copy_only=False)] = 0
+        size[plain] = np.bincount(word, piece_size[code], int(plain.sum())).astype(np.int64)
+        ids = _gather(flat, first[code], piece_size[code])
+        if plain.all():
+            return ids, size
+        others = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words.filter(pa.array(~plain)).cast(pa.large_binary()).to_pylist()]
+        size[~plain] = [len(x) for x in others]
+        out = np.empty(int(size.sum()), np.uint32)
+        of_plain = np.repeat(plain, size)
+        out[of_plain], out[~of_plain] = ids, np.fromiter((i for x in others for i in x), np.uint32)
+        return out, size
+
+    def groups(self, texts: pa.Array):
+        """Ids of each text of a column, and the hashed terms of its words: the same that :func:`terms_of` finds."""
+        for group in _groups(texts):
+            words, number, begin = distinct_words(group)
+            term = _terms(words)
+            found = [self._word_ids(words.slice(i, CACHE_WORDS)) for i in range(0, len(words), CACHE_WORDS)] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+            flat, size = (np.concatenate(x) for x in zip(*found))
+            first = np.cumsum(size) - size
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                own = number[a:b]
+                yield _gather(flat, first[own], size[own]), term[own]
 
     def ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text, and the hashed terms of its words: the same that :func:`terms_of` finds."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = _Words(self.tokenizer, self.pieces)
-        words, known = data.lower().split(), self.words
-        plain = _plain(data)
-        if not plain:
-            words = [low if _plain(low) else word for low, word in zip(words, data.split())]
-        fresh = [word for word in dict.fromkeys(words) if word not in known]
-        if fresh:
-            known.learn(fresh, plain)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        size = np.frombuffer(known.size, np.int64)[at] if len(at) else at
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        if not total:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        first = np.frombuffer(known.first, np.int64)[at]
-        own_terms = np.frombuffer(known.term, np.int64)[at]
-        return np.frombuffer(known.flat, np.uint32)[np.repeat(first - ends + size, size) + np.arange(total)], own_terms
+        """The same for one text."""
+        return next(self.groups(as_strings([data])))
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -146,11 +184,30 @@ def tokens_for(path: str) -> WordTokens:
     return _tokens[path]
 
 
-def terms_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+def _groups(texts: pa.Array):
+    """A column cut into slices of up to ``GROUP_BYTES`` of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _terms(words: pa.Array) -> np.ndarray:
+    return (word_hashes(lowered(laid_out(words)[0])) & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64)
+
+
+def terms_of(texts: pa.Array | list[np.ndarray]):
     """Hashed terms of the words of each text, in order."""
-    numbers, hashes = numbered(texts)
-    own = (hashes & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64)
-    return [own[n] for n in numbers]
+    texts = texts if isinstance(texts, pa.Array) else as_strings([t.tobytes() for t in texts])
+    out = []
+    for group in _groups(texts):
+        words, number, begin = distinct_words(group)
+        own = _terms(words)[number]
+        out += np.split(own, begin[1:-1])
+    return out
 
 
 class Statistics:
@@ -165,7 +222,7 @@ class Statistics:
             df, words, n = np.zeros(1 << TERM_BITS, np.int64), 0, 0
             last = np.zeros(1 << TERM_BITS, np.int64)
             for batch in batches:
-                for own in (t for i in range(0, batch.num_rows, STATISTICS_DOCUMENTS) for t in terms_of(list(byte_rows(batch.column(0).slice(i, STATISTICS_DOCUMENTS))))):
+                for own in terms_of(batch.column(0)):
                     at = np.arange(len(own))
                     last[own] = at
                     df[own[last[own] == at]] += 1  # each term once: where it stands last
@@ -334,8 +391,7 @@ def pack(docs: DataFrame, keep: list[str] = ("doc_id",), vocabulary: str | None
 
         for number, batch in enumerate(batches):
             carried[number] = batch.select(range(1, 1 + len(keep)))
-            for row, data in enumerate(byte_rows(batch.column(0))):
-                ids, own_terms = tokens.ids(data.tobytes())
+            for row, (ids, own_terms) in enumerate(tokens.groups(batch.column(0))):
                 ids = np.append(ids, np.uint32(end_id))
                 packer.add((number, row, len(ids)), ids, own_terms)
                 if len(packer.out) >= 2048:

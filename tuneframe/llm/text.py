@@ -12,6 +12,7 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -141,3 +142,37 @@ def numbered(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         words = data.tobytes().lower().split()
         out.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
     return out, word_hashes(np.frombuffer(b" ".join(numbers), np.uint8))
+
+
+def as_strings(texts: list[bytes]) -> pa.Array:
+    """A string column of bytes as they are, as Spark hands texts over."""
+    return pa.array(texts, pa.binary()).view(pa.string())
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a string column (null is empty), the number of each word in order, and where each text's words begin,
+    with one end more."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    number, begin, words = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64), coded.dictionary
+    empty = pc.index(words, "").as_py()  # between two white-space characters, before the first and behind the last
+    if empty >= 0:
+        kept = number != empty
+        begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(kept)))[begin]
+        number = number[kept]
+        number = number - (number > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
+    return words, number, begin
+
+
+def laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings end to end, a line feed after each, and where each begins."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    flat = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begin = offsets[:-1] - offsets[0] + np.arange(len(words))
+    out = np.full(len(flat) + len(words), ord("\n"), np.uint8)
+    out[np.arange(len(flat)) + np.repeat(np.arange(len(words)), np.diff(offsets))] = flat
+    return out, begin
