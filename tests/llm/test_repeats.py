@@ -106,3 +106,31 @@ def test_common_prefixes():
         for a, b, n in zip(suffixes, suffixes[1:], common[1:].tolist()):
             shared = next((i for i in range(7) if i >= min(len(a), len(b)) or a[i] != b[i]), 6)
             assert n == shared // steps * steps
+
+
+def test_each_window_has_one_anchor():
+    rng = np.random.default_rng(1)
+    for i in range(400):
+        length, gram = [(50, 24), (12, 4), (6, 5)][i % 3]
+        n = int(rng.integers(0, 160))
+        data = rng.integers(97, 97 + rng.integers(1, 4), n).astype(np.uint8)
+        at, h = repeats.anchors(data, length, gram)
+        first, number = repeats.owned(at, h, n, length, gram)
+        starts = np.arange(n - gram + 1)
+        hashes = span_hashes(data, starts, starts + gram) if n >= gram else starts
+        want = [s + int(np.argmin(hashes[s : s + length - gram + 1])) for s in range(n - length + 1)]
+        assert np.repeat(at, number).tolist() == want
+        assert [s for a, k in zip(first.tolist(), number.tolist()) for s in range(a, a + k)] == list(range(len(want)))
+
+
+def test_texts_stay_and_lone_regions_are_not_merged(rows, monkeypatch):
+    """Copies of whole texts in two chunks: every anchor has one region, so there is nothing to merge."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(40, 400))) for _ in range(20)]
+    data = list(enumerate(texts * 3))
+    monkeypatch.setattr(repeats, "repeated_intervals", lambda *_: pytest.fail("merged"))
+    out = repeats.remove_repeats(rows("doc_id long, text string", data).repartition(4))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "texts" in line]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
+    assert got == plain([(d, t.encode()) for d, t in data])

@@ -8,13 +8,16 @@ Transforms are only needed where texts can repeat. Every window of ``length`` by
 
 1. Anchors are counted by hash, a short name each, summed per chunk of documents. One that a single document
    holds is done with.
-2. Around the others the chunk cuts regions, the bytes of all windows with that anchor. Equal regions of a chunk
-   are one, with the smallest id that holds it, and go to the partition of the anchor.
+2. Around the others the chunk cuts regions, the bytes of the windows that choose that anchor, the first of equal ones, so each
+   window is in one region. Equal regions of a chunk are one, with the smallest id that holds it, and go to the partition of the anchor.
 3. A partition cuts its regions into shards, transforms each and merges the transforms by iterative
    interleave refinement. Blocks that are left after ``length`` symbols are the repeated intervals: the
-   windows there are equal, their common prefix is ``length`` or more. Each learns its smallest id.
+   windows there are equal, their common prefix is ``length`` or more. Each learns its smallest id. A region that is
+   the only one of its anchor has nothing to be merged with; its windows differ or have the same id.
 4. The answers return to the chunks, which strike out what a smaller id holds.
 
+Texts are written once, in a table bucketed by chunk, and stay there: anchors, regions and answers come to them.
+
 A hot passage is one region per chunk, not one per document. Chunks and shards are bounded in bytes;
 a partition with more regions merges them by parts, equal anchors together. An anchor that stands at ``HOT``
 places or more, whose regions may all differ, is dealt by content instead: each window around it goes by the hash
@@ -28,6 +31,7 @@ of all its bytes to a partition of windows, where only equal windows share a gro
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from tuneframe.llm.bwt import repeated_intervals
 from tuneframe.llm.registry import query, table
 from tuneframe.llm.text import U64, byte_rows, mix, span_hashes
-from tuneframe.session import written
+from tuneframe.session import run_folder, written
 
 LENGTH = 50
 GRAM = 24
@@ -47,6 +51,8 @@ CHUNK_BYTES = 4 << 20
 PART_BYTES = 4 << 20
 MERGE_BYTES = 1 << 19
 HOT = 1 << 12
+LEVEL = 3
+BUCKET_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -74,6 +80,16 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return at, h[at]
 
 
+def owned(position: np.ndarray, h: np.ndarray, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows that choose each of the anchors of a text of ``n`` bytes: those whose smallest hash it is, at its first place."""
+    if not len(position):
+        return position, position
+    first = np.where(np.append(True, h[1:] >= h[:-1]), np.append(-1, position[:-1]) + 1, position - (length - gram))
+    first[0] = 0
+    bounds = np.minimum.accumulate(np.append(first, n - length + 1)[::-1])[::-1]
+    return bounds[:-1], np.diff(bounds)
+
+
 def _more(n: np.ndarray) -> np.ndarray:
     """The places that hold more than one, and how many."""
     at = np.flatnonzero(n > 1)
@@ -81,7 +97,7 @@ def _more(n: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return np.int64(x.nbytes).tobytes() + pa.compress(x.tobytes(), "zstd", asbytes=True)
+    return np.int64(x.nbytes).tobytes() + pa.Codec("zstd", compression_level=LEVEL).compress(x.tobytes(), asbytes=True)
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
@@ -165,13 +181,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             ids = np.array([LAST if x is None else x for x in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_pack(ids)]), pa.array([_pack(sizes)]), pa.array([_pack(np.concatenate(texts))])], ["chunk", "ids", "sizes", "texts"])
 
-    bundles = docs.mapInArrow(bundle, "chunk long, ids binary, sizes binary, texts binary")
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_BYTES) + 1)
+    held = f"repeat_chunks_{uuid.uuid4().hex}"
+    rows = docs.mapInArrow(bundle, "chunk long, ids binary, sizes binary, texts binary")
+    rows.write.format("parquet").bucketBy(buckets, "chunk").option("path", run_folder(spark, "repeat-chunks")).saveAsTable(held)
+    bundles = spark.table(held)
 
-    # kind 0: the chunk's texts where something may go; 1: its regions by partition, from ``parts`` on its dealt windows;
-    # 2: documents that stay whole
-    cut_rows = "kind int, chunk long, part long, a binary, b binary, c binary, d binary, e binary"
+    # A chunk's regions by partition, from ``parts`` on its dealt windows
+    cut_rows = "chunk long, part long, a binary, b binary, c binary, e binary"
     names_ = [f.split()[0] for f in cut_rows.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
     def cut(key, own, told):
         chunk = key[0].as_py()
@@ -185,24 +205,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             good[at] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(at)).astype(bool)
             hot[at] = np.unpackbits(np.frombuffer(dealt, np.uint8), count=len(at)).astype(bool)
         name_of = np.searchsorted(names, h)
-        keep = good[name_of] if len(h) else np.zeros(0, bool)
-        doc, position, h, hot = doc[keep], position[keep], h[keep], hot[name_of[keep]]
+        ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+        low, n = (np.concatenate(x) for x in zip(*(owned(position[b - k : b], h[b - k : b], len(t), length, gram) for t, b, k in zip(texts, ends.tolist(), np.diff(ends, prepend=0).tolist()))))
+        keep = (good[name_of] if len(h) else np.zeros(0, bool)) & (n > 0)
+        doc, position, h, hot, low, n = doc[keep], position[keep], h[keep], hot[name_of[keep]], low[keep], n[keep]
         rows = []
-        touched = np.zeros(len(texts), bool)
-        touched[doc] = True
-        mine = np.flatnonzero(touched)
-        whole = np.flatnonzero(~touched)
-        digests = b"".join(hashlib.sha256(texts[i]).digest() for i in whole.tolist())
-        rows.append((2, chunk, None, ids[whole].tobytes(), sizes[whole].tobytes(), digests, _pack(np.concatenate([texts[i] for i in whole.tolist()] or [flat[:0]])), None))
-        rows.append((0, chunk, None, ids[mine].tobytes(), sizes[mine].tobytes(), _pack(np.concatenate([texts[i] for i in mine.tolist()] or [flat[:0]])), None, None))
-        renamed = np.cumsum(touched) - 1
-        low = np.maximum(position - (length - gram), 0)
-        high = np.minimum(position + length, sizes[doc])
-        first, last = base[doc] + low, base[doc] + high
-        # All windows around hot anchors, each place once.
-        n = (last - first - length + 1)[hot]
-        start, at = np.unique(np.repeat(first[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum())), return_index=True)
-        owner = np.repeat(doc[hot], n)[at]
+        first = base[doc] + low
+        last = first + n + length - 1
+        # All windows around hot anchors.
+        start = np.repeat((first - np.cumsum(np.where(hot, n, 0)) + n)[hot], n[hot]) + np.arange(int(n[hot].sum()))
+        owner = np.repeat(doc[hot], n[hot])
         windows = mix(_region_hashes(flat, start, start + length))
         dealt_to = (windows % U64(parts)).astype(np.int64)
         by_to = np.lexsort((windows, dealt_to))
@@ -210,9 +222,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             own, at, back = np.unique(windows[i], return_index=True, return_inverse=True)
             smallest = np.full(len(own), LAST)
             np.minimum.at(smallest, back, ids[owner[i]])
-            rows.append((1, chunk, parts + int(dealt_to[i[0]]), _pack(own), _pack(np.stack((np.full(len(own), length), smallest))), None,
-                         None, _pack(np.stack((back, renamed[owner[i]], start[i] - base[owner[i]])).astype(np.int32))))
-        doc, h, low, first, last = (x[~hot] for x in (doc, h, low, first, last))
+            rows.append((chunk, parts + int(dealt_to[i[0]]), _pack(own), _pack(np.stack((np.full(len(own), length), smallest))), None,
+                         _pack(np.stack((back, owner[i], start[i] - base[owner[i]])).astype(np.int32))))
+        doc, position, h, low, first, last = (x[~hot] for x in (doc, position, h, low, first, last))
         order = np.argsort(first, kind="stable")
         same = np.empty(len(h), U64)
         same[order] = _region_hashes(flat, first[order], last[order])
@@ -225,9 +237,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             np.minimum.at(smallest, back, ids[doc[i]])
             one = i[at]
             text = np.concatenate([flat[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())])
-            rows.append((1, chunk, int(to[i[0]]), _pack(text), _pack(np.stack(((last - first)[one], smallest))), (mix(h[one]) & U64(255)).astype(np.uint8).tobytes(),
-                         None, _pack(np.stack((back, renamed[doc[i]], low[i])).astype(np.int32))))
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names_)])
+            rows.append((chunk, int(to[i[0]]), _pack(text), _pack(np.stack(((last - first)[one], smallest))), _pack((position - low)[one].astype(np.int32)),
+                         _pack(np.stack((back, doc[i], low[i])).astype(np.int32))))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names_)
 
     pieces = written(bundles.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, cut_rows), "repeat-regions")
 
@@ -246,18 +258,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             return least_ids(own)
         texts = [_unpack(x, np.uint8) for x in own.column("a").to_pylist()]
         facts = [_unpack(x, np.int64).reshape(2, -1) for x in own.column("b").to_pylist()]
-        groups = np.concatenate([np.frombuffer(x, np.uint8) for x in own.column("c").to_pylist()])
+        place = np.concatenate([_unpack(x, np.int32) for x in own.column("c").to_pylist()])
         size, ids = np.concatenate([f[0] for f in facts]), np.concatenate([f[1] for f in facts])
         flat = np.concatenate(texts)
         ends = np.cumsum(size)
         starts = ends - size
-        regions = _region_hashes(flat, starts, ends) ^ mix(groups.astype(U64))
+        groups = _region_hashes(flat, starts + place, starts + place + gram)  # the anchors
+        regions = _region_hashes(flat, starts, ends) ^ mix(groups)
         _, at, back = np.unique(regions, return_index=True, return_inverse=True)
         least = np.full(len(at), LAST)
         np.minimum.at(least, back, ids)
         order = np.argsort(groups[at], kind="stable")  # equal anchors stay together in one merge
         windows = size[at] - length + 1
-        answer: list = [None] * len(at)
+        answer = [np.full(n, x) for n, x in zip(windows.tolist(), least.tolist())]
+        other = groups[at][order][1:] != groups[at][order][:-1]
+        order = order[~(np.append(True, other) & np.append(other, True))]  # a region alone with its anchor is done
         begin = 0
         weight = np.cumsum(size[at][order])
         while begin < len(order):
@@ -286,27 +301,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             n += count
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "chunk", "smallest"])
 
-    told = pieces.filter("kind = 1").select("part", "chunk", "a", "b", "c").groupBy("part").applyInArrow(smallest_ids, "part long, chunk long, smallest binary")
-    held = pieces.filter("kind <> 1").select("kind", "chunk", F.lit(None).cast("long").alias("part"), "a", "b", "c", "d", F.lit(None).cast("binary").alias("e"))
-    places = pieces.filter("kind = 1").select("kind", "chunk", "part", F.lit(None).cast("binary").alias("a"), "b", *[F.lit(None).cast("binary").alias(c) for c in "cd"], "e")
+    told = pieces.select("part", "chunk", "a", "b", "c").groupBy("part").applyInArrow(smallest_ids, "part long, chunk long, smallest binary")
+    blank = F.lit(None).cast("binary")
+    places = pieces.select("chunk", "part", "b", "e", blank.alias("smallest"))
+    answered = told.select("chunk", "part", blank.alias("b"), blank.alias("e"), "smallest")
 
     def strike(key, own, told):
-        rows = own.to_pylist()
+        rows = told.to_pylist()
         out = []
-        smallest = dict(zip(told.column("part").to_pylist(), told.column("smallest").to_pylist()))
-        for r in rows:
-            if r["kind"] == 2:
-                ids, sizes, flat = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64), _unpack(r["d"], np.uint8)
-                ends = np.cumsum(sizes)
-                for i in range(len(ids)):
-                    out.append((int(ids[i]), int(sizes[i]), 0, 0, r["c"][32 * i : 32 * i + 32].hex(), flat[ends[i] - sizes[i] : ends[i]].tobytes()))
-        r = next(x for x in rows if x["kind"] == 0)
-        ids, sizes, flat = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64), _unpack(r["c"], np.uint8)
+        smallest = {r["part"]: r["smallest"] for r in rows if r["smallest"] is not None}
+        ids, sizes, flat = _unpack(own.column("ids")[0].as_py(), np.int64), _unpack(own.column("sizes")[0].as_py(), np.int64), _unpack(own.column("texts")[0].as_py(), np.uint8)
         ends = np.cumsum(sizes)
         base = ends - sizes
         change = np.zeros(len(flat) + 1, np.int32)
         for r in rows:
-            if r["kind"] != 1:
+            if r["smallest"] is not None:
                 continue
             windows = _unpack(r["b"], np.int64).reshape(2, -1)[0] - length + 1
             back, doc, low = _unpack(r["e"], np.int32).reshape(3, -1).astype(np.int64)
@@ -314,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             n = windows[back]
             offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             gone = least[np.repeat((np.cumsum(windows) - windows)[back], n) + offset] < np.repeat(ids[doc], n)
-            at = np.unique((np.repeat(base[doc] + low, n) + offset)[gone])
+            at = (np.repeat(base[doc] + low, n) + offset)[gone]  # each place once
             change[at] += 1
             change[at + length] -= 1
         removed = np.cumsum(change[:-1]) > 0
@@ -328,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    struck = held.unionByName(places).groupBy("chunk").cogroup(told.groupBy("chunk"))
+    struck = bundles.groupBy("chunk").cogroup(places.unionByName(answered).groupBy("chunk"))
     return struck.applyInArrow(strike, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
