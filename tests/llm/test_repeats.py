@@ -134,3 +134,40 @@ def test_texts_stay_and_lone_regions_are_not_merged(rows, monkeypatch):
     assert "Bucketed: true" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "texts" in line]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
     assert got == plain([(d, t.encode()) for d, t in data])
+
+
+def test_only_regions_that_may_share_a_window_are_merged(rows, monkeypatch):
+    """Forty equal bytes among different ones: the texts share anchors, but no window."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = some(40)
+    data = [(d, some(100) + passage + some(100)) for d in range(12)]
+    monkeypatch.setattr(repeats, "repeated_intervals", lambda *_: pytest.fail("merged"))
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(rows("doc_id long, text string", data).repartition(3)).collect()}
+    assert got == dict.fromkeys(range(12), 0)
+
+
+def test_regions_are_merged_from_where_they_may_agree(rows):
+    """Passages of all lengths about that of a window, in different surroundings and twice in some texts."""
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passages = [some(n) for n in range(44, 60)]
+    data = [(d, "".join(some(rng.randrange(30)) + rng.choice(passages) for _ in range(rng.randrange(5)))) for d in range(60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(rows("doc_id long, text string", data).repartition(3)).collect()}
+    assert got == plain([(d, t.encode()) for d, t in data])
+
+
+def test_anchors_of_texts_laid_end_to_end():
+    rng = np.random.default_rng(2)
+    for length, gram in [(50, 24), (12, 4), (6, 5)] * 40:
+        texts = [rng.integers(97, 99, int(n)).astype(np.uint8) for n in rng.integers(0, 120, 9)]
+        ends = np.cumsum([len(t) for t in texts])
+        at, h = repeats.anchors(np.concatenate(texts), length, gram, ends)
+        base, end = (x[np.searchsorted(ends, at, "right")] for x in (ends - [len(t) for t in texts], ends))
+        got = np.stack((at, *repeats.owned(at, h, end, length, gram, base)))
+        alone = []
+        for t, e in zip(texts, ends.tolist()):
+            place, own = repeats.anchors(t, length, gram)
+            first, n = repeats.owned(place, own, len(t), length, gram)
+            alone.append(np.stack((place + e - len(t), first + e - len(t), n)))
+        assert np.array_equal(got, np.concatenate(alone, axis=1))

@@ -10,18 +10,18 @@ END = 0  # a byte below all others; text bytes are raised by one
 def shard_bwt(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, transform) of strings laid end to end, each closed by ``END`` at ``ends - 1``.
 
-    Suffixes end with their string; equal suffixes are ordered by string. Keys of seven bytes are
-    sorted first, and only positions that still tie go on to the next seven. The transform gives the
+    Suffixes end with their string; equal suffixes are ordered by string. Keys of eight bytes are
+    sorted first, and only positions that still tie go on to the next eight. The transform gives the
     symbol before each suffix, ``END`` before a string's first.
     """
     n = len(data)
-    width = 7
-    padded = np.concatenate((data.astype(np.uint64), np.zeros(width, np.uint64)))
-    key = np.zeros(n, np.uint64)
+    width = 8
     own = np.repeat(ends, np.diff(np.concatenate((np.zeros(1, np.int64), ends))))  # end of each position's string
-    for i in range(width):
-        inside = np.arange(n) + i < own
-        key = (key << np.uint64(9)) | np.where(inside, padded[i : n + i], 0)
+    key = data
+    for size, kind in ((1, np.uint16), (2, np.uint32), (4, np.uint64)):  # nothing follows an end
+        after = np.concatenate((key[size:], np.zeros(min(size, n), key.dtype)))
+        after[(key & key.dtype.type(255)) == END] = 0
+        key = (key.astype(kind) << kind(8 * size)) | after
     order = np.argsort(key, kind="stable")
     group = np.cumsum(np.concatenate((np.zeros(1, np.int64), (key[order][1:] != key[order][:-1]).astype(np.int64)))) if n else key
     depth = width
@@ -32,7 +32,7 @@ def shard_bwt(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
             break
         # Within a tie all suffixes are as long as the key, or all ended: an ended one differs by END.
         deep = key[order[tied] + depth]
-        again = np.lexsort((order[tied], deep, group[tied]))
+        again = np.lexsort((deep, group[tied]))  # ties keep their order, which is that of the strings
         moved, deep = order[tied][again], deep[again]
         order[tied] = moved
         new = np.zeros(n, np.int64)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import as_strings, distinct_words, laid_out, lowered, word_hashes
+from tuneframe.llm.text import as_strings, distinct_words, laid_out, lowered, stretches, word_hashes
 
 WINDOW = 4096
 END_ID = 2
@@ -95,13 +95,6 @@ def _pre_tokens(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.cumsum(ended) - ended
 
 
-def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Stretches of an array, one after the other."""
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(first - ends + size, size) + np.arange(total)]
-
-
 class WordTokens:
     """Ids of texts for a tokenizer whose pre-tokens never cross white space: each distinct word of a group of texts is encoded once.
 
@@ -147,7 +140,7 @@ class WordTokens:
         first = np.cumsum(piece_size) - piece_size
         piece_size[pc.equal(coded.dictionary, b"\n").to_numpy(zero_copy_only=False)] = 0
         size[plain] = np.bincount(word, piece_size[code], int(plain.sum())).astype(np.int64)
-        ids = _gather(flat, first[code], piece_size[code])
+        ids = stretches(flat, first[code], piece_size[code])
         if plain.all():
             return ids, size
         others = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in words.filter(pa.array(~plain)).cast(pa.large_binary()).to_pylist()]
@@ -167,7 +160,7 @@ class WordTokens:
             first = np.cumsum(size) - size
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
                 own = number[a:b]
-                yield _gather(flat, first[own], size[own]), term[own]
+                yield stretches(flat, first[own], size[own]), term[own]
 
     def ids(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The same for one text."""

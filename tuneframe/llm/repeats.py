@@ -12,8 +12,9 @@ Transforms are only needed where texts can repeat. Every window of ``length`` by
    window is in one region. Equal regions of a chunk are one, with the smallest id that holds it, and go to the partition of the anchor.
 3. A partition cuts its regions into shards, transforms each and merges the transforms by iterative
    interleave refinement. Blocks that are left after ``length`` symbols are the repeated intervals: the
-   windows there are equal, their common prefix is ``length`` or more. Each learns its smallest id. A region that is
-   the only one of its anchor has nothing to be merged with; its windows differ or have the same id.
+   windows there are equal, their common prefix is ``length`` or more. Each learns its smallest id. Of a region only
+   the stretch goes into the merge whose windows agree with another region of the anchor in most of their bytes, by hash; a
+   region alone with its anchor has none.
 4. The answers return to the chunks, which strike out what a smaller id holds.
 
 Texts are written once, in a table bucketed by chunk, and stay there: anchors, regions and answers come to them.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.bwt import repeated_intervals
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import U64, byte_rows, mix, span_hashes
+from tuneframe.llm.text import U64, byte_rows, mix, run_hashes, span_hashes, spread, stretches
 from tuneframe.session import run_folder, written
 
 LENGTH = 50
@@ -50,6 +51,7 @@ CHUNK_DOCS = 1 << 14
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 4 << 20
 MERGE_BYTES = 1 << 19
+ANCHOR_BYTES = 1 << 16
 HOT = 1 << 12
 LEVEL = 3
 BUCKET_BYTES = 16 << 20
@@ -66,28 +68,34 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(out) - extra], out[extra:]) if extra else out
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of all windows of a text; all ties count."""
+def anchors(data: np.ndarray, length: int, gram: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the anchors of all windows of a text, or of texts laid end to end that end at ``ends``; all ties count."""
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    starts = np.arange(len(data) - gram + 1)
-    h = span_hashes(data, starts, starts + gram)
+    h = run_hashes(data, gram)
     width = length - gram + 1
     low = _sliding(h, width, np.minimum)
+    for i in range(1, length):  # no window crosses from text to text
+        over = np.zeros(0, np.int64) if ends is None else ends[:-1] - i
+        low[over[(over >= 0) & (over < len(low))]] = 0
     # A position is an anchor when it is the smallest of some window around it.
     padded = np.concatenate((np.zeros(width - 1, U64), low, np.zeros(width - 1, U64)))
     at = np.flatnonzero(_sliding(padded, width, np.maximum) == h)
     return at, h[at]
 
 
-def owned(position: np.ndarray, h: np.ndarray, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows that choose each of the anchors of a text of ``n`` bytes: those whose smallest hash it is, at its first place."""
+def owned(position: np.ndarray, h: np.ndarray, end: np.ndarray | int, length: int, gram: int, base: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows that choose each of the anchors: those whose smallest hash it is, at its first place. The text of an
+    anchor lies from ``base`` to ``end``, which are numbers for one text."""
     if not len(position):
         return position, position
+    base, end = np.broadcast_to(base, len(position)), np.broadcast_to(end, len(position))
     first = np.where(np.append(True, h[1:] >= h[:-1]), np.append(-1, position[:-1]) + 1, position - (length - gram))
-    first[0] = 0
-    bounds = np.minimum.accumulate(np.append(first, n - length + 1)[::-1])[::-1]
-    return bounds[:-1], np.diff(bounds)
+    other = np.append(True, base[1:] != base[:-1])
+    first[other] = base[other]
+    last = end - length + 1
+    first = np.minimum.accumulate(np.minimum(first, last)[::-1])[::-1]
+    return first, np.where(np.append(other[1:], True), last, np.append(first[1:], 0)) - first
 
 
 def _more(n: np.ndarray) -> np.ndarray:
@@ -119,12 +127,19 @@ def _chunk_rows(batches):
 
 
 def _chunk_anchors(texts, length, gram, parts):
-    """Anchors of a chunk: (document, position, hash), and its distinct hashes ordered by partition with
+    """Anchors of a chunk: (document, position in the chunk, hash), and its distinct hashes ordered by partition with
     whether two documents hold it and at how many places it stands."""
-    found = [anchors(t, length, gram) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(p) for p, _ in found])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    blocks = np.unique(np.append(np.searchsorted(ends, np.arange(ANCHOR_BYTES, ends[-1] + ANCHOR_BYTES, ANCHOR_BYTES), "left") + 1, len(texts)).clip(max=len(texts)))
+    found = []
+    for i, j in zip([0, *blocks[:-1].tolist()], blocks.tolist()):
+        base = int(ends[i] - sizes[i])
+        at, own = anchors(np.concatenate(texts[i:j]), length, gram, ends[i:j] - base)
+        found.append((at + base, own))
     position = np.concatenate([p for p, _ in found])
     h = np.concatenate([x for _, x in found])
+    doc = np.searchsorted(ends, position, "right")
     order = np.argsort(h, kind="stable")
     sorted_h, sorted_doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -205,12 +220,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             good[at] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(at)).astype(bool)
             hot[at] = np.unpackbits(np.frombuffer(dealt, np.uint8), count=len(at)).astype(bool)
         name_of = np.searchsorted(names, h)
-        ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
-        low, n = (np.concatenate(x) for x in zip(*(owned(position[b - k : b], h[b - k : b], len(t), length, gram) for t, b, k in zip(texts, ends.tolist(), np.diff(ends, prepend=0).tolist()))))
+        low, n = owned(position, h, (base + sizes)[doc], length, gram, base[doc])
         keep = (good[name_of] if len(h) else np.zeros(0, bool)) & (n > 0)
         doc, position, h, hot, low, n = doc[keep], position[keep], h[keep], hot[name_of[keep]], low[keep], n[keep]
         rows = []
-        first = base[doc] + low
+        first, low, position = low, low - base[doc], position - base[doc]
         last = first + n + length - 1
         # All windows around hot anchors.
         start = np.repeat((first - np.cumsum(np.where(hot, n, 0)) + n)[hot], n[hot]) + np.arange(int(n[hot].sum()))
@@ -236,7 +250,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             smallest = np.full(len(at), LAST)
             np.minimum.at(smallest, back, ids[doc[i]])
             one = i[at]
-            text = np.concatenate([flat[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())])
+            text = stretches(flat, first[one], (last - first)[one])
             rows.append((chunk, int(to[i[0]]), _pack(text), _pack(np.stack(((last - first)[one], smallest))), _pack((position - low)[one].astype(np.int32)),
                          _pack(np.stack((back, doc[i], low[i])).astype(np.int32))))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names_)
@@ -263,42 +277,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         flat = np.concatenate(texts)
         ends = np.cumsum(size)
         starts = ends - size
-        groups = _region_hashes(flat, starts + place, starts + place + gram)  # the anchors
+        anchor = starts + place
+        groups = _region_hashes(flat, anchor, anchor + gram)
         regions = _region_hashes(flat, starts, ends) ^ mix(groups)
         _, at, back = np.unique(regions, return_index=True, return_inverse=True)
+        as_laid = np.argsort(at)
+        at, back = at[as_laid], np.argsort(as_laid)[back]
         least = np.full(len(at), LAST)
         np.minimum.at(least, back, ids)
-        order = np.argsort(groups[at], kind="stable")  # equal anchors stay together in one merge
-        windows = size[at] - length + 1
-        answer = [np.full(n, x) for n, x in zip(windows.tolist(), least.tolist())]
-        other = groups[at][order][1:] != groups[at][order][:-1]
-        order = order[~(np.append(True, other) & np.append(other, True))]  # a region alone with its anchor is done
+        starts, place, anchor, groups, windows = starts[at], place[at].astype(np.int64), anchor[at], groups[at], size[at] - length + 1
+        base = np.cumsum(windows) - windows
+        answer = np.repeat(least, windows)
+        low, high = _shared(flat, anchor, place, windows, length, gram)
+        order = np.flatnonzero(low < high)  # a region that shares none of its windows is done
+        order = order[np.argsort(groups[order], kind="stable")]  # equal anchors stay together in one merge
+        g, low, high = groups[order], low[order], high[order]
+        width = high - low + length - 1
         begin = 0
-        weight = np.cumsum(size[at][order])
+        weight = np.cumsum(width)
         while begin < len(order):
             limit = (weight[begin - 1] if begin else 0) + MERGE_BYTES
             end = max(begin + 1, int(np.searchsorted(weight, limit, "right")))
             if end < len(order):  # up to where a group of anchors ends, or starts if that is all
-                g = groups[at][order]
                 if g[end] == g[end - 1]:
                     start_of = int(np.searchsorted(g, g[end], "left"))
                     end = start_of if start_of > begin else int(np.searchsorted(g, g[end], "right"))
-            part = order[begin:end]
-            text = np.concatenate([flat[starts[i] : ends[i]] for i in at[part].tolist()])
-            stops = np.cumsum(size[at[part]])
-            block = repeated_intervals(text, stops, length)
-            own_id = np.repeat(least[part], size[at[part]])
+            i = slice(begin, end)
+            part = order[i]
+            block = repeated_intervals(stretches(flat, starts[part] + low[i], width[i]), np.cumsum(width[i]), length)
+            own_id = np.repeat(least[part], width[i])
             fits = block >= 0
             best = np.full(int(block.max()) + 1 if len(block) else 0, LAST)
             np.minimum.at(best, block[fits], own_id[fits])
-            for i, values in zip(part.tolist(), np.split(best[block[fits]], np.cumsum(windows[part])[:-1])):
-                answer[i] = values
+            answer[spread(base[part] + low[i], high[i] - low[i])] = best[block[fits]]
             begin = end
         rows, n = [], 0
         for chunk, f in zip(own.column("chunk").to_pylist(), facts):
-            count = f.shape[1]
-            rows.append((key[0].as_py(), chunk, _pack(np.concatenate([answer[i] for i in back[n : n + count].tolist()]))))
-            n += count
+            of = back[n : n + f.shape[1]]
+            rows.append((key[0].as_py(), chunk, _pack(stretches(answer, base[of], windows[of]))))
+            n += len(of)
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "chunk", "smallest"])
 
     told = pieces.select("part", "chunk", "a", "b", "c").groupBy("part").applyInArrow(smallest_ids, "part long, chunk long, smallest binary")
@@ -341,6 +358,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return struck.applyInArrow(strike, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _shared(flat, anchor, place, windows, length, gram):
+    """Of each of some distinct regions, its windows from a first to before a last that all windows lie between which another region may hold.
+
+    A window has its anchor and ``length - gram`` bytes more, so many before the anchor and the others behind it. Those with ``few`` to ``many``
+    before it all have the ``few`` bytes before it and what is behind it of the window with ``many``: where no other region has the
+    same there, none has such a window.
+    """
+    spare = length - gram
+    low, high = windows.copy(), np.zeros_like(windows)
+    cuts = np.unique(np.linspace(0, spare + 1, 5).astype(np.int64))
+    for few, many in zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist()):
+        first, last = np.maximum(place - many, 0), np.minimum(place - few + 1, windows)
+        at = np.flatnonzero(first < last)
+        same = _region_hashes(flat, anchor[at] - few, anchor[at] + gram + spare - many)
+        _, back, n = np.unique(same, return_inverse=True, return_counts=True)
+        at = at[n[back] > 1]
+        low[at], high[at] = np.minimum(low[at], first[at]), np.maximum(high[at], last[at])
+    return low, high
+
+
 def _region_hashes(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of spans given by rising starts; they may overlap."""
     out = np.empty(len(first), U64)

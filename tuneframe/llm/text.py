@@ -101,6 +101,30 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def run_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The same of every run of ``width`` bytes."""
+    out = np.empty(max(0, len(data) - width + 1), U64)
+    for i in range(0, len(out), _BLOCK):
+        part = data[i : i + _BLOCK + width - 1]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, U64)
+            np.cumsum(_byte_code[part] * _power(_BASE, len(part)), out=sums[1:])
+            out[i : i + _BLOCK] = (sums[width:] - sums[:-width]) * _power(_INVERSE, len(part) - width + 1)
+    return mix(out)
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(first - ends + size, size) + np.arange(total)
+
+
+def stretches(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    return flat[spread(first, size)]
+
+
 _ALL = 2**64 - 1
 _codes = _byte_code.tolist()
 _first_powers = [pow(_BASE, i, 2**64) for i in range(64)]
