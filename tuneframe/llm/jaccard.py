@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tuneframe.llm.components import components
 from tuneframe.llm.registry import query, table
 from tuneframe.llm.text import U64, byte_rows, lowered, mix, shingle_hashes, word_hashes
-from tuneframe.session import written
+from tuneframe.session import lean, written
 
 PARITY_BITS = 1024
 
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, k: int, rule: Rule) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, {schema}")
+    return docs.select("text", "doc_id").mapInArrow(lean(run), f"doc_id {kind}, {schema}")
 
 
 def _side(info: DataFrame, name: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, k: int, rule:
 
     chosen = chosen.withColumnRenamed("doc_id", "chosen_id")
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")))
-    exact = texts.select("class", "text").mapInArrow(sets, "class long, set binary").dropDuplicates(["class"])
+    exact = texts.select("class", "text").mapInArrow(lean(sets), "class long, set binary").dropDuplicates(["class"])
     exact = written(exact, "jaccard-sets")
 
     def compare(batches):
@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, k: int, rule:
 
     pairs = likely.join(exact.select(F.col("class").alias("u"), F.col("set").alias("s_u")), "u")
     pairs = pairs.join(exact.select(F.col("class").alias("v"), F.col("set").alias("s_v")), "v")
-    return written(pairs.select("u", "v", "s_u", "s_v").mapInArrow(compare, "u long, v long"), "jaccard-links")
+    return written(pairs.select("u", "v", "s_u", "s_v").mapInArrow(lean(compare), "u long, v long"), "jaccard-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

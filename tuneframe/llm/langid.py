@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.llm.registry import query, table
 from tuneframe.llm.text import byte_rows, mix
-from tuneframe.session import written
+from tuneframe.session import give_back, lean, written
 
 GRAM = 4
 HASHES = 3
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
         for lang, (keys, counts) in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "language-grams")
     whole = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     members = counts.join(whole, "lang").filter(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "gram")
@@ -162,6 +162,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     def judge(texts: pd.Series) -> pd.DataFrame:
         known = LanguageFilter(languages, slots)
         out = [known.judge(data) if _has_letter(data) else (UNKNOWN, 0.0) for data in byte_rows(pa.array(texts, pa.string()))]
+        give_back()
         return pd.DataFrame(out, columns=["lang", "score"])
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from tuneframe.llm.registry import query, table
 from tuneframe.llm.text import as_strings, distinct_words, laid_out, lowered, stretches, word_hashes
+from tuneframe.session import give_back, lean
 
 WINDOW = 4096
 END_ID = 2
@@ -157,6 +158,7 @@ class WordTokens:
             term = _terms(words)
             found = [self._word_ids(words.slice(i, CACHE_WORDS)) for i in range(0, len(words), CACHE_WORDS)] or [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
             flat, size = (np.concatenate(x) for x in zip(*found))
+            give_back()  # the model's answers take many times the room of their ids
             first = np.cumsum(size) - size
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
                 own = number[a:b]
@@ -214,17 +216,16 @@ class Statistics:
         def count(batches):
             df, words, n = np.zeros(1 << TERM_BITS, np.int64), 0, 0
             last = np.zeros(1 << TERM_BITS, np.int64)
-            for batch in batches:
-                for own in terms_of(batch.column(0)):
-                    at = np.arange(len(own))
-                    last[own] = at
-                    df[own[last[own] == at]] += 1  # each term once: where it stands last
-                    words, n = words + len(own), n + 1
+            for own in (x for batch in batches for group in _groups(batch.column(0)) for x in terms_of(group)):
+                at = np.arange(len(own))
+                last[own] = at
+                df[own[last[own] == at]] += 1  # each term once: where it stands last
+                words, n = words + len(own), n + 1
             at = np.flatnonzero(df)
             keys, values = np.concatenate((at, [-1, -2])), np.concatenate((df[at], [words, n]))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values)], ["term", "n"])
 
-        sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        sums = docs.select("text").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         term, total = sums.column("term").to_numpy(), sums.column("n").to_numpy()
         df = np.zeros(1 << TERM_BITS, np.float64)
         df[term[term >= 0]] = total[term >= 0]
@@ -396,7 +397,7 @@ def pack(docs: DataFrame, keep: list[str] = ("doc_id",), vocabulary: str | None
         yield from emit()
 
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_p_text"), *[F.col(c) for c in keep])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 @query("op4_packing")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import importlib.util
 import os
 import shutil
@@ -10,6 +13,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 CLUSTER_CONF = {
@@ -96,6 +100,34 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: shuffle files of steps that are done stay on the executors' disks until it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Return this process's freed memory to the system, which the allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function for ``mapInArrow`` that gives freed memory back when its task ends: workers wait for the next task beside an
+    executor that needs room for steps without Python."""
+
+    @functools.wraps(run)
+    def ending(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ending
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers when it is run from a checkout.
 
