@@ -2,6 +2,8 @@ import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import DOCS
@@ -94,3 +96,27 @@ def test_odd_rows(odd, rows):
     assert len(got) == 10 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 7)} == {1}
     assert {r["score"] for r in katz.score(docs.withColumn("held_out", F.lit(True))).collect()} == {0.0}
     assert katz.score(rows(DOCS + ", held_out boolean", [])).count() == 0
+
+
+def test_words_of_a_column_are_told_apart_by_arrow():
+    texts = ["A b\t\x0ba", None, "", " \r\n\x0c", "\u00c4 \u00e4 \u2003x", "\x1c a\x85 B "]
+    tokens, begin, names = katz._named(pa.array(["left out", *texts]).slice(1))
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert np.diff(begin).tolist() == [len(w) + 1 for w in words] and names[-1] == katz.END
+    name = {}
+    for i, own in enumerate(words):
+        got = tokens[begin[i] : begin[i + 1]]
+        assert names[got[-1]] == katz.END
+        for w, n in zip(own, names[got[:-1]].tolist()):
+            assert name.setdefault(w, n) == n
+    assert len(set(name.values())) == len(name) == len(names) - 1
+
+
+def test_chunks_of_one_document(rows, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK_DOCS", 1)
+    data = [(i, f"a b c{i % 3} d", i % 5 == 1) for i in range(40)]
+    seen = katz.score(rows("doc_id int, text string, held_out boolean", data)).collect()
+    scores, base, *_ = brute([(t, h) for _, t, h in data])
+    assert sorted(r["doc_id"] for r in seen) == list(range(40))
+    for r in seen:
+        assert r["score"] == pytest.approx(scores[r["doc_id"]]) and r["base_score"] == pytest.approx(base[r["doc_id"]])

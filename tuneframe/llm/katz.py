@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuneframe.llm.registry import query, table
-from tuneframe.llm.text import U64, byte_rows, mix, numbered
-from tuneframe.session import written
+from tuneframe.llm.text import U64, distinct_words, laid_out, mix, word_hashes
+from tuneframe.session import swept, written
 
 CUT = 5
 TOP = 1 << 19
@@ -46,38 +47,34 @@ OFTEN = 32
 START, END = np.int64(-1), np.int64(-2)
 
 
-def _named(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each text the numbers of its tokens, the end the last, and the name of each number: a word's hash as a negative
-    number that is neither the end nor the start."""
-    numbers, hashes = numbered(texts)
-    end = np.array([len(hashes)])
+def _named(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of the tokens of a column, text by text, each text's last the end; where each text begins, with one end more;
+    and the name of each number: a word's hash as a negative number that is neither the end nor the start."""
+    words, number, begin = distinct_words(pc.ascii_lower(texts))
+    hashes = word_hashes(laid_out(words)[0])
     names = np.minimum(hashes | U64(1 << 63), U64(2**64 - 3)).view(np.int64)
-    return [np.concatenate((own, end)) for own in numbers], np.append(names, END)
+    return np.insert(number.astype(np.int64), begin[1:], len(names)), begin + np.arange(len(begin)), np.append(names, END)
 
 
 def _chunks(batches):
-    """(doc ids as arrow, texts, held flags) of bounded size."""
+    """Slices of bounded size."""
     for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
         start, size = 0, 0
-        texts: list[np.ndarray] = []
-        for i, data in enumerate(byte_rows(batch.column(0))):
-            texts.append(data)
-            size += len(data)
-            if size >= CHUNK_BYTES or len(texts) == CHUNK_DOCS:
-                yield batch.slice(start, len(texts)), texts
-                start, size, texts = i + 1, 0, []
-        if texts:
-            yield batch.slice(start, len(texts)), texts
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= CHUNK_BYTES or i + 1 - start == CHUNK_DOCS or i + 1 == len(sizes):
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
     """(word, n) over the documents where ``held_out`` is false; written."""
 
     def count(batches):
-        for batch, texts in _chunks(batches):
-            held = batch.column(1).to_pylist()
-            tokens, names = _named([t for t, h in zip(texts, held) if not h])
-            n = np.bincount(np.concatenate([*tokens, np.zeros(0, np.int64)]), minlength=len(names))
+        for batch in _chunks(batches):
+            tokens, _, names = _named(batch.column(0).filter(pc.invert(pc.fill_null(batch.column(1), False))))
+            n = np.bincount(tokens, minlength=len(names))
             seen = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(names[seen]), pa.array(n[seen].astype(np.int64))], ["word", "n"])
 
@@ -152,23 +149,25 @@ def _dealt(context: np.ndarray, word: np.ndarray, size: np.ndarray, parts: int,
     return (mix(mix(context.view(U64)) + way) % U64(parts)).astype(np.int64), ways > 1
 
 
-def _tokens_of(texts, held, uni: Unigrams, n_start: int, parts: int, bound: int):
-    """Per token of a chunk: document, context, word, word's count (-1: not among the frequent), partition."""
-    lists, names = _named(texts)
-    tokens = np.concatenate(lists)
-    sizes = np.array([len(x) for x in lists])
-    doc = np.repeat(np.arange(len(lists)), sizes)
+def _tokens_of(texts: pa.Array, uni: Unigrams, n_start: int, parts: int, bound: int, near: bool):
+    """Tokens of a chunk whose words are (``near``) or are not among the frequent ones: document, context, word, partition, whether the
+    context is dealt over several, base score. And the sizes of all documents."""
+    tokens, begin, names = _named(texts)
+    sizes = np.diff(begin)
     # Words are looked up once each.
     at = np.minimum(np.searchsorted(uni.words, names), max(0, len(uni.words) - 1))
     known = uni.words[at] == names if len(uni.words) else np.zeros(len(names), bool)
-    word = np.where(known, at, names)[tokens]
-    count = (np.where(known, uni.counts[at], -1) if len(uni.words) else np.full(len(names), -1))[tokens]
-    context = np.concatenate((np.full(1, START), word[:-1]))
-    size = np.concatenate((np.zeros(1, np.int64), np.maximum(count[:-1], 1)))
-    first = np.cumsum(sizes) - sizes
+    name = np.where(known, at, names)
+    count = np.where(known, uni.counts[at], 0) if len(uni.words) else np.zeros(len(names), np.int64)
+    own = np.flatnonzero(known[tokens] == near)
+    before = tokens[own - 1]
+    context, size = name[before], np.maximum(count, 1)[before]
+    doc = np.repeat(np.arange(len(sizes)), sizes)[own]
+    first = own == begin[doc]
     context[first], size[first] = START, n_start
+    word = name[tokens[own]]
     part, hot = _dealt(context, word, size, parts, bound)
-    return doc, sizes, context, word, count, part, hot
+    return doc, context, word, part, hot, uni.base(count)[tokens[own]], sizes
 
 
 def score(docs: DataFrame, top: int = TOP) -> DataFrame:
@@ -186,17 +185,14 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     parts = max(1, int(share * uni.tokens) // bound + 1)
 
     def deal(batches):
-        partition, number = TaskContext.get().partitionId(), 0
-        for batch, texts in _chunks(batches):
+        partition = TaskContext.get().partitionId()
+        for number, batch in enumerate(_chunks(batches)):
             chunk = (partition << 32) + number
-            number += 1
             held = np.array(batch.column(1).to_pylist(), bool)
-            doc, sizes, context, word, count, part, hot = _tokens_of(texts, held, uni, n_start, parts, bound)
-            near = count >= 0
-            base, known = np.where(near, uni.base(np.maximum(count, 0)), 0.0), near.astype(np.float64)
-            n = len(texts)
-            sums = np.stack((np.bincount(doc, base, n), np.bincount(doc, known, n)))
-            at = np.flatnonzero(near & hot)
+            doc, context, word, part, hot, base, sizes = _tokens_of(batch.column(0), uni, n_start, parts, bound, True)
+            n = len(sizes)
+            sums = np.stack((np.bincount(doc, base, n), np.bincount(doc, minlength=n)))
+            at = np.flatnonzero(hot)
             at = at[np.lexsort((word[at], context[at], part[at]))]
             new = np.ones(len(at), bool)
             new[1:] = (word[at][1:] != word[at][:-1]) | (context[at][1:] != context[at][:-1])
@@ -210,7 +206,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
             trained = np.bincount(entry, ~held[doc[at]], len(first)).astype(np.uint32)
             for i in np.split(np.arange(len(first)), np.flatnonzero(np.diff(part[first])) + 1) if len(first) else []:
                 rows.append(_row(int(part[first[i[0]]]), chunk, OFTEN_SEEN, context[first[i]], i.astype(np.uint32), word[first[i]].astype(np.uint32), trained[i]))
-            single = near.copy()
+            single = np.ones(len(doc), bool)
             single[at] = False
             at = np.flatnonzero(single)
             at = at[np.lexsort((context[at], part[at]))]
@@ -222,14 +218,11 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
             yield _batch(rows, _NAMES, _KINDS)
 
     def rare(batches):
-        partition, number = TaskContext.get().partitionId(), 0
-        for batch, texts in _chunks(batches):
-            chunk = (partition << 32) + number
-            number += 1
+        partition = TaskContext.get().partitionId()
+        for number, batch in enumerate(_chunks(batches)):
             held = np.array(batch.column(1).to_pylist(), bool)
-            doc, _, context, word, count, part, _ = _tokens_of(texts, held, uni, n_start, parts, bound)
-            at = np.flatnonzero(count < 0)
-            columns = [part[at], np.full(len(at), chunk), doc[at] * 2 + held[doc[at]], context[at], word[at]]
+            doc, context, word, part, *_ = _tokens_of(batch.column(0), uni, n_start, parts, bound, False)
+            columns = [part, np.full(len(doc), (partition << 32) + number), doc * 2 + held[doc], context, word]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["part", "chunk", "tag", "context", "word"])
 
     dealt = docs.mapInArrow(deal, ROWS)
@@ -237,6 +230,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
     counts = table_.filter(F.col("n") < uni.least)
     others = others.join(counts, "word", "left").select("part", "chunk", "tag", "context", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     others = written(others, "katz-rare")
+    swept(docs.sparkSession)
 
     def gather(own, few):
         """Tokens of a partition as arrays: chunk, tag, context, word, count of the word, training count, number of the
@@ -327,8 +321,10 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
         lone = word[order] < 0
         base, known = np.where(lone, uni.base(far), 0.0), (lone & (far > 0)).astype(float)
         rows = []
-        for c in np.unique(chunk[entry < 0]).tolist():
-            own = np.flatnonzero((chunk == c) & (entry < 0))
+        single = np.flatnonzero(entry < 0)
+        single = single[np.argsort(chunk[single], kind="stable")]
+        for own in np.split(single, np.flatnonzero(np.diff(chunk[single])) + 1) if len(single) else []:
+            c = int(chunk[own[0]])
             docs_, at = np.unique(tag[own], return_inverse=True)
             rare = own[lone[own]]  # the chunk knows the counts of all other words itself
             far_docs, far_at = np.unique(tag[rare], return_inverse=True)
@@ -357,6 +353,7 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
 
     judged = dealt.groupBy("part").cogroup(informed.groupBy("part")).applyInArrow(judge, out_rows)
     judged = written(judged, "katz-parts")
+    swept(docs.sparkSession)
 
     def sums(batches):
         for batch in batches:
@@ -420,11 +417,10 @@ def score(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 def _ids(batches):
     """Chunk and place of every document, as ``deal`` numbers them."""
-    partition, number = TaskContext.get().partitionId(), 0
-    for batch, texts in _chunks(batches):
-        n = len(texts)
+    partition = TaskContext.get().partitionId()
+    for number, batch in enumerate(_chunks(batches)):
+        n = batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([(partition << 32) + number] * n, pa.int64()), pa.array(range(n), pa.int64()), batch.column(2)], ["chunk", "place", "doc_id"])
-        number += 1
 
 
 def _backoff(total, spent, covered):

@@ -6,8 +6,6 @@ A-Z only. Both rules are byte rules, so they hold for UTF-8 without decoding.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import count
 from operator import mul
 
 import numpy as np
@@ -157,17 +155,6 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def numbered(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each text the numbers of its lower-cased words in order, and the hash of each number's word: words are told apart once, and
-    each is hashed once."""
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    out = []
-    for data in texts:
-        words = data.tobytes().lower().split()
-        out.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-    return out, word_hashes(np.frombuffer(b" ".join(numbers), np.uint8))
-
-
 def as_strings(texts: list[bytes]) -> pa.Array:
     """A string column of bytes as they are, as Spark hands texts over."""
     return pa.array(texts, pa.binary()).view(pa.string())
