@@ -171,3 +171,53 @@ def test_anchors_of_texts_laid_end_to_end():
             first, n = repeats.owned(place, own, len(t), length, gram)
             alone.append(np.stack((place + e - len(t), first + e - len(t), n)))
         assert np.array_equal(got, np.concatenate(alone, axis=1))
+
+
+def _drawn(seed):
+    rng = random.Random(seed)
+    some = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passages = [some(n) for n in range(45, 75)]
+    return [(d, "".join(some(rng.randrange(60)) + rng.choice(passages) for _ in range(rng.randrange(6)))) for d in range(600)]
+
+
+def test_rows_between_chunks_and_partitions_do_not_grow_with_their_product(rows, monkeypatch):
+    """Texts of hundreds of the smallest chunks and thousands of partitions."""
+    data = _drawn(21)
+    pieces = []
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 1 << 8)
+    monkeypatch.setattr(repeats, "PART_BYTES", 1 << 6)
+    monkeypatch.setattr(repeats, "CHUNKS", 8, raising=False)
+    monkeypatch.setattr(repeats, "BINS", 16, raising=False)
+    wrote = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: pieces.append(wrote(df, name)) or pieces[-1])
+    out = repeats.remove_repeats(rows("doc_id long, text string", data).repartition(2))
+    assert 30 < pieces[0].count() <= 10 * 18 * 2  # of regions and of dealt windows
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
+    assert got == plain([(d, t.encode()) for d, t in data])
+
+
+@pytest.mark.parametrize("hot", [1 << 12, 3])
+def test_bins_of_several_partitions(rows, monkeypatch, hot):
+    data = [*_drawn(22), (None, "x" * 200), (600, "x" * 70), (601, None), (602, "")]
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 1 << 12)
+    monkeypatch.setattr(repeats, "PART_BYTES", 1 << 9)
+    monkeypatch.setattr(repeats, "BINS", 5)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(rows("doc_id long, text string", data).repartition(3)).collect()}
+    assert got == plain([(d, (t or "").encode()) for d, t in data])
+
+
+def test_chunks_go_on_over_arrow_batches(spark, rows, monkeypatch):
+    data = _drawn(23)
+    pieces = []
+    wrote = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: pieces.append(wrote(df, name)) or pieces[-1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = repeats.remove_repeats(rows("doc_id long, text string", data).repartition(2))
+        assert pieces[0].select("chunk").distinct().count() == 2
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain([(d, t.encode()) for d, t in data])

@@ -20,7 +20,9 @@ Transforms are only needed where texts can repeat. Every window of ``length`` by
 Texts are written once, in a table bucketed by chunk, and stay there: anchors, regions and answers come to them.
 
 A hot passage is one region per chunk, not one per document. Chunks and shards are bounded in bytes;
-a partition with more regions merges them by parts, equal anchors together. An anchor that stands at ``HOT``
+a partition with more regions merges them by parts, equal anchors together. What a chunk and the partitions tell each other
+goes in one row for each bin of partitions. The rows are as many as chunks times bins, so from ``CHUNKS`` chunks and ``BINS`` bins on these hold
+more instead of becoming more, up to ``ROW_BYTES`` of text. An anchor that stands at ``HOT``
 places or more, whose regions may all differ, is dealt by content instead: each window around it goes by the hash
 of all its bytes to a partition of windows, where only equal windows share a group, one row a chunk.
 
@@ -43,15 +45,20 @@ from pyspark.sql import functions as F
 from tuneframe.llm.bwt import repeated_intervals
 from tuneframe.llm.registry import query, table
 from tuneframe.llm.text import U64, byte_rows, mix, run_hashes, span_hashes, spread, stretches
-from tuneframe.session import run_folder, written
+from tuneframe.session import give_back, run_folder, swept, written
 
 LENGTH = 50
 GRAM = 24
-CHUNK_DOCS = 1 << 14
+CHUNK_DOCS = 1 << 17
 CHUNK_BYTES = 4 << 20
 PART_BYTES = 4 << 20
+CHUNKS = 128
+BINS = 256
+ROW_BYTES = 16 << 20
+HELD_BYTES = 200 << 20
 MERGE_BYTES = 1 << 19
 ANCHOR_BYTES = 1 << 16
+BLOCK_BYTES = 1 << 20
 HOT = 1 << 12
 LEVEL = 3
 BUCKET_BYTES = 16 << 20
@@ -113,58 +120,102 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b"", kind)
 
 
-def _chunk_rows(batches):
-    """Bounded groups of rows, each with its name."""
-    number = TaskContext.get().partitionId() << 32
+def _runs_of(x: np.ndarray) -> np.ndarray:
+    """The values of a sequence without those that repeat the one before, and how often each stands."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return np.stack((x[at], np.diff(at, append=len(x))))
+
+
+def _layout(total: int) -> tuple[int, int, int]:
+    """Bytes of a chunk, number of partitions and partitions of a bin, for so many bytes of text."""
+    parts = total // PART_BYTES + 1
+    return max(CHUNK_BYTES, min(total // CHUNKS, ROW_BYTES)), parts, max(1, min(parts // BINS, ROW_BYTES // PART_BYTES))
+
+
+def _chunk_rows(batches, most):
+    """Groups of rows of ``most`` bytes or a text more, whatever the batches: a name, the ids and the texts."""
+    number, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
     for batch in batches:
-        start, size, texts = 0, 0, []
-        for i, data in enumerate(byte_rows(batch.column(0))):
+        for data, own in zip(byte_rows(batch.column(0)), batch.column(1).to_pylist()):
+            ids.append(own)
             texts.append(data)
             size += len(data)
-            if size >= CHUNK_BYTES or len(texts) == CHUNK_DOCS or i + 1 == batch.num_rows:
-                yield number, batch.slice(start, len(texts)), texts
-                number, start, size, texts = number + 1, i + 1, 0, []
+            if size >= most or len(texts) == CHUNK_DOCS:
+                yield number, ids, texts
+                number, size, ids, texts = number + 1, 0, [], []
+                give_back(HELD_BYTES)
+    if texts:
+        yield number, ids, texts
+    del texts
+    give_back(HELD_BYTES)
+
+
+def _blocks(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """From and to of texts that are ``size`` bytes or a text more together."""
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(size, ends[-1] + size, size), "left") + 1, len(ends)).clip(max=len(ends))).tolist()
+    return list(zip([0, *cuts[:-1]], cuts))
+
+
+def _order_of_parts(part: np.ndarray, parts: int) -> np.ndarray:
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
 
 
 def _chunk_anchors(texts, length, gram, parts):
-    """Anchors of a chunk: (document, position in the chunk, hash), and its distinct hashes ordered by partition with
-    whether two documents hold it and at how many places it stands."""
+    """Anchors of a chunk: (document, position in the chunk, hash, number of its name), and its names, the distinct hashes, with their partitions, their
+    order by partition, whether two documents hold them and at how many places they stand."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    blocks = np.unique(np.append(np.searchsorted(ends, np.arange(ANCHOR_BYTES, ends[-1] + ANCHOR_BYTES, ANCHOR_BYTES), "left") + 1, len(texts)).clip(max=len(texts)))
     found = []
-    for i, j in zip([0, *blocks[:-1].tolist()], blocks.tolist()):
+    for i, j in _blocks(ends, ANCHOR_BYTES):
         base = int(ends[i] - sizes[i])
         at, own = anchors(np.concatenate(texts[i:j]), length, gram, ends[i:j] - base)
         found.append((at + base, own))
     position = np.concatenate([p for p, _ in found])
     h = np.concatenate([x for _, x in found])
-    doc = np.searchsorted(ends, position, "right")
-    order = np.argsort(h, kind="stable")
-    sorted_h, sorted_doc = h[order], doc[order]
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(position, ends), prepend=0))
+    order = np.argsort(h)
+    sorted_h = h[order]
     new = np.ones(len(h), bool)
     new[1:] = sorted_h[1:] != sorted_h[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(h)) - 1
-    several = sorted_doc[first] != sorted_doc[last] if len(h) else np.zeros(0, bool)
+    name = np.empty(len(h), np.int64)
+    name[order] = np.cumsum(new) - 1
+    sorted_doc = doc[order]
+    several = np.minimum.reduceat(sorted_doc, first) != np.maximum.reduceat(sorted_doc, first) if len(h) else np.zeros(0, bool)
     names = sorted_h[first]
     part = (names % U64(parts)).astype(np.int64)
-    by_part = np.argsort(part, kind="stable")
-    return doc, position, h, names, part, by_part, several, last - first + 1
+    return doc, position, h, name, names, part, _order_of_parts(part, parts), several, np.diff(first, append=len(h))
+
+
+def _dealt(keys, part, parts, per):
+    """The order of things by partition and key, the first of each distinct key in it, and of each bin its number, which of the distinct keys and which
+    of the things are in it, and the number of distinct keys by partition."""
+    order = np.argsort(keys)
+    order = order[_order_of_parts(part[order], parts)]
+    one = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)[: len(keys)])
+    own = part[order[one]]
+    cuts = np.flatnonzero(np.append(True, np.diff(own // per) != 0)[: len(own)])
+    till = np.append(one, len(keys))
+    bins = []
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)]):
+        number = int(own[i]) // per
+        bins.append((number, slice(i, j), slice(int(till[i]), int(till[j])), np.bincount(own[i:j] - number * per, minlength=per).astype(np.int32)))
+    return order, one, bins
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) and kept_sha256 per document."""
     docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // PART_BYTES) + 1
+    chunk_bytes, parts, per = _layout(int(total))
+    bins = -(-parts // per)
 
     def name(batches):
-        for chunk, _, texts in _chunk_rows(batches):
+        for chunk, _, texts in _chunk_rows(batches, chunk_bytes):
             *_, names, part, by_part, several, places = _chunk_anchors(texts, length, gram, parts)
             short = (mix(names[by_part]) >> U64(32)).astype(np.uint32)
             flags, places = several[by_part], places[by_part]
-            own, at = np.unique(part[by_part], return_index=True)
+            own, at = np.unique(part[by_part] // per, return_index=True)
             cuts = [slice(a, b) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int64()), pa.array([chunk] * len(own), pa.int64()),
@@ -173,27 +224,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                  pa.array([_more(places[c]).tobytes() for c in cuts], pa.binary())], ["part", "chunk", "names", "several", "more"])
 
     def repeated(key, own):
+        give_back(HELD_BYTES)  # what the group before has left
         chunk = own.column("chunk").to_pylist()
         names = [np.frombuffer(x, np.uint32) for x in own.column("names").to_pylist()]
         sizes = [len(x) for x in names]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(own.column("several").to_pylist(), sizes)])
-        _, at = np.unique(np.concatenate(names), return_inverse=True)
-        good = (np.bincount(at) > 1) | (np.bincount(at, several) > 0)
+        _, at, n = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+        good = (n > 1) | (np.bincount(at, several) > 0)
         places = np.ones(len(at), np.int64)
         for base, x in zip((np.cumsum(sizes) - sizes).tolist(), own.column("more").to_pylist()):
-            place, n = np.frombuffer(x, np.uint32).reshape(2, -1).astype(np.int64)
-            places[base + place] = n
+            place, more = np.frombuffer(x, np.uint32).reshape(2, -1).astype(np.int64)
+            places[base + place] = more
         hot = good & (np.bincount(at, places) >= HOT)
-        split = [[np.packbits(b).tobytes() for b in np.split(x[at], np.cumsum(sizes)[:-1])] for x in (good, hot)]
+        split = [[np.packbits(b).tobytes() if b.any() else b"" for b in np.split(x[at], np.cumsum(sizes)[:-1])] for x in (good, hot)]
         return pa.table([pa.array([key[0].as_py()] * len(chunk), pa.int64()), pa.array(chunk, pa.int64()), *(pa.array(x, pa.binary()) for x in split)], ["part", "chunk", "bits", "hot"])
 
     named = docs.mapInArrow(name, "part long, chunk long, names binary, several binary, more binary")
     answers = named.groupBy("part").applyInArrow(repeated, "part long, chunk long, bits binary, hot binary")
 
     def bundle(batches):
-        for chunk, batch, texts in _chunk_rows(batches):
+        for chunk, own, texts in _chunk_rows(batches, chunk_bytes):
             sizes = np.array([len(t) for t in texts], np.int64)
-            ids = np.array([LAST if x is None else x for x in batch.column(1).to_pylist()], np.int64)
+            ids = np.array([LAST if x is None else x for x in own], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_pack(ids)]), pa.array([_pack(sizes)]), pa.array([_pack(np.concatenate(texts))])], ["chunk", "ids", "sizes", "texts"])
 
     spark = docs.sparkSession
@@ -203,78 +255,68 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows.write.format("parquet").bucketBy(buckets, "chunk").option("path", run_folder(spark, "repeat-chunks")).saveAsTable(held)
     bundles = spark.table(held)
 
-    # A chunk's regions by partition, from ``parts`` on its dealt windows
-    cut_rows = "chunk long, part long, a binary, b binary, c binary, e binary"
+    # A chunk's regions by bin, from ``bins`` on its dealt windows; n: how many of them are in each of the bin's partitions
+    cut_rows = "chunk long, part long, a binary, b binary, c binary, e binary, n binary"
     names_ = [f.split()[0] for f in cut_rows.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
 
     def cut(key, own, told):
+        give_back(HELD_BYTES)
         chunk = key[0].as_py()
         ids, sizes, flat = _unpack(own.column("ids")[0].as_py(), np.int64), _unpack(own.column("sizes")[0].as_py(), np.int64), _unpack(own.column("texts")[0].as_py(), np.uint8)
         base = np.cumsum(sizes) - sizes
         texts = [flat[b : b + n] for b, n in zip(base.tolist(), sizes.tolist())]
-        doc, position, h, names, part, by_part, *_ = _chunk_anchors(texts, length, gram, parts)
+        doc, position, h, name, names, part, by_part, *_ = _chunk_anchors(texts, length, gram, parts)
+        _, several = np.unique(part[by_part] // per, return_counts=True)
+        told = [told.column(c).take(np.argsort(told.column("part").to_numpy())).to_pylist() for c in ("bits", "hot")]
         good, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
-        for i, b, dealt in zip(*(told.column(c).to_pylist() for c in ("part", "bits", "hot"))):
-            at = by_part[slice(*np.searchsorted(part[by_part], (i, i + 1)))]
-            good[at] = np.unpackbits(np.frombuffer(b, np.uint8), count=len(at)).astype(bool)
-            hot[at] = np.unpackbits(np.frombuffer(dealt, np.uint8), count=len(at)).astype(bool)
-        name_of = np.searchsorted(names, h)
+        for flags, bits in zip((good, hot), told):
+            flags[by_part] = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n) if b else np.zeros(n, np.uint8) for b, n in zip(bits, several.tolist(), strict=True))]).astype(bool)
         low, n = owned(position, h, (base + sizes)[doc], length, gram, base[doc])
-        keep = (good[name_of] if len(h) else np.zeros(0, bool)) & (n > 0)
-        doc, position, h, hot, low, n = doc[keep], position[keep], h[keep], hot[name_of[keep]], low[keep], n[keep]
+        keep = good[name] & (n > 0)
+        doc, position, h, hot, first, n = doc[keep], position[keep], h[keep], hot[name[keep]], low[keep], n[keep]
         rows = []
-        first, low, position = low, low - base[doc], position - base[doc]
-        last = first + n + length - 1
         # All windows around hot anchors.
-        start = np.repeat((first - np.cumsum(np.where(hot, n, 0)) + n)[hot], n[hot]) + np.arange(int(n[hot].sum()))
-        owner = np.repeat(doc[hot], n[hot])
+        start, owner = spread(first[hot], n[hot]), np.repeat(doc[hot], n[hot])
         windows = mix(_region_hashes(flat, start, start + length))
-        dealt_to = (windows % U64(parts)).astype(np.int64)
-        by_to = np.lexsort((windows, dealt_to))
-        for i in np.split(by_to, np.flatnonzero(np.diff(dealt_to[by_to])) + 1) if len(by_to) else []:
-            own, at, back = np.unique(windows[i], return_index=True, return_inverse=True)
-            smallest = np.full(len(own), LAST)
-            np.minimum.at(smallest, back, ids[owner[i]])
-            rows.append((chunk, parts + int(dealt_to[i[0]]), _pack(own), _pack(np.stack((np.full(len(own), length), smallest))), None,
-                         _pack(np.stack((back, owner[i], start[i] - base[owner[i]])).astype(np.int32))))
-        doc, position, h, low, first, last = (x[~hot] for x in (doc, position, h, low, first, last))
-        order = np.argsort(first, kind="stable")
-        same = np.empty(len(h), U64)
-        same[order] = _region_hashes(flat, first[order], last[order])
-        regions = mix(same + h)
-        to = (h % U64(parts)).astype(np.int64)
-        by_to = np.lexsort((regions, to))
-        for i in np.split(by_to, np.flatnonzero(np.diff(to[by_to])) + 1) if len(by_to) else []:
-            _, at, back = np.unique(regions[i], return_index=True, return_inverse=True)
-            smallest = np.full(len(at), LAST)
-            np.minimum.at(smallest, back, ids[doc[i]])
-            one = i[at]
-            text = stretches(flat, first[one], (last - first)[one])
-            rows.append((chunk, int(to[i[0]]), _pack(text), _pack(np.stack(((last - first)[one], smallest))), _pack((position - low)[one].astype(np.int32)),
-                         _pack(np.stack((back, doc[i], low[i])).astype(np.int32))))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names_)
+        order, one, dealt = _dealt(windows, (windows % U64(parts)).astype(np.int64), parts, per)
+        windows, start, owner = windows[order[one]], start[order], owner[order]
+        back = np.cumsum(np.bincount(one, minlength=len(order))) - 1
+        smallest = np.minimum.reduceat(ids[owner], one) if len(one) else one
+        for to, i, j, by in dealt:
+            rows.append((chunk, bins + to, _pack(windows[i]), _pack(smallest[i]), None,
+                         _pack(np.stack((back[j] - i.start, owner[j], start[j] - base[owner[j]])).astype(np.int32)), by.tobytes()))
+        doc, position, h, first, size = (x[~hot] for x in (doc, position, h, first, n + length - 1))
+        order, one, dealt = _dealt(mix(_region_hashes(flat, first, first + size) + h), (h % U64(parts)).astype(np.int64), parts, per)
+        back = np.cumsum(np.bincount(one, minlength=len(order))) - 1
+        smallest = np.minimum.reduceat(ids[doc[order]], one) if len(one) else one
+        for to, i, j, by in dealt:
+            of, at = order[one[i]], order[j]
+            rows.append((chunk, to, _pack(stretches(flat, first[of], size[of])), _pack(np.stack((size[of], smallest[i]))), _pack((position - first)[of].astype(np.int32)),
+                         _pack(np.stack((back[j] - i.start, doc[at], first[at] - base[doc[at]])).astype(np.int32)), by.tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names_)
 
     pieces = written(bundles.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, cut_rows), "repeat-regions")
+    del named, answers
+    swept(spark)
 
     def least_ids(own):
         """For each dealt window of each chunk its smallest id."""
+        cuts = [np.cumsum(np.append(0, np.frombuffer(x, np.int32))) for x in own.column("n").to_pylist()]
         windows = [_unpack(x, U64) for x in own.column("a").to_pylist()]
-        _, back = np.unique(np.concatenate(windows), return_inverse=True)
-        least = np.full(int(back.max()) + 1, LAST)
-        np.minimum.at(least, back, np.concatenate([_unpack(x, np.int64).reshape(2, -1)[1] for x in own.column("b").to_pylist()]))
-        answers = [_pack(x) for x in np.split(least[back], np.cumsum([len(x) for x in windows])[:-1])]
-        return pa.table([own.column("part"), own.column("chunk"), pa.array(answers, pa.binary())], ["part", "chunk", "smallest"])
-
-    def smallest_ids(key, own):
-        """For each region of each chunk the smallest id of its windows, one after the other."""
-        if key[0].as_py() >= parts:
-            return least_ids(own)
-        texts = [_unpack(x, np.uint8) for x in own.column("a").to_pylist()]
-        facts = [_unpack(x, np.int64).reshape(2, -1) for x in own.column("b").to_pylist()]
-        place = np.concatenate([_unpack(x, np.int32) for x in own.column("c").to_pylist()])
-        size, ids = np.concatenate([f[0] for f in facts]), np.concatenate([f[1] for f in facts])
-        flat = np.concatenate(texts)
+        ids = [_unpack(x, np.int64) for x in own.column("b").to_pylist()]
+        answers = [np.empty_like(x) for x in ids]
+        for p in range(per):
+            of = [slice(c[p], c[p + 1]) for c in cuts]
+            _, back = np.unique(np.concatenate([x[i] for x, i in zip(windows, of)]), return_inverse=True)
+            least = np.full(int(back.max(initial=-1)) + 1, LAST)
+            np.minimum.at(least, back, np.concatenate([x[i] for x, i in zip(ids, of)]))
+            for x, i, own_back in zip(answers, of, np.split(back, np.cumsum([i.stop - i.start for i in of])[:-1])):
+                x[i] = least[own_back]
+        return pa.table([own.column("part"), own.column("chunk"), pa.array([_pack(x) for x in answers], pa.binary())], ["part", "chunk", "smallest"])
+
+    def merged(flat, size, ids, place):
+        """For regions laid end to end the smallest ids of the windows of the distinct ones; which of these each region is; their first window and their number of windows."""
         ends = np.cumsum(size)
         starts = ends - size
         anchor = starts + place
@@ -311,44 +353,70 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             np.minimum.at(best, block[fits], own_id[fits])
             answer[spread(base[part] + low[i], high[i] - low[i])] = best[block[fits]]
             begin = end
-        rows, n = [], 0
-        for chunk, f in zip(own.column("chunk").to_pylist(), facts):
-            of = back[n : n + f.shape[1]]
-            rows.append((key[0].as_py(), chunk, _pack(stretches(answer, base[of], windows[of]))))
-            n += len(of)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "chunk", "smallest"])
-
-    told = pieces.select("part", "chunk", "a", "b", "c").groupBy("part").applyInArrow(smallest_ids, "part long, chunk long, smallest binary")
+        return answer, back, base, windows
+
+    def smallest_ids(key, own):
+        """For each region of each chunk the smallest ids of its windows, one after the other, as runs of equal ones."""
+        give_back(HELD_BYTES)
+        if key[0].as_py() >= bins:
+            return least_ids(own)
+        texts = [_unpack(x, np.uint8) for x in own.column("a").to_pylist()]
+        facts = [_unpack(x, np.int64).reshape(2, -1) for x in own.column("b").to_pylist()]
+        place = [_unpack(x, np.int32) for x in own.column("c").to_pylist()]
+        cuts = [np.cumsum(np.append(0, np.frombuffer(x, np.int32))) for x in own.column("n").to_pylist()]
+        at = [np.append(0, np.cumsum(f[0]))[c] for f, c in zip(facts, cuts)]
+        answers = [[] for _ in texts]
+        for p in range(per):
+            of = [slice(c[p], c[p + 1]) for c in cuts]
+            size, ids = np.concatenate([f[:, i] for f, i in zip(facts, of)], axis=1)
+            if not len(size):
+                continue
+            answer, back, base, windows = merged(np.concatenate([x[a[p] : a[p + 1]] for x, a in zip(texts, at)]), size, ids, np.concatenate([x[i] for x, i in zip(place, of)]))
+            n = 0
+            for i, out in zip(of, answers):
+                own_back = back[n : n + i.stop - i.start]
+                out.append(_runs_of(stretches(answer, base[own_back], windows[own_back])))
+                n += len(own_back)
+        return pa.table([own.column("part"), own.column("chunk"), pa.array([_pack(np.concatenate(x, axis=1)) for x in answers], pa.binary())], ["part", "chunk", "smallest"])
+
+    told = pieces.select("part", "chunk", "a", "b", "c", "n").groupBy("part").applyInArrow(smallest_ids, "part long, chunk long, smallest binary")
     blank = F.lit(None).cast("binary")
     places = pieces.select("chunk", "part", "b", "e", blank.alias("smallest"))
     answered = told.select("chunk", "part", blank.alias("b"), blank.alias("e"), "smallest")
 
     def strike(key, own, told):
+        give_back(HELD_BYTES)
         rows = told.to_pylist()
         out = []
         smallest = {r["part"]: r["smallest"] for r in rows if r["smallest"] is not None}
         ids, sizes, flat = _unpack(own.column("ids")[0].as_py(), np.int64), _unpack(own.column("sizes")[0].as_py(), np.int64), _unpack(own.column("texts")[0].as_py(), np.uint8)
         ends = np.cumsum(sizes)
         base = ends - sizes
-        change = np.zeros(len(flat) + 1, np.int32)
+        starts = np.zeros(len(flat), bool)  # of windows that go
         for r in rows:
             if r["smallest"] is not None:
                 continue
-            windows = _unpack(r["b"], np.int64).reshape(2, -1)[0] - length + 1
             back, doc, low = _unpack(r["e"], np.int32).reshape(3, -1).astype(np.int64)
-            least = _unpack(smallest[r["part"]], np.int64)
+            if r["part"] >= bins:
+                gone = _unpack(smallest[r["part"]], np.int64)[back] < ids[doc]
+                starts[(base[doc] + low)[gone]] = True
+                continue
+            windows = _unpack(r["b"], np.int64).reshape(2, -1)[0] - length + 1
+            least = np.repeat(*_unpack(smallest[r["part"]], np.int64).reshape(2, -1))
             n = windows[back]
-            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            gone = least[np.repeat((np.cumsum(windows) - windows)[back], n) + offset] < np.repeat(ids[doc], n)
-            at = (np.repeat(base[doc] + low, n) + offset)[gone]  # each place once
-            change[at] += 1
-            change[at + length] -= 1
-        removed = np.cumsum(change[:-1]) > 0
-        for i in range(len(ids)):
-            gone, text = removed[base[i] : ends[i]], flat[base[i] : ends[i]]
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (1 if len(gone) and gone[0] else 0))
-            kept = text[~gone].tobytes()
-            out.append((int(ids[i]), len(text), int(np.count_nonzero(gone)), spans, hashlib.sha256(kept).hexdigest(), kept))
+            gone = stretches(least, (np.cumsum(windows) - windows)[back], n) < np.repeat(ids[doc], n)
+            starts[spread(base[doc] + low, n)[gone]] = True
+        for first, last in _blocks(ends, BLOCK_BYTES):
+            at = int(base[first])
+            removed = np.cumsum(starts[at : ends[last - 1]], dtype=np.int32)
+            removed[length:] -= removed[:-length].copy()
+            removed = removed > 0
+            for i in range(first, last):
+                gone, text = removed[base[i] - at : ends[i] - at], flat[base[i] : ends[i]]
+                n = int(np.count_nonzero(gone))
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if n else 0
+                kept = (text[~gone] if n else text).tobytes()
+                out.append((int(ids[i]), len(text), n, spans, hashlib.sha256(kept).hexdigest(), kept))
         columns = list(zip(*out)) or [[]] * 6
         columns[0] = [None if x == LAST else x for x in columns[0]]
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())

@@ -106,8 +106,13 @@ def swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def give_back() -> None:
-    """Return this process's freed memory to the system, which the allocators keep otherwise."""
+def give_back(held: int = 0) -> None:
+    """Return this process's freed memory to the system, which the allocators keep otherwise; nothing is done where the process
+    is known to hold less than ``held`` bytes."""
+    if held and os.path.exists("/proc/self/statm"):
+        with open("/proc/self/statm") as now:
+            if int(now.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < held:
+                return
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim is not None:
