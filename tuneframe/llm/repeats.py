@@ -298,7 +298,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     pieces = written(bundles.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, cut_rows), "repeat-regions")
     del named, answers
-    swept(spark)
+    for _ in range(2):  # the first has Python's hold on them let go
+        swept(spark)
 
     def least_ids(own):
         """For each dealt window of each chunk its smallest id."""
